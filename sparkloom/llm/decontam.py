@@ -19,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: The same words on UTF-8 bytes: separators become spaces, A-Z lower case.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-FOUND = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+#: Columns that a pass fills; the names are unlike those of documents.
+FOUND = {"__n_words": "bigint", "__spans": "array<struct<a:bigint,b:bigint>>", "__items": "array<string>"}
 
 
 class Wavelet:
@@ -147,7 +149,7 @@ def windows(rows: list[tuple[object, str | None]], window: int) -> dict[tuple[by
 
 
 def _search(shared, shard_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: dict[tuple[bytes, ...], list[str]] = shared.value
         number = {w: i for i, w in enumerate(sorted({w for p in phrases for w in p}), 2)}  # 1 stands between runs
         sigma = len(number) + 2
@@ -158,8 +160,8 @@ def _search(shared, shard_words: int):
         coded = {n: np.array([[number[w] for w in p] for p in ps], np.int64) for n, ps in by_length.items()}
         deepest = max(coded, default=1)
 
-        def shard(frames: list[pd.DataFrame], docs: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-            pdf = pd.concat(frames, ignore_index=True)
+        def shard(held: list[pa.RecordBatch], counts: list[int], docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
             hits: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
             if docs:
@@ -180,20 +182,23 @@ def _search(shared, shard_words: int):
                         for d, a, k in zip(owner[at].tolist(), place[at].tolist(), which[i : i + 1_000_000].tolist(), strict=True):
                             hits.setdefault(d, []).append((a, a + n))
                             items.setdefault(d, set()).update(phrases[by_length[n][k]])
-            spans, names = pdf["spans"].tolist(), pdf["items"].tolist()
+            spans, names = t["__spans"].to_pylist(), t["__items"].to_pylist()
             for d in hits:
-                old = [(s["a"], s["b"]) for s in spans[d]]
+                old = [(x["a"], x["b"]) for x in spans[d]]
                 spans[d] = [{"a": a, "b": b} for a, b in merged([*old, *hits[d]])]
                 names[d] = sorted({*names[d], *items[d]})
-            return pdf.assign(spans=spans, items=names)
+            for name, made in (("__n_words", counts), ("__spans", spans), ("__items", names)):
+                at = t.schema.get_field_index(name)
+                t = t.set_column(at, t.schema.field(at), pa.array(made, t.schema.field(at).type))
+            yield from t.to_batches(max_chunksize=512)
 
-        frames: list[pd.DataFrame] = []
+        frames: list[pa.RecordBatch] = []
+        counts: list[int] = []
         docs: list[tuple[int, np.ndarray, np.ndarray]] = []
         at = held = 0
         get = number.get
         for b in batches:
-            counts = []
-            for i, text in enumerate(b["text"].tolist()):
+            for i, text in enumerate(b.column("text").to_pylist()):
                 w = words(text)
                 counts.append(len(w))
                 if not shortest or len(w) < shortest:
@@ -208,13 +213,13 @@ def _search(shared, shard_words: int):
                 pos = [np.r_[np.arange(a, z), -1] for a, z in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
                 docs.append((at + i, np.concatenate(part), np.concatenate(pos)))
                 held += len(docs[-1][1])
-            frames.append(b.assign(n_words=counts))
-            at += len(b)
-            if held >= shard_words or at >= 20_000:
-                yield shard(frames, docs)
-                frames, docs, at, held = [], [], 0, 0
+            frames.append(b)
+            at += b.num_rows
+            if held >= shard_words or at >= 10_000:
+                yield from shard(frames, counts, docs)
+                frames, counts, docs, at, held = [], [], [], 0, 0
         if frames:
-            yield shard(frames, docs)
+            yield from shard(frames, counts, docs)
 
     return run
 
@@ -231,7 +236,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8_000_000, shard_words: int = 500_000) -> DataFrame:
-    """``docs`` with n_words, spans (of words, end exclusive) and items (sorted names) added.
+    """``docs`` with __n_words, __spans (of words, end exclusive) and __items (sorted names) added.
 
     Null and word-free texts have no words and no hits; an empty benchmark hits
     nothing; a null item_id is the item "null". Repeated items count once.
@@ -241,20 +246,21 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: i
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    out = small_batches(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit([]).cast("array<struct<a:long,b:long>>"), "items": F.lit([]).cast("array<string>")})
+    empty = {"__n_words": F.lit(0), "__spans": F.array(), "__items": F.array()}
+    out = small_batches(docs).withColumns({k: c.cast(FOUND[k]) for k, c in empty.items()})
     for k in range(blocks):  # each block is of bounded size: about block_chars of phrases
         one = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
         phrases = {p: sorted(s) for p, s in windows([(r["item"], r["text"]) for r in one.collect()], window).items()}
-        out = out.mapInPandas(_search(spark.sparkContext.broadcast(phrases), shard_words), out.schema)
+        out = out.mapInArrow(_search(spark.sparkContext.broadcast(phrases), shard_words), out.schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **limits: int) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
     found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, **limits)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    names = F.array_sort("items")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    names = F.array_join(F.array_sort("__items"), ",")
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, **limits: int) -> DataFrame:
@@ -262,17 +268,15 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, **limits: in
 
     Documents without a hit stay as they are, word-free ones too.
     """
-    names = docs.columns
-    own = docs.select(F.struct("*").alias("row"), F.col("text"))
-    found = find(own, benchmark, window, **limits)
 
-    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(text=[cut_words(t, [(x["a"], x["b"]) for x in s]) if len(s) else t for t, s in zip(b["text"], b["spans"], strict=True)])
+    @F.pandas_udf("string")
+    def trimmed(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut_words(t, [(x["a"], x["b"]) for x in s]) if len(s) else t for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    clean = found.filter(F.size("spans") == 0).select("row.*")
-    hit = found.filter(F.size("spans") > 0).mapInPandas(trim, found.schema).filter(F.length(F.trim("text")) > 0)
-    return clean.unionByName(hit.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names]))
+    found = find(docs, benchmark, window, **limits)
+    text = F.when(F.size("__spans") > 0, trimmed("text", "__spans")).otherwise(F.col("text"))
+    out = found.withColumn("text", text).filter((F.size("__spans") == 0) | (F.length("text") > 0))
+    return out.drop(*FOUND)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

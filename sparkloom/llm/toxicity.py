@@ -289,11 +289,10 @@ def keep_clean(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score is under ``least``, unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = scorer(shared.value)
-        for b in batches:
-            yield b[of([t or "" for t in b["text"].tolist()]) < least]
+        for t in texts:
+            yield pd.Series(of([x or "" for x in t.tolist()]))
 
-    rows = small_batches(docs).select(F.struct("*").alias("row"), "text")
-    names = docs.columns
-    return rows.mapInPandas(run, rows.schema).select(*[F.col(f"row.`{c}`") for c in names])
+    return small_batches(docs).filter(toxic("text") < least)
