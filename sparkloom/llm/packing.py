@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,36 +24,86 @@ from .common import cut, numbered, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 EVOLVED = "cell long, island int, piece_key long, length long, bin long, bins long, fitness double"
-#: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+#: Words whose ids a Python worker remembers, over its tasks; the memory is emptied when it is full.
+REMEMBERED = 1_000_000
+#: Signs that may end a word. A letter and a sign never share an id, so ids of both parts just follow each other.
+SIGNS = ".,!%&$#*|?:;"
 
 
-def _tokenise(path: str, capacity: int, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class WordIds:
+    """Ids of words as little-endian bytes, each word's looked up once."""
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        known: dict[str, bytes] = {"": b""}
-        blanks = str.maketrans("\n\t\r", "   ")
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = {i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")}
+        self.ends = np.zeros(max(ends) + 1, bool)
+        self.ends[list(ends)] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        """White space never reaches the vocabulary, so a text's ids are those of its words in turn."""
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) > REMEMBERED:
+                self.known = {"": b""}
+            if len(self.cores) > REMEMBERED:
+                self.cores = {}
+            self._learn({w for w in words if w not in self.known})
+            found = list(map(self.known.__getitem__, words))
+        return b"".join(found)
+
+    def _learn(self, words: set[str]) -> None:
+        plain: list[tuple[str, str, str]] = []
+        other: set[str] = set()
+        for w in words:
+            core = w.rstrip(SIGNS)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250") and (low := core.lower()).isalpha():
+                plain.append((w, low, w[len(core) :]))
+                if w[len(core) :] not in self.known:
+                    other.add(w[len(core) :])
+            else:
+                other.add(w)
+        one_by_one = sorted(other)
+        for i in range(0, len(one_by_one), 5000):
+            part = one_by_one[i : i + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        fresh = sorted({low for _, low, _ in plain if low not in self.cores})
+        for i in range(0, len(fresh), 5000):  # a word of letters only is one unit, whose last id ends a word
+            part = fresh[i : i + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut_at = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
+            if len(cut_at) != len(part):
+                raise ValueError("the vocabulary does not end each word once")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, cut_at.tolist(), strict=True):
+                self.cores[w] = data[at:end]
+                at = end
+        for w, low, tail in plain:
+            self.known[w] = self.cores[low] + self.known[tail]
+
+
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def _tokenise(path: str, capacity: int, end_id: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if path not in _WORD_IDS:
+            _WORD_IDS[path] = WordIds(path)
+        of = _WORD_IDS[path].ids
         end = end_id.to_bytes(4, "little")
         full = 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            if len(known) > REMEMBERED:
-                known = {"": b""}
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                # White space never reaches the vocabulary, so a text's ids are those of its words in turn.
-                words = text.translate(blanks).split(" ")
-                new = list({w for w in words if w not in known})
-                if new:
-                    for i in range(0, len(new), 20_000):
-                        part = new[i : i + 20_000]
-                        known.update((w, b"".join(x.to_bytes(4, "little") for x in e.ids)) for w, e in zip(part, encode(part, add_special_tokens=False), strict=True))
-                ids = b"".join([known[w] for w in words]) + end
+                ids = of(text) + end
                 doc = None if pd.isna(doc_id) else int(doc_id)
                 for k, at in enumerate(range(0, len(ids), full)):
                     part = ids[at : at + full]
