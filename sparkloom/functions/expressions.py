@@ -30,7 +30,8 @@ def lookup(key: Column, table: Mapping[str, float], default: float | None = None
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Held between both; null stays null (``least`` and ``greatest`` would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def age_days(window_to: Column, as_of: Column) -> Column:
@@ -47,7 +48,8 @@ def signal_confidence(sample_n: Column, kind: Column, tier: Column, window_to: C
     sample = F.least(F.lit(1.0), F.log1p(sample_n.cast("double")) / F.log1p(lookup(kind, N_REF).cast("double")))
     recency = F.exp(-age_days(window_to, as_of) / lookup(kind, HALF_LIFE_DAYS))
     w = CONFIDENCE_PARTS
-    return clamp(w["sample"] * sample + w["tier"] * tier_weight(tier) + w["recency"] * recency)
+    known = lookup(kind, N_REF).isNotNull() & sample_n.isNotNull() & window_to.isNotNull()
+    return F.when(known, clamp(w["sample"] * sample + w["tier"] * tier_weight(tier) + w["recency"] * recency))
 
 
 def expires_at(observed_at: Column, kind: Column) -> Column:

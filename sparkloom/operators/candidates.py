@@ -53,7 +53,7 @@ def penalties() -> Column:
 
 def penalised(score: Column, names: Column) -> Column:
     taken = F.when(F.array_contains(names, "unverified_metric"), UNVERIFIED).otherwise(0) + F.when(F.array_contains(names, "high_safety_dependency"), SAFETY).otherwise(0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score - taken))
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score - taken)))
 
 
 def band(score: Column) -> Column:
@@ -61,7 +61,7 @@ def band(score: Column) -> Column:
     out = None
     for name, (low, high) in BANDS.items():
         out = F.when(score.between(low, high), name) if out is None else out.when(score.between(low, high), name)
-    return out.otherwise("unknown")
+    return out.otherwise("unknown")  # also for a null score
 
 
 def eligible(score: Column) -> Column:

@@ -72,7 +72,7 @@ def hostile_dependence(signals: DataFrame, floor: float = X.MIN_CELL_CONFIDENCE,
 
 
 def cap(confidence: Column, dependent: Column) -> Column:
-    return F.when(dependent, F.least(confidence, F.lit(HOSTILE_CAP))).otherwise(confidence)
+    return F.when(dependent & confidence.isNotNull(), F.least(confidence, F.lit(HOSTILE_CAP))).otherwise(confidence)
 
 
 def loss_gaps(signals: DataFrame, tiers: Sequence[str]) -> DataFrame:

@@ -44,8 +44,10 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         rows = part.collect()
+        if not rows and found is not None:
+            continue
         ids = np.array([r["vec_id"] for r in rows], np.int64)
-        q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
+        q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
         shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
         def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

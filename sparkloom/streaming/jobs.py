@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from sparkloom.sources import io
 
@@ -120,7 +120,7 @@ class CircuitProcessor(StatefulProcessor):
     """The circuit as state per route; rows of a micro-batch are sorted by (ts, event_id)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("circuit", StructType.fromDDL("state string, row int, opens int, until long, recent string"))
+        self.kept = handle.getValueState("circuit", StructType([StructField("state", StringType()), StructField("row", IntegerType()), StructField("opens", IntegerType()), StructField("until", LongType()), StructField("recent", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = [r for r in rows]
@@ -145,7 +145,7 @@ class ExpiryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("expiry", StructType.fromDDL("at long"))
+        self.kept = handle.getValueState("expiry", StructType([StructField("at", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
