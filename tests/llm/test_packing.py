@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -13,10 +14,15 @@ from .fixtures import docs, empty
 PATH = vocabulary("word_bpe_49k.json")
 
 
-def exact(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(PATH)
+
+
+def exact(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check_sequences(rows, capacity=4096):
