@@ -39,9 +39,11 @@ TEMPLATES = (
 
 def weighted_score() -> Column:
     """100 x the weighted sum over five times the weights; null if a level is no whole number from 0 to 5."""
-    total = sum(DIMENSIONS.values())
-    level = {c: F.when(F.col(c).cast("string").try_cast("double").between(0, 5), F.col(c).cast("string").try_cast("double")) for c in DIMENSIONS}
-    return 100 * sum((level[c] * w for c, w in DIMENSIONS.items()), F.lit(0.0)) / (5 * total)
+    # One array of levels, looked at once: a sum of thirteen conditionals would be copied into every use by the planner.
+    levels = F.transform(F.array(*[F.col(c).cast("string") for c in DIMENSIONS]), lambda x: x.try_cast("double"))
+    held = F.transform(levels, lambda x: F.when(x.between(0, 5), x))
+    weighted = F.zip_with(held, F.array(*[F.lit(float(w)) for w in DIMENSIONS.values()]), lambda x, w: x * w)
+    return 100 * F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x) / (5 * sum(DIMENSIONS.values()))
 
 
 def penalties() -> Column:
@@ -57,11 +59,9 @@ def penalised(score: Column, names: Column) -> Column:
 
 
 def band(score: Column) -> Column:
-    """The band that holds the score; ``unknown`` in the gaps."""
-    out = None
-    for name, (low, high) in BANDS.items():
-        out = F.when(score.between(low, high), name) if out is None else out.when(score.between(low, high), name)
-    return out.otherwise("unknown")  # also for a null score
+    """The first band that holds the score; ``unknown`` in the gaps and for null."""
+    names = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for n, (a, b) in BANDS.items()])
+    return F.coalesce(F.try_element_at(F.transform(F.filter(names, lambda x: score.between(x["a"], x["b"])), lambda x: x["n"]), F.lit(1)), F.lit("unknown"))
 
 
 def eligible(score: Column) -> Column:
@@ -139,7 +139,7 @@ def evidence_split(evidence: DataFrame) -> DataFrame:
 def render(candidates: DataFrame, split: DataFrame, headings: Mapping[str, str] | None = None) -> DataFrame:
     """One Markdown report per candidate: (candidate_id, report)."""
     names = headings or {"supporting": "Supporting evidence", "contradicting": "Contradicting evidence", "neutral": "Neutral evidence"}
-    j = candidates.join(split, "candidate_id", "left")
+    j = candidates.select("candidate_id", "title", "final_score", "score_band").join(split, "candidate_id", "left")
     rows = lambda p: F.when(F.coalesce(F.size(p), F.lit(0)) <= 0, "_none_").otherwise(F.array_join(F.transform(p, lambda x: F.concat(F.lit("| "), x["evidence_id"].cast("string"), F.lit(" | "), x["observation"], F.lit(" |"))), "\n"))
     parts = [F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("Score: "), F.col("final_score"), F.lit(" ("), F.col("score_band"), F.lit(")"))]
     parts += [F.concat(F.lit(f"## {name}\n\n"), rows(p)) for p, name in names.items()]

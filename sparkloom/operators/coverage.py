@@ -27,9 +27,14 @@ def best_across(kind: str, tiers: Sequence[str]) -> Column:
     return F.coalesce(F.max(F.when((F.col("signal_type") == kind) & F.col("tier").isin(*tiers), F.col("confidence"))), F.lit(0.0))
 
 
+def best_columns(hard_tiers: Sequence[str] = HARD_TIERS) -> list[Column]:
+    """Aggregates hard_<type> over the hard tiers and any_<type> over all tiers."""
+    return [*[best_across(k, hard_tiers).alias(f"hard_{k}") for k in HARD], *[best_across(k, X.TIERS).alias(f"any_{k}") for k in SOFT]]
+
+
 def best_by_niche(signals: DataFrame, hard_tiers: Sequence[str] = HARD_TIERS) -> DataFrame:
     """One row per niche: hard_<type> over the hard tiers and any_<type> over all tiers. One shuffle."""
-    return signals.groupBy("niche_id").agg(*[best_across(k, hard_tiers).alias(f"hard_{k}") for k in HARD], *[best_across(k, X.TIERS).alias(f"any_{k}") for k in SOFT])
+    return signals.groupBy("niche_id").agg(*best_columns(hard_tiers))
 
 
 def hard_met(floor: float = X.MIN_CELL_CONFIDENCE) -> Column:

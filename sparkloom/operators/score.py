@@ -29,10 +29,14 @@ def pivot_axes(best: DataFrame) -> DataFrame:
         *[of(a, "normalized_score", 0.5).alias(f"value_{a}") for a in X.AXES], *[of(a, "confidence", 0.0).alias(f"conf_{a}") for a in X.AXES],
         *[F.max(F.when(F.col("signal_type") == a, F.col("signal_id"))).alias(f"_id_{a}") for a in X.AXES],
     )
-    shrunk = {f"shrunk_{a}": X.shrink(F.col(f"value_{a}"), F.col(f"conf_{a}")) for a in X.AXES}
-    shrunk["shrunk_competition"] = 1 - shrunk["shrunk_competition"]
     ids = F.filter(F.array(*[f"_id_{a}" for a in X.AXES]), lambda x: x.isNotNull())
-    return p.withColumns({**shrunk, "scored_from": ids}).drop(*[f"_id_{a}" for a in X.AXES])
+    return p.withColumns({**shrunk_axes(), "scored_from": ids}).drop(*[f"_id_{a}" for a in X.AXES])
+
+
+def shrunk_axes() -> dict[str, Column]:
+    """shrunk_<axis> from value_ and conf_<axis>; competition is turned into room."""
+    shrunk = {f"shrunk_{a}": X.shrink(F.col(f"value_{a}"), F.col(f"conf_{a}")) for a in X.AXES}
+    return shrunk | {"shrunk_competition": 1 - shrunk["shrunk_competition"]}
 
 
 def ad_intensity(value: Column, confidence: Column) -> Column:
@@ -63,10 +67,15 @@ def score(signals: DataFrame, as_of: Column, ads: DataFrame | None = None, hard_
     has confidence 0, so the geometric mean has no value); score and the rest
     are then null. ``ads`` may give niche_id, ad_value and ad_confidence.
     """
-    gated = coverage.gate(coverage.best_by_niche(signals), as_of).select("niche_id", "outcome", "coverage_gaps")
-    axes = pivot_axes(best_signals(signals))
-    hostile = coverage.hostile_dependence(signals, hard_required_tiers=hard_required_tiers)
-    j = gated.join(axes, "niche_id").join(hostile, "niche_id")
+    # All that a niche needs comes from one aggregation: partial maxima per task, then one shuffle by niche.
+    known = lambda a, c: F.when(F.col("signal_type") == a, c)
+    best = {a: F.min_by(known(a, F.struct("signal_id", "normalized_score", "confidence")), known(a, F.struct((-F.col("confidence")).alias("c"), "signal_id"))).alias(f"_best_{a}") for a in X.AXES}
+    met = lambda tiers: (coverage.best_across("demand", tiers) >= X.MIN_CELL_CONFIDENCE) & (coverage.best_across("pain", tiers) >= X.MIN_CELL_CONFIDENCE)
+    hostile = met(hard_required_tiers) & ~met([t for t in hard_required_tiers if t != "hostile"])
+    one = signals.groupBy("niche_id").agg(*coverage.best_columns(), *best.values(), hostile.alias("hostile_dependent"))
+    j = coverage.gate(one, as_of)
+    j = j.withColumns({f"value_{a}": F.coalesce(F.col(f"_best_{a}.normalized_score"), F.lit(0.5)) for a in X.AXES} | {f"conf_{a}": F.coalesce(F.col(f"_best_{a}.confidence"), F.lit(0.0)) for a in X.AXES})
+    j = j.withColumns(shrunk_axes() | {"scored_from": F.filter(F.array(*[F.col(f"_best_{a}.signal_id") for a in X.AXES]), lambda x: x.isNotNull())})
     if ads is not None:
         j = j.join(ads.select("niche_id", "ad_value", "ad_confidence"), "niche_id", "left")
     else:

@@ -118,7 +118,8 @@ _ROWS = lambda p: f"coalesce(string_agg('| ' || evidence_id || ' | ' || {_SAFE}
 
 @register("report_render", f"WITH {_EV}, {_C}, {_SC} SELECT s.key AS candidate_id, '# ' || title || chr(10) || chr(10) || 'Score: ' || printf('%.2f', round(f, 2)) || ' (' || {_BD} || ')' || chr(10) || chr(10) || '## Supporting evidence' || chr(10) || chr(10) || {_ROWS('supporting')} || chr(10) || chr(10) || '## Contradicting evidence' || chr(10) || chr(10) || {_ROWS('contradicting')} || chr(10) || chr(10) || '## Neutral evidence' || chr(10) || chr(10) || {_ROWS('neutral')} AS report FROM s LEFT JOIN ev ON ev.candidate_id = s.key WHERE ws IS NOT NULL GROUP BY s.key, title, f, ws")
 def report_render(spark, d):
-    c = K.score_table(candidates(spark, d)).filter("status = 'OK'").drop("candidate_id").withColumn("candidate_id", F.col("key"))
+    c = candidates(spark, d).filter(K.weighted_score().isNotNull()).withColumn("candidate_id", F.col("key"))
+    c = K.score_table(c)
     return K.render(c, K.evidence_split(evidence(spark, d)))
 
 
