@@ -24,8 +24,9 @@ from .common import cut, numbered, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 EVOLVED = "cell long, island int, piece_key long, length long, bin long, bins long, fitness double"
-#: Words whose ids a Python worker remembers, over its tasks; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Words of a generation whose ids a Python worker remembers, over its tasks. A full generation is kept until the
+#: next is full; words met meanwhile move on, so frequent ones stay.
+REMEMBERED = 300_000
 #: Signs that may end a word. A letter and a sign never share an id, so ids of both parts just follow each other.
 SIGNS = ".,!%&$#*|?:;"
 
@@ -44,7 +45,7 @@ class WordIds:
         self.ends = np.zeros(max(ends) + 1, bool)
         self.ends[list(ends)] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """White space never reaches the vocabulary, so a text's ids are those of its words in turn."""
@@ -52,30 +53,39 @@ class WordIds:
         found = list(map(self.known.get, words))
         if None in found:
             if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-            if len(self.cores) > REMEMBERED:
-                self.cores = {}
-            self._learn({w for w in words if w not in self.known})
+                self.older, self.known = self.known, {"": b""}
+            self._learn(self._unknown({w for w in words if w not in self.known}))
             found = list(map(self.known.__getitem__, words))
         return b"".join(found)
 
-    def _learn(self, words: set[str]) -> None:
+    def _unknown(self, words: set[str]) -> list[str]:
+        """Those of ``words`` that neither generation knows; what the older one knows moves on."""
+        known, older = self.known, self.older
+        lost = []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            elif w not in known:
+                lost.append(w)
+        return lost
+
+    def _learn(self, words: list[str]) -> None:
         plain: list[tuple[str, str, str]] = []
         other: set[str] = set()
         for w in words:
             core = w.rstrip(SIGNS)
             if core.isalpha() and (core.isascii() or max(core) < "\u0250") and (low := core.lower()).isalpha():
                 plain.append((w, low, w[len(core) :]))
-                if w[len(core) :] not in self.known:
+                if w[len(core) :]:
                     other.add(w[len(core) :])
             else:
                 other.add(w)
-        one_by_one = sorted(other)
+        one_by_one = sorted(self._unknown(other))
         for i in range(0, len(one_by_one), 5000):
             part = one_by_one[i : i + 5000]
             for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
-        fresh = sorted({low for _, low, _ in plain if low not in self.cores})
+        fresh = sorted(self._unknown({low for _, low, _ in plain if low not in self.known}))
         for i in range(0, len(fresh), 5000):  # a word of letters only is one unit, whose last id ends a word
             part = fresh[i : i + 5000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -84,10 +94,10 @@ class WordIds:
                 raise ValueError("the vocabulary does not end each word once")
             data, at = ids.tobytes(), 0
             for w, end in zip(part, cut_at.tolist(), strict=True):
-                self.cores[w] = data[at:end]
+                self.known[w] = data[at:end]
                 at = end
         for w, low, tail in plain:
-            self.known[w] = self.cores[low] + self.known[tail]
+            self.known[w] = self.known[low] + self.known[tail]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
