@@ -184,13 +184,13 @@ def evolve(size: list[int], elites: list[list[list[int]]], capacity: int, seed:
     """The best grouping of one island; ``elites`` are groupings to start from."""
     rng = random.Random(seed)
     people = [[list(b) for b in e] for e in elites]
-    while len(people) < population:
+    least = -(-sum(size) // capacity)
+    while len(people) < population and not (people and min(map(len, people)) <= least):  # no grouping has fewer bins
         noise = 0.0 if not people else 0.05 * len(people)
         order = sorted(range(len(size)), key=lambda i: -size[i] * (1 + noise * rng.random()))
         bins: list[list[int]] = []
         _best_fit(order, size, bins, [], capacity)
         people.append(bins)
-    least = -(-sum(size) // capacity)
     rate = lambda g: (len(g), -_fitness([capacity - sum(size[i] for i in b) for b in g], capacity))
     scored = sorted(((rate(g), k, g) for k, g in enumerate(people)), key=lambda x: x[:2])
     births = len(scored)
