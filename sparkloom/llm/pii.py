@@ -26,7 +26,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A label of one or two words and a sign, then the value, perhaps quoted.
 CUE = r"(?:[A-Za-z_][A-Za-z0-9_-]{0,30} )?[A-Za-z_][A-Za-z0-9_-]{1,30} ?[:=#] ?[\"']?(?=[A-Za-z0-9+])"
-VALUE = r"[A-Za-z0-9+(][^\s\"'<>,;!|&$%#*)]{3,}"
+#: What a value goes on over, to its end: of any length, four characters at least.
+RUN = r"^[^\s\"'<>,;!|&$%#*)]*+"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -63,18 +64,29 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("spans", F.expr(f"array_sort(concat({every}))")).drop(*[f"_{k}" for k in KINDS[:4]])
 
 
+def _quoted(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def cues(docs: DataFrame) -> DataFrame:
     """Add ``cues``: array<struct<labels, start, end, value, seed>> of the labelled values in ``t``.
 
     A value has two lexical patterns: its label's last word, and both words.
     """
     found = _matches(F.col("t"), CUE, F.col("t").rlike(r"[:=#] ?[\"']?[A-Za-z0-9+]"))
-    docs = docs.withColumn("_cue", found).withColumn("_cue", F.expr(_placed("_cue")))
-    value = f"regexp_extract(substring(t, c.start + length(c.m) + 1, 200), '^{VALUE}', 0)".replace("\\", "\\\\").replace("\"'", "\"\\'")
+    docs = docs.withColumn("_cue", found)
+    # How far a value runs is added up from the last cue to the first: a run that fills a gap goes on into the next cue.
+    run = lambda of: f"length(regexp_extract({of}, {_quoted(RUN)}, 0))"
+    parts = f"transform(_cue.m, (x, i) -> struct(length(x) AS n, {run('x')} AS own, length(_cue.gap[i + 1]) AS room, {run('_cue.gap[i + 1]')} AS run))"
+    length = "IF(x.run < x.room, x.run, x.run + a.next)"
+    sizes = f"reverse(aggregate(reverse({parts}), struct(cast(array() AS array<int>) AS out, 0 AS next), (a, x) -> struct(array_append(a.out, {length}) AS out, IF(x.own < x.n, x.own, x.n + {length}) AS next), a -> a.out))"
+    docs = docs.withColumn("_size", F.expr(sizes)).withColumn("_cue", F.expr(_placed("_cue")))
     label = "regexp_replace(lower(c.m), ' ?([:=#]) ?[\"\\']?$', '$1')"
-    docs = docs.withColumn("_cue", F.expr(f"transform(_cue, c -> struct({label} AS label, c.start + length(c.m) AS start, {value} AS value))"))
-    seed = "exists(spans, s -> s.start = c.start OR (s.start = c.start - 1)) OR (c.value rlike '^[0-9a-fA-F]{24,}$' AND c.value rlike '[0-9]' AND c.value rlike '[a-fA-F]')"
-    return docs.withColumn("cues", F.expr(f"transform(filter(_cue, c -> c.value rlike '[0-9]'), c -> struct(array_distinct(array(regexp_extract(c.label, '[^ ]+$', 0), c.label)) AS labels, c.start AS start, c.start + length(c.value) AS end, xxhash64(c.value) AS value, {seed} AS seed))")).drop("_cue")
+    docs = docs.withColumn("_cue", F.expr(f"transform(arrays_zip(_cue.start, _cue.m, _size), c -> struct({label} AS label, c.start + length(c.m) AS start, c._size AS size))"))
+    value = "substring(t, c.start + 1, c.size)"
+    seed = f"exists(spans, s -> s.start = c.start OR (s.start = c.start - 1)) OR ({value} rlike '^[0-9a-fA-F]{{24,}}$' AND {value} rlike '[0-9]' AND {value} rlike '[a-fA-F]')"
+    return docs.withColumn("cues", F.expr(f"transform(filter(_cue, c -> c.size >= 4 AND {value} rlike '[0-9]'), c -> struct(array_distinct(array(regexp_extract(c.label, '[^ ]+$', 0), c.label)) AS labels, c.start AS start, c.start + c.size AS end, xxhash64({value}) AS value, {seed} AS seed))")).drop("_cue", "_size")
 
 
 def confident_patterns(found: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.8) -> DataFrame:

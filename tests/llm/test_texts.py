@@ -109,6 +109,16 @@ def test_personal_data_against_brute_force_and_learned_contexts(spark):
     assert pii.detect(empty(spark)).count() == 0 and pii.mask(empty(spark)).count() == 0
 
 
+def test_a_long_value_is_whole(spark):
+    keys = [("0123456789abcdef" * 400)[: 5000 - i] for i in range(5)]
+    nested = "x-1=" + "a1=" * 300 + "z"  # every label inside sees the value to its end
+    texts = [f"so token = {k} it" for k in keys] + [f'token="{keys[0]}"', nested]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.spans for r in pii.detect(d).orderBy("doc_id").collect()] == [f"secret:11:{5011 - i}" for i in range(5)] + ["secret:7:5007", ""]
+    assert [r.text for r in pii.mask(d).orderBy("doc_id").collect()] == ["so token = <SECRET> it"] * 5 + ['token="<SECRET>"', nested]
+    assert {c.end for c in pii._scan(d).filter("doc_id = 6").first().cues} == {len(nested)}
+
+
 def test_no_python_on_the_native_paths(spark):
     from sparkloom.llm import rules
 
