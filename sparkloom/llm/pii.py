@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and contexts learned from them by bootstrapping.
 
 Base spans come from four patterns, found per row by built-in functions: the
-pieces between matches give their places. Seeds are the base spans and long
-mixed hexadecimal keys. A label before a value ("token =", "phone:") is a lexical
+pieces between matches give their places. Seeds are the base spans, each as a
+whole, and long mixed hexadecimal keys. A label before a value ("token =", "phone:") is a lexical
 pattern; patterns and the values they stand before form a graph over all
-documents, scored in turns: a pattern by the share of its values believed in, a
+documents, scored in turns until they settle: a pattern by the share of its values believed in, a
 value by the patterns that name it. Values of confident patterns are spans too,
 whatever they look like. Only labels and hashes of values shuffle.
 """
@@ -28,6 +28,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CUE = r"(?:[A-Za-z_][A-Za-z0-9_-]{0,30} )?[A-Za-z_][A-Za-z0-9_-]{1,30} ?[:=#] ?[\"']?(?=[A-Za-z0-9+])"
 #: What a value goes on over, to its end: of any length, four characters at least.
 RUN = r"^[^\s\"'<>,;!|&$%#*)]*+"
+GROUP = r"(?=[A-Za-z]*+[0-9]|[A-Z]{4}(?![A-Za-z0-9]))[A-Za-z0-9]{1,8}+(?![A-Za-z0-9])"
+#: Or two and more short groups with blanks between: each has a digit or is four capitals.
+GROUPS = rf"{GROUP}(?:\x20{GROUP})++"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -72,7 +75,8 @@ def _quoted(pattern: str) -> str:
 def cues(docs: DataFrame) -> DataFrame:
     """Add ``cues``: array<struct<labels, start, end, value, seed>> of the labelled values in ``t``.
 
-    A value has two lexical patterns: its label's last word, and both words.
+    A value has two lexical patterns: its label's last word, and both words. It
+    is the base span that begins there, else groups free of base spans, else a run.
     """
     found = _matches(F.col("t"), CUE, F.col("t").rlike(r"[:=#] ?[\"']?[A-Za-z0-9+]"))
     docs = docs.withColumn("_cue", found)
@@ -81,31 +85,41 @@ def cues(docs: DataFrame) -> DataFrame:
     parts = f"transform(_cue.m, (x, i) -> struct(length(x) AS n, {run('x')} AS own, length(_cue.gap[i + 1]) AS room, {run('_cue.gap[i + 1]')} AS run))"
     length = "IF(x.run < x.room, x.run, x.run + a.next)"
     sizes = f"reverse(aggregate(reverse({parts}), struct(cast(array() AS array<int>) AS out, 0 AS next), (a, x) -> struct(array_append(a.out, {length}) AS out, IF(x.own < x.n, x.own, x.n + {length}) AS next), a -> a.out))"
-    docs = docs.withColumn("_size", F.expr(sizes)).withColumn("_cue", F.expr(_placed("_cue")))
+    grouped = F.when(F.col("t").rlike(r"[:=#] ?[\"']?[A-Za-z0-9]{1,8}\x20[A-Z0-9a-z]"), F.regexp_extract_all(F.col("t"), F.lit(f"{CUE}(?=({GROUPS}|))"), F.lit(1))).otherwise(F.expr("cast(array() AS array<string>)"))
+    docs = docs.withColumn("_size", F.expr(sizes)).withColumn("_cue", F.expr(_placed("_cue"))).withColumn("_groups", grouped)
     label = "regexp_replace(lower(c.m), ' ?([:=#]) ?[\"\\']?$', '$1')"
-    docs = docs.withColumn("_cue", F.expr(f"transform(arrays_zip(_cue.start, _cue.m, _size), c -> struct({label} AS label, c.start + length(c.m) AS start, c._size AS size))"))
-    value = "substring(t, c.start + 1, c.size)"
-    seed = f"exists(spans, s -> s.start = c.start OR (s.start = c.start - 1)) OR ({value} rlike '^[0-9a-fA-F]{{24,}}$' AND {value} rlike '[0-9]' AND {value} rlike '[a-fA-F]')"
-    return docs.withColumn("cues", F.expr(f"transform(filter(_cue, c -> c.size >= 4 AND {value} rlike '[0-9]'), c -> struct(array_distinct(array(regexp_extract(c.label, '[^ ]+$', 0), c.label)) AS labels, c.start AS start, c.start + c.size AS end, xxhash64({value}) AS value, {seed} AS seed))")).drop("_cue", "_size")
+    docs = docs.withColumn("_cue", F.expr(f"transform(arrays_zip(_cue.start, _cue.m, _size, _groups), c -> struct({label} AS label, c.start + length(c.m) AS start, c._size AS size, coalesce(length(c._groups), 0) AS wide))"))
+    whole = "array_max(transform(filter(spans, s -> s.start = c.start OR s.start = c.start - 1), s -> struct(s.end AS end, s.start AS start)))"
+    size = "IF(c.wide > c.size AND NOT exists(spans, s -> s.start < c.start + c.wide AND c.start < s.end), c.wide, c.size)"
+    docs = docs.withColumn("_cue", F.expr(f"transform(_cue, c -> struct(c.label AS label, c.start AS start, {size} AS size, {whole} AS whole))"))
+    docs = docs.withColumn("_cue", F.expr("transform(filter(_cue, c -> c.whole IS NOT NULL OR c.size >= 4), c -> struct(c.label AS label, coalesce(c.whole.start, c.start) AS start, coalesce(c.whole.end, c.start + c.size) AS end, c.whole IS NOT NULL AS base))"))
+    value = "substring(t, c.start + 1, c.end - c.start)"
+    seed = f"c.base OR ({value} rlike '^[0-9a-fA-F]{{24,}}$' AND {value} rlike '[0-9]' AND {value} rlike '[a-fA-F]')"
+    return docs.withColumn("cues", F.expr(f"transform(_cue, c -> struct(array_distinct(array(regexp_extract(c.label, '[^ ]+$', 0), c.label)) AS labels, c.start AS start, c.end AS end, xxhash64({value}) AS value, {seed} AS seed))")).drop("_cue", "_size", "_groups")
 
 
-def confident_patterns(found: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.8) -> DataFrame:
+def confident_patterns(found: DataFrame, support: int = 3, least: float = 0.8, still: float = 0.001) -> DataFrame:
     """Labels whose values are personal data: rows (label, score).
 
     ``found`` has ``cues``. The graph joins labels and different values; a
-    pattern needs ``support`` values. All documents count.
+    pattern needs ``support`` values. All documents count. Scores only rise;
+    the turns end when no pattern crosses ``least`` and none rose by over ``still``.
     """
     occurrences = found.filter(F.size("cues") > 0).select(F.explode("cues").alias("c")).select(F.explode("c.labels").alias("label"), "c.value", "c.seed")
     graph = cut(occurrences.groupBy("label", "value").agg(F.max("seed").alias("seed")))
     belief = graph.groupBy("value").agg(F.max("seed").cast("double").alias("belief"))
     seeds = belief
-    score = None
-    for _ in range(rounds):
+    before = None
+    while True:
         score = graph.join(belief, "value").groupBy("label").agg(F.sum("belief").alias("b"), F.count("*").alias("n")).filter(F.col("n") >= support).select("label", (F.col("b") / (F.col("n") + 0.5)).alias("score"))
         score = cut(score)
+        if before is not None:
+            rise = score.join(before, "label").filter((F.col("score") - F.col("before") > still) | ((F.col("score") >= least) & (F.col("before") < least)))
+            if rise.isEmpty():
+                return score.filter(F.col("score") >= least)
+        before = score.withColumnRenamed("score", "before")
         doubt = graph.join(score, "label").groupBy("value").agg(F.sum(F.log1p(-0.9 * F.least("score", F.lit(0.99)))).alias("doubt"))
         belief = seeds.join(doubt, "value", "left").select("value", F.greatest("belief", F.lit(1.0) - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("belief"))
-    return score.filter(F.col("score") >= least)
 
 
 def _scan(docs: DataFrame) -> DataFrame:

@@ -119,6 +119,20 @@ def test_a_long_value_is_whole(spark):
     assert {c.end for c in pii._scan(d).filter("doc_id = 6").first().cues} == {len(nested)}
 
 
+def test_base_spans_seed_as_a_whole_and_turns_reach_the_end(spark):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"]
+    seeds = [f"so contact: {n}@example.com it" for n in ("alice", "bob", "carol", "dave", "erin")] + [f"so phone: +1 (980) 555-62{i} it" for i in range(10, 16)] + [f"so pay: {c} it" for c in cards]
+    unseen = ["so contact: mallory it", "so phone: reception it", "so pay: DE89 3704 0044 0532 0130 00 it", "so note: nothing it", "so pay: AB12 1.2.3.4 it"]
+    # Each label of the chain shares half of its values with the next; only the first has seeds.
+    chain = [f"so k{k}: {v} it" for k in range(4) for v in [f"value-{a}-{i}" if a else f"u{i}@x.org" for a in (k, k + 1) for i in range(20)]]
+    texts = seeds + unseen + chain
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.spans for r in pii.detect(d).orderBy("doc_id").collect()][len(seeds) : len(seeds) + len(unseen)]
+    assert got == ["secret:12:19", "secret:10:19", "secret:8:35", "", "secret:8:12,ip:13:20"]
+    assert [r.text for r in pii.mask(d).orderBy("doc_id").collect()][len(seeds) + 2] == "so pay: <SECRET> it"
+    assert {f"k{k}:" for k in range(4)} <= {r.label for r in pii.confident_patterns(pii._scan(d)).collect()}
+
+
 def test_no_python_on_the_native_paths(spark):
     from sparkloom.llm import rules
 
