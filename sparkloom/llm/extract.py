@@ -3,8 +3,10 @@
 Parser events cut a page into lines (blocks of text) and remember which elements
 each stands in. A line's ratio is its text per tag; ratios are smoothed with a
 Gaussian, and a threshold that parts them into two clusters picks the dense
-lines. The content region is the element that holds most of the dense text;
-every line of it that stands in no menu, notice, form or the like is kept.
+lines. The first content region is the element that holds most of the dense text;
+the blocks beside it, and beside the elements around it, are regions as far as they
+hold dense lines. Every line of a region that stands in no menu, notice, form or the
+like is kept.
 """
 
 from __future__ import annotations
@@ -181,7 +183,8 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
-    ratio = smooth(np.log1p(size * np.array([not x[4] for x in lines]) / np.array([x[1] for x in lines])))
+    own = np.log1p(size * np.array([not x[4] for x in lines]) / np.array([x[1] for x in lines]))
+    ratio = smooth(own)
     kept = np.array([not x[4] for x in lines])
     if not kept.any():
         return ""
@@ -194,11 +197,27 @@ def main_text(html: str | None) -> str:
         for e in lines[i][3]:
             weight[e] += int(size[i])
     total = int(size[dense].sum())
-    # The region: an article or main element with most of the dense text, else the innermost element with nearly all.
+    # The first region: an article or main element with most of the dense text, else the innermost element with nearly all.
     named = [e for e, w in weight.items() if p.tags_of[e] in ("article", "main") and 2 * w >= total]
-    inner = [e for e, w in weight.items() if p.tags_of[e] in BLOCKS and p.tags_of[e] not in ("p", "li", "h1", "h2", "h3", "td", "tr", "pre", "blockquote") and 10 * w >= 9 * total]
+    holds = lambda e: p.tags_of[e] in BLOCKS and p.tags_of[e] not in ("p", "li", "h1", "h2", "h3", "td", "tr", "pre", "blockquote")
+    inner = [e for e, w in weight.items() if holds(e) and 10 * w >= 9 * total]
     region = max(named, default=max(inner, default=-1))
-    chosen = [i for i in np.flatnonzero(kept) if region < 0 or region in lines[i][3]]
+    around = next((x[3][: x[3].index(region) + 1] for x in lines if region in x[3]), ())
+    # Further regions: of each block beside those, the innermost element with all of its lines that are dense by themselves too.
+    blocks: dict[int, list[int]] = {}
+    for i in np.flatnonzero(dense & (own > border)):
+        if region >= 0 and region not in lines[i][3]:
+            beside = next((e for e in lines[i][3] if e not in around), -1 - i)
+            blocks.setdefault(beside, []).append(i)
+    regions, alone = {region}, set()
+    for group in blocks.values():
+        shared = set.intersection(*(set(lines[i][3]) for i in group)).difference(around)
+        best = max(filter(holds, shared), default=-1)
+        if best < 0:
+            alone.update(group)
+        else:
+            regions.add(best)
+    chosen = [i for i in np.flatnonzero(kept) if region < 0 or i in alone or not regions.isdisjoint(lines[i][3])]
     # Lists of links that nothing marks: elements of sparse lines, nearly all of it in links.
     linked: Counter[int] = Counter()
     chars: Counter[int] = Counter()
@@ -209,7 +228,7 @@ def main_text(html: str | None) -> str:
                 linked[e] += lines[i][2]
                 chars[e] += len(lines[i][0])
                 parts[e] += 1
-    menus = {e for e in chars if e > region and parts[e] > 1 and linked[e] >= 0.8 * chars[e] and chars[e] < 0.3 * total}
+    menus = {e for e in chars if e not in around and parts[e] > 1 and linked[e] >= 0.8 * chars[e] and chars[e] < 0.3 * total}
     return "\n\n".join(lines[i][0] for i in chosen if menus.isdisjoint(lines[i][3]))
 
 

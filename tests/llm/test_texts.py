@@ -55,6 +55,15 @@ def test_main_text(html, want):
     assert extract.main_text(html) == want
 
 
+def test_every_dense_region_is_kept():
+    a, b, c = (" ".join(f"{w}{i} and some more plain words" for i in range(n)) + "." for w, n in (("first", 12), ("second", 8), ("third", 3)))
+    menu = "<div><a href=x>Home</a> <a href=y>All</a></div>" * 4
+    assert extract.main_text(f"<body>{menu}<main><article><p>{a}</p></article><article><p>{b}</p></article></main>{menu}") == f"{a}\n\n{b}"
+    assert extract.main_text(f"<body>{menu}<main><article><p>{a}</p></article><section><h2>H</h2><p>{b}</p></section></main>{menu}") == f"{a}\n\nH\n\n{b}"
+    assert extract.main_text(f"<body>{menu}<div><p>{c}</p></div><div><p>{a}</p><p>{a}</p><p>{b}</p></div>{menu}") == "\n\n".join((c, a, a, b))
+    assert extract.main_text(f"<body>{menu}<p>{c}</p><div><p>{a}</p><p>{a}</p><p>{b}</p></div>{menu}") == "\n\n".join((c, a, a, b))
+
+
 def test_extract_table(spark):
     rows = [(1, "u", PAGES[0][0], "c"), (None, None, None, "c"), (2, "u", "<p>" + "word " * 50_000, "c"), (2, "u", "<p>é😀", "c")]
     got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
