@@ -94,14 +94,11 @@ def _negated(state, symbol):
     return left, (symbol + "n",) if state and symbol[0] in "IH" else (symbol,)
 
 
-def _targeted(state, symbol):
-    """Holds the clause's insults and threats until it is known whether a target stands in it."""
-    seen, held = state
+def _targeted(seen, symbol):
+    """Marks insults and threats t after a target; a clause's first target writes B, which marks those before it."""
     if symbol == "T":
-        return (True, held), ("T",)
-    if symbol[0] in "IH":
-        return (seen, (*held, symbol)[:64]), ()
-    return state, (symbol,)
+        return True, ("T",) if seen else ("T", "B")
+    return seen, (symbol + "t",) if seen and symbol[0] in "IH" else (symbol,)
 
 
 def _insult(state, symbol):
@@ -112,7 +109,7 @@ def _insult(state, symbol):
 
 def _threat(state, symbol):
     if symbol[0] != "H":
-        return state, (symbol,) if symbol in PATTERNS else ()
+        return state, (symbol,) if symbol in PATTERNS or symbol == "B" else ()
     return state, ("threat" + _manner(symbol),)
 
 
@@ -121,8 +118,7 @@ def _manner(symbol: str) -> str:
 
 
 def grammar() -> Transducer:
-    target = Transducer((False, ()), _targeted, lambda s: tuple(x + "t" * s[0] for x in s[1]))
-    machine = Transducer(0, _reported).then(Transducer(0, _negated)).then(target)
+    machine = Transducer(0, _reported).then(Transducer(0, _negated)).then(Transducer(False, _targeted))
     return machine.then(Transducer(0, _insult)).then(Transducer(0, _threat)).compiled()
 
 
@@ -159,19 +155,23 @@ class Grammar:
         out[-1] = math.log1p(len(words))
         if not self.suspect(low):
             return out
-        step, end = self.machine.step, self.machine.end
+        step = self.machine.step
         for clause in CLAUSE.split(low):
             if not self.suspect(clause):
                 continue
             state = self.machine.start
-            found: list[str] = []
+            here = dict.fromkeys(PATTERNS, 0)
             for m in re.finditer(r"[\"“”«»]|[^\W\d_]+(?:['’][^\W\d_]+)*", clause):
                 w = m[0]
                 state, wrote = step(state, "Q" if w in "\"“”«»" else self.classify(w))
-                found += wrote
-            for p in (*found, *end(state)):
-                if p in PATTERNS:
-                    out[PATTERNS.index(p)] += 1
+                for p in wrote:
+                    if p != "B":
+                        here[p] += 1
+                        continue
+                    for kind in ("insult", "threat"):
+                        here[f"{kind}_target"] += here[kind]
+                        here[kind] = 0
+            out[:-1] += list(here.values())
         return out
 
 

@@ -106,6 +106,12 @@ def test_clauses_bound_the_patterns():
     assert counts["insult"] == 2 and counts["insult_target"] == 0 and counts["insult_negated"] == 0
 
 
+def test_a_clause_of_any_length_is_counted_whole():
+    text = '"' + "idiot " * 70 + '" kill ' + "x " * 9 + "not a moron, kill " + "trash " * 100 + "you scum"
+    counts = dict(zip(toxicity.PATTERNS, G.count(text), strict=False))
+    assert counts == dict.fromkeys(toxicity.PATTERNS, 0.0) | {"insult_reported": 70.0, "insult_negated": 1.0, "threat_negated": 1.0, "threat_target": 1.0, "insult_target": 101.0}
+
+
 def test_composition_feeds_one_machine_to_the_next():
     up = toxicity.Transducer(0, lambda s, x: (s, (x.upper(),)))
     twice = toxicity.Transducer(0, lambda s, x: (s + 1, (x, x)), lambda s: (str(s),))
