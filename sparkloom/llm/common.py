@@ -14,11 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in local tests."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only on a local master where none is set."""
     sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if given is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return given or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,12 +35,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
-def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Hold Arrow batches to ``rows`` rows, so that a batch of very long texts still fits a Python worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Add a row number to a checkpointed frame (its files fix the order, so a rerun repeats it)."""
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -55,10 +52,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled training rows (text, label, fold), never held-out ones.
+    """At most ``limit`` labelled training rows (text, label, fold) in one partition, never held-out ones.
 
-    The rows with the smallest hash of the id are taken, the same at every run.
+    The rows with the smallest hash of the id are taken, the same at every run;
+    of rows that repeat an id, the one with the smallest hash of the text.
     ``fold`` (0 to 9) also comes from the id. Null labels and ids don't count.
+    Documents are scanned in parallel; only the chosen rows travel.
     """
     lab = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
@@ -68,4 +67,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         .orderBy("_h", "_id").limit(limit)
     )
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(lab), "_id").select("_id", "text", "label", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(10)).cast("int").alias("fold"))
+    one = texts.join(F.broadcast(lab), "_id").groupBy("_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select("_id", "text", "label", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(10)).cast("int").alias("fold")).repartition(1)

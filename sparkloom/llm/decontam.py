@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: The same words on UTF-8 bytes: separators become spaces, A-Z lower case.
@@ -247,7 +245,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: i
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     empty = {"__n_words": F.lit(0), "__spans": F.array(), "__items": F.array()}
-    out = small_batches(docs).withColumns({k: c.cast(FOUND[k]) for k, c in empty.items()})
+    out = docs.withColumns({k: c.cast(FOUND[k]) for k, c in empty.items()})
     for k in range(blocks):  # each block is of bounded size: about block_chars of phrases
         one = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
         phrases = {p: sorted(s) for p, s in windows([(r["item"], r["text"]) for r in one.collect()], window).items()}

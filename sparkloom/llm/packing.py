@@ -3,14 +3,20 @@
 Documents are tokenised once, in parallel; from then on only piece lengths
 travel. Pieces are dealt evenly into cells; for each cell several islands evolve
 groupings (sets of bins), exchange their elites, and the best island's bins
-count. Bins that a cell could not fill well are opened again and their pieces
+count. Fewer bins win, then bins whose room is gathered in as few of them as
+can be. Bins that a cell could not fill well are opened again and their pieces
 meet those of other cells in the next level, so what is lost is not one bin a
 cell but one bin a cell of the last, far smaller level.
 """
 
 from __future__ import annotations
 
+import codecs
+import os
 import random
+import re
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -20,84 +26,95 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, small_batches
+from .common import cut, numbered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-EVOLVED = "cell long, island int, piece_key long, length long, bin long, bins long, fitness double"
+EVOLVED = "cell long, island int, piece_key long, length long, bin long, bins long, fitness double, births long, migrants long"
 #: Words of a generation whose ids a Python worker remembers, over its tasks. A full generation is kept until the
 #: next is full; words met meanwhile move on, so frequent ones stay.
 REMEMBERED = 300_000
-#: Signs that may end a word. A letter and a sign never share an id, so ids of both parts just follow each other.
+#: Signs that may end a word.
 SIGNS = ".,!%&$#*|?:;"
+#: What needs the library for its word: letters beyond Latin, a capital that becomes two, separators that only
+#: Python takes for white space, and what may be a special token.
+ODD = re.compile("[^\x00-\u024f]|[\u0130\x1c-\x1f]|<\\|")
 
 
-class WordIds:
-    """Ids of words as little-endian bytes, each word's looked up once."""
+def _signs(kind: str) -> str:
+    """The characters of a Unicode category among the plain ones, for a pattern's class."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The vocabulary's own units of a lower-cased plain word: endings, letters, single digits, other signs.
+UNITS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_signs('L')}]+|[{_signs('N')}]|[^\s{_signs('L')}{_signs('N')}]+")
+
+
+#: A stop or comma beside another sign, which may share an id with it.
+RUN = re.compile(rf"[.,](?:(?=[^\s{_signs('L')}{_signs('N')}])|(?<=[^\s{_signs('L')}{_signs('N')}][.,]))")
+
+
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
-    def __init__(self, path: str) -> None:
-        import os
 
+class WordIds(dict):
+    """Ids of lower-cased words as little-endian bytes; a word that is not held is looked up and held.
+
+    Signs after a word are looked up by themselves, so a word is held once
+    whatever follows it.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        ends = {i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")}
-        self.ends = np.zeros(max(ends) + 1, bool)
-        self.ends[list(ends)] = True
-        self.known: dict[str, bytes] = {"": b""}
+        super().__init__()
         self.older: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize  # one unit's tokens
+        as_signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        of_byte = {b: m for c in range(0x250) for b, m in zip(chr(c).encode(), as_signs.pre_tokenize_str(chr(c))[0][0], strict=True)}
+        self.alphabet = "".join(of_byte.get(b, "\ufffe") for b in range(256))
 
     def ids(self, text: str) -> bytes:
         """White space never reaches the vocabulary, so a text's ids are those of its words in turn."""
+        if (_latin(text) and "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")) or not ODD.search(text):
+            low = text.lower()
+            if not RUN.search(low):  # most signs are single stops and commas
+                low = low.replace(".", " . ").replace(",", " , ")
+            return b"".join(map(self.__getitem__, low.split()))
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > REMEMBERED:
-                self.older, self.known = self.known, {"": b""}
-            self._learn(self._unknown({w for w in words if w not in self.known}))
-            found = list(map(self.known.__getitem__, words))
-        return b"".join(found)
-
-    def _unknown(self, words: set[str]) -> list[str]:
-        """Those of ``words`` that neither generation knows; what the older one knows moves on."""
-        known, older = self.known, self.older
-        lost = []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-            elif w not in known:
-                lost.append(w)
-        return lost
-
-    def _learn(self, words: list[str]) -> None:
-        plain: list[tuple[str, str, str]] = []
-        other: set[str] = set()
-        for w in words:
-            core = w.rstrip(SIGNS)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250") and (low := core.lower()).isalpha():
-                plain.append((w, low, w[len(core) :]))
-                if w[len(core) :]:
-                    other.add(w[len(core) :])
+        return b"".join([self[w if ODD.search(w) else w.lower()] for w in words])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isascii() and word.isalpha():
+                ids = self._merged(word)
             else:
-                other.add(w)
-        one_by_one = sorted(self._unknown(other))
-        for i in range(0, len(one_by_one), 5000):
-            part = one_by_one[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        fresh = sorted(self._unknown({low for _, low, _ in plain if low not in self.known}))
-        for i in range(0, len(fresh), 5000):  # a word of letters only is one unit, whose last id ends a word
-            part = fresh[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cut_at = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
-            if len(cut_at) != len(part):
-                raise ValueError("the vocabulary does not end each word once")
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, cut_at.tolist(), strict=True):
-                self.known[w] = data[at:end]
-                at = end
-        for w, low, tail in plain:
-            self.known[w] = self.known[low] + self.known[tail]
+                core = word.rstrip(SIGNS)
+                if core.isalpha() and len(core) < len(word) and not ODD.search(core):
+                    return self[core] + self[word[len(core) :]]
+                ids = self._encoded(word)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _encoded(self, word: str) -> bytes:
+        if ODD.search(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if not word.isalpha() and (units := UNITS.findall(word)) != [word]:
+            return b"".join(map(self.__getitem__, units))
+        return self._merged(codecs.charmap_decode(word.encode(), "strict", self.alphabet)[0])
+
+    def _merged(self, unit: str) -> bytes:
+        found = [t.id for t in self.merge(unit)]
+        return struct.pack(f"<{len(found)}I", *found)
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -126,12 +143,13 @@ def _tokenise(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``capacity``.
 
-    A null text is empty (one id). Repeated rows give repeated pieces.
+    A null text is empty (one id); null ids stay. Repeated rows give repeated
+    pieces, an empty table none. Other columns of ``docs`` are not read.
     """
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInPandas(_tokenise(tokenizer, capacity, end_id), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInPandas(_tokenise(tokenizer, capacity, end_id), PIECES)
 
 
-# A grouping: list of bins, each a list of item numbers; `free` holds what is left in each.
+# A grouping is a list of bins, each a list of item numbers; `free` holds what is left in each.
 
 
 def _best_fit(items: list[int], size: list[int], bins: list[list[int]], free: list[int], capacity: int) -> None:
@@ -153,57 +171,68 @@ def _best_fit(items: list[int], size: list[int], bins: list[list[int]], free: li
 
 
 def _fitness(free: list[int], capacity: int) -> float:
-    """Falkenauer's measure: the mean squared fill."""
+    """Falkenauer's measure: the mean squared fill, highest where the room is in few bins."""
     return sum(((capacity - f) / capacity) ** 2 for f in free) / max(1, len(free))
 
 
-def _cross(mother: list[list[int]], father: list[list[int]], size: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Inject the father's well-filled bins, drop the mother's bins that hold their items, best-fit the displaced."""
-    fills = [(sum(size[i] for i in b), b) for b in father]
-    good = [b for f, b in fills if f >= 0.99 * capacity] or [max(fills)[1]]
-    given = rng.sample(good, max(1, len(good) // 2))
+class Grouping:
+    """Bins with what is free in each; ``rate`` is lower for fewer bins, then for a higher fitness."""
+
+    def __init__(self, bins: list[list[int]], free: list[int], capacity: int) -> None:
+        self.bins, self.free = bins, free
+        self.rate = (len(bins), -_fitness(free, capacity))
+
+    def perfect(self, least: int) -> bool:
+        """No grouping is better: as few bins as can be, and room in one of them at most."""
+        return len(self.bins) <= least and sum(f > 0 for f in self.free) <= 1
+
+
+def _filled(order: list[int], size: list[int], capacity: int) -> Grouping:
+    bins: list[list[int]] = []
+    free: list[int] = []
+    _best_fit(order, size, bins, free, capacity)
+    return Grouping(bins, free, capacity)
+
+
+def _cross(mother: Grouping, father: Grouping, size: list[int], capacity: int, rng: random.Random, most: int = 8) -> Grouping:
+    """Inject well-filled bins of the father, drop the mother's bins that hold their items, best-fit the displaced."""
+    good = [b for b, f in enumerate(father.free) if f <= 0.01 * capacity] or [min(range(len(father.free)), key=father.free.__getitem__)]
+    given = [father.bins[b] for b in rng.sample(good, rng.randint(1, min(most, len(good))))]
     taken = {i for b in given for i in b}
-    kept, displaced = [], []
-    for b in mother:
-        if taken.isdisjoint(b):
-            kept.append(b)
+    # Mutation: some of the bins with room are dissolved too, so that what is left in them can meet.
+    roomy = sorted((b for b, f in enumerate(mother.free) if f), key=lambda b: -mother.free[b])[: 2 * most]
+    dissolved = set(rng.sample(roomy, rng.randint(1, min(most, len(roomy))))) if roomy else set()
+    bins, free, displaced = [list(b) for b in given], [capacity - sum(size[i] for i in b) for b in given], []
+    for k, b in enumerate(mother.bins):
+        if k not in dissolved and taken.isdisjoint(b):
+            bins.append(list(b))
+            free.append(mother.free[k])
         else:
             displaced += [i for i in b if i not in taken]
-    # mutation: the emptiest kept bin is dissolved
-    if kept:
-        worst = min(range(len(kept)), key=lambda k: sum(size[i] for i in kept[k]))
-        displaced += kept.pop(worst)
-    bins = [list(b) for b in (*given, *kept)]
-    free = [capacity - sum(size[i] for i in b) for b in bins]
-    displaced.sort(key=lambda i: -size[i])
+    displaced.sort(key=lambda i: -size[i] * (1 + 0.05 * rng.random()))
     _best_fit(displaced, size, bins, free, capacity)
-    return bins
+    return Grouping(bins, free, capacity)
+
 
+def evolve(size: list[int], elites: list[list[list[int]]], capacity: int, seed: int, population: int, generations: int) -> tuple[Grouping, int]:
+    """The best grouping of one island and its number of crossovers; ``elites`` are groupings to start from.
 
-def evolve(size: list[int], elites: list[list[list[int]]], capacity: int, seed: int, population: int, generations: int) -> list[list[int]]:
-    """The best grouping of one island; ``elites`` are groupings to start from."""
+    An island ends early only with a grouping that none can beat.
+    """
     rng = random.Random(seed)
-    people = [[list(b) for b in e] for e in elites]
     least = -(-sum(size) // capacity)
-    while len(people) < population and not (people and min(map(len, people)) <= least):  # no grouping has fewer bins
+    people = [Grouping([list(b) for b in e], [capacity - sum(size[i] for i in b) for b in e], capacity) for e in elites]
+    while len(people) < population and not any(p.perfect(least) for p in people):
         noise = 0.0 if not people else 0.05 * len(people)
-        order = sorted(range(len(size)), key=lambda i: -size[i] * (1 + noise * rng.random()))
-        bins: list[list[int]] = []
-        _best_fit(order, size, bins, [], capacity)
-        people.append(bins)
-    rate = lambda g: (len(g), -_fitness([capacity - sum(size[i] for i in b) for b in g], capacity))
-    scored = sorted(((rate(g), k, g) for k, g in enumerate(people)), key=lambda x: x[:2])
-    births = len(scored)
-    for _ in range(generations):
-        if scored[0][0][0] <= least:
-            break
-        a, b = rng.sample(scored, 2) if len(scored) > 1 else (scored[0], scored[0])
-        mother, father = (a, b) if a[:2] < b[:2] else (b, a)
-        young = _cross(mother[2], father[2], size, capacity, rng)
-        scored.append((rate(young), births, young))
+        people.append(_filled(sorted(range(len(size)), key=lambda i: -size[i] * (1 + noise * rng.random())), size, capacity))
+    people.sort(key=lambda p: p.rate)
+    births = 0
+    while births < generations and not people[0].perfect(least):
+        a, b = sorted(rng.sample(range(len(people)), 2)) if len(people) > 1 else (0, 0)
+        people.append(_cross(people[a], people[b], size, capacity, rng))
+        people = sorted(people, key=lambda p: p.rate)[:population]
         births += 1
-        scored = sorted(scored, key=lambda x: x[:2])[:population]
-    return scored[0][2]
+    return people[0], births
 
 
 def _island(capacity: int, population: int, generations: int, epoch: int):
@@ -211,32 +240,39 @@ def _island(capacity: int, population: int, generations: int, epoch: int):
         cell, island = int(pdf["cell"].iloc[0]), int(pdf["island"].iloc[0])
         pdf = pdf.sort_values(["length", "piece_key"], ascending=[False, True])
         own = pdf.drop_duplicates("piece_key")
-        keys = own["piece_key"].tolist()
-        size = own["length"].tolist()
-        place = {k: i for i, k in enumerate(keys)}
-        elites = []
+        keys, size = own["piece_key"].tolist(), own["length"].tolist()
+        elites, before, migrants = [], 0, 0
         if epoch:
-            for _, one in pdf.groupby("origin", sort=True):
+            place = {k: i for i, k in enumerate(keys)}
+            for origin, one in pdf.groupby("origin", sort=True):
                 bins: dict[int, list[int]] = {}
                 for k, b in zip(one["piece_key"].tolist(), one["bin"].tolist(), strict=True):
                     bins.setdefault(b, []).append(place[k])
                 elites.append(list(bins.values()))
-        best = evolve(size, elites, capacity, cell * 1009 + island * 31 + epoch, population, generations)
-        fit = _fitness([capacity - sum(size[i] for i in b) for b in best], capacity)
-        rows = [(cell, island, keys[i], size[i], n, len(best), fit) for n, b in enumerate(best) for i in b]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in EVOLVED.split(", ")])
+                migrants += int(origin) != island
+                if int(origin) == island:
+                    before = int(one["births"].iloc[0])
+        best, births = evolve(size, elites, capacity, cell * 1009 + island * 31 + epoch, population, generations)
+        bin_of = [(i, n) for n, b in enumerate(best.bins) for i in b]
+        out = {"cell": cell, "island": island, "piece_key": [keys[i] for i, _ in bin_of], "length": [size[i] for i, _ in bin_of], "bin": [n for _, n in bin_of]}
+        return pd.DataFrame(out | {"bins": len(best.bins), "fitness": -best.rate[1], "births": before + births, "migrants": migrants})
 
     return run
 
 
-def _level(items: DataFrame, cells: int, capacity: int, islands: int, population: int, generations: int) -> DataFrame:
-    """Pack (piece_key, length) in ``cells`` cells: (cell, piece_key, length, bin)."""
+def islands_of(items: DataFrame, cells: int, capacity: int, islands: int, population: int, generations: int) -> DataFrame:
+    """Groupings of (piece_key, length) by all islands of all cells, after both epochs (columns of ``EVOLVED``)."""
     dealt = items.select(F.pmod(F.xxhash64("piece_key"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "piece_key", "length")
     first = cut(dealt.groupBy("cell", "island").applyInPandas(_island(capacity, population, generations, 0), EVOLVED))
     # Each island's elite stays and also migrates to the next island of the ring.
-    move = F.explode(F.array(F.col("island"), ((F.col("island") + 1) % islands).cast("int"))).alias("to")
-    guests = first.select("cell", move, F.col("island").alias("origin"), "piece_key", "length", "bin").withColumnRenamed("to", "island")
-    second = cut(guests.groupBy("cell", "island").applyInPandas(_island(capacity, population, generations, 1), EVOLVED))
+    move = F.explode(F.array_distinct(F.array(F.col("island"), ((F.col("island") + 1) % islands).cast("int")))).alias("to")
+    guests = first.select("cell", move, F.col("island").alias("origin"), "piece_key", "length", "bin", "births").withColumnRenamed("to", "island")
+    return cut(guests.groupBy("cell", "island").applyInPandas(_island(capacity, population, generations, 1), EVOLVED))
+
+
+def _level(items: DataFrame, cells: int, capacity: int, islands: int, population: int, generations: int) -> DataFrame:
+    """The best island's bins of each cell: (cell, piece_key, length, bin)."""
+    second = islands_of(items, cells, capacity, islands, population, generations)
     best = second.groupBy("cell").agg(F.min(F.struct("bins", -F.col("fitness"), "island"))["island"].alias("island"))
     return second.join(best, ["cell", "island"]).select("cell", "piece_key", "length", "bin")
 
@@ -244,10 +280,11 @@ def _level(items: DataFrame, cells: int, capacity: int, islands: int, population
 def pack(parts: DataFrame, capacity: int = 4096, cell_size: int = 2048, levels: int = 3, islands: int = 2, population: int = 4, generations: int = 12, open_below: float = 0.995) -> DataFrame:
     """Give each row of ``parts`` (with a ``length`` from 1 to ``capacity``) a sequence_id and an offset.
 
-    Every row is placed once; offsets of a sequence run from 0 without gaps. An
-    empty input gives an empty result. All other columns stay.
+    Every row is placed once, repeated rows each by themselves; offsets of a
+    sequence run from 0 without gaps. An empty input gives an empty result. All
+    other columns stay; columns named sequence_id or offset are replaced.
     """
-    base = numbered(cut(parts), "piece_key")
+    base = numbered(cut(parts.drop("sequence_id", "offset").select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"))), "piece_key")
     whole = base.filter(F.col("length") >= capacity).select("piece_key", F.col("piece_key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = base.filter(F.col("length") < capacity).select("piece_key", "length")
     placed = whole
@@ -268,4 +305,4 @@ def pack(parts: DataFrame, capacity: int = 4096, cell_size: int = 2048, levels:
         if last:
             break
         rest = cut(done.join(closed, ["cell", "bin"], "left_anti").select("piece_key", "length"))
-    return base.join(placed, "piece_key").drop("piece_key")
+    return base.join(placed, "piece_key").select("row.*", "sequence_id", "offset")

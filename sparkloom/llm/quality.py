@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, small_batches
+from .common import held_out, labelled_sample
 
 DIM = 48
 CACHE = 300_000
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> bytes:
         pdf = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"_id": [], "text": [], "label": [], "fold": []})
         yield pd.DataFrame({"model": [fit_model(pdf)]})
 
-    rows = small_batches(labelled_sample(docs, labels, "quality", sample)).coalesce(1).mapInPandas(run, "model binary").collect()
+    rows = labelled_sample(docs, labels, "quality", sample).mapInPandas(run, "model binary").collect()
     return bytes(rows[0]["model"]) if rows else fit_model(pd.DataFrame({"_id": [], "text": [], "label": [], "fold": []}))
 
 
@@ -230,5 +230,5 @@ def score(docs: DataFrame, model: bytes, least: float = 0.7) -> DataFrame:
             x = np.stack([vectors.pool(t) for t in b["text"].tolist()]) if len(b) else np.zeros((0, DIM + 3), np.float32)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": net.score(x)})
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))

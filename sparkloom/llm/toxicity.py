@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, small_batches
+from .common import held_out, labelled_sample
 
 #: Fixed word lists that seed the lexicon.
 INSULTS = "idiot idiots moron morons scum trash loser losers clown clowns stupid worthless pathetic disgusting imbecile dumb scumbag bastard idiota imbécil basura idiote ordure crétin abschaum dummkopf widerlich".split()
@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> dict:
         pickle.dump(fit_model(pdf["text"].tolist(), pdf["label"].to_numpy(float)), out)
         yield pd.DataFrame({"model": [out.getvalue()]})
 
-    rows = small_batches(labelled_sample(docs, labels, "toxic", sample)).coalesce(1).mapInPandas(run, "model binary").collect()
+    rows = labelled_sample(docs, labels, "toxic", sample).mapInPandas(run, "model binary").collect()
     return pickle.loads(bytes(rows[0]["model"])) if rows else fit_model([], np.zeros(0))
 
 
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": of(b["text"].tolist())})
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
@@ -295,4 +295,4 @@ def keep_clean(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
         for t in texts:
             yield pd.Series(of([x or "" for x in t.tolist()]))
 
-    return small_batches(docs).filter(toxic("text") < least)
+    return docs.filter(toxic("text") < least)

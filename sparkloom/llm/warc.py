@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut
 
 #: Fixed values of the formats: the skippable frame that may hold a dictionary, a frame's and a dictionary's magic.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -101,7 +101,7 @@ def _write(archive_bytes: int, dictionary_bytes: int, samples: int, level: int):
 
 def write(planned: DataFrame, archive_bytes: int = 16 << 20, dictionary_bytes: int = 32 << 10, samples: int = 200, level: int = 3) -> DataFrame:
     """Archives (path, length, content) of about ``archive_bytes`` of records each."""
-    return small_batches(planned, 128).mapInPandas(_write(archive_bytes, dictionary_bytes, samples, level), ARCHIVES)
+    return planned.mapInPandas(_write(archive_bytes, dictionary_bytes, samples, level), ARCHIVES)
 
 
 class BadArchive(ValueError):
@@ -215,7 +215,7 @@ def read(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
 
     A revisit's payload is null: it is that of the record it refers to.
     """
-    return small_batches(archives, 128).select("path", "length", "content").mapInPandas(_read(keep_payload), RECORDS)
+    return archives.select("path", "length", "content").mapInPandas(_read(keep_payload), RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:

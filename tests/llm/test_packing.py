@@ -58,6 +58,8 @@ def test_empty_table(spark):
 
 def test_word_memory_agrees_with_whole_texts():
     ids = packing.WordIds(PATH)
+    for s in ("One, two. Three", "a.b,c 1.5,2 x.. y., z,' .'s It's, ¿qué?. d'été, fin.", "...", ", .", "'s 't x's. 're", "漢 a, b. c"):
+        assert np.frombuffer(ids.ids(s), "<u4").tolist() == exact(s)[:-1], s
     r = random.Random(3)
     signs = "aAbZéÉß ïÎİΣσ'st'll re.,!?%&$#*|;:12٣\n\t\r\x0b\x1c\x85\xa0ñ́ﬁǅ漢字😀"
     for k in range(1500):
@@ -76,21 +78,67 @@ def test_memory_may_run_full(monkeypatch):
 def test_evolution_keeps_items_and_beats_or_equals_best_fit(seed):
     r = random.Random(seed)
     size = [r.randint(20, 60) for _ in range(120)]
-    best = packing.evolve(size, [], 100, seed, 4, 40)
-    assert sorted(i for b in best for i in b) == list(range(120))
-    assert all(sum(size[i] for i in b) <= 100 for b in best)
-    plain: list = []
-    packing._best_fit(sorted(range(120), key=lambda i: -size[i]), size, plain, [], 100)
-    assert len(best) <= len(plain)
+    best, births = packing.evolve(size, [], 100, seed, 4, 40)
+    assert sorted(i for b in best.bins for i in b) == list(range(120)) and births == 40
+    assert [100 - sum(size[i] for i in b) for b in best.bins] == best.free and min(best.free) >= 0
+    plain = packing._filled(sorted(range(120), key=lambda i: -size[i]), size, 100)
+    assert best.rate <= plain.rate  # fewer bins, or the same with less scattered room
+
+
+def test_evolution_gathers_room_that_best_fit_leaves_scattered():
+    better = 0
+    for seed in range(6):
+        r = random.Random(seed)
+        size = [r.randint(20, 60) for _ in range(120)]
+        plain = packing._filled(sorted(range(120), key=lambda i: -size[i]), size, 100)
+        better += packing.evolve(size, [], 100, seed, 4, 60)[0].rate < plain.rate
+    assert better >= 2
+
+
+def fewest(size, capacity):
+    """Brute force: the fewest bins of any grouping."""
+    best = len(size)
+
+    def place(i, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(size):
+            best = len(free)
+            return
+        for f in {f for f in free if f >= size[i]}:
+            k = free.index(f)
+            place(i + 1, [*free[:k], f - size[i], *free[k + 1 :]])
+        place(i + 1, [*free, capacity - size[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_small_inputs_reach_the_optimum(seed):
+    r = random.Random(seed)
+    size = sorted((r.choice([r.randint(1, 100), r.randint(20, 50), 34, 26]) for _ in range(r.randint(1, 10))), reverse=True)
+    best, _ = packing.evolve(size, [], 100, seed, 4, 60)
+    assert len(best.bins) == fewest(size, 100)
 
 
 def test_crossover_injects_bins_without_duplicates():
     r = random.Random(1)
     size = [r.randint(10, 50) for _ in range(60)]
-    a, b = (packing.evolve(size, [], 100, s, 1, 0) for s in (1, 2))
+    a, b = (packing.evolve(size, [], 100, s, 1, 0)[0] for s in (1, 2))
     young = packing._cross(a, b, size, 100, r)
-    assert sorted(i for x in young for i in x) == list(range(60))
-    assert any(sorted(x) in [sorted(y) for y in b] for x in young)
+    assert sorted(i for x in young.bins for i in x) == list(range(60))
+    assert any(sorted(x) in [sorted(y) for y in b.bins] for x in young.bins)
+
+
+def test_crossovers_and_migrations_happen_on_the_test_tables(spark):
+    parts = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), PATH).filter("length < 4096")
+    items = parts.select("length").toPandas().reset_index(names="piece_key")
+    got = packing.islands_of(spark.createDataFrame(items), 2, 4096, 2, 4, 12).toPandas()
+    ran = got.groupby(["cell", "island"]).agg(births=("births", "first"), migrants=("migrants", "first"), items=("piece_key", "nunique"), bins=("bins", "first"), total=("length", "sum"))
+    assert len(ran) == 4 and (ran.births == 24).all() and (ran.migrants == 1).all()
+    assert (ran.bins == -(-ran.total // 4096)).all() and ran["items"].sum() == 2 * len(items)
 
 
 def test_levels_lose_at_most_a_few_sequences(spark):
@@ -100,4 +148,6 @@ def test_levels_lose_at_most_a_few_sequences(spark):
     out = packing.pack(df, cell_size=300).collect()
     assert len(out) == 3000
     n = check_sequences(out)
-    assert n <= 1.06 * -(-sum(x for _, x in lengths) // 4096)
+    # Cells of 300 lose less than a hundredth to one best-fit over all of them.
+    whole = packing._filled(sorted(range(3000), key=lambda i: -lengths[i][1]), [x for _, x in lengths], 4096)
+    assert n <= 1.01 * len(whole.bins)
