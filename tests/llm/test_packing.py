@@ -148,6 +148,6 @@ def test_levels_lose_at_most_a_few_sequences(spark):
     out = packing.pack(df, cell_size=300).collect()
     assert len(out) == 3000
     n = check_sequences(out)
-    # Cells of 300 lose less than a hundredth to one best-fit over all of them.
+    # Cells of 300 lose less than a fiftieth to one best-fit over all pieces.
     whole = packing._filled(sorted(range(3000), key=lambda i: -lengths[i][1]), [x for _, x in lengths], 4096)
-    assert n <= 1.01 * len(whole.bins)
+    assert n <= 1.02 * len(whole.bins)
