@@ -52,7 +52,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled training rows (text, label, fold) in one partition, never held-out ones.
+    """At most ``limit`` labelled training rows (text, label, fold), never held-out ones.
 
     The rows with the smallest hash of the id are taken, the same at every run;
     of rows that repeat an id, the one with the smallest hash of the text.
@@ -68,4 +68,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     )
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     one = texts.join(F.broadcast(lab), "_id").groupBy("_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    return one.select("_id", "text", "label", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(10)).cast("int").alias("fold")).repartition(1)
+    return one.select("_id", "text", "label", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(10)).cast("int").alias("fold"))

@@ -1,12 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Each unit (a frequent word, or else the word's shape) has a sparse random index
-vector. A word's vector is the sum of the index vectors of the units met around
-it, weighted down for frequent ones, plus its own. A document is the mean of its
-words' vectors, with its length, word length and share of different words. A numpy network
-with one hidden layer scores it; a temperature found on a fold that the network
-did not see calibrates the probabilities. The model is fitted in one task on a
-bounded sample; scoring runs where the texts are.
+Every word has two units, one for itself and one for its shape (runs of upper,
+lower, digits; other signs as they are), each hashed into a fixed number of
+places, so that the vocabulary never outgrows its bound. A place has a sparse
+random index vector. Its context vector is the sum of the index vectors met
+around it anywhere in the corpus: tasks add them up where the texts are, and only
+sums travel. A document is the mean of its words' vectors, with its length, word
+length and share of different words. A numpy network with one hidden layer
+scores it; a temperature found on a fold that the network did not see calibrates
+the probabilities. Only network and temperature come from a bounded sample.
 """
 
 from __future__ import annotations
@@ -14,9 +16,7 @@ from __future__ import annotations
 import io
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,9 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample
 
-DIM = 48
+#: Places of words and of shapes, and the length of a vector: these bound the model whatever the corpus.
+WORDS, SHAPES, DIM = 8192, 2048, 32
+FEATURES = 2 * DIM + 3
+#: Words on each side that are context.
+WINDOW = 2
+#: Words whose units a Python worker remembers.
 CACHE = 300_000
-_RUNS = re.compile(r"(.)\1+")
+#: Words whose vectors a task holds at once.
+CHUNK = 100_000
+_RUNS = re.compile(r"(.)\1+", re.DOTALL)
 
 
 class _Classes(dict):
@@ -43,105 +50,143 @@ _CLASSES = _Classes()
 
 
 def shape(word: str) -> str:
-    """A word's shape: runs of upper, lower, digits; other signs kept."""
-    return "\0" + _RUNS.sub(r"\1", word[:64].translate(_CLASSES))[:8]
-
-
-def index_vector(unit: str) -> np.ndarray:
-    """The sparse ternary vector of a unit: the same on every machine."""
-    rng = np.random.default_rng(zlib.crc32(unit.encode("utf-8", "replace")))
-    v = np.zeros(DIM, np.float32)
-    v[rng.choice(DIM, 6, replace=False)] = rng.choice([-1.0, 1.0], 6)
-    return v
-
-
-#: Shapes that the sample does not have share this many vectors.
-SPARE = 4096
-
-
-class Vectors:
-    """Word vectors of a fitted vocabulary; other words have the vector of their shape."""
-
-    def __init__(self, units: list[str], table: np.ndarray) -> None:
-        self.known = {u: i for i, u in enumerate(units)}
-        self.units = len(table)
-        self.table = np.r_[table, np.stack([index_vector(f"\0{i}") for i in range(SPARE)])].astype(np.float32)
-        self.cache: dict[str, int] = {}
-
-    def _row(self, word: str) -> int:
-        row = self.known.get(word)
-        if row is None:
-            s = shape(word)
-            row = self.known.get(s)
-            if row is None:
-                row = self.units + zlib.crc32(s.encode("utf-8", "replace")) % SPARE
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[word] = row
-        return row
-
-    def pool(self, text: str) -> np.ndarray:
-        """The features of a text; a text without words has zeros."""
-        words = text.split()
-        out = np.zeros(DIM + 3, np.float32)
-        if not words:
-            return out
-        count = Counter(words)
-        rows = list(map(self.cache.get, count, repeat(-1)))
-        if -1 in rows:
-            rows = [r if r >= 0 else self._row(w) for r, w in zip(rows, count, strict=True)]
-        n = np.fromiter(count.values(), np.float32, len(count))
-        out[:DIM] = n @ self.table[rows] / len(words)
-        out[DIM:] = np.log1p(len(words)), len(count) / len(words), np.log1p(len(text) / len(words))
-        return out
-
-
-def fit_vectors(texts: list[str], least: int = 5, window: int = 2, most: int = 20_000) -> Vectors:
-    """Random indexing over texts: context sums of the units with ``least`` occurrences (``most`` at most)."""
-    count: Counter[str] = Counter()
-    for t in texts:
-        count.update(t.split())
-    frequent = {w for w, c in count.most_common(most) if c >= least}
-    del count
-    names: dict[str, int] = {}
-    total = Counter()
-    seen: dict[str, int] = {}
-    index: list[np.ndarray] = []
-    context: list[np.ndarray] = []
+    """The whole word's shape: runs of upper, lower, digits and of any other sign, each as one."""
+    return _RUNS.sub(r"\1", word.translate(_CLASSES))
+
+
+class _Units(dict):
+    """Word to both of its places, as one number."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        form = _PLAIN if word.islower() and word.isalpha() else zlib.crc32(shape(word).encode("utf-8", "replace")) % SHAPES
+        code = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % WORDS * SHAPES + form
+        return code
+
+
+_PLAIN = zlib.crc32(b"a") % SHAPES
+
+
+def index_vectors() -> np.ndarray:
+    """A sparse ternary vector for each place: the same on every machine."""
+    rng = np.random.default_rng(11)
+    at = rng.random((WORDS + SHAPES, DIM)).argsort(axis=1)
+    return np.where(at < 2, 1, np.where(at < 4, -1, 0)).astype(np.int16)
+
+
+Piece = tuple[np.ndarray, int, int]  # units, and which of them count; the others are context only
+
+
+def context_sums(pieces: list[Piece], index: np.ndarray, sums: np.ndarray) -> None:
+    """Add the index vectors around each place of ``pieces`` to ``sums``; the last column counts."""
+    gap = np.full(WINDOW, -1)
+    code = np.concatenate([x for units, _, _ in pieces for x in (units, gap)])
+    counted = np.zeros(len(code), bool)
+    at = 0
+    for units, a, z in pieces:
+        counted[at + a : at + z] = True
+        at += len(units) + WINDOW
+    if not counted.any():
+        return
+    v = index[code // SHAPES] + index[WORDS + code % SHAPES]
+    v[code < 0] = 0
+    around = np.zeros_like(v)
+    for k in range(1, WINDOW + 1):
+        around[k:] += v[:-k]
+        around[:-k] += v[k:]
+    real = np.flatnonzero(counted)
+    for place in (code[real] // SHAPES, WORDS + code[real] % SHAPES):
+        order = np.argsort(place, kind="stable")
+        found, start, count = np.unique(place[order], return_index=True, return_counts=True)
+        sums[found, :DIM] += np.add.reduceat(around[real[order]], start, axis=0, dtype=np.int32)
+        sums[found, DIM] += count
+
+
+def _pieces(texts: list[str], units: _Units) -> Iterator[list[Piece]]:
+    """The texts as units, about ``CHUNK`` at once; a longer text comes in pieces that see their neighbours' ends."""
+    held: list[Piece] = []
+    n = 0
     for t in texts:
-        rows = []
-        for w in t.split():
-            r = seen.get(w)
-            if r is None:
-                u = w if w in frequent else shape(w)
-                r = names.get(u)
-                if r is None:
-                    r = names[u] = len(names)
-                    # A frequent word's index vector also holds its shape's.
-                    index.append(index_vector(u) if u[0] == "\0" else 0.5 * index_vector(u) + index_vector(shape(w)))
-                    context.append(np.zeros(DIM, np.float32))
-                if len(seen) < 10 * CACHE:
-                    seen[w] = r
-            rows.append(r)
-        total.update(rows)
-        if len(rows) < 2:
+        words = t.split()
+        for at in range(0, len(words), CHUNK):
+            before = max(0, at - WINDOW)
+            part = np.fromiter(map(units.__getitem__, words[before : at + CHUNK + WINDOW]), np.int64)
+            held.append((part, at - before, min(at + CHUNK, len(words)) - before))
+            n += len(part)
+            if n >= CHUNK:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+BLOCK = 512  # places a row of partial sums
+
+
+def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    index, units = index_vectors(), _Units()
+    sums = np.zeros((WORDS + SHAPES, DIM + 1), np.int64)
+    for b in batches:
+        for pieces in _pieces(b["text"].tolist(), units):
+            context_sums(pieces, index, sums)
+    if sums[:, DIM].any():
+        parts = [zlib.compress(sums[i : i + BLOCK].astype("<i8").tobytes(), 1) for i in range(0, len(sums), BLOCK)]
+        yield pd.DataFrame({"block": range(len(parts)), "sums": parts})
+
+
+def _whole_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, data in zip(b["block"].tolist(), b["sums"], strict=True):
+            one = np.frombuffer(zlib.decompress(data), "<i8")
+            total[block] = total[block] + one if block in total else one
+    yield pd.DataFrame({"block": list(total), "sums": [a.tobytes() for a in total.values()]})
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The vectors of all places, from every text of ``docs``.
+
+    A task sends one row of sums per block of places; blocks add up in parallel,
+    and what reaches the driver has the fixed size of the table.
+    """
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    partial = texts.mapInPandas(_partial_sums, "block int, sums binary")
+    sums = np.zeros((WORDS + SHAPES, DIM + 1), np.int64)
+    for r in partial.repartition("block").mapInPandas(_whole_sums, "block int, sums binary").collect():
+        sums[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["sums"], "<i8").reshape(-1, DIM + 1)
+    return vectors_of(sums)
+
+
+def vectors_of(sums: np.ndarray) -> np.ndarray:
+    """Index vector plus unit context vector; what all contexts share, that of the frequent words, is taken off."""
+    count = sums[:, DIM:].astype(float)
+    mean = sums[:, :DIM] / np.maximum(count, 1)
+    for part in (slice(0, WORDS), slice(WORDS, None)):
+        mean[part] -= sums[part, :DIM].sum(axis=0) / max(1.0, count[part].sum())
+    norm = np.linalg.norm(mean, axis=1, keepdims=True)
+    context = np.where(count > 0, mean / np.maximum(norm, 1e-9), 0)
+    return (index_vectors() + context).astype(np.float32)
+
+
+def pooled(texts: list[str], table: np.ndarray, units: _Units) -> np.ndarray:
+    """The features of each text; a text without words has zeros."""
+    out = np.zeros((len(texts), FEATURES), np.float32)
+    of = units.__getitem__
+    for i, t in enumerate(texts):
+        words = t.split()
+        if not words:
             continue
-        r = np.array(rows)
-        u, at = np.unique(r, return_inverse=True)
-        vec = np.stack([index[i] for i in u])[at]
-        around = np.zeros_like(vec)
-        for k in range(1, window + 1):
-            around[k:] += vec[:-k]
-            around[:-k] += vec[k:]
-        sums = np.zeros((len(u), DIM), np.float32)
-        np.add.at(sums, at, around)
-        for i, s in zip(u.tolist(), sums, strict=True):
-            context[i] += s
-    table = np.zeros((max(1, len(names)), DIM), np.float32)
-    for i in range(len(names)):
-        c = context[i] / max(1, total[i])
-        table[i] = index[i] + c / max(1.0, float(np.linalg.norm(c)))
-    return Vectors(list(names), table)
+        total = np.zeros(2 * DIM)
+        for at in range(0, len(words), CHUNK):
+            code = np.fromiter(map(of, words[at : at + CHUNK]), np.int64)
+            one, count = np.unique(code, return_counts=True)
+            n = count.astype(np.float32)
+            total[:DIM] += n @ table[one // SHAPES]
+            total[DIM:] += n @ table[WORDS + one % SHAPES]
+        out[i, : 2 * DIM] = total / len(words)
+        out[i, 2 * DIM :] = np.log1p(len(words)), len(set(words)) / len(words), np.log1p(len(t) / len(words))
+    return out
 
 
 class Network:
@@ -187,48 +232,49 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature[0], -40, 40)))
 
 
-def fit_model(pdf: pd.DataFrame) -> bytes:
-    """Vectors and network of labelled texts (text, label, fold), packed."""
-    pdf = pdf.sort_values("_id", ignore_index=True)
-    texts = pdf["text"].tolist()
-    vectors = fit_vectors(texts)
-    x = np.stack([vectors.pool(t) for t in texts]) if texts else np.zeros((1, DIM + 3), np.float32)
-    y = pdf["label"].to_numpy() if texts else np.array([1])
-    fold = pdf["fold"].to_numpy() if texts else np.array([0])
-    net = Network.fit(x, y, fold)
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frames = [b for b in batches if len(b)]
+    if frames:
+        pdf = pd.concat(frames, ignore_index=True).sort_values("_id", ignore_index=True)
+        net = Network.fit(np.stack(pdf["x"].to_list()).astype(float), pdf["label"].to_numpy(), pdf["fold"].to_numpy())
+    else:
+        net = Network.fit(np.zeros((1, FEATURES)), np.array([1]), np.array([0]))
     out = io.BytesIO()
-    np.savez_compressed(out, units=np.frombuffer("\n".join(vectors.known).encode(), np.uint8), table=vectors.table[: vectors.units].astype(np.float16), **{k: v for k, v in net.__dict__.items()})
-    return out.getvalue()
+    np.savez_compressed(out, **net.__dict__)
+    yield pd.DataFrame({"model": [out.getvalue()]})
 
 
-def load_model(data: bytes) -> tuple[Vectors, Network]:
-    with np.load(io.BytesIO(data)) as f:
-        a = dict(f)
-    units, table = bytes(a.pop("units")).decode(), a.pop("table").astype(np.float32)
-    return Vectors(units.split("\n") if units else [], table), Network(a)
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> tuple[np.ndarray, Network]:
+    """Word vectors of all of ``docs``, and a network from at most ``sample`` labelled rows outside the held-out quarter.
 
+    Without labels the network scores all alike. The sample's texts are pooled
+    in parallel; one task gets their features.
+    """
+    table = word_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> bytes:
-    """A model from at most ``sample`` labelled rows outside the held-out quarter; without any, it scores all alike."""
+    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units = _Units()
+        for b in batches:
+            yield b[["_id", "label", "fold"]].assign(x=list(pooled(b["text"].tolist(), shared.value, units)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        pdf = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"_id": [], "text": [], "label": [], "fold": []})
-        yield pd.DataFrame({"model": [fit_model(pdf)]})
+    rows = labelled_sample(docs, labels, "quality", sample).mapInPandas(pool, "_id long, label int, fold int, x array<float>")
+    with np.load(io.BytesIO(bytes(rows.repartition(1).mapInPandas(_fit, "model binary").first()["model"]))) as f:
+        return table, Network(dict(f))
 
-    rows = labelled_sample(docs, labels, "quality", sample).mapInPandas(run, "model binary").collect()
-    return bytes(rows[0]["model"]) if rows else fit_model(pd.DataFrame({"_id": [], "text": [], "label": [], "fold": []}))
 
+def score(docs: DataFrame, model: tuple[np.ndarray, Network], least: float = 0.7) -> DataFrame:
+    """One row per document: doc_id, held_out, score and predicted.
 
-def score(docs: DataFrame, model: bytes, least: float = 0.7) -> DataFrame:
-    """One row per document: doc_id, held_out, score and predicted. A null text is empty; it gets a score too."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    A null text is empty; it gets a score too. Null ids and repeated rows stay,
+    equal texts score alike, an empty table gives no rows; other columns are not read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].__dict__))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, net = load_model(shared.value)
+        table, net, units = shared.value[0], Network(shared.value[1]), _Units()
         for b in batches:
-            x = np.stack([vectors.pool(t) for t in b["text"].tolist()]) if len(b) else np.zeros((0, DIM + 3), np.float32)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": net.score(x)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": net.score(pooled(b["text"].tolist(), table, units))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
