@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon turns a clause's words into classes. Five transducers, composed into
-one deterministic machine, read the classes in turn: reported speech, negation,
-target, insult and threat. Each rewrites what it hears for the next, and the
-last emits the matched patterns of the clause. A document is scored by its
-matched clauses: pattern counts under weights learned from labelled rows.
+one deterministic machine of a few hundred states, read the classes in turn:
+reported speech, negation, target, insult and threat. Each rewrites what it hears
+for the next and adds the weight of the transition it takes; the last two emit
+the matched patterns. A clause's score is the weight of its path through the
+composed machine. A document is scored by its matched clauses alone.
 """
 
 from __future__ import annotations
@@ -31,13 +32,25 @@ NEGATIONS = "not no never isn't aren't wasn't don't doesn't didn't without hardl
 REPORTS = "said says say saying called calls wrote writes claimed claims quoted quote asked reported dijo dit sagte".split()
 FIRST = "i i'll we we'll gonna will".split()
 
-CLAUSE = re.compile(r"[.!?;\n]+")
+CLAUSE = re.compile(r"[.!?;]+")
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+QUOTES = "\"“”«»"
+READ = re.compile(rf"[{QUOTES}]|{TOKEN.pattern}")
 PATTERNS = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "threat_negated", "threat_reported")
+#: Transitions that have a weight: log odds before any label; learned weights are pulled towards these.
+WEIGHTS = {
+    "insult": 2.0, "insult_target": 1.0, "insult_negated": -1.7, "insult_reported": -1.4,
+    "threat": 0.8, "threat_target": 2.2, "threat_negated": -0.8, "threat_reported": -0.5, "threat_first": 0.5,
+}
+KIND = {"I": "insult", "H": "threat"}
 
 
 class Transducer:
-    """A deterministic transducer: (state, symbol) to (state, symbols out)."""
+    """A deterministic transducer: (state, symbol) to (state, symbols out).
+
+    A symbol that begins with ``+`` names a weighted transition that was taken.
+    It passes through all later transducers, so that a path's weights add up.
+    """
 
     def __init__(self, start, step, end=lambda state: ()) -> None:
         self.start, self.step, self.end = start, step, end
@@ -48,8 +61,11 @@ class Transducer:
         def feed(state, symbols):
             out = []
             for s in symbols:
-                state, wrote = other.step(state, s)
-                out += wrote
+                if s[0] == "+":
+                    out.append(s)
+                else:
+                    state, wrote = other.step(state, s)
+                    out += wrote
             return state, tuple(out)
 
         def step(state, symbol):
@@ -74,62 +90,80 @@ class Transducer:
                 known[key] = step(state, symbol)
             return known[key]
 
-        return Transducer(self.start, remembered, self.end)
+        found = Transducer(self.start, remembered, self.end)
+        found.known = known
+        return found
+
+
+# Symbols: C begins a clause (Ct one with a target), W a word, F first person, T target, N negation, R reporting verb,
+# Q a quotation mark, I insult, H threat; the latter two gather the marks r, n and t.
 
 
 def _reported(state, symbol):
-    """After a reporting verb or inside quotes, insults and threats are marked r."""
+    """After a reporting verb of the clause (1), or inside quotes (2) that may hold many clauses, I and H are marked r."""
     if symbol == "Q":
         return state ^ 2, ()
+    if symbol[0] == "C":
+        return state & 2, (symbol,)
     if symbol == "R":
         return state | 1, ("R",)
-    return state, (symbol + "r",) if state and symbol in "IH" else (symbol,)
+    return state, (f"{symbol}r", f"+{KIND[symbol]}_reported") if state and symbol in KIND else (symbol,)
 
 
 def _negated(state, symbol):
-    """Within three words after a negation, insults and threats are marked n."""
+    """Within three words after a negation, I and H are marked n."""
     if symbol == "N":
         return 3, ("N",)
-    left = max(0, state - 1)
-    return left, (symbol + "n",) if state and symbol[0] in "IH" else (symbol,)
+    if symbol[0] == "C":
+        return 0, (symbol,)
+    return max(0, state - 1), (f"{symbol}n", f"+{KIND[symbol[0]]}_negated") if state and symbol[0] in KIND else (symbol,)
 
 
-def _targeted(seen, symbol):
-    """Marks insults and threats t after a target; a clause's first target writes B, which marks those before it."""
-    if symbol == "T":
-        return True, ("T",) if seen else ("T", "B")
-    return seen, (symbol + "t",) if seen and symbol[0] in "IH" else (symbol,)
+def _targeted(state, symbol):
+    """In a clause with a target, I and H are marked t."""
+    if symbol[0] == "C":
+        return symbol == "Ct", ("C",)
+    return state, (f"{symbol}t", f"+{KIND[symbol[0]]}_target") if state and symbol[0] in KIND else (symbol,)
 
 
 def _insult(state, symbol):
-    if symbol[0] != "I":
-        return state, (symbol,)
-    return state, ("insult" + _manner(symbol),)
+    return state, ("insult" + _manner(symbol), "+insult") if symbol[0] == "I" else (symbol,)
 
 
 def _threat(state, symbol):
+    """A threat at a target within six words after the first person weighs more."""
+    if symbol == "F":
+        return 6, ()
+    left = 0 if symbol[0] == "C" else max(0, state - 1)
     if symbol[0] != "H":
-        return state, (symbol,) if symbol in PATTERNS or symbol == "B" else ()
-    return state, ("threat" + _manner(symbol),)
+        return left, (symbol,) if symbol in PATTERNS else ()
+    return left, ("threat" + _manner(symbol), "+threat", *(("+threat_first",) if state and "t" in symbol else ()))
 
 
 def _manner(symbol: str) -> str:
     return "_reported" if "r" in symbol else "_negated" if "n" in symbol else "_target" if "t" in symbol else ""
 
 
+def parts() -> list[Transducer]:
+    return [Transducer(0, f) for f in (_reported, _negated, _targeted, _insult, _threat)]
+
+
 def grammar() -> Transducer:
-    machine = Transducer(0, _reported).then(Transducer(0, _negated)).then(Transducer(False, _targeted))
-    return machine.then(Transducer(0, _insult)).then(Transducer(0, _threat)).compiled()
+    machine, *others = parts()
+    for other in others:
+        machine = machine.then(other)
+    return machine.compiled()
 
 
 class Grammar:
-    """The machine under a lexicon: exact words, and stems that begin words."""
+    """The machine under a lexicon: exact words, and stems that begin words; ``weights`` are those of transitions."""
 
-    def __init__(self, words: dict[str, str], stems: dict[str, str]) -> None:
+    def __init__(self, words: dict[str, str], stems: dict[str, str], weights: dict[str, float] | None = None) -> None:
         self.words, self.stems = words, stems
+        self.weights = WEIGHTS if weights is None else weights
         self.sizes = sorted({len(s) for s in stems})
         self.machine = grammar()
-        self.core = frozenset(w for w, c in words.items() if c in "IH")
+        self.core = frozenset(w for w, c in words.items() if c in KIND)
         self.marks = ahocorasick.Automaton()
         for w in {*self.core, *stems} or {"\0"}:
             self.marks.add_word(w, True)
@@ -147,33 +181,61 @@ class Grammar:
                 return self.stems[word[:n]]
         return "W"
 
-    def count(self, text: str) -> np.ndarray:
-        """How often each pattern matches: over the clauses that hold an insult or a threat."""
-        out = np.zeros(len(PATTERNS) + 1)
+    def clauses(self, text: str) -> Iterator[list[str]]:
+        """The symbols of each clause with an insult or threat, quotation marks of those between included.
+
+        Quotes hold over clauses to the end of the line; a line's last mark counts only if another opened it.
+        """
         low = text.lower()
-        words = low.split()
-        out[-1] = math.log1p(len(words))
         if not self.suspect(low):
-            return out
-        step = self.machine.step
-        for clause in CLAUSE.split(low):
-            if not self.suspect(clause):
+            return
+        for line in low.split("\n"):
+            if not self.suspect(line):
+                continue
+            marks = sum(map(line.count, QUOTES))
+            left = marks - marks % 2
+            yield ["line"]
+            ahead: list[str] = []  # quotation marks of clauses without suspects
+            for clause in CLAUSE.split(line):
+                here = min(left, sum(map(clause.count, QUOTES)))
+                left -= here
+                if not self.suspect(clause):
+                    ahead += ["Q"] * here
+                    continue
+                read = [c for m in READ.finditer(clause) if (c := "Q" if m[0] in QUOTES else self.classify(m[0])) != "Q" or (here := here - 1) >= 0]
+                yield [*ahead, "Ct" if "T" in read else "C", *read]
+                ahead = []
+
+    def paths(self, text: str) -> list[list[str]]:
+        """What the machine writes for each matched clause: patterns, and the weighted transitions it took."""
+        out = []
+        step, state = self.machine.step, self.machine.start
+        for symbols in self.clauses(text):
+            if symbols == ["line"]:
+                state = self.machine.start
                 continue
-            state = self.machine.start
-            here = dict.fromkeys(PATTERNS, 0)
-            for m in re.finditer(r"[\"“”«»]|[^\W\d_]+(?:['’][^\W\d_]+)*", clause):
-                w = m[0]
-                state, wrote = step(state, "Q" if w in "\"“”«»" else self.classify(w))
-                for p in wrote:
-                    if p != "B":
-                        here[p] += 1
-                        continue
-                    for kind in ("insult", "threat"):
-                        here[f"{kind}_target"] += here[kind]
-                        here[kind] = 0
-            out[:-1] += list(here.values())
+            wrote: list[str] = []
+            for s in symbols:
+                state, new = step(state, s)
+                wrote += new
+            if wrote:
+                out.append(wrote)
         return out
 
+    def count(self, text: str) -> np.ndarray:
+        """How often each pattern matches, over the clauses that hold an insult or a threat."""
+        found = Counter(s for path in self.paths(text) for s in path)
+        return np.array([float(found[p]) for p in PATTERNS])
+
+    def transitions(self, text: str) -> np.ndarray:
+        """How often each weighted transition is taken."""
+        found = Counter(s for path in self.paths(text) for s in path)
+        return np.array([float(found[f"+{p}"]) for p in WEIGHTS])
+
+    def scores(self, text: str) -> list[float]:
+        """The weight of each matched clause."""
+        return [sum(self.weights[s[1:]] for s in path if s[0] == "+") for path in self.paths(text)]
+
 
 def base_lexicon() -> dict[str, str]:
     out = {w: "F" for w in FIRST}
@@ -217,34 +279,43 @@ def learn_lexicon(texts: list[str], y: np.ndarray, least: int = 8, odds: float =
     return words, stems
 
 
-def _features(x: np.ndarray) -> np.ndarray:
-    """Each pattern's presence and log count, and both against the length."""
-    counts = x[:, :-1]
-    return np.c_[counts > 0, np.log1p(counts), (counts.sum(axis=1) > 0)[:, None], np.log1p(counts.sum(axis=1))[:, None], np.maximum(0, x[:, -1:] - np.log1p(counts.sum(axis=1))[:, None]) * (counts.sum(axis=1) > 0)[:, None]].astype(float)
+def _features(scores: list[float], text: str) -> list[float]:
+    """What a document's matched clauses weigh: the heaviest, all together, their number, and all against the length."""
+    if not scores:
+        return [0.0] * 5
+    heavy = math.log1p(sum(max(0.0, s) for s in scores))
+    return [1.0, max(scores), heavy, math.log1p(sum(s > 1 for s in scores)), math.log1p(text.count(" ") + text.count("\n")) - heavy]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float) -> np.ndarray:
+    """Ridge logistic regression by damped Newton steps; weights are pulled towards ``prior``, the bias (last) is free."""
+    z = np.c_[x, np.ones(len(x))]
+    b = start = np.r_[prior, math.log((y.sum() + 1) / (len(y) - y.sum() + 9))]
+    pulls = np.r_[np.full(x.shape[1], pull), 1e-3]
+    loss = lambda b: np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ b)).sum() + (pulls * (b - start) ** 2).sum() / 2
+    for _ in range(50 if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pulls), z.T @ (p - y) + pulls * (b - start))
+        size = next((h for h in (1.0, 0.5, 0.25, 0.1, 0.03, 0.01) if loss(b - h * step) < loss(b)), 0.0)
+        b = b - size * step
+        if size * np.abs(step).max() < 1e-6:
+            break
+    return b
 
 
-#: Weights before any label: log odds that a matched pattern adds; learned weights are pulled towards them.
-PRIOR = dict(zip(PATTERNS, (2.0, 3.0, 0.3, 0.6, 0.8, 3.0, 0.0, 0.3), strict=True))
+#: What the features of a document add before any label.
+PRIOR = np.array([-1.0, 1.0, 1.0, 0.5, -0.5])
 
 
 def fit_model(texts: list[str], y: np.ndarray) -> dict:
+    """Lexicon, weights of the transitions, and weights of the document's features, from labelled texts."""
     words, stems = learn_lexicon(texts, y) if len(texts) else (base_lexicon(), {})
     g = Grammar(words, stems)
-    x = np.stack([g.count(t) for t in texts]) if len(texts) else np.zeros((0, len(PATTERNS) + 1))
-    f = _features(x)
-    n = len(PATTERNS)
-    prior = np.zeros(2 * n + 3)
-    prior[:n] = list(PRIOR.values())
-    w, bias = prior.copy(), math.log((y.sum() + 1) / (len(y) - y.sum() + 9))
-    z = np.c_[f, np.ones(len(f))]
-    b = np.r_[w, bias]
-    pull = np.r_[np.full(2 * n + 3, 1.0), 1e-3]
-    for _ in range(30 if len(f) else 0):  # Newton steps of ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        grad = z.T @ (p - y) + pull * (b - np.r_[prior, bias])
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull)
-        b = b - np.linalg.solve(hess, grad)
-    return {"words": words, "stems": stems, "weights": b}
+    taken = np.array([np.log1p(g.transitions(t)) for t in texts]).reshape(-1, len(WEIGHTS))
+    learned = _logistic(taken, y, np.array(list(WEIGHTS.values())), 1.0)[:-1]
+    g.weights = dict(zip(WEIGHTS, learned.tolist(), strict=True))
+    x = np.array([_features(g.scores(t), t) for t in texts]).reshape(-1, len(PRIOR))
+    return {"words": words, "stems": stems, "transitions": g.weights, "weights": _logistic(x, y, PRIOR, 1.0)}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> dict:
@@ -258,22 +329,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> dict:
         pickle.dump(fit_model(pdf["text"].tolist(), pdf["label"].to_numpy(float)), out)
         yield pd.DataFrame({"model": [out.getvalue()]})
 
-    rows = labelled_sample(docs, labels, "toxic", sample).mapInPandas(run, "model binary").collect()
+    rows = labelled_sample(docs, labels, "toxic", sample).repartition(1).mapInPandas(run, "model binary").collect()
     return pickle.loads(bytes(rows[0]["model"])) if rows else fit_model([], np.zeros(0))
 
 
 def scorer(model: dict):
-    g, b = Grammar(model["words"], model["stems"]), model["weights"]
+    g, b = Grammar(model["words"], model["stems"], model["transitions"]), model["weights"]
 
     def run(texts: list[str]) -> np.ndarray:
-        x = np.stack([g.count(t) for t in texts]) if len(texts) else np.zeros((0, len(PATTERNS) + 1))
-        return 1 / (1 + np.exp(-np.clip(np.c_[_features(x), np.ones(len(x))] @ b, -30, 30)))
+        x = np.array([_features(g.scores(t), t) for t in texts]).reshape(-1, len(PRIOR))
+        return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ b, -30, 30)))
 
     return run
 
 
 def score(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
-    """One row per document: doc_id, held_out, score and predicted. A null text is empty; it gets a score too."""
+    """One row per document: doc_id, held_out, score and predicted.
+
+    A null text is empty; it gets a score too. Null ids and repeated rows stay,
+    equal texts score alike, an empty table gives no rows; other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,7 +361,12 @@ def score(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is under ``least``, unchanged."""
+    """The rows of ``docs`` whose score is under ``least``, unchanged.
+
+    A null text is empty and clean unless empty texts score high. Null ids,
+    repeated rows and all columns stay whatever their names; an empty table gives
+    no rows. Only ``text`` is read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

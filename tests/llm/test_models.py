@@ -77,6 +77,75 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert len(labelled_sample(d, lab, "toxic", 17).collect()) == 17
 
 
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    from sparkloom.llm.common import labelled_sample
+
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(3, None), (3, "b"), (4, "c")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, 1) for i in (1, 3, 4) for _ in range(3)], "doc_id long, quality int, toxic int")
+    assert len(labelled_sample(d, lab, "toxic", 10).collect()) == len({1, 3, 4} - {i for i in (1, 3, 4) if out_of(i)})
+
+
+def test_shapes_see_the_whole_word():
+    assert quality.shape("a" * 64 + "###1") == "a#0" and quality.shape("a" * 64 + "zzz") == "a" and quality.shape("Ab1b2c#d$e%f") == "Aa0a0a#a$a%a"
+    units = quality._Units()
+    assert units["a" * 64 + "###1"] % quality.SHAPES != units["a" * 64 + "zzz"] % quality.SHAPES
+
+
+def plain_contexts(texts):
+    """Brute force: for each word and shape, the index vectors of the words around it, one by one."""
+    index, units = quality.index_vectors(), quality._Units()
+    sums = np.zeros((quality.WORDS + quality.SHAPES, quality.DIM + 1), np.int64)
+    for t in texts:
+        w = [(units[x] // quality.SHAPES, quality.WORDS + units[x] % quality.SHAPES) for x in (t or "").split()]
+        for i, places in enumerate(w):
+            for p in places:
+                sums[p, quality.DIM] += 1
+                for j in range(max(0, i - quality.WINDOW), min(len(w), i + quality.WINDOW + 1)):
+                    if j != i:
+                        sums[p, : quality.DIM] += index[w[j][0]] + index[w[j][1]]
+    return sums
+
+
+def test_context_sums_against_brute_force(spark, monkeypatch):
+    texts = [r.text for r in docs(spark).collect()]
+    want = plain_contexts(texts)
+    assert np.allclose(quality.word_vectors(docs(spark)), quality.vectors_of(want), atol=1e-6)
+    for chunk in (1, 3, 50):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        sums = np.zeros_like(want)
+        for p in quality._pieces([t or "" for t in texts[:7]], quality._Units()):
+            quality.context_sums(p, quality.index_vectors(), sums)
+        assert (sums == plain_contexts(texts[:7])).all()
+
+
+def test_pooling_against_brute_force(monkeypatch):
+    table = np.random.default_rng(1).random((quality.WORDS + quality.SHAPES, quality.DIM)).astype(np.float32)
+    units = quality._Units()
+    texts = ["", "one", "A b1 A #x 12 " * 9, prose(300, 4)]
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    got = quality.pooled(texts, table, units)
+    for x, t in zip(got, texts, strict=True):
+        w = t.split()
+        if not w:
+            assert not x.any()
+            continue
+        own = np.mean([table[units[a] // quality.SHAPES] for a in w], axis=0)
+        form = np.mean([table[quality.WORDS + units[a] % quality.SHAPES] for a in w], axis=0)
+        assert np.allclose(x, [*own, *form, np.log1p(len(w)), len(set(w)) / len(w), np.log1p(len(t) / len(w))], rtol=1e-4)
+
+
+def test_scores_are_calibrated_by_a_temperature():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(600, 4))
+    y = (r.random(600) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
+    fold = np.arange(600) % 10
+    net = quality.Network.fit(x, y, fold)
+    check = fold >= 8
+    loss = lambda t: np.mean(np.logaddexp(0, np.where(y[check] == 1, -1, 1) * net.logit(x[check]) / t))
+    assert loss(net.temperature[0]) == min(loss(t) for t in np.geomspace(0.25, 8, 41))
+    assert np.allclose(net.score(x), 1 / (1 + np.exp(-net.logit(x) / net.temperature[0])))
+
+
 def test_clean_documents_pass_the_filter_unchanged(spark, corpus):
     d, lab = corpus
     kept = toxicity.keep_clean(d, toxicity.train(d, lab))
@@ -112,6 +181,61 @@ def test_a_clause_of_any_length_is_counted_whole():
     assert counts == dict.fromkeys(toxicity.PATTERNS, 0.0) | {"insult_reported": 70.0, "insult_negated": 1.0, "threat_negated": 1.0, "threat_target": 1.0, "insult_target": 101.0}
 
 
+def test_a_clause_of_200_insults_counts_200():
+    assert dict(zip(toxicity.PATTERNS, G.count("a " + "moron " * 200), strict=True))["insult"] == 200
+
+
+def test_quotes_hold_over_clauses_to_the_end_of_the_line():
+    count = lambda t: {p: n for p, n in zip(toxicity.PATTERNS, G.count(t), strict=True) if n}
+    assert count('She said: "First thing. You are an idiot." You are trash.') == {"insult_reported": 1, "insult_target": 1}
+    assert count('One "mark only. You are an idiot.') == {"insult_target": 1}
+    assert count('"A. B."! "You are an idiot.\nYou are trash."') == {"insult_target": 2}
+    assert count('«He came. You are trash. Bye» you scum') == {"insult_reported": 1, "insult_target": 1}
+
+
+def test_first_person_threats_at_a_target_weigh_more():
+    weigh = lambda t: sum(G.scores(t))
+    first = toxicity.WEIGHTS["threat_first"]
+    assert np.isclose(weigh("i will kill you"), weigh("they kill you") + first) and np.isclose(weigh("kill you"), weigh("they kill you"))
+    assert np.isclose(weigh("i see one two three four five six that they kill you"), weigh("they kill you")) and np.isclose(weigh("i kill time"), toxicity.WEIGHTS["threat"])
+    assert np.isclose(weigh("you are not an idiot"), sum(toxicity.WEIGHTS[f"insult{x}"] for x in ("", "_negated", "_target")))
+
+
+def one_after_another(symbols):
+    """Brute force: each transducer reads all that the one before it wrote; weights are taken out on the way."""
+    weight = 0.0
+    for t in toxicity.parts():
+        state, out = t.start, []
+        for s in symbols:
+            state, wrote = t.step(state, s)
+            out += [w for w in wrote if w[0] != "+"]
+            weight += sum(toxicity.WEIGHTS[w[1:]] for w in wrote if w[0] == "+")
+        symbols = out
+    return symbols, weight
+
+
+def test_the_composed_machine_does_what_the_five_do_in_turn():
+    r = random.Random(4)
+    machine = toxicity.grammar()
+    for _ in range(400):
+        symbols = r.choices(["C", "Ct", "W", "F", "T", "N", "R", "Q", "I", "H"], weights=[2, 2, 6, 2, 3, 2, 2, 2, 4, 4], k=r.randint(1, 60))
+        state, out = machine.start, []
+        for s in symbols:
+            state, wrote = machine.step(state, s)
+            out += wrote
+        want, weight = one_after_another(["C", *symbols][1:])
+        assert [x for x in out if x[0] != "+"] == want and np.isclose(sum(toxicity.WEIGHTS[x[1:]] for x in out if x[0] == "+"), weight)
+    assert len(machine.known) <= 4 * 4 * 2 * 7 * 10  # states x symbols: memory is bounded whatever is read
+
+
+def test_an_over_long_clause_is_read_in_bounded_memory():
+    g = toxicity.Grammar(toxicity.base_lexicon(), {})
+    r = random.Random(6)
+    words = ["you", "idiot", "not", "kill", "said", '"', "i", "word", "trash"]
+    counts = sum(g.count(" ".join(r.choices(words, k=5000))).sum() for _ in range(20))
+    assert counts > 20_000 and len(g.machine.known) < 2300
+
+
 def test_composition_feeds_one_machine_to_the_next():
     up = toxicity.Transducer(0, lambda s, x: (s, (x.upper(),)))
     twice = toxicity.Transducer(0, lambda s, x: (s + 1, (x, x)), lambda s: (str(s),))
