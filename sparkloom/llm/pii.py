@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.joins import hot_join
+
 from .common import cut, text_key
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -24,8 +26,10 @@ EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A label of one or two words and a sign, then the value, perhaps quoted.
-CUE = r"(?:[A-Za-z_][A-Za-z0-9_-]{0,30} )?[A-Za-z_][A-Za-z0-9_-]{1,30} ?[:=#] ?[\"']?(?=[A-Za-z0-9+])"
+WORD = r"[0-9-]*+[A-Za-z_][A-Za-z0-9_-]*+"
+#: A label of one or two words of any length and a sign, then the value, perhaps quoted. A label begins where a word
+#: does, so that a long word is read once.
+CUE = rf"(?<![A-Za-z0-9_-])(?:{WORD}\x20)?{WORD}\x20?[:=#]\x20?[\"']?(?=[A-Za-z0-9+])"
 #: What a value goes on over, to its end: of any length, four characters at least.
 RUN = r"^[^\s\"'<>,;!|&$%#*)]*+"
 GROUP = r"(?=[A-Za-z]*+[0-9]|[A-Z]{4}(?![A-Za-z0-9]))[A-Za-z0-9]{1,8}+(?![A-Za-z0-9])"
@@ -111,14 +115,14 @@ def confident_patterns(found: DataFrame, support: int = 3, least: float = 0.8, s
     seeds = belief
     before = None
     while True:
-        score = graph.join(belief, "value").groupBy("label").agg(F.sum("belief").alias("b"), F.count("*").alias("n")).filter(F.col("n") >= support).select("label", (F.col("b") / (F.col("n") + 0.5)).alias("score"))
+        score = hot_join(graph, belief, ["value"]).groupBy("label").agg(F.sum("belief").alias("b"), F.count("*").alias("n")).filter(F.col("n") >= support).select("label", (F.col("b") / (F.col("n") + 0.5)).alias("score"))
         score = cut(score)
         if before is not None:
             rise = score.join(before, "label").filter((F.col("score") - F.col("before") > still) | ((F.col("score") >= least) & (F.col("before") < least)))
             if rise.isEmpty():
                 return score.filter(F.col("score") >= least)
         before = score.withColumnRenamed("score", "before")
-        doubt = graph.join(score, "label").groupBy("value").agg(F.sum(F.log1p(-0.9 * F.least("score", F.lit(0.99)))).alias("doubt"))
+        doubt = hot_join(graph, score, ["label"]).groupBy("value").agg(F.sum(F.log1p(-0.9 * F.least("score", F.lit(0.99)))).alias("doubt"))
         belief = seeds.join(doubt, "value", "left").select("value", F.greatest("belief", F.lit(1.0) - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("belief"))
 
 
@@ -131,7 +135,7 @@ def _found(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows (k_hash, k_crc, k_len, more): spans of confident patterns by text; texts with equal keys are equal."""
     key = ["k_hash", "k_crc", "k_len"]
     some = scanned.filter(F.size("cues") > 0).groupBy(*key).agg(F.any_value("cues").alias("cues"), F.any_value("spans").alias("spans"))
-    hit = some.select(*key, "spans", F.explode("cues").alias("c")).withColumn("label", F.explode("c.labels")).join(patterns.select("label"), "label")
+    hit = hot_join(cut(some.select(*key, "spans", F.explode("cues").alias("c")).withColumn("label", F.explode("c.labels"))), patterns.select("label"), ["label"])
     new = hit.filter(~F.expr("exists(spans, s -> s.start < c.end AND c.start < s.end)"))
     return new.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct(F.col("c.start").alias("start"), F.lit(4).alias("kind"), F.col("c.end").alias("end")))).alias("more"))
 
@@ -151,14 +155,18 @@ def detect(docs: DataFrame) -> DataFrame:
     more = _found(scanned, confident_patterns(scanned))
     key = ["k_hash", "k_crc", "k_len"]
     plain = scanned.filter(F.coalesce(F.size("cues"), F.lit(0)) <= 0).withColumn("more", F.lit(None).cast(SPANS))
-    rich = scanned.filter(F.size("cues") > 0).join(more, key, "left")
+    rich = hot_join(scanned.filter(F.size("cues") > 0), more, key, "left")
     out = plain.unionByName(rich).withColumn("every", F.expr(f"array_sort(concat(spans, coalesce(more, cast(array() AS {SPANS}))))"))
     count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) AS bigint)")
     return out.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.sha2(_joined("spans").cast("binary"), 256).alias("base_sha256"), _joined("every").alias("spans"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of a text replaced by its kind in angle brackets; overlapping spans by the first's."""
+    """``docs`` with each span of a text replaced by its kind in angle brackets; overlapping spans by the first's.
+
+    A null text stays null; null ids and repeated rows stay, all columns keep
+    their names and order, whatever they are called. An empty table gives no rows.
+    """
     names = docs.columns
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t")).select("row", "t", *text_key(F.col("t")))
     scanned = cues(base_spans(keyed))
