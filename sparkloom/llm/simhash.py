@@ -2,8 +2,8 @@
 
 Fingerprints are made where the texts are; only 8 bytes a document travel.
 Equal fingerprints collapse first. Two different ones within ``radius`` bits
-agree on one of ``radius + 1`` bit ranges, so each is filed under each of its
-ranges. Within a file the bits lie vertically, 64 fingerprints to a machine
+agree on g of ``radius + g`` bit ranges, so each is filed under each choice of g of
+its ranges; g grows with the number of fingerprints. Within a file the bits lie vertically, 64 fingerprints to a machine
 word, and carry-save counters add up 64 distances at once; a word is abandoned
 once all of its distances exceed the radius. A file of more than ``block`` rows
 is split, and its blocks meet in pairs, so no task gets a whole hot file. Each
@@ -13,13 +13,17 @@ task returns a spanning forest of its links, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from sparkloom.operators.graph import components as components
+from sparkloom.operators.joins import hot_join
+
+from .common import cut, free_names
 
 SEED = 42
 
@@ -183,13 +187,30 @@ def _links(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
-    """Spanning links (a, b) among distinct fingerprints (column fp) at ``radius`` bits or fewer."""
+def _ranges(n: int, radius: int, block: int) -> tuple[int, int]:
+    """How many bit ranges to cut, and how many of them two fingerprints must share.
+
+    Of radius + g ranges, g stay equal whatever the radius differing bits are. The
+    least g is taken for which files of ``n`` spread fingerprints stay under ``block``.
+    """
+    g = next((g for g in (1, 2, 3) if n / 2 ** (64 * g / (radius + g)) <= block), 3)
+    return radius + g, g
+
+
+def links(distinct: DataFrame, radius: int = 4, block: int = 2048, shared: int | None = None) -> DataFrame:
+    """Spanning links (a, b) among distinct fingerprints (column fp) at ``radius`` bits or fewer.
+
+    ``shared`` ranges must agree (1 to 3); by default as many as the number of fingerprints asks for.
+    """
     if not 0 < radius < 8:
         raise ValueError("radius must be from 1 to 7")
-    n = radius + 1
-    at = [64 * i // n for i in range(n + 1)]
-    files = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.expr(f"shiftrightunsigned(shiftleft(fp, {64 - at[i + 1]}), {64 - at[i + 1] + at[i]})").alias("k")) for i in range(n)])).alias("f")).select("fp", "f.r", "f.k")
+    m, g = _ranges(distinct.count(), radius, block) if shared is None else (radius + shared, shared)
+    at = [64 * i // m for i in range(m + 1)]
+    masks = [sum(((1 << at[i + 1]) - (1 << at[i])) for i in some) for some in combinations(range(m), g)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    file = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col("fp").bitwiseAND(F.lit(signed(x)).cast("long")).alias("k")) for r, x in enumerate(masks)]))
+    files = distinct.select("fp", file.alias("f")).select("fp", "f.r", "f.k")
+    # At most a 1/block part of all files is hot; a hot file's rows are not gathered but cut in blocks that meet in pairs.
     hot = files.groupBy("r", "k").count().filter(F.col("count") > block).select("r", "k", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     dealt = files.join(hot, ["r", "k"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -199,21 +220,6 @@ def links(distinct: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     return dealt.mapInPandas(_links(radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Rows (node, root): the smallest node that each linked node reaches, by label passing and pointer jumping."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
-    for _ in range(rounds):
-        seen = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        lower = label.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("mid"))
-        up = label.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-        new = cut(lower.join(up, "mid").select("node", F.least("mid", "top").alias("root"), "old"))
-        label = new.select("node", "root")
-        if new.filter(F.col("root") != F.col("old")).isEmpty():
-            return label
-    raise RuntimeError("components did not settle")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = 2048) -> DataFrame:
     """One row (doc_id, fingerprint, component_id) per row of ``docs``.
 
@@ -225,18 +231,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, block: i
     fps = cut(fingerprints(docs, shingle))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct.select("fp"), radius, block))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    named = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = named.join(lows, "root").select("fp", "component_id", "root")
+    of_fp = hot_join(named, lows, ["root"]).select("fp", "component_id", "root")
     written = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return fps.join(of_fp, "fp").select("doc_id", written("fp").alias("fingerprint"), "component_id", written("root").alias("root_fingerprint"))
+    return hot_join(fps, of_fp, ["fp"]).select("doc_id", written("fp").alias("fingerprint"), "component_id", written("root").alias("root_fingerprint"))
 
 
 def first_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = 2048) -> DataFrame:
     """The rows of ``docs`` that are first in their component, with the columns of ``docs``.
 
     Rows that repeat the kept doc_id are kept once; rows with a null doc_id are
-    kept once a component that has no other id.
+    kept once a component that has no other id. A null text has no words; columns
+    of any name stay as they are. An empty table gives no rows.
     """
     found = cut(near_duplicates(docs.select("doc_id", "text"), shingle, radius, block))
     ids = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
@@ -247,12 +254,11 @@ def first_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int
 
 def _anonymous(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """One row with a null doc_id for each wanted fingerprint."""
-    names = docs.columns
-    none = docs.filter(F.col("doc_id").isNull())
+    (key,) = free_names(docs, "fingerprint")
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t or "", shingle) for t in text], dtype=np.uint64).astype(np.int64))
 
-    made = none.withColumn("fingerprint__", F.lower(F.lpad(F.hex(fp("text")), 16, "0"))).dropDuplicates(["fingerprint__"])
-    return made.join(wanted.withColumnRenamed("fingerprint", "fingerprint__"), "fingerprint__", "left_semi").select(*names)
+    made = docs.filter(F.col("doc_id").isNull()).withColumn(key, F.lower(F.lpad(F.hex(fp("text")), 16, "0"))).dropDuplicates([key])
+    return made.join(wanted.withColumnRenamed("fingerprint", key), key, "left_semi").select(*docs.columns)
