@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.joins import hot_join
+
 from .common import cut, numbered, text_key
 
 SIZES = ("bytes", "words", "rows")
@@ -86,10 +88,11 @@ def shards(docs: DataFrame, count: int = 16, heavy_share: float = 1 / 128, split
     total = {c: float(sums[c] or 1) for c in SIZES}
     share = F.greatest(*[F.col(c) * count / total[c] for c in SIZES])  # of a shard
     split = groups.filter((share > split_share) & (F.col("rows") > 1)).select(*key, F.least(F.ceil(share / split_share), F.col("rows")).cast("int").alias("parts"))
-    rows = base.join(split, key, "left").withColumn("part", F.coalesce(F.pmod("salt", "parts"), F.lit(0)).cast("int"))
+    few = split.filter("parts > 1")  # each has 1/(8 x count) of some dimension: a bounded number
+    rows = base.join(F.broadcast(few), key, "left").withColumn("part", F.coalesce(F.pmod("salt", "parts"), F.lit(0)).cast("int"))
     items = cut(rows.groupBy(*key, "part").agg(F.sum("bytes").alias("bytes"), F.sum("words").alias("words"), F.count("*").alias("rows")))
     # At most 3 x count / heavy_share groups are heavy, since each has that share of a shard in some dimension.
-    heavy = cut(items.filter(share > heavy_share).coalesce(1).mapInPandas(_gather(_fill(np.full((count, 3), 1.0 / count))), PLACED))
+    heavy = cut(items.filter(share > heavy_share).repartition(1).mapInPandas(_gather(_fill(np.full((count, 3), 1.0 / count))), PLACED))
     used = {r["shard"]: r for r in heavy.groupBy("shard").agg(*[F.sum(c).alias(c) for c in SIZES]).collect()}
     left = np.array([[max(0.0, total[c] / count - (used[s][c] if s in used else 0)) for c in SIZES] for s in range(count)])
     capacity = left / np.maximum(left.sum(axis=0), 1e-9)
@@ -97,7 +100,7 @@ def shards(docs: DataFrame, count: int = 16, heavy_share: float = 1 / 128, split
     light = items.filter(share <= heavy_share).withColumn("lane", F.pmod(F.xxhash64(*key, "part"), F.lit(lanes)))
     placed = cut(light.groupBy("lane").applyInPandas(_fill(capacity), PLACED).unionByName(heavy))
     # A slot is the place within (shard, block) plus what earlier blocks of the shard hold.
-    dealt = cut(rows.join(placed.select(*key, "part", "shard"), [*key, "part"]).select("doc_id", "bytes", "k_crc", "shard", "row", F.pmod(F.xxhash64("row", F.lit("block")), F.lit(lanes)).alias("block")))
+    dealt = cut(hot_join(rows, placed.select(*key, "part", "shard"), [*key, "part"]).select("doc_id", "bytes", "k_crc", "shard", "row", F.pmod(F.xxhash64("row", F.lit("block")), F.lit(lanes)).alias("block")))
     held = dealt.groupBy("shard", "block").count()
     before = held.select("shard", "block", (F.sum("count").over(Window.partitionBy("shard").orderBy("block")) - F.col("count")).alias("before"))
     at = F.row_number().over(Window.partitionBy("shard", "block").orderBy("row")) - 1
