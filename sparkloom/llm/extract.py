@@ -5,8 +5,10 @@ each stands in. A line's ratio is its text per tag; ratios are smoothed with a
 Gaussian, and a threshold that parts them into two clusters picks the dense
 lines. The first content region is the element that holds most of the dense text;
 the blocks beside it, and beside the elements around it, are regions as far as they
-hold dense lines. Every line of a region that stands in no menu, notice, form or the
-like is kept.
+hold dense lines. Every line of a region is kept unless it stands in a menu, a form or
+the like, or in an element whose class or id names a notice, an advert or comments:
+such a name weighs by its share of the whole name against the element's density, so
+that a dense part of the article is not lost for one word of its name.
 """
 
 from __future__ import annotations
@@ -38,13 +40,21 @@ _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _marked(names: str) -> bool:
-    parts = _PARTS.findall(_CAMEL.sub("-", names).lower())
-    return any(p in NAMES for p in parts)
+#: Name parts that say nothing about what is inside.
+PLAIN = frozenset("box wrap wrapper container list item items block inner outer area bar top bottom left right section content main row col column grid panel group body text page site global js is has the and".split())
+
+
+def _name_weight(names: str) -> float:
+    """How far class and id name what is not the article: of a name's telling parts, the share that do; of all names, the most."""
+    most = 0.0
+    for name in names.split():
+        parts = [p for p in _PARTS.findall(_CAMEL.sub("-", name).lower()) if not p.isdigit() and p not in PLAIN]
+        most = max(most, sum(p in NAMES for p in parts) / max(1, len(parts)))
+    return most
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, tags seen before it, characters in links, and the open elements."""
+    """Collects lines: text, tags seen before it, characters in links, and the open elements; and what elements' names weigh."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -53,7 +63,8 @@ class _Lines(HTMLParser):
         self.tags_of: list[str] = []
         self.text: list[str] = []
         self.tags = self.linked = self.anchors = 0
-        self.marks: dict[str, bool] = {}
+        self.marks: dict[str, float] = {}
+        self.weights: dict[int, float] = {}
 
     def _flush(self) -> None:
         if self.text:
@@ -81,10 +92,14 @@ class _Lines(HTMLParser):
         if not names or tag in ("html", "body", "article", "main"):
             return False
         key = " ".join(names)
-        found = self.marks.get(key)
-        if found is None:
-            found = self.marks[key] = _marked(key)
-        return found or (not inside and not HEADS.isdisjoint(_PARTS.findall(key.lower())) and tag == "div")
+        weight = self.marks.get(key)
+        if weight is None:
+            weight = self.marks[key] = _name_weight(key)
+        if weight == 1 or (not inside and tag == "div" and not HEADS.isdisjoint(_PARTS.findall(key.lower()))):
+            return True  # the whole name says so
+        if weight:
+            self.weights[len(self.tags_of)] = weight
+        return False
 
     def handle_starttag(self, tag, attrs) -> None:
         self.tags += 1
@@ -170,6 +185,20 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
     return t
 
 
+def _sparse(lines: list, ratio: np.ndarray, size: np.ndarray, border: float, weights: dict[int, float]) -> np.ndarray:
+    """Lines in elements whose name weighs more than their density: mean smoothed ratio against the border."""
+    inside: dict[int, list[int]] = {}
+    for i, line in enumerate(lines):
+        for e in line[3]:
+            if e in weights:
+                inside.setdefault(e, []).append(i)
+    out = np.zeros(len(lines), bool)
+    for e, at in inside.items():
+        if np.average(ratio[at], weights=size[at]) < 2 * weights[e] ** 2 * border:
+            out[at] = True
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by a blank line; empty if there is none."""
     if not html:
@@ -187,6 +216,9 @@ def main_text(html: str | None) -> str:
     if not kept.any():
         return ""
     border = threshold(ratio)
+    kept &= ~_sparse(lines, ratio, size, border, p.weights)
+    if not kept.any():
+        return ""
     dense = kept & ((ratio > border) if (ratio > border).any() else kept)
     if not dense.any():
         dense = kept
@@ -231,7 +263,11 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text and n_chars (code points). A null html has an empty text."""
+    """One row per page: page_id, url, text and n_chars (code points).
+
+    A null html has an empty text. Null ids and urls and repeated rows stay; an
+    empty table gives no rows; other columns, also one named text, are not read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
