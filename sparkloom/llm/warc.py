@@ -1,25 +1,29 @@
 """WARC archives compressed with Zstandard, a dictionary in front and a frame a record.
 
 An archive is bytes: a leading skippable frame that holds the dictionary, then
-one frame for each record. Archives are kept as rows (path, length, content),
-as Spark's ``binaryFile`` source gives them, so the reader takes either those
-written here or ``*.warc.zst`` files of others, and any store that Spark reads.
+one frame for each record. Tasks write the archives as ``*.warc.zst`` files into a
+shared folder and return their paths; other tasks read them from there. The reader
+also takes rows (path, length, content) as Spark's ``binaryFile`` source gives them,
+so archives of others may lie in any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, new_folder
 
 #: Fixed values of the formats: the skippable frame that may hold a dictionary, a frame's and a dictionary's magic.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
+#: So many shared digests are broadcast; more are met by a shuffle.
+FEW = 200_000
 VERSION = b"WARC/1.1"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,7 +43,9 @@ def plan(pages: DataFrame, least: int = 100) -> DataFrame:
     large = p.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("payload_digest").alias("shared"), "first")
     # A small payload has no equal: its key is its own, so that no key is hot for nothing.
     key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id"), F.xxhash64("url")).cast("string")))
-    j = p.withColumn("shared", key).join(large, "shared", "left")
+    # A digest that many pages share meets its first page by a broadcast of that one row; payloads stay where they are.
+    digests = p.withColumn("shared", key)
+    j = digests.join(F.broadcast(large) if large.limit(FEW + 1).count() <= FEW else large, "shared", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return j.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -218,6 +224,53 @@ def read(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
     return archives.select("path", "length", "content").mapInPandas(_read(keep_payload), RECORDS)
 
 
+def _store(folder: str):
+    """The file system of a folder, as tasks see it, and the folder's path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """Write (path, length, content) as files into ``folder``; gives their (path, length).
+
+    A file's name is a hash of its content, so a task that runs again writes the
+    same file or another one that nobody is told of.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _store(folder)
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                store.create_dir(base, recursive=True)
+                part = f"{base}/_{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(bytes(content))
+                store.move(part, f"{base}/{path}")
+            yield pd.DataFrame({"path": b["path"], "length": b["length"]})
+
+    return archives.mapInPandas(run, "path string, length long")
+
+
+def open_files(files: DataFrame, folder: str) -> DataFrame:
+    """Archives (path, length, content) of the files (path, length) in ``folder``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _store(folder)
+        for b in batches:
+            for path, length in zip(b["path"], b["length"], strict=True):
+                with store.open_input_stream(f"{base}/{path}", compression=None) as f:
+                    yield pd.DataFrame({"path": [path], "length": [length], "content": [f.read()]})
+
+    return files.mapInPandas(run, ARCHIVES)
+
+
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Write every page, keep the archives in the shared folder and read them back."""
-    return read(cut(write(plan(pages, least)))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Write every page into archive files in the shared folder and read them back.
+
+    Null html is an empty payload; null ids and repeated rows stay; an empty
+    table gives no rows and no file; columns other than page_id, url and html are not read.
+    """
+    folder = f"{new_folder(pages.sparkSession)}/warc"
+    files = cut(write_files(write(plan(pages, least)), folder))
+    return read(open_files(files, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
