@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import cut as cut
+from sparkloom.sources.shared import new_folder as new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only on a local master where none is set."""
-    sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if given is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return given or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share."""
-    return f"{_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
-
-
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Add a row number to a checkpointed frame (its files fix the order, so a rerun repeats it)."""
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -69,3 +47,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     one = texts.join(F.broadcast(lab), "_id").groupBy("_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     return one.select("_id", "text", "label", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(10)).cast("int").alias("fold"))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -6,14 +6,15 @@ phrase is left out, exactly; what stays is the shard's text. Over it the task
 builds a suffix array, the Burrows-Wheeler transform in a wavelet matrix with
 rank counts, and a sample of suffix positions. All phrases search backwards
 together; occurrences are located by walking to a sampled position, and the
-spans of a document are merged. Phrases reach the tasks in blocks of bounded
-size; each further block is one more pass that adds to the spans found so far.
+spans of a document are merged. Benchmark texts reach the tasks in blocks of bounded
+size, and tasks number the words of a block's windows in arrays; a shard is searched
+for one block after the other.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, free_names
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: The same words on UTF-8 bytes: separators become spaces, A-Z lower case.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Columns that a pass fills; the names are unlike those of documents.
-FOUND = {"__n_words": "bigint", "__spans": "array<struct<a:bigint,b:bigint>>", "__items": "array<string>"}
-
-
 class Wavelet:
     """A wavelet matrix over small non-negative integers: access and rank of many positions at once."""
 
@@ -146,78 +145,112 @@ def windows(rows: list[tuple[object, str | None]], window: int) -> dict[tuple[by
     return found
 
 
-def _search(shared, shard_words: int):
+class Phrases:
+    """The windows of a block of items as arrays of word numbers, and which items have each."""
+
+    def __init__(self, rows: list[tuple[str | None, str]], window: int) -> None:
+        names = sorted({"null" if item is None else item for item, _ in rows})
+        name_at = {n: i for i, n in enumerate(names)}
+        self.names = np.array(names, object)
+        self.number: dict[bytes, int] = {}  # from 2; 1 stands between runs
+        cut_up: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for item, text in rows:
+            w = words(text)
+            if w:
+                codes = np.array([self.number.setdefault(x, len(self.number) + 2) for x in w], np.int32)
+                n = min(window, len(w))
+                cut_up.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(codes, n), name_at["null" if item is None else item]))
+        self.sigma = len(self.number) + 2
+        self.shortest, self.deepest = min(cut_up, default=0), max(cut_up, default=1)
+        #: Length to (different windows, where the items of each begin and end, items).
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, parts in cut_up.items():
+            codes, of = np.unique(np.concatenate([c for c, _ in parts]), axis=0, return_inverse=True)
+            pairs = np.unique(np.c_[of.ravel(), np.repeat([k for _, k in parts], [len(c) for c, _ in parts])], axis=0)
+            self.by_length[n] = codes.astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(codes) + 1)), pairs[:, 1]
+
+
+#: The last block's phrases of a Python worker, over its tasks.
+_LAST: dict[object, Phrases] = {}
+
+
+def _phrases(key: object, rows, window: int) -> Phrases:
+    if (key, window) not in _LAST:
+        _LAST.clear()
+        _LAST[key, window] = Phrases(rows, window)
+    return _LAST[key, window]
+
+
+def _hits(texts: list[list[bytes]], phrases: Phrases) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
+    """Spans and items of each text (by position) that holds a phrase: one shard's FM-index, built and searched."""
+    get = phrases.number.get
+    owner, parts, places = [], [], []
+    for d, w in enumerate(texts):
+        if not phrases.shortest or len(w) < phrases.shortest:
+            continue
+        code = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
+        edge = np.diff(np.r_[0, (code > 0).astype(np.int8), 0])
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        for a, z in zip(begin.tolist(), end.tolist(), strict=True):
+            if z - a >= phrases.shortest:
+                owner.append(np.full(z - a + 1, d))
+                parts.append(np.r_[code[a:z], 1])
+                places.append(np.r_[np.arange(a, z), -1])
+    spans: dict[int, list[tuple[int, int]]] = {}
+    items: dict[int, set[str]] = {}
+    if not parts:
+        return spans, items
+    of, place = np.concatenate(owner), np.concatenate(places)
+    index = FMIndex(np.concatenate(parts), phrases.sigma, phrases.deepest)
+    for n, (codes, begin, item) in phrases.by_length.items():
+        lo, hi = index.search(codes)
+        some = np.flatnonzero(hi > lo)
+        size = (hi - lo)[some]
+        which = np.repeat(some, size)
+        rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[some], size)
+        for i in range(0, len(rows), 1_000_000):
+            at = index.locate(rows[i : i + 1_000_000])
+            for d, a, k in zip(of[at].tolist(), place[at].tolist(), which[i : i + 1_000_000].tolist(), strict=True):
+                spans.setdefault(d, []).append((a, a + n))
+                items.setdefault(d, set()).update(phrases.names[item[begin[k] : begin[k + 1]]].tolist())
+    return spans, items
+
+
+def _search(blocks, window: int, shard_words: int, added: list[str]):
+    job = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: dict[tuple[bytes, ...], list[str]] = shared.value
-        number = {w: i for i, w in enumerate(sorted({w for p in phrases for w in p}), 2)}  # 1 stands between runs
-        sigma = len(number) + 2
-        shortest = min(map(len, phrases), default=0)
-        by_length: dict[int, list[tuple[bytes, ...]]] = {}
-        for p in sorted(phrases):
-            by_length.setdefault(len(p), []).append(p)
-        coded = {n: np.array([[number[w] for w in p] for p in ps], np.int64) for n, ps in by_length.items()}
-        deepest = max(coded, default=1)
-
-        def shard(held: list[pa.RecordBatch], counts: list[int], docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            hits: dict[int, list[tuple[int, int]]] = {}
+        def shard(held: list[pa.RecordBatch], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+            spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
-            if docs:
-                text = np.concatenate([d[1] for d in docs])
-                place = np.concatenate([d[2] for d in docs])
-                owner = np.repeat([d[0] for d in docs], [len(d[1]) for d in docs])
-                index = FMIndex(text, sigma, deepest)
-                for n, codes in coded.items():
-                    lo, hi = index.search(codes)
-                    some = np.flatnonzero(hi > lo)
-                    if not len(some):
-                        continue
-                    size = (hi - lo)[some]
-                    which = np.repeat(some, size)
-                    rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[some], size)
-                    for i in range(0, len(rows), 1_000_000):
-                        at = index.locate(rows[i : i + 1_000_000])
-                        for d, a, k in zip(owner[at].tolist(), place[at].tolist(), which[i : i + 1_000_000].tolist(), strict=True):
-                            hits.setdefault(d, []).append((a, a + n))
-                            items.setdefault(d, set()).update(phrases[by_length[n][k]])
-            spans, names = t["__spans"].to_pylist(), t["__items"].to_pylist()
-            for d in hits:
-                old = [(x["a"], x["b"]) for x in spans[d]]
-                spans[d] = [{"a": a, "b": b} for a, b in merged([*old, *hits[d]])]
-                names[d] = sorted({*names[d], *items[d]})
-            for name, made in (("__n_words", counts), ("__spans", spans), ("__items", names)):
+            for k, block in enumerate(blocks):
+                some, named = _hits(texts, _phrases((job, k), block.value, window))
+                for d in some:
+                    spans[d] = merged([*spans.get(d, []), *some[d]])
+                    items.setdefault(d, set()).update(named[d])
+            n = range(len(texts))
+            made = [list(map(len, texts)), [[{"a": a, "b": b} for a, b in spans.get(d, [])] for d in n], [sorted(items.get(d, ())) for d in n]]
+            t = pa.Table.from_batches(held)
+            for name, values in zip(added, made, strict=True):
                 at = t.schema.get_field_index(name)
-                t = t.set_column(at, t.schema.field(at), pa.array(made, t.schema.field(at).type))
-            yield from t.to_batches(max_chunksize=512)
+                t = t.set_column(at, t.schema.field(at), pa.array(values, t.schema.field(at).type))
+            yield from t.to_batches(max_chunksize=2048)
 
         frames: list[pa.RecordBatch] = []
-        counts: list[int] = []
-        docs: list[tuple[int, np.ndarray, np.ndarray]] = []
-        at = held = 0
-        get = number.get
-        for b in batches:
-            for i, text in enumerate(b.column("text").to_pylist()):
-                w = words(text)
-                counts.append(len(w))
-                if not shortest or len(w) < shortest:
-                    continue
-                code = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-                edge = np.diff(np.r_[0, (code > 0).astype(np.int8), 0])
-                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                long = end - begin >= shortest
-                if not long.any():
-                    continue
-                part = [np.r_[code[a:z], 1] for a, z in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
-                pos = [np.r_[np.arange(a, z), -1] for a, z in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
-                docs.append((at + i, np.concatenate(part), np.concatenate(pos)))
-                held += len(docs[-1][1])
-            frames.append(b)
-            at += b.num_rows
-            if held >= shard_words or at >= 10_000:
-                yield from shard(frames, counts, docs)
-                frames, counts, docs, at, held = [], [], [], 0, 0
+        texts: list[list[bytes]] = []
+        held = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                more = [words(t) for t in b.column("text").to_pylist()]
+                frames.append(b)
+                texts += more
+                held += sum(map(len, more))
+                if held >= shard_words:
+                    yield from shard(frames, texts)
+                    frames, texts, held = [], [], 0
         if frames:
-            yield from shard(frames, counts, docs)
+            yield from shard(frames, texts)
 
     return run
 
@@ -233,48 +266,72 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8_000_000, shard_words: int = 500_000) -> DataFrame:
-    """``docs`` with __n_words, __spans (of words, end exclusive) and __items (sorted names) added.
+def _blocks(benchmark: DataFrame, window: int, block_chars: int, piece_words: int) -> list[list[tuple[str | None, str]]]:
+    """The different items, long ones in pieces that overlap by a window, dealt into blocks of about ``block_chars``.
 
-    Null and word-free texts have no words and no hits; an empty benchmark hits
-    nothing; a null item_id is the item "null". Repeated items count once.
+    Spark cuts and deals; a block of more than eight times that is refused.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    empty = {"__n_words": F.lit(0), "__spans": F.array(), "__items": F.array()}
-    out = docs.withColumns({k: c.cast(FOUND[k]) for k, c in empty.items()})
-    for k in range(blocks):  # each block is of bounded size: about block_chars of phrases
-        one = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        phrases = {p: sorted(s) for p, s in windows([(r["item"], r["text"]) for r in one.collect()], window).items()}
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(phrases), shard_words), out.schema)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "".join(map(chr, LOWER)), "".join(map(chr, LOWER.values())))
+    w = benchmark.select(F.col("item_id").cast("string").alias("item"), F.regexp_extract_all(lower, F.lit(word), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    step = piece_words - window + 1
+    starts = F.expr(f"sequence(0, greatest(size(w) - {window}, 0), {step})")
+    pieces = w.select("item", "w", F.explode(starts).alias("at")).select("item", F.array_join(F.slice("w", F.col("at") + 1, piece_words), " ").alias("text")).distinct()
+    pieces = cut(pieces)
+    chars = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // block_chars))
+    out = []
+    for k in range(n):
+        one = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        if n > 1 and (one.agg(F.sum(F.length("text"))).first()[0] or 0) > 8 * max(block_chars, 10_000):
+            raise ValueError("a block of the benchmark is too large; its words are too long")
+        out.append([(r["item"], r["text"]) for r in one.collect()])
     return out
 
 
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4_000_000, shard_words: int = 500_000, piece_words: int = 20_000) -> tuple[DataFrame, list[str]]:
+    """``docs`` with three columns added, and their names: words, spans (of words, end exclusive) and items (sorted names).
+
+    The names are unlike all of ``docs``. Null and word-free texts have no words
+    and no hits; an empty benchmark hits nothing; a null item_id is the item
+    "null". Repeated items count once. What is broadcast is one block of benchmark
+    texts at a time, whatever the benchmark's size.
+    """
+    spark = docs.sparkSession
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, block_chars, piece_words)]
+    added = free_names(docs, "n_words", "spans", "items")
+    kinds = ("bigint", "array<struct<a:bigint,b:bigint>>", "array<string>")
+    out = docs.withColumns({k: c.cast(t) for k, c, t in zip(added, (F.lit(0), F.array(), F.array()), kinds, strict=True)})
+    return out.mapInArrow(_search(blocks, window, shard_words, added), out.schema), added
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **limits: int) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, **limits)
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    names = F.array_join(F.array_sort("__items"), ",")
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated.
+
+    Null ids and repeated rows stay; an empty table gives no rows; other columns are not read.
+    """
+    found, (n_words, spans, items) = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, **limits)
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    names = F.array_join(F.array_sort(items), ",")
+    return found.select("doc_id", F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, **limits: int) -> DataFrame:
     """``docs`` with the hit words cut out of the texts; documents of which no word is left go.
 
-    Documents without a hit stay as they are, word-free ones too.
+    Documents without a hit stay as they are, null and word-free ones too, and so
+    do repeated rows and all columns, whatever their names. An empty table gives no rows.
     """
 
     @F.pandas_udf("string")
     def trimmed(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t, [(x["a"], x["b"]) for x in s]) if len(s) else t for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    found = find(docs, benchmark, window, **limits)
-    text = F.when(F.size("__spans") > 0, trimmed("text", "__spans")).otherwise(F.col("text"))
-    out = found.withColumn("text", text).filter((F.size("__spans") == 0) | (F.length("text") > 0))
-    return out.drop(*FOUND)
+    found, (_, spans, _) = find(docs, benchmark, window, **limits)
+    text = F.when(F.size(spans) > 0, trimmed("text", spans)).otherwise(F.col("text"))
+    (new,) = free_names(found, "new_text")
+    out = found.withColumn(new, text).filter((F.size(spans) == 0) | (F.length(new) > 0))
+    return out.select(*[F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -51,6 +51,33 @@ def test_against_brute_force(spark):
         assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == expect
 
 
+def test_finer_ranges_find_the_same_links(spark):
+    r = np.random.default_rng(8)
+    centres = r.integers(0, 2**63, 12, dtype=np.uint64)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in set(r.integers(0, 64, k).tolist())) for c in centres for k in (0, 1, 2, 3, 4, 4, 5, 6)})
+    want = {f: fps[g] for f, g in zip(fps, brute(fps), strict=True)}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    for shared in (1, 2, 3):
+        roots = {r.node % 2**64: r.root for r in simhash.components(simhash.links(df, shared=shared)).collect()}
+        groups = {}
+        for f in fps:
+            groups.setdefault(roots.get(f, f), set()).add(f)
+        expect = {}
+        for f in fps:
+            expect.setdefault(want[f], set()).add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expect.values()))
+
+
+def test_ranges_grow_with_the_number_of_fingerprints():
+    assert simhash._ranges(10**5, 4, 2048) == (5, 1) and simhash._ranges(10**9, 4, 2048) == (6, 2) and simhash._ranges(10**11, 4, 2048) == (7, 3)
+
+
+def test_a_chain_of_hundreds_is_one_component(spark):
+    n = 400
+    got = simhash.components(spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")).collect()
+    assert len(got) == n + 1 and {r.root for r in got} == {0}
+
+
 def test_first_of_each_keeps_one_and_all_columns(spark):
     d = docs(spark)
     kept = simhash.first_of_each(d)

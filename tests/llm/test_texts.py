@@ -35,6 +35,31 @@ def test_hot_group_is_split_and_bytes_are_even(spark):
     assert got[got.doc_id < 3000].shard.nunique() > 4
 
 
+def plain_place(vectors, residual):
+    """Brute force: try every shard for each group in turn."""
+    out = []
+    for v in vectors:
+        best, found = None, None
+        for b in range(len(residual)):
+            if all(residual[b][d] >= v[d] for d in range(3)):
+                dot = sum(residual[b][d] * v[d] * sharding.WEIGHTS[d] for d in range(3))
+                if best is None or dot > best + 1e-15:
+                    best, found = dot, b
+        if found is None:
+            found = max(range(len(residual)), key=lambda b: (residual[b][0], -b))
+        residual[found] = [residual[found][d] - v[d] for d in range(3)]
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_placing_against_brute_force(seed):
+    r = np.random.default_rng(seed)
+    v = r.random((60, 3)) * 0.05
+    residual = r.random((5, 3)) * 0.6
+    assert sharding.place(v, residual.copy()).tolist() == plain_place(v.tolist(), residual.tolist())
+
+
 def test_placing_takes_the_highest_dot_product():
     residual = np.array([[0.5, 0.1, 0.5], [0.4, 0.4, 0.4], [0.9, 0.9, 0.0]])
     assert sharding.place(np.array([[0.2, 0.2, 0.2]]), residual.copy()).tolist() == [1]
@@ -64,6 +89,36 @@ def test_every_dense_region_is_kept():
     assert extract.main_text(f"<body>{menu}<p>{c}</p><div><p>{a}</p><p>{a}</p><p>{b}</p></div>{menu}") == "\n\n".join((c, a, a, b))
 
 
+LONG = "A real paragraph of the article with quite a few plain words in it, long enough to be dense."
+
+
+@pytest.mark.parametrize("name", ["social-policy", "notice-board", "related-work", "share-prices", "comment-analysis", "hiddenGems widgetFactory"])
+def test_a_word_of_a_name_does_not_lose_dense_parts_of_the_article(name):
+    assert extract.main_text(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div></article>") == "\n\n".join([LONG] * 3)
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "ad", "adBox", "cookie-notice", "social-share", "related", "newsletter-signup wide"])
+def test_names_of_other_things_are_left_out(name):
+    assert extract.main_text(f"<article><p>{LONG}</p><p>{LONG}</p><div class='{name}'><p>{LONG}</p><p>Other words.</p></div></article>") == "\n\n".join([LONG] * 2)
+
+
+def test_a_sparse_element_with_a_doubtful_name_goes():
+    links = "".join(f"<li><a href=x{i}>L{i}</a><b></b><i></i></li>" for i in range(8))
+    assert extract.main_text(f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div class='share-this-story'><ul>{links}</ul></div></article>") == "\n\n".join([LONG] * 3)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_smoothing_and_clusters_against_brute_force(seed):
+    r = np.random.default_rng(seed)
+    x = np.r_[r.normal(1, 0.2, r.integers(1, 30)), r.normal(5, 0.5, r.integers(1, 30))]
+    weight = lambda d: np.exp(-0.5 * (d / 1.5) ** 2) if abs(d) <= 5 else 0.0
+    plain = [sum(weight(i - j) * x[j] for j in range(len(x))) / sum(weight(i - j) for j in range(len(x))) for i in range(len(x))]
+    assert np.allclose(extract.smooth(x), plain)
+    # The border is a fixed point: halfway between the means of both sides.
+    t = extract.threshold(x)
+    assert abs(t - (x[x > t].mean() + x[x <= t].mean()) / 2) < 1e-6 and (x > t).tolist() == [v > 3 for v in x]
+
+
 def test_extract_table(spark):
     rows = [(1, "u", PAGES[0][0], "c"), (None, None, None, "c"), (2, "u", "<p>" + "word " * 50_000, "c"), (2, "u", "<p>é😀", "c")]
     got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
@@ -128,6 +183,15 @@ def test_a_long_value_is_whole(spark):
     assert {c.end for c in pii._scan(d).filter("doc_id = 6").first().cues} == {len(nested)}
 
 
+def test_labels_of_any_length_are_labels(spark):
+    name = "very_long_label_" * 300
+    texts = [f"x {name} = {hashlib.sha1(str(i).encode()).hexdigest()} it" for i in range(5)] + [f"x {name} = key-77-abc it", f"x not-{name}: key-77-abc it", "2fa_code_of_user: 1", "a" * 50_000 + "=1234"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = [r.spans for r in pii.detect(d).orderBy("doc_id").collect()]
+    at = len(name) + 5
+    assert spans[:7] == [f"secret:{at}:{at + 40}"] * 5 + [f"secret:{at}:{at + 10}", ""]
+
+
 def test_base_spans_seed_as_a_whole_and_turns_reach_the_end(spark):
     cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"]
     seeds = [f"so contact: {n}@example.com it" for n in ("alice", "bob", "carol", "dave", "erin")] + [f"so phone: +1 (980) 555-62{i} it" for i in range(10, 16)] + [f"so pay: {c} it" for c in cards]
@@ -183,6 +247,31 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.remove(d, none).count() == d.count() and decontam.decontaminate(empty(spark), b).count() == 0
 
 
+def test_long_items_come_in_overlapping_pieces(spark):
+    item = prose(400, 91)
+    w = item.split()
+    b = spark.createDataFrame([(1, item), (1, item), (2, "tiny item"), (3, " ".join(w[200:260]))], "item_id long, text string")
+    texts = [" ".join(w[i : i + 10]) for i in (0, 90, 95, 99, 100, 390)] + [" ".join(w[i : i + 9]) for i in (91, 95, 99)] + ["a tiny item b", item, "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    win = decontam.windows([(1, item), (2, "tiny item"), (3, " ".join(w[200:260]))], 10)
+    want = {i: (n, h, len(s)) for i, t in enumerate(texts) for n, h, s in [hits(t, win)]}
+    for limits in ({}, {"piece_words": 50}, {"piece_words": 11, "block_chars": 500, "shard_words": 20}):
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.decontaminate(d, b, **limits).collect()} == want
+
+
+def test_columns_of_any_name_pass_through_the_filters(spark):
+    from sparkloom.llm import simhash
+
+    names = "doc_id long, text string, n_words long, spans string, items string, new_text string, fingerprint string, _spans string"
+    d = spark.createDataFrame([(1, PASSAGE + " end", 5, "s", "i", "n", "f", "t"), (2, "a@b.co and more", 6, "s", "i", "n", "f", "t"), (None, "x", 7, "s", "i", "n", "f", "t")], names)
+    b = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    for out in (decontam.remove(d, b), simhash.first_of_each(d), pii.mask(d)):
+        assert out.columns == d.columns
+        assert sorted(map(str, ((r.doc_id, r.n_words, r.spans, r["items"], r.new_text, r.fingerprint, r["_spans"]) for r in out.collect()))) == sorted(map(str, ((r.doc_id, r.n_words, r.spans, r["items"], r.new_text, r.fingerprint, r["_spans"]) for r in d.collect())))
+    for x in (decontam.remove(empty(spark), b), simhash.first_of_each(empty(spark))):
+        assert x.count() == 0
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_index_finds_what_a_scan_finds(seed):
     r = np.random.default_rng(seed)
@@ -230,3 +319,14 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs_now, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(now)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(QUERIES) == 10
+
+
+def test_pipeline_runs_on_odd_and_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    lab, bench = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, PASSAGE), (None, None)], "item_id long, text string")
+    for name, d in (("odd", docs(spark)), ("empty", empty(spark))):
+        for table, rows in (("documents", d), ("labels", lab.limit(0) if name == "empty" else lab), ("benchmark", bench.limit(0) if name == "empty" else bench)):
+            rows.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert ({r.doc_id for r in got} >= {1, 3, 4, 8, 12, 20}) if name == "odd" else got == []

@@ -75,3 +75,13 @@ def test_plain_archives_without_dictionary(spark):
     data = zstandard.ZstdCompressor().compress(record) * 2
     got = warc.read(spark.createDataFrame([("p", len(data), data)], warc.ARCHIVES)).collect()
     assert [(r.page_id, r.payload_bytes) for r in got] == [(9, 5), (9, 5)]
+
+
+def test_archives_are_files_that_others_read(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS, SCHEMA)
+    files = warc.write_files(warc.write(warc.plan(pages), archive_bytes=2000), str(tmp_path)).collect()
+    there = sorted(p for p in tmp_path.iterdir() if not p.name.startswith("."))
+    assert len(there) > 1 and {(p.name, p.stat().st_size) for p in there} == {(r.path, r.length) for r in files}
+    assert all(p.name.endswith(".warc.zst") and hashlib.sha256(p.read_bytes()).hexdigest().startswith(p.name[:24]) for p in there)
+    back = warc.read(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert sorted(map(str, (r.page_id for r in back.collect()))) == sorted(str(r[0]) for r in ROWS)
