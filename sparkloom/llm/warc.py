@@ -231,38 +231,44 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def write_files(archives: DataFrame, folder: str) -> DataFrame:
-    """Write (path, length, content) as files into ``folder``; gives their (path, length).
+def write_files(planned: DataFrame, folder: str, archive_bytes: int = 16 << 20, dictionary_bytes: int = 32 << 10, samples: int = 200, level: int = 3) -> DataFrame:
+    """Write the archives of planned pages as files into ``folder``; gives their (path, length).
 
     A file's name is a hash of its content, so a task that runs again writes the
     same file or another one that nobody is told of.
     """
+    make = _write(archive_bytes, dictionary_bytes, samples, level)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(folder)
-        for b in batches:
+        for b in make(batches):
             for path, content in zip(b["path"], b["content"], strict=True):
                 store.create_dir(base, recursive=True)
                 part = f"{base}/_{path}.{uuid.uuid4().hex}"
                 with store.open_output_stream(part, compression=None) as out:
                     out.write(bytes(content))
                 store.move(part, f"{base}/{path}")
-            yield pd.DataFrame({"path": b["path"], "length": b["length"]})
+            yield b[["path", "length"]]
 
-    return archives.mapInPandas(run, "path string, length long")
+    return planned.mapInPandas(run, "path string, length long")
 
 
-def open_files(files: DataFrame, folder: str) -> DataFrame:
-    """Archives (path, length, content) of the files (path, length) in ``folder``."""
+def read_files(files: DataFrame, folder: str, keep_payload: bool = False) -> DataFrame:
+    """What ``read`` gives, from files (path, length) in ``folder``."""
+    parse = _read(keep_payload)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(folder)
-        for b in batches:
-            for path, length in zip(b["path"], b["length"], strict=True):
-                with store.open_input_stream(f"{base}/{path}", compression=None) as f:
-                    yield pd.DataFrame({"path": [path], "length": [length], "content": [f.read()]})
 
-    return files.mapInPandas(run, ARCHIVES)
+        def opened() -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for path, length in zip(b["path"], b["length"], strict=True):
+                    with store.open_input_stream(f"{base}/{path}", compression=None) as f:
+                        yield pd.DataFrame({"path": [path], "length": [length], "content": [f.read()]})
+
+        yield from parse(opened())
+
+    return files.mapInPandas(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -272,5 +278,5 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     table gives no rows and no file; columns other than page_id, url and html are not read.
     """
     folder = f"{new_folder(pages.sparkSession)}/warc"
-    files = cut(write_files(write(plan(pages, least)), folder))
-    return read(open_files(files, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = cut(write_files(plan(pages, least), folder))
+    return read_files(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

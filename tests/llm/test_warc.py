@@ -79,7 +79,7 @@ def test_plain_archives_without_dictionary(spark):
 
 def test_archives_are_files_that_others_read(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, SCHEMA)
-    files = warc.write_files(warc.write(warc.plan(pages), archive_bytes=2000), str(tmp_path)).collect()
+    files = warc.write_files(warc.plan(pages), str(tmp_path), archive_bytes=2000).collect()
     there = sorted(p for p in tmp_path.iterdir() if not p.name.startswith("."))
     assert len(there) > 1 and {(p.name, p.stat().st_size) for p in there} == {(r.path, r.length) for r in files}
     assert all(p.name.endswith(".warc.zst") and hashlib.sha256(p.read_bytes()).hexdigest().startswith(p.name[:24]) for p in there)
