@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, held_out
 
-WHITE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
@@ -35,14 +34,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     """
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    # All blanks become spaces; the pieces between single spaces are words, and empty where blanks meet.
+    t = t.withColumn("pieces", F.split(F.translate("t", BLANKS[1:], " " * (len(BLANKS) - 1)), " "))
     t = t.select(
         "doc_id",
-        _without(F.col("t"), BLANKS).cast("long").alias("word_chars"),
+        (F.length("t") - F.size("pieces") + 1).cast("long").alias("word_chars"),
         (F.length("t") - _without(F.col("t"), "#*$%&|<>")).cast("long").alias("n_symbols"),
         (F.length("t") - _without(F.col("t"), UPPER)).cast("long").alias("n_upper"),
         (F.length("t") - _without(F.col("t"), "!?.,;:")).cast("long").alias("n_signs"),
         F.when(F.instr("t", "\n") > 0, lines).otherwise(F.array().cast("array<string>")).alias("lines"),
-        F.transform(F.filter(F.split("t", WHITE), lambda x: x != ""), lambda x: F.xxhash64(x)).alias("w"),
+        F.transform(F.filter("pieces", lambda x: x != ""), lambda x: F.xxhash64(x)).alias("w"),
     )
     t = t.select(
         *[c for c in t.columns if c not in ("lines", "w")],
@@ -175,10 +176,15 @@ def verdict(rules: list[list[Test]]) -> Column:
 
 
 def train(stats: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[list[Test]]:
-    """Rules from at most ``sample`` labelled rows outside the held-out quarter; only their numbers reach the driver."""
+    """Rules from at most ``sample`` labelled rows outside the held-out quarter; only their numbers reach the driver.
+
+    Of rows that repeat an id one counts, that with the smallest numbers.
+    """
     lab = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = lab.withColumn("h", F.xxhash64("doc_id", F.lit("rules"))).orderBy("h", "doc_id").limit(sample)
-    rows = stats.filter(f"NOT ({BASE_FAILED})").join(chosen, "doc_id").select(*[F.expr(e).alias(k) for k, e in FEATURES.items()], (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)).alias("fold"))
+    numbers = [c for c in stats.columns if c != "doc_id"]
+    one = stats.filter(f"NOT ({BASE_FAILED})").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*numbers)).alias("s")).select("doc_id", "quality", "s.*")
+    rows = one.orderBy("doc_id").select(*[F.expr(e).alias(k) for k, e in FEATURES.items()], (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)).alias("fold"))
     return learn([r.asDict() for r in rows.collect()])
 
 
@@ -186,7 +192,8 @@ def assess(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFram
     """One row per document: doc_id, n_words, the four statistics, base_failed, kept and rule (0: none).
 
     ``kept`` is false if base_failed, else unless a learned rule marks the row.
-    Without labels no rule is learned. Null ids and repeated rows stay.
+    Without labels no rule is learned. A null text has no words. Null ids and
+    repeated rows stay; an empty table gives no rows; other columns are not read.
     """
     stats = cut(statistics(docs))
     rule = verdict(train(stats, labels, sample))

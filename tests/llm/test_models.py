@@ -280,3 +280,11 @@ def test_rules_are_pruned_conjunctions():
     found = rules.learn(rows)
     assert found and {t.feature for t in found[0]} == {"symbol_share", "upper_share"}
     assert rules.learn([x | {"bad": False} for x in rows]) == []
+
+
+def test_a_repeated_id_is_one_row_for_the_rules(spark):
+    one = " ".join(f"w{i}" for i in range(40))
+    d = spark.createDataFrame([(1, one + f" {i}###") for i in range(300)] + [(3, one), (4, one + " x")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 0, 0) for i in (1, 3, 4)], "doc_id long, quality int, toxic int")
+    assert rules.train(rules.statistics(d), lab, sample=10) == []  # three rows at most: too few for a rule
+    assert rules.assess(d, lab).filter("kept").count() == 302
