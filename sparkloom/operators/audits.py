@@ -100,11 +100,58 @@ def jitter(task_id: Column, attempt: Column, share: float = 0.25) -> Column:
     return 1 - share + 2 * share * F.pmod(F.xxhash64(task_id, attempt), F.lit(1_000_000)) / 1_000_000
 
 
-def outcomes(failures: DataFrame, most_attempts: int = 5) -> DataFrame:
-    """What becomes of each failed attempt: BLOCKED, FAILED, DEAD_LETTER, or RETRY_WAIT with its time."""
+def outcomes(failures: DataFrame, most_attempts: int = 5, circuits: DataFrame | None = None) -> DataFrame:
+    """What becomes of each failed attempt: BLOCKED, FAILED, DEAD_LETTER, or RETRY_WAIT with its time.
+
+    ``circuits`` (route, state, cooldown_until) are those of the routes: on a route
+    whose circuit is open at the failure, a retry waits for the cooldown's end
+    instead of the backoff. circuit_state is ``closed`` on unknown routes and null where no retry is to come.
+    """
     f = failures.withColumn("c", classify(F.col("status_code"), F.col("error_code")))
     state = F.when(F.col("c.action") != "RETRY_WAIT", F.col("c.action")).when(F.col("attempt") >= most_attempts, "DEAD_LETTER").otherwise("RETRY_WAIT")
     f = f.withColumn("outcome", state)
+    if circuits is None:
+        f = f.withColumns({"_state": F.lit(None).cast("string"), "_until": F.lit(None).cast("timestamp")})
+    else:
+        f = f.join(circuits.select("route", F.col("state").alias("_state"), F.col("cooldown_until").alias("_until")), "route", "left")
+    shut = F.coalesce((F.col("_state") == "open") & (F.col("failed_at") < F.col("_until")), F.lit(False))
     delay = backoff(F.col("attempt"), F.col("lane"), F.col("c.failure_class"), F.col("retry_after"))
-    at = F.timestamp_micros((F.unix_micros("failed_at") + delay * 1e6).cast("long"))
-    return f.withColumn("retry_at", F.when(F.col("outcome") == "RETRY_WAIT", at)).withColumn("failure_class", F.col("c.failure_class")).drop("c")
+    at = F.when(shut, F.col("_until")).otherwise(F.timestamp_micros((F.unix_micros("failed_at") + delay * 1e6).cast("long")))
+    waits = lambda x: F.when(F.col("outcome") == "RETRY_WAIT", x)
+    return f.withColumns({"retry_at": waits(at), "failure_class": F.col("c.failure_class"), "circuit_state": waits(F.when(shut, "open").when(F.col("_state") == "open", "half_open").otherwise(F.coalesce("_state", F.lit("closed"))))}).drop("c", "_state", "_until")
+
+
+# States that have spent budget, and those in flight.
+SPENT, IN_FLIGHT = ("READY", "LEASED", "RUNNING", "SUCCEEDED", "RETRY_WAIT"), ("READY", "LEASED", "RUNNING")
+
+
+def task_counts(tasks: DataFrame, states: tuple[str, ...]) -> DataFrame:
+    return tasks.groupBy("job_id").agg(*[F.count(F.when(F.col("state") == s, 1)).alias(f"n_{s.lower()}") for s in states], F.count("*").alias("total"))
+
+
+def lane_backlog(tasks: DataFrame) -> DataFrame:
+    return tasks.filter(F.col("state").isin(*LIVE)).groupBy("lane").agg(F.count("*").alias("backlog"))
+
+
+def lane_spend(tasks: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Per (job_id, lane): spent, budget, allowed and reason, against a table of budgets (job_id, lane, budget).
+
+    Lanes without a budget are always allowed. A job's lane with a budget and no task has spent 0.
+    """
+    spent = tasks.groupBy("job_id", "lane").agg(F.count(F.when(F.col("state").isin(*SPENT), 1)).alias("spent"))
+    j = spent.join(budgets.select("job_id", "lane", "budget"), ["job_id", "lane"], "full_outer").withColumn("spent", F.coalesce("spent", F.lit(0)))
+    reason = F.when(F.col("budget").isNull(), "lane_not_budgeted").when(F.col("spent") >= F.col("budget"), "budget_exhausted").otherwise("within_budget")
+    return j.withColumn("reason", reason).withColumn("allowed", F.col("reason") != "budget_exhausted")
+
+
+def lane_in_flight(tasks: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per lane: in_flight, most, allowed and reason, against a table of limits (lane, most); no limit or 0 means no gate."""
+    flying = tasks.groupBy("lane").agg(F.count(F.when(F.col("state").isin(*IN_FLIGHT), 1)).alias("in_flight"))
+    j = flying.join(limits.select("lane", "most"), "lane", "full_outer").withColumn("in_flight", F.coalesce("in_flight", F.lit(0)))
+    gated = F.coalesce(F.col("most") > 0, F.lit(False))
+    reason = F.when(~gated, "lane_not_gated").when(F.col("in_flight") >= F.col("most"), "limit_reached").otherwise("within_limit")
+    return j.withColumn("reason", reason).withColumn("allowed", F.col("reason") != "limit_reached")
+
+
+def workers(tasks: DataFrame) -> DataFrame:
+    return tasks.groupBy("lease_owner").agg(F.count(F.when(F.col("state") == "RUNNING", 1)).alias("active"), F.max("at").alias("last_seen"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,28 +14,6 @@ DIMENSIONS = {
 }
 UNVERIFIED, SAFETY = 12, 20
 BANDS = {"reject": (0, 49.99), "research": (50, 64.99), "experiment": (65, 79.99), "priority": (80, 100)}
-# Search templates (id, goal, text).
-TEMPLATES = (
-    ("q-complaint", "complaint", "{activity} {task} annoying"),
-    ("q-hard-to", "complaint", "{activity} hard to {task}"),
-    ("q-wish", "complaint", "{activity} wish it had {friction_family}"),
-    ("q-workaround", "workaround", "{activity} {task} DIY modification"),
-    ("q-cut", "workaround", "{activity} cut sewed taped repurposed"),
-    ("q-gloves", "context", "{activity} {task} with gloves"),
-    ("q-wet", "context", "{activity} {task} wet hands"),
-    ("q-onehand", "context", "{activity} {task} one handed"),
-    ("q-dark", "context", "{activity} {task} in the dark"),
-    ("q-review", "competition", "{activity} {product_territory} review problem"),
-    ("q-return", "competition", "{product_territory} returned broke leaked"),
-    ("q-price", "price", "{product_territory} price buy"),
-    ("q-season", "seasonality", "{activity} trend {current_year} {region}"),
-    ("q-falsify", "falsification", "{activity} no need for {product_territory}"),
-    ("q-best", "competition", "best {product_territory} for {activity}"),
-    ("q-forum", "community", "{activity} forum {task} problem"),
-    ("q-video", "behavior", "{activity} how I {task}"),
-    ("q-3dprint", "workaround", "{activity} {task} 3D print"),
-)
-
 
 def weighted_score() -> Column:
     """100 x the weighted sum over five times the weights; null if a level is no whole number from 0 to 5."""
@@ -78,8 +56,9 @@ def score_table(candidates: DataFrame) -> DataFrame:
     }).drop("_p", "_f")
 
 
-def templates(spark) -> DataFrame:
-    return spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "t int, template_id string, evidence_goal string, template string")
+def templates(spark, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """A caller's templates (id, goal, text) as a numbered table."""
+    return spark.createDataFrame([(i, *t) for i, t in enumerate(rows)], "t int, template_id string, evidence_goal string, template string")
 
 
 def query_pack(rows: DataFrame, packs: DataFrame, region: str, year: int) -> DataFrame:
@@ -129,21 +108,32 @@ def prefix_sums(totals: DataFrame, key: str, value: str, width: int = 1000) -> D
 
 
 def evidence_split(evidence: DataFrame) -> DataFrame:
-    """Per candidate: rows of evidence by polarity as sorted, table-safe text."""
+    """The evidence of each candidate by polarity: (candidate_id, polarity, position, evidence_id, observation), table-safe.
+
+    A row stays a row, whole: a candidate with very much evidence is never one value.
+    """
     safe = F.regexp_replace(F.regexp_replace("observation", r"\|", "/"), r"[\r\n]+", " ")
-    e = evidence.select("candidate_id", "polarity", F.struct("evidence_id", safe.alias("observation")).alias("e"))
-    got = lambda p: F.array_sort(F.collect_list(F.when(F.col("polarity") == p, F.col("e")))).alias(p)
-    return e.groupBy("candidate_id").agg(*[got(p) for p in ("supporting", "contradicting", "neutral")])
+    position = F.row_number().over(Window.partitionBy("candidate_id", "polarity").orderBy("evidence_id"))
+    return evidence.select("candidate_id", "polarity", position.alias("position"), "evidence_id", safe.alias("observation"))
 
 
 def render(candidates: DataFrame, split: DataFrame, headings: Mapping[str, str] | None = None) -> DataFrame:
-    """One Markdown report per candidate: (candidate_id, report)."""
+    """One Markdown report per candidate, as lines (candidate_id, section, line, text) that a text sink writes in order.
+
+    Section 0 is the title and the score; each further one is a heading (line 0) and a table row per evidence, or ``_none_``.
+    """
     names = headings or {"supporting": "Supporting evidence", "contradicting": "Contradicting evidence", "neutral": "Neutral evidence"}
-    j = candidates.select("candidate_id", "title", "final_score", "score_band").join(split, "candidate_id", "left")
-    rows = lambda p: F.when(F.coalesce(F.size(p), F.lit(0)) <= 0, "_none_").otherwise(F.array_join(F.transform(p, lambda x: F.concat(F.lit("| "), x["evidence_id"].cast("string"), F.lit(" | "), x["observation"], F.lit(" |"))), "\n"))
-    parts = [F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("Score: "), F.col("final_score"), F.lit(" ("), F.col("score_band"), F.lit(")"))]
-    parts += [F.concat(F.lit(f"## {name}\n\n"), rows(p)) for p, name in names.items()]
-    return j.select("candidate_id", F.concat_ws("\n\n", *parts).alias("report"))
+    c = candidates.select("candidate_id", "title", "final_score", "score_band")
+    line = lambda section, n, text: F.struct(F.lit(section).alias("section"), F.lit(n).alias("line"), text.alias("text"))
+    fixed = [line(0, 0, F.concat(F.lit("# "), F.col("title"))), line(0, 1, F.concat(F.lit("Score: "), F.col("final_score"), F.lit(" ("), F.col("score_band"), F.lit(")")))]
+    fixed += [line(k, 0, F.lit(f"## {name}")) for k, name in enumerate(names.values(), 1)]
+    heads = c.select("candidate_id", F.explode(F.array(*fixed)).alias("l")).select("candidate_id", "l.*")
+    number = F.element_at(F.create_map(*[F.lit(x) for k, p in enumerate(names, 1) for x in (p, k)]), F.col("polarity"))
+    known = split.filter(F.col("polarity").isin(*names)).join(c.select("candidate_id"), "candidate_id", "left_semi").withColumn("section", number)
+    rows = known.select("candidate_id", "section", F.col("position").alias("line"), F.concat(F.lit("| "), F.col("evidence_id").cast("string"), F.lit(" | "), "observation", F.lit(" |")).alias("text"))
+    every = c.select("candidate_id", F.explode(F.array(*[F.lit(k) for k in range(1, len(names) + 1)])).alias("section"))
+    none = every.join(known.select("candidate_id", "section").distinct(), ["candidate_id", "section"], "left_anti").select("candidate_id", "section", F.lit(1).alias("line"), F.lit("_none_").alias("text"))
+    return heads.unionByName(rows).unionByName(none)
 
 
 # Allowed changes of the research state.

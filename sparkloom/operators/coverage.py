@@ -16,10 +16,12 @@ HOSTILE_CAP = 0.50
 
 
 def grid(signals: DataFrame) -> DataFrame:
-    """Per (niche_id, signal_type, tier): the best confidence and the sorted ids that reach it."""
-    best = signals.groupBy("niche_id", "signal_type", "tier").agg(F.max("confidence").alias("best_confidence"))
-    same = signals.join(best, ["niche_id", "signal_type", "tier"]).filter(F.col("confidence") == F.col("best_confidence"))
-    return same.groupBy("niche_id", "signal_type", "tier", "best_confidence").agg(F.array_sort(F.collect_set("signal_id")).alias("signal_ids"))
+    """Per (niche_id, signal_type, tier): the best confidence and the sorted ids that reach it. Signals are read once."""
+    cell = ["niche_id", "signal_type", "tier"]
+    # Ids of equal confidence are gathered first; of a cell's confidences only the best goes on.
+    same = signals.groupBy(*cell, "confidence").agg(F.collect_set("signal_id").alias("ids"))
+    best = same.groupBy(*cell).agg(F.max(F.struct("confidence", F.array_sort("ids").alias("ids"))).alias("b"))
+    return best.select(*cell, F.col("b.confidence").alias("best_confidence"), F.col("b.ids").alias("signal_ids"))
 
 
 def best_across(kind: str, tiers: Sequence[str]) -> Column:
@@ -44,7 +46,7 @@ def hard_met(floor: float = X.MIN_CELL_CONFIDENCE) -> Column:
 def gaps(floor: float = X.MIN_CELL_CONFIDENCE) -> Column:
     """array<struct<signal_type, source_tier, reason>>: hard gaps, then soft ones."""
     entry = lambda kind, word, col: F.when(F.col(col) < floor, F.struct(F.lit(kind).alias("signal_type"), F.lit("open").alias("source_tier"), F.format_string(f"{word} confidence %.3f < {floor:.2f}", F.col(col)).alias("reason")))
-    every = [entry(k, "hard-required: best open|defended", f"hard_{k}") for k in HARD] + [entry(k, "soft-required: best any-tier", f"any_{k}") for k in SOFT]
+    every = [entry(k, "needed: best of open and defended,", f"hard_{k}") for k in HARD] + [entry(k, "wanted: best of all tiers,", f"any_{k}") for k in SOFT]
     return F.filter(F.array(*every), lambda x: x.isNotNull())
 
 
@@ -85,3 +87,10 @@ def loss_gaps(signals: DataFrame, tiers: Sequence[str]) -> DataFrame:
     left = best_by_niche(without_tiers(signals, tiers))
     every = signals.select("niche_id").distinct().join(left, "niche_id", "left").na.fill(0.0)
     return every.withColumn("coverage_gaps", gaps())
+
+
+def tier_effects(signals: DataFrame, confidence: DataFrame, lost: Sequence[str], hard_required_tiers: Sequence[str] = HARD_TIERS) -> DataFrame:
+    """Per niche: hostile_dependent, its confidence (niche_id, confidence) capped for that, to 2 places, and the gaps once ``lost`` tiers are gone."""
+    d = hostile_dependence(signals, hard_required_tiers=hard_required_tiers)
+    j = d.join(loss_gaps(signals, lost), "niche_id").join(confidence.select("niche_id", F.col("confidence").alias("_c")), "niche_id", "left")
+    return j.select("niche_id", "hostile_dependent", F.round(cap(F.col("_c"), F.col("hostile_dependent")), 2).alias("capped_confidence"), "coverage_gaps")

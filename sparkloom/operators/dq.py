@@ -88,6 +88,34 @@ def totals(reports: Sequence[DataFrame]) -> DataFrame:
     return every.agg(F.count(F.when(F.col("severity") == "error", 1)).alias("errors"), F.count(F.when(F.col("severity") == "warning", 1)).alias("warnings")).withColumn("ok", F.col("errors") == 0)
 
 
+@dataclass(frozen=True)
+class TableRules:
+    """What is asked of one table: columns, a unique key, rules, references (column, table, its column) and a least number of rows."""
+
+    key: str
+    required: Sequence[str] = ()
+    rules: Sequence[Rule] = ()
+    references: Sequence[tuple[str, str, str]] = ()
+    least_rows: int = 0
+
+
+def validate(tables: Mapping[str, DataFrame], specs: Mapping[str, TableRules]) -> DataFrame:
+    """Every finding over several tables, in the columns of ``REPORT``."""
+    found = []
+    for name, spec in specs.items():
+        df = tables[name]
+        found += [missing_columns(df, name, spec.required), duplicate_keys(df, name, spec.key)]
+        if spec.rules:
+            found.append(run_rules(df, name, spec.key, spec.rules))
+        found += [foreign_key(df, column, tables[other], theirs, name, spec.key) for column, other, theirs in spec.references]
+        if spec.least_rows:
+            found.append(row_floor(df, name, spec.least_rows))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def provenance_rules(struct: str, keys: Sequence[str]) -> list[Rule]:
     return [Rule(f"provenance:{k}", "error", F.length(F.col(f"{struct}.{k}").cast("string")) > 0) for k in keys]
 

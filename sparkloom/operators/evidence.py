@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dq
+
 
 def finalize(evidence: DataFrame, page_id: str = "page_id") -> DataFrame:
     """The page first among the parents if it is missing; a content hash of the canonical fields."""
@@ -68,7 +70,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def pack_bundle(records: DataFrame, budget: int, slices: int = 32) -> DataFrame:
+def pack_bundle(records: DataFrame, budget: int) -> DataFrame:
     """Add ``included``: the records of a job in rank order up to the first that overflows the token budget.
 
     Tokens are at least 1, so the running sum is over the budget from then on.
@@ -95,13 +97,20 @@ def replay(requests: DataFrame, responses: DataFrame, keys: list[str]) -> DataFr
 
 
 def rollup(evidence: DataFrame, keys: list[str], most: int = 25, exemplars: int = 3) -> DataFrame:
-    """The ``most`` largest clusters of each key: count, mean sentiment and the first exemplars."""
-    out = None
-    for k in keys:
-        g = evidence.groupBy(F.lit(k).alias("cluster_kind"), F.col(k).cast("string").alias("cluster")).agg(F.count("*").alias("n"), F.avg("sentiment").alias("sentiment"), F.min("evidence_id").alias("exemplar"))
-        out = g if out is None else out.unionByName(g)
+    """The ``most`` largest clusters of each key: count, mean sentiment, how many are negative, neutral and positive, and the first exemplars.
+
+    Evidence is read once for all keys. A null sentiment counts in none of the three.
+    """
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("cluster_kind"), F.col(k).cast("string").alias("cluster")) for k in keys]))
+    long = evidence.select(every.alias("c"), "sentiment", "evidence_id").select("c.*", "sentiment", "evidence_id")
+    sign = lambda ok: F.count(F.when(ok, 1))
+    g = long.groupBy("cluster_kind", "cluster").agg(F.count("*").alias("n"), F.avg("sentiment").alias("sentiment"), sign(F.col("sentiment") < 0).alias("negative"), sign(F.col("sentiment") == 0).alias("neutral"), sign(F.col("sentiment") > 0).alias("positive"))
     rank = F.row_number().over(Window.partitionBy("cluster_kind").orderBy(F.desc("n"), "cluster"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= most)
+    top = g.withColumn("rank", rank).filter(F.col("rank") <= most)
+    nth = F.row_number().over(Window.partitionBy("cluster_kind", "cluster").orderBy("evidence_id"))
+    few = long.select("cluster_kind", "cluster", "evidence_id").withColumn("_k", nth).filter(F.col("_k") <= exemplars)  # tasks keep the first few before they shuffle
+    shown = few.groupBy("cluster_kind", "cluster").agg(F.array_sort(F.collect_list("evidence_id")).alias("exemplars"))
+    return top.join(shown, top["cluster_kind"].eqNullSafe(shown["cluster_kind"]) & top["cluster"].eqNullSafe(shown["cluster"])).select(*[top[c] for c in top.columns], "exemplars")
 
 
 def quorum(records: DataFrame, least_records: int = 100, least_domains: int = 10) -> DataFrame:
@@ -143,12 +152,63 @@ def plan_violations(plans: DataFrame, allowed: list[str]) -> DataFrame:
     return many.unionByName(bad).unionByName(blank)
 
 
-def check_decisions(decisions: DataFrame, required: dict[str, list[str]]) -> Column:
-    """Missing arguments of a decision's action, sorted."""
-    marks = [F.when((F.col("action") == a) & ~F.coalesce(F.array_contains(F.map_keys("args"), x), F.lit(False)), F.lit(f"{a}.{x}")) for a, xs in required.items() for x in xs]
+def check_decisions(required: dict[str, list[str]], manifest_hash: Column, cited_hash: Column) -> Column:
+    """Violations of a decision (action, args), sorted: no or another manifest hash, an unknown action, missing arguments."""
+    known = F.col("action").isin(*required)
+    marks = [F.when(~F.coalesce(F.length(manifest_hash) > 0, F.lit(False)), F.lit("manifest_hash")).when(~F.coalesce(cited_hash == manifest_hash, F.lit(False)), F.lit("cited_manifest_hash"))]
+    marks += [F.when(F.col("action").isNull() | F.col("args").isNull(), F.lit("action_and_args")).when(~known, F.lit("action"))]
+    marks += [F.when((F.col("action") == a) & ~F.coalesce(F.array_contains(F.map_keys("args"), x), F.lit(False)), F.lit(f"{a}.{x}")) for a, xs in required.items() for x in xs]
     return F.array_sort(F.filter(F.array(*marks), lambda x: x.isNotNull()))
 
 
+# Keys that prose must not carry.
+EXPLANATION_FORBIDDEN = ("score", "subscores", "normalized_score", "opp_confidence", "opportunity_id", "final", "confidence")
+RATIONALE_FORBIDDEN = ("action", "args", "constraint_rank", "score", "subscores", "fit_score", "rank", "ranked_opportunity_ids", "decision_id", "normalized_score", "confidence", "opportunity_id", "final")
+
+
+def prose_violations(raw: Column, forbidden: tuple[str, ...]) -> Column:
+    """Violations of prose given as a JSON text with ``text`` and perhaps ``cited_record_ids``, sorted.
+
+    ``forbidden:<key>`` for keys of scoring or routing, ``text`` if it is missing or
+    blank or no string, ``cited`` if it is no array, ``cited_empty`` for blank ids, ``json`` for what is no object.
+    """
+    keys = F.json_object_keys(raw)
+    found = F.transform(F.array_intersect(keys, F.array(*map(F.lit, forbidden))), lambda k: F.concat(F.lit("forbidden:"), k))
+    text, cited = F.get_json_object(raw, "$.text"), F.get_json_object(raw, "$.cited_record_ids")
+    has_list = F.coalesce(F.trim(cited).startswith("["), F.lit(False))
+    ids = F.from_json(F.when(has_list, cited), "array<string>")
+    marks = F.array(
+        F.when(F.coalesce(F.trim(text), F.lit("")) == "", "text"), F.when(cited.isNotNull() & ~has_list, "cited"),
+        F.when(F.exists(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) == ""), "cited_empty"),
+    )
+    return F.when(keys.isNull(), F.array(F.lit("json"))).otherwise(F.array_sort(F.concat(found, F.filter(marks, lambda x: x.isNotNull()))))
+
+
+def cited_ids(raw: Column) -> Column:
+    """The ids that prose cites; none if there are none."""
+    return F.coalesce(F.from_json(F.get_json_object(raw, "$.cited_record_ids"), "array<string>"), F.array().cast("array<string>"))
+
+
+def explanation_violations(explanations: DataFrame, key: str, raw: str, store: DataFrame) -> DataFrame:
+    """(key, violation) of explanations: those of the prose, and ``unknown:<id>`` for cited records that the store lacks."""
+    own = explanations.select(key, F.explode(prose_violations(F.col(raw), EXPLANATION_FORBIDDEN)).alias("violation"))
+    cited = explanations.select(key, F.explode(F.array_distinct(cited_ids(F.col(raw)))).alias("_id")).filter(F.trim("_id") != "")
+    lost = cited.join(store.select(F.col("record_id").cast("string").alias("_id")).distinct(), "_id", "left_anti")
+    return own.unionByName(lost.select(key, F.concat(F.lit("unknown:"), "_id").alias("violation")))
+
+
+def route(evidence: DataFrame, rules: list[dq.Rule], key: str, lane: str = "enrich") -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and a repair task (task_id, record_id, lane, violations) for each other row.
+
+    Both come from one pass over the rules; only valid rows should be indexed.
+    Materialise ``evidence`` first if both are written.
+    """
+    marked = dq.with_violations(evidence, rules)
+    broken = marked.filter(F.size("violations") > 0)
+    task = F.concat(F.lit("tsk_repair_"), F.substring(F.sha2(F.concat_ws("|", F.lit("repair"), F.col(key).cast("string"), F.array_join("violations", ",")), 256), 1, 12))
+    return marked.filter(F.size("violations") == 0).drop("violations"), broken.select(task.alias("task_id"), F.col(key).cast("string").alias("record_id"), F.lit(lane).alias("lane"), "violations")
+
+
 def mmr(records: DataFrame, alpha: float = 0.6, beta: float = 0.2, gamma: float = 0.2) -> DataFrame:
     """Rank by relevance and recency, less a growing penalty for each further record of one domain."""
     nth = F.row_number().over(Window.partitionBy("job_id", "domain").orderBy(F.desc("relevance"), "record_id"))
@@ -156,10 +216,23 @@ def mmr(records: DataFrame, alpha: float = 0.6, beta: float = 0.2, gamma: float
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc(F.round("mmr", 9)), "record_id")))
 
 
-def hard_gates(evidence: DataFrame, minima: dict[str, int]) -> DataFrame:
-    """Per candidate: different independence groups per gate kind, and whether all minima are met."""
-    g = evidence.groupBy("candidate_id").agg(*[F.count_distinct(F.when(F.col("gate") == k, F.col("independence_group"))).alias(k) for k in minima])
-    ok = F.lit(True)
-    for k, least in minima.items():
-        ok = ok & (F.col(k) >= least)
-    return g.withColumn("promote", ok)
+# What each gate counts, and its least number.
+GATES = {
+    "independent_complaints": ("complaint", "observation_id", 10),
+    "workaround_examples": ("workaround", "independence_group", 3),
+    "source_diversity": (None, "source_class", 3),
+    "competitor_review_analysis": ("competitor_review", "product", 2),
+    "current_price_checks": ("price", "seller", 3),
+    "risk_review": ("risk_review", "observation_id", 1),
+    "falsification_test": ("falsification", "observation_id", 1),
+}
+
+
+def hard_gates(evidence: DataFrame, gates: dict[str, tuple[str | None, str, int]] | None = None) -> DataFrame:
+    """Per candidate: for each gate the number of different values of its column among rows of its kind (all kinds if None),
+    the gates that fail, and promote if none does."""
+    gates = gates or GATES
+    counted = lambda kind, column: F.col(column) if kind is None else F.when(F.col("kind") == kind, F.col(column))
+    g = evidence.groupBy("candidate_id").agg(*[F.count_distinct(counted(kind, column)).alias(n) for n, (kind, column, _) in gates.items()])
+    failed = F.filter(F.array(*[F.when(F.col(n) < least, F.lit(n)) for n, (_, _, least) in gates.items()]), lambda x: x.isNotNull())
+    return g.withColumn("failed", failed).withColumn("promote", F.size("failed") == 0)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import cut
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the plan: to the shared checkpoint folder if there is one, else in memory and disk of the session."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from .joins import hot_join
 
 
 def strip_version(kind):
@@ -28,26 +27,43 @@ def select_edges(edges: DataFrame, limit: int | None = None, **where: str) -> Da
     return ordered if limit is None else ordered.limit(limit)
 
 
-def trace(roots: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def _walk(start: DataFrame, edges: DataFrame, step) -> list[DataFrame]:
+    """The new (root, kind, id) of each round, until a round finds nothing new, however deep that is.
+
+    ``step`` turns a frontier joined to its edges into the next one. The edges are
+    hashed by child once; only a round's new rows are written. A node that many
+    roots reach does not land in one task.
+    """
+    key = ["root", "kind", "id"]
+    e = cut(edges.withColumnsRenamed({"child_kind": "kind", "child_id": "id"}).repartition("kind", "id"))
+    rounds = [cut(start)]
+    while True:
+        seen = rounds[0].select(*key)
+        for r in rounds[1:]:
+            seen = seen.unionByName(r.select(*key))
+        new = cut(step(hot_join(rounds[-1], e, ["kind", "id"])).join(seen, key, "left_anti"))
+        if new.isEmpty():
+            return rounds
+        rounds.append(new)
+
+
+def _by_depth(rounds: list[DataFrame]) -> DataFrame:
+    out = rounds[0].withColumn("depth", F.lit(0))
+    for depth, r in enumerate(rounds[1:], 1):
+        out = out.unionByName(r.withColumn("depth", F.lit(depth)))
+    return out
+
+
+def trace(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(root_kind, root_id, kind, id, depth) of every node that each root reaches, itself at depth 0.
 
     All roots walk together, a round per depth; a node met before is not walked
-    again, so cycles end. The edges are hashed by child once. A frontier row
-    meets each parent edge once, and duplicates from shared parents collapse in
-    each round's distinct, before the next join.
+    again, so cycles end. Duplicates from shared parents collapse in each round.
     """
-    e = settle(unique_edges(edges).select("child_kind", "child_id", "parent_kind", "parent_id"))
-    key = ["root_kind", "root_id", "kind", "id"]
-    frontier = roots.select(F.col("kind").alias("root_kind"), F.col("id").alias("root_id"), "kind", "id").distinct().withColumn("depth", F.lit(0))
-    seen = frontier = settle(frontier)
-    for depth in range(1, most + 1):
-        up = frontier.join(e, (frontier["kind"] == e["child_kind"]) & (frontier["id"] == e["child_id"]))
-        step = up.select("root_kind", "root_id", F.col("parent_kind").alias("kind"), F.col("parent_id").alias("id")).distinct()
-        frontier = settle(step.join(seen.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return seen
-        seen = settle(seen.unionByName(frontier))
-    raise RuntimeError(f"deeper than {most}")
+    start = roots.select(F.struct("kind", "id").alias("root"), "kind", "id").distinct()
+    up = lambda j: j.select("root", F.col("parent_kind").alias("kind"), F.col("parent_id").alias("id")).distinct()
+    found = _by_depth(_walk(start, unique_edges(edges).select("child_kind", "child_id", "parent_kind", "parent_id"), up))
+    return found.select(F.col("root.kind").alias("root_kind"), F.col("root.id").alias("root_id"), "kind", "id", "depth")
 
 
 def leaves(traced: DataFrame, leaf_kind: str = "query_spec") -> DataFrame:
@@ -72,20 +88,16 @@ def diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, F.when(F.col("_r").isNull(), "left").when(F.col("_l").isNull(), "right").otherwise("both").alias("side"))
 
 
-def replay_plan(roots: DataFrame, edges: DataFrame, leaf_kind: str, most: int = 100) -> DataFrame:
+def replay_plan(roots: DataFrame, edges: DataFrame, leaf_kind: str) -> DataFrame:
     """(root_id, leaf_id, depth, pins): version tags on the first-found, shortest path to each leaf; ties by the path's text."""
-    e = settle(edges.select("child_kind", "child_id", "parent_kind", "parent_id", "version_tag"))
-    key = ["root_id", "kind", "id"]
-    frontier = seen = settle(roots.select(F.col("id").alias("root_id"), "kind", "id").distinct().withColumns({"depth": F.lit(0), "pins": F.lit("")}))
-    for depth in range(1, most + 1):
-        up = frontier.join(e, (frontier["kind"] == e["child_kind"]) & (frontier["id"] == e["child_id"]))
-        step = up.select("root_id", F.col("parent_kind").alias("kind"), F.col("parent_id").alias("id"), F.concat_ws(">", F.nullif("pins", F.lit("")), F.concat_ws("=", "parent_kind", "version_tag")).alias("pins"))
-        step = step.groupBy(*key).agg(F.min("pins").alias("pins"))
-        frontier = settle(step.join(seen.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)).select(*key, "depth", "pins"))
-        if frontier.isEmpty():
-            break
-        seen = settle(seen.unionByName(frontier))
-    return seen.filter(F.col("kind") == leaf_kind).select("root_id", F.col("id").alias("leaf_id"), "depth", "pins")
+
+    def up(j: DataFrame) -> DataFrame:
+        pins = F.concat_ws(">", F.nullif("pins", F.lit("")), F.concat_ws("=", "parent_kind", "version_tag"))
+        return j.select("root", F.col("parent_kind").alias("kind"), F.col("parent_id").alias("id"), pins.alias("pins")).groupBy("root", "kind", "id").agg(F.min("pins").alias("pins"))
+
+    start = roots.select(F.struct("kind", "id").alias("root"), "kind", "id").distinct().withColumn("pins", F.lit(""))
+    found = _by_depth(_walk(start, edges.select("child_kind", "child_id", "parent_kind", "parent_id", "version_tag"), up))
+    return found.filter(F.col("kind") == leaf_kind).select(F.col("root.id").alias("root_id"), F.col("id").alias("leaf_id"), "depth", "pins")
 
 
 def node_metadata(traced: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -132,3 +132,10 @@ def request_fingerprint(url: Column, method: Column, body_text: Column) -> Colum
     path = F.regexp_extract(bare, r"^[a-zA-Z]+://[^/?]*([^?]*)", 1)
     params = F.array_join(F.array_sort(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")), "&")
     return F.sha2(F.concat_ws("\n", F.upper(method), F.concat(head, path), params, body_text), 256)
+
+
+def chunks(docs: DataFrame, key: str, size: int = 100, overlap: int = 10) -> DataFrame:
+    """(key, chunk, body): the words of each text in runs of ``size``, each of which begins with the last ``overlap`` of the one before."""
+    t = docs.select(key, F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("t")).filter(F.size("t") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("t") - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    return t.select(key, "t", F.posexplode(starts).alias("chunk", "i")).select(key, "chunk", F.array_join(F.slice("t", F.col("i") + 1, F.lit(size)), " ").alias("body"))

@@ -130,3 +130,22 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     for c in cols:
         same = same & F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
     return j.select("niche_id", *[F.round(F.col(f"r_{c}") - F.col(f"l_{c}"), 6).alias(f"d_{c}") for c in cols], same.alias("identical"))
+
+
+#: What an explanation may not change.
+KEPT = ("score", "confidence", "subscores", "scored_from", "provenance")
+
+
+def attach_explanations(opportunities: DataFrame, explained: DataFrame, key: str = "opportunity_id", kept: Sequence[str] = KEPT) -> DataFrame:
+    """Opportunities with the explanation of ``explained`` (key, explanation, and its copy of the kept fields), if it changed none of them.
+
+    ``changed`` lists the kept fields that differ; such an explanation is left out
+    (status ``ERR_CHANGED``). Status is ``NO_EXPLANATION`` where there is none. The kept
+    fields of the result are always those of ``opportunities``.
+    """
+    theirs = explained.select(key, F.col("explanation").alias("_text"), *[F.col(c).alias(f"_{c}") for c in kept])
+    j = opportunities.join(theirs, key, "left")
+    changed = F.filter(F.array(*[F.when(~F.to_json(F.struct(F.col(c).alias("v"))).eqNullSafe(F.to_json(F.struct(F.col(f"_{c}").alias("v")))), F.lit(c)) for c in kept]), lambda x: x.isNotNull())
+    status = F.when(F.col("_text").isNull(), "NO_EXPLANATION").when(F.size(changed) > 0, "ERR_CHANGED").otherwise("OK")
+    j = j.withColumns({"changed": F.when(F.col("_text").isNotNull(), changed).otherwise(F.array().cast("array<string>")), "explanation_status": status})
+    return j.withColumn("explanation", F.when(F.col("explanation_status") == "OK", F.col("_text"))).drop("_text", *[f"_{c}" for c in kept])

@@ -75,7 +75,7 @@ def _gap_sql(kind: str, word: str, col: str) -> str:
     return f"CASE WHEN {col} < 0.4 THEN '{kind}/open/{word} confidence ' || printf('%.3f', {col}) || ' < 0.40' END"
 
 
-GAPS = "list_filter([" + ", ".join([*[_gap_sql(k, "hard-required: best open|defended", f"hard_{k}") for k in ("demand", "pain")], *[_gap_sql(k, "soft-required: best any-tier", f"any_{k}") for k in ("growth", "competition", "content")]]) + "], lambda x: x IS NOT NULL)"
+GAPS = "list_filter([" + ", ".join([*[_gap_sql(k, "needed: best of open and defended,", f"hard_{k}") for k in ("demand", "pain")], *[_gap_sql(k, "wanted: best of all tiers,", f"any_{k}") for k in ("growth", "competition", "content")]]) + "], lambda x: x IS NOT NULL)"
 GATE = f"""gt AS (SELECT *, hard_demand >= 0.4 AND hard_pain >= 0.4 AS hard_required_met, CASE WHEN hard_demand >= 0.4 AND hard_pain >= 0.4 AND len({GAPS}) = 0 THEN 'admitted' WHEN hard_demand >= 0.4 AND hard_pain >= 0.4 THEN 'scores_with_gaps' ELSE 'blocked' END AS outcome, {GAPS} AS gaps FROM bn)"""
 
 

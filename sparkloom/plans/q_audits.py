@@ -169,7 +169,7 @@ _STATES = ("PENDING", "RUNNING", "RETRY_WAIT", "SUCCEEDED", "DEAD_LETTER")
 
 @register("roll_task_counts", f"WITH {_TASKS} SELECT job_id, " + ", ".join(f"count(*) FILTER (state = '{s}') AS n_{s.lower()}" for s in _STATES) + ", count(*) AS total FROM tk GROUP BY job_id")
 def roll_task_counts(spark, d):
-    return tasks(spark, d).groupBy("job_id").agg(*[F.count(F.when(F.col("state") == s, 1)).alias(f"n_{s.lower()}") for s in _STATES], F.count("*").alias("total"))
+    return A.task_counts(tasks(spark, d), _STATES)
 
 
 @register("roll_job_children", f"WITH {_JOBS} SELECT parent_job_id, count(*) AS n, string_agg(CAST(job_id AS VARCHAR), ';' ORDER BY job_id) AS children FROM jb WHERE parent_job_id IS NOT NULL GROUP BY ALL")
@@ -187,7 +187,7 @@ def roll_job_tasks(spark, d):
 
 @register("roll_workers", f"WITH {_TASKS} SELECT lease_owner, count(*) FILTER (state = 'RUNNING') AS active, max(t0) AS last_seen FROM tk GROUP BY lease_owner")
 def roll_workers(spark, d):
-    return tasks(spark, d).groupBy("lease_owner").agg(F.count(F.when(F.col("state") == "RUNNING", 1)).alias("active"), F.max("at").cast("timestamp_ntz").alias("last_seen"))
+    return A.workers(tasks(spark, d)).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
 @register("roll_dead_letters", f"WITH {_TASKS} SELECT task_id, job_id, t0 AS done_at FROM tk WHERE state = 'DEAD_LETTER'")
@@ -197,17 +197,27 @@ def roll_dead_letters(spark, d):
 
 @register("roll_lane_backlog", f"WITH {_TASKS} SELECT lane, count(*) AS backlog FROM tk WHERE state IN {_LIVE} GROUP BY lane")
 def roll_lane_backlog(spark, d):
-    return tasks(spark, d).filter(F.col("state").isin(*A.LIVE)).groupBy("lane").agg(F.count("*").alias("backlog"))
+    return A.lane_backlog(tasks(spark, d))
 
 
-@register("roll_lane_spend", f"WITH {_TASKS} SELECT job_id, lane, count(*) AS spent, 3 AS budget, count(*) >= 3 AS exhausted FROM tk GROUP BY ALL")
+_BUD = "bd AS (SELECT c_custkey AS job_id, lane, CASE lane WHEN 'http' THEN 2 + c_custkey % 4 WHEN 'browser' THEN c_custkey % 3 ELSE 1 END AS budget FROM customer, (SELECT unnest(['http', 'browser', 'search']) AS lane) WHERE c_custkey % 5 <> 0)"
+
+
+@register("roll_lane_spend", f"WITH {_TASKS}, {_BUD}, sp AS (SELECT job_id, lane, count(*) FILTER (state IN ('READY','LEASED','RUNNING','SUCCEEDED','RETRY_WAIT')) AS spent FROM tk GROUP BY ALL), j AS (SELECT coalesce(sp.job_id, bd.job_id) AS job_id, coalesce(sp.lane, bd.lane) AS lane, coalesce(spent, 0) AS spent, budget FROM sp FULL JOIN bd ON sp.job_id = bd.job_id AND sp.lane = bd.lane) SELECT job_id, lane, spent, budget, coalesce(spent < budget, true) AS allowed, CASE WHEN budget IS NULL THEN 'lane_not_budgeted' WHEN spent >= budget THEN 'budget_exhausted' ELSE 'within_budget' END AS reason FROM j")
 def roll_lane_spend(spark, d):
-    return tasks(spark, d).groupBy("job_id", "lane").agg(F.count("*").alias("spent")).withColumn("budget", F.lit(3)).withColumn("exhausted", F.col("spent") >= F.col("budget"))
+    k = F.col("c_custkey")
+    amounts = F.explode(F.create_map(F.lit("http"), 2 + k % 4, F.lit("browser"), k % 3, F.lit("search"), F.lit(1).cast("long")))
+    budgets = B.table(spark, d, "customer").filter(k % 5 != 0).select(k.alias("job_id"), amounts.alias("lane", "budget"))
+    return A.lane_spend(tasks(spark, d), budgets)
+
 
+#: Limits of lanes; those of the index lane and of a lane without tasks are for the test of both ends.
+_LIMITS = {"http": 24, "browser": 2, "extract": 1_000_000_000, "index": 0, "media": 2}
 
-@register("roll_lane_in_flight", f"WITH {_TASKS} SELECT lane, count(*) FILTER (state = 'RUNNING') AS in_flight, 24 AS most, count(*) FILTER (state = 'RUNNING') < 24 AS allowed FROM tk GROUP BY lane")
+
+@register("roll_lane_in_flight", f"WITH {_TASKS}, lm AS (SELECT * FROM (VALUES {', '.join(repr(x) for x in _LIMITS.items())}) t(lane, most)), fl AS (SELECT lane, count(*) FILTER (state IN ('READY', 'LEASED', 'RUNNING')) AS in_flight FROM tk GROUP BY lane), j AS (SELECT coalesce(fl.lane, lm.lane) AS lane, coalesce(in_flight, 0) AS in_flight, most FROM fl FULL JOIN lm ON fl.lane = lm.lane) SELECT lane, in_flight, most, NOT (coalesce(most, 0) > 0 AND in_flight >= most) AS allowed, CASE WHEN coalesce(most, 0) <= 0 THEN 'lane_not_gated' WHEN in_flight >= most THEN 'limit_reached' ELSE 'within_limit' END AS reason FROM j")
 def roll_lane_in_flight(spark, d):
-    return tasks(spark, d).groupBy("lane").agg(F.count(F.when(F.col("state") == "RUNNING", 1)).alias("in_flight")).withColumn("most", F.lit(24)).withColumn("allowed", F.col("in_flight") < 24)
+    return A.lane_in_flight(tasks(spark, d), spark.createDataFrame(list(_LIMITS.items()), "lane string, most int"))
 
 
 def dependencies(spark, d):
@@ -249,6 +259,14 @@ def fail_backoff(spark, d):
     return failures(spark, d).select("task_id", A.backoff(F.col("attempt"), F.col("lane"), c, F.col("retry_after")).alias("delay"))
 
 
-@register("fail_outcome", f"WITH {_FA}, {_CL}, oc AS (SELECT *, CASE WHEN action <> 'RETRY_WAIT' THEN action WHEN attempt >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY_WAIT' END AS outcome FROM dl) SELECT task_id, failure_class, outcome, CASE WHEN outcome = 'RETRY_WAIT' THEN make_timestamp(epoch_us(failed_at) + CAST(delay * 1000000 AS BIGINT)) END AS retry_at FROM oc")
+_CI = "ci AS (SELECT 'r' || (user_id % 10) AS route, CASE WHEN user_id % 10 < 6 THEN 'open' ELSE 'closed' END AS cstate, CASE WHEN user_id % 10 < 6 THEN max(ts) - INTERVAL 3 DAYS END AS until FROM events WHERE user_id % 10 <> 9 GROUP BY user_id % 10)"
+
+
+@register("fail_outcome", f"WITH {_FA.replace('AS failed_at FROM', 'AS failed_at, user_id FROM')}, {_CL}, {_CI}, oc AS (SELECT dl.*, ci.*, CASE WHEN action <> 'RETRY_WAIT' THEN action WHEN attempt >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY_WAIT' END AS outcome FROM dl LEFT JOIN ci ON ci.route = 'r' || (dl.user_id % 10)) SELECT task_id, failure_class, outcome, CASE WHEN outcome = 'RETRY_WAIT' THEN CASE WHEN cstate = 'open' AND failed_at < until THEN until ELSE make_timestamp(epoch_us(failed_at) + CAST(delay * 1000000 AS BIGINT)) END END AS retry_at, CASE WHEN outcome = 'RETRY_WAIT' THEN CASE WHEN cstate = 'open' AND failed_at < until THEN 'open' WHEN cstate = 'open' THEN 'half_open' ELSE 'closed' END END AS circuit_state FROM oc")
 def fail_outcome(spark, d):
-    return A.outcomes(failures(spark, d)).select("task_id", "failure_class", "outcome", F.col("retry_at").cast("timestamp_ntz").alias("retry_at"))
+    r = F.col("user_id") % 10
+    route = F.concat(F.lit("r"), r.cast("string"))
+    e = B.table(spark, d, "events")
+    circuits = e.filter(r != 9).groupBy(route.alias("route"), r.alias("_r")).agg(F.max("ts").cast("timestamp").alias("t")).select("route", F.when(F.col("_r") < 6, "open").otherwise("closed").alias("state"), F.when(F.col("_r") < 6, F.col("t") - F.expr("INTERVAL 3 DAYS")).alias("cooldown_until"))
+    f = failures(spark, d).join(e.select(F.col("event_id").alias("task_id"), route.alias("route")), "task_id")
+    return A.outcomes(f, circuits=circuits).select("task_id", "failure_class", "outcome", F.col("retry_at").cast("timestamp_ntz").alias("retry_at"), "circuit_state")

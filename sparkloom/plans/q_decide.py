@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import decide as D
 from sparkloom.operators import score as P
+from sparkloom.sources.shared import cut
 
 from . import bindings as B
 from .catalog import register
@@ -41,7 +42,7 @@ _FRESH = f"WITH {B.SIG.replace('sig AS (', 'sig9 AS (', 1)}, sig AS (SELECT * FR
 
 @register("fresh_score", f"{_FRESH} SELECT n.niche_id, coalesce(opp.status, 'ERR_NO_ACTIVE') AS status, score, confidence FROM (SELECT DISTINCT niche_id FROM sig9) n LEFT JOIN opp USING (niche_id)")
 def fresh_score(spark, d):
-    sig = B.signals(spark, d)
+    sig = cut(B.signals(spark, d))
     scored = P.score(sig.filter(~D.is_expired(later())), B.as_of())
     return sig.select("niche_id").distinct().join(scored, "niche_id", "left").select("niche_id", F.coalesce("status", F.lit("ERR_NO_ACTIVE")).alias("status"), "score", "confidence")
 
@@ -55,13 +56,13 @@ def _opps(spark, d, sig):
 
 @register("fresh_opportunity_stale", _OPP + f", used AS (SELECT opportunity_id, unnest(string_split(scored_from, ';')) AS signal_id FROM o) SELECT o.opportunity_id, {L} >= TIMESTAMP '{B.AS_OF}' + INTERVAL 30 DAYS OR coalesce(bool_or({L} >= sig.expires_at), false) AS stale FROM o LEFT JOIN used USING (opportunity_id) LEFT JOIN sig USING (signal_id) GROUP BY o.opportunity_id")
 def fresh_opportunity_stale(spark, d):
-    sig = B.signals(spark, d)
+    sig = cut(B.signals(spark, d))
     return D.stale_opportunities(_opps(spark, d, sig), sig, later(), 30).select("opportunity_id", "stale")
 
 
 @register("fresh_apply_expiry", _OPP + f" SELECT opportunity_id, CASE WHEN {L} >= TIMESTAMP '{B.AS_OF}' + INTERVAL 14 DAYS THEN 'EXPIRED' ELSE 'ACTIVE' END AS status FROM o")
 def fresh_apply_expiry(spark, d):
-    sig = B.signals(spark, d)
+    sig = cut(B.signals(spark, d))
     return D.apply_expiry(D.stale_opportunities(_opps(spark, d, sig), sig, later())).select("opportunity_id", "status")
 
 

@@ -1,34 +1,39 @@
-"""Queries on sources, sinks and the batch twins of streaming jobs."""
+"""Queries on sources, sinks and streaming jobs. Readers, writers and streams work in new folders of the shared place."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from sparkloom.sources import io
+from sparkloom.sources.shared import new_folder
 from sparkloom.streaming import jobs as J
 
 from . import bindings as B
 from .catalog import register
-from .q_decide import later
 
 
-@register("src_csv_table", "SELECT p_partkey, p_name, p_brand FROM part")
+@register("src_csv_table", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, CASE WHEN p_size > 5 THEN CAST(p_size AS VARCHAR) END AS p_size FROM part")
 def src_csv_table(spark, d):
-    # Rows as CSV text and back, as the reader parses them.
-    p = B.table(spark, d, "part")
-    line = p.select(F.to_csv(F.struct("p_partkey", "p_name", "p_brand")).alias("line"))
-    return line.select(F.from_csv("line", F.lit("p_partkey bigint, p_name string, p_brand string")).alias("r")).select("r.*")
+    path, columns = f"{new_folder(spark)}/part", ["p_partkey", "p_name", "p_brand", "p_size"]
+    io.write_csv(B.table(spark, d, "part").withColumn("p_size", F.when(F.col("p_size") > 5, F.col("p_size"))), path, columns)
+    return io.read_csv(spark, path, columns)
 
 
-@register("sink_csv_table", "SELECT p_name || ',' || p_brand AS line, count(*) AS n FROM part GROUP BY ALL")
+@register("sink_csv_table", "SELECT p_name || ',' || p_brand || ',' AS line, count(*) AS n FROM part GROUP BY ALL")
 def sink_csv_table(spark, d):
-    return B.table(spark, d, "part").select(F.to_csv(F.struct("p_name", "p_brand")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+    path = f"{new_folder(spark)}/part"
+    io.write_csv(B.table(spark, d, "part"), path, ["p_name", "p_brand", "not_there"])  # columns in this order; others go, missing ones are empty
+    lines = spark.read.text(path).filter("value <> 'p_name,p_brand,not_there'")
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
-@register("src_json_artifacts", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, false AS corrupt FROM events")
+@register("src_json_artifacts", "SELECT CASE WHEN event_id % 50 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 50 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id % 50 = 0 AS corrupt FROM events")
 def src_json_artifacts(spark, d):
-    e = B.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return e.select("event_id", "r.k", F.col("r._corrupt").isNotNull().alias("corrupt"))
+    path = f"{new_folder(spark)}/events"
+    e = B.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    e.select(F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{cut off "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct("event_id", "k"))).alias("value")).write.text(path)
+    got = io.read_json(spark, path, "event_id bigint, k bigint", lines=True)
+    return got.select("event_id", "k", F.col("_corrupt").isNotNull().alias("corrupt"))
 
 
 @register("sink_idempotent", "SELECT o_custkey AS key, min(o_orderkey) AS row_id, o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AS inserted FROM orders GROUP BY o_custkey")
@@ -52,14 +57,12 @@ def sink_edges(spark, d):
     return io.new_rows(e, known, io.EDGE_KEY)
 
 
-@register("sink_append_checked", "SELECT p_partkey, p_name, CAST(NULL AS VARCHAR) AS p_brand FROM part")
+@register("sink_append_checked", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS p_brand FROM part")
 def sink_append_checked(spark, d):
-    p = B.table(spark, d, "part")
-    target = p.select("p_partkey", "p_name", "p_brand").schema
-    have = p.select("p_partkey", "p_name")
-    extra = set(have.columns) - set(target.names)
-    assert not extra
-    return have.select(*[(F.col(f.name) if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
+    path, p = f"{new_folder(spark)}/part", B.table(spark, d, "part")
+    p.filter("p_partkey % 2 = 0").select("p_partkey", "p_name", "p_brand").write.parquet(path)
+    io.append_checked(p.filter("p_partkey % 2 <> 0").select("p_name", "p_partkey"), path)
+    return spark.read.parquet(path)
 
 
 @register("manifest_files", "SELECT 'artifact-' || substr(sha1('docs/' || source || '_' || lang || '/' || doc_id || '.txt'), 1, 12) AS artifact_id, 'txt' AS type, CAST(doc_id AS VARCHAR) AS title, sha256(text) AS checksum FROM documents")
@@ -76,15 +79,34 @@ def _log(spark, d):
     return e.select(F.concat(F.lit("r"), (F.col("user_id") % 10).cast("string")).alias("route"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (~((F.col("event_type") == "error") | (F.dayofmonth("ts") % 5 == 0))).alias("ok"))
 
 
-@register("stream_circuit")
+#: A route with cooldowns of its own.
+OWN_COOLDOWNS = {"r3": (3600, 7200, 14400)}
+
+# The circuit in SQL: a row a result, each state from the one before it.
+_CIRCUIT = """WITH RECURSIVE lg AS (SELECT 'r' || (user_id % 10) AS route, event_id, ts, epoch_us(ts) AS us, NOT (event_type = 'error' OR day(ts) % 5 = 0) AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events),
+c AS (SELECT 'r' || r AS route, 0::BIGINT AS i, 'closed' AS state, 0 AS fails, 0 AS opens, 0::BIGINT AS until, '' AS recent, 'closed' AS before, false AS probed, false AS opened, false AS shut FROM (SELECT DISTINCT user_id % 10 AS r FROM events)
+UNION ALL
+SELECT route, i, CASE WHEN shut THEN 'closed' WHEN opened THEN 'open' ELSE now END, CASE WHEN ok AND now <> 'open' THEN 0 ELSE fails END, CASE WHEN shut THEN 0 WHEN opened THEN opens + 1 ELSE opens END,
+  CASE WHEN shut THEN 0 WHEN opened THEN us + 1000000::BIGINT * (CASE WHEN route = 'r3' THEN [3600, 7200, 14400] ELSE [300, 900, 1800] END)[least(opens + 1, 2) + 1] ELSE until END, recent, now AS before, probed, opened, shut
+FROM (SELECT *, ok AND now = 'half_open' AS shut, NOT ok AND now <> 'open' AND (fails >= 10 OR (length(recent) >= 20 AND length(replace(recent, '1', '')) / length(recent) > 0.5)) AS opened
+  FROM (SELECT *, CASE WHEN NOT ok AND now <> 'open' THEN fails0 + 1 ELSE fails0 END AS fails
+    FROM (SELECT lg.route, lg.i, lg.us, lg.ok, CASE WHEN c.state = 'open' AND lg.us >= c.until THEN 'half_open' ELSE c.state END AS now, c.state = 'open' AND lg.us >= c.until AS probed, c.fails AS fails0, c.opens, c.until, right(c.recent || CASE WHEN lg.ok THEN '1' ELSE '0' END, 20) AS recent
+      FROM c JOIN lg ON lg.route = c.route AND lg.i = c.i + 1)))),
+tr AS (SELECT route, i, 'probe_allowed' AS event_type, 'open' AS previous_state, 'half_open' AS new_state, NULL::TIMESTAMP AS cooldown_until FROM c WHERE probed
+UNION ALL SELECT route, i, 'circuit_close', 'half_open', 'closed', NULL FROM c WHERE shut
+UNION ALL SELECT route, i, 'circuit_open', before, 'open', make_timestamp(until) FROM c WHERE opened)"""
+
+
+@register("stream_circuit", _CIRCUIT + " SELECT route, event_id, ts, event_type, previous_state, new_state, cooldown_until FROM tr JOIN lg USING (route, i)")
 def stream_circuit(spark, d):
-    return J.circuit_batch(_log(spark, d))
+    t = J.circuit_batch(_log(spark, d), cooldowns=OWN_COOLDOWNS)
+    return t.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "cooldown_until")})
 
 
-@register("degradation_events")
+@register("degradation_events", _CIRCUIT + " SELECT route, event_type, ts, cooldown_until, 'deg:' || route || ':' || event_id AS degradation_id FROM tr JOIN lg USING (route, i) WHERE event_type <> 'probe_allowed'")
 def degradation_events(spark, d):
-    t = J.circuit_batch(_log(spark, d)).filter("event_type IN ('circuit_open', 'circuit_close')")
-    return t.select("route", "event_type", "ts", "cooldown_until", F.concat_ws(":", F.lit("deg"), "route", F.col("event_id").cast("string")).alias("degradation_id"))
+    t = J.degradations(J.circuit_batch(_log(spark, d), cooldowns=OWN_COOLDOWNS))
+    return t.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "cooldown_until")})
 
 
 @register("stream_backpressure", "WITH l AS (SELECT event_type AS phase, ts, event_id AS seq, value AS backlog, CASE WHEN value >= 20 THEN true WHEN value <= 3 THEN false END AS m FROM events) SELECT phase, seq, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY phase ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS paused FROM l")
@@ -104,17 +126,36 @@ def stream_coverage(spark, d):
     return J.coverage(B.signals(spark, d)).withColumn("best_confidence", F.round("best_confidence", 6))
 
 
-@register("stream_expiry", f"WITH {B.SIG} SELECT signal_id, CAST(expires_at AS TIMESTAMP) AS expired_at FROM sig WHERE expires_at <= TIMESTAMP '2024-02-20 00:00:00'")
+def _stream(spark, df):
+    """A frame as a stream: written to a new folder, read as it would arrive there."""
+    path = f"{new_folder(spark)}/in"
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@register("stream_expiry", f"WITH {B.SIG} SELECT signal_id, CAST(date_trunc('millisecond', expires_at) AS TIMESTAMP) AS expired_at FROM sig WHERE expires_at <= (SELECT max(observed_at) FROM sig) - INTERVAL 1 MINUTE")
 def stream_expiry(spark, d):
-    return B.signals(spark, d).filter(F.col("expires_at") <= later()).select("signal_id", F.col("expires_at").cast("timestamp_ntz").alias("expired_at"))
+    # The stream's timers fire as event time passes; what is due at its end has been written by then.
+    out = f"{new_folder(spark)}/expired"
+    signals = _stream(spark, B.signals(spark, d).select("signal_id", "observed_at", "expires_at"))
+    with J.rocksdb(spark):
+        J.drain(J.expiry_stream(signals), lambda batch, _epoch: batch.write.mode("append").parquet(out), f"{new_folder(spark)}/state")
+    return spark.read.parquet(out).select("signal_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
 
 
 @register("stream_idempotent_ingest", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def stream_idempotent_ingest(spark, d):
-    e = B.table(spark, d, "events").select("user_id", "event_type", "event_id")
-    return io.new_rows(e, None, ["user_id", "event_type"], ["event_id"])
+    out = f"{new_folder(spark)}/table"
+    events = B.table(spark, d, "events").select("user_id", "event_type", "event_id")
+    sink = J.ingest_forever(out, ["user_id", "event_type"], ["event_id"])
+    J.drain(_stream(spark, events), sink, f"{new_folder(spark)}/state")
+    J.drain(_stream(spark, events), sink, f"{new_folder(spark)}/state")  # all of it once more: no row is new
+    return spark.read.parquet(out)
 
 
-@register("stream_route", "SELECT value > 5 AS valid, count(*) AS n FROM events GROUP BY ALL")
+@register("stream_route", "SELECT value > 5 AS valid, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_route(spark, d):
-    return B.table(spark, d, "events").groupBy((F.col("value") > 5).alias("valid")).agg(F.count("*").alias("n"))
+    good, bad = (f"{new_folder(spark)}/{x}" for x in ("valid", "invalid"))
+    J.drain(_stream(spark, B.table(spark, d, "events").select("event_type", "value")), J.route(good, bad, F.col("value") > 5), f"{new_folder(spark)}/state")
+    every = spark.read.parquet(good).withColumn("valid", F.lit(True)).unionByName(spark.read.parquet(bad).withColumn("valid", F.lit(False)))
+    return every.groupBy("valid", "event_type").agg(F.count("*").alias("n"))

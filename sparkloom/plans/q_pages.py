@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import pages as G
+from sparkloom.sources import io
 
 from . import bindings as B
 from .catalog import register
@@ -160,9 +161,10 @@ def est_tokens(spark, d):
     return B.table(spark, d, "documents").select("doc_id", G.est_tokens(F.col("text")).alias("tokens"))
 
 
-@register("src_html_pages", "SELECT page_id, url, length(html) AS chars FROM pages")
+@register("src_html_pages", "SELECT url, CAST(strlen(html) AS BIGINT) AS n_bytes, length(html) AS n_chars, sha256(html) AS content_hash, CASE WHEN trim(coalesce(url, '')) = '' THEN 'NO_URL' WHEN trim(coalesce(html, '')) = '' THEN 'EMPTY' ELSE 'OK' END AS status FROM pages")
 def src_html_pages(spark, d):
-    return P(spark, d).select("page_id", "url", F.length("html").cast("long").alias("chars"))
+    files = P(spark, d).select("url", F.col("html").cast("binary").alias("content"))
+    return io.html_pages(files).select("url", "n_bytes", F.length("html").cast("long").alias("n_chars"), "content_hash", "status")
 
 
 @register("request_fingerprint", "SELECT page_id, sha256('GET' || chr(10) || lower(regexp_extract(b, '^([a-zA-Z]+://[^/?]*)', 1)) || regexp_extract(b, '^[a-zA-Z]+://[^/?]*([^?]*)', 1) || chr(10) || array_to_string(list_sort(string_split(regexp_extract(b, '\\?(.*)$', 1), '&')), '&') || chr(10) || '') AS fingerprint FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages)")
@@ -172,6 +174,4 @@ def request_fingerprint(spark, d):
 
 @register("chunk_text", "WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM documents) SELECT doc_id, CAST(i / 90 AS INTEGER) AS chunk, array_to_string(t[i + 1:i + 100], ' ') AS body FROM (SELECT doc_id, t, unnest(range(0, greatest(len(t) - 10, 1), 90)) AS i FROM w WHERE len(t) > 0)")
 def chunk_text(spark, d):
-    t = B.table(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("t")).filter(F.size("t") > 0)
-    starts = F.expr("sequence(0, greatest(size(t) - 11, 0), 90)")
-    return t.select("doc_id", "t", F.posexplode(starts).alias("chunk", "i")).select("doc_id", "chunk", F.array_join(F.slice("t", F.col("i") + 1, F.lit(100)), " ").alias("body"))
+    return G.chunks(B.table(spark, d, "documents"), "doc_id", size=100, overlap=10)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import expressions as X
+from sparkloom.functions import sql
 from sparkloom.operators import coverage as C
 from sparkloom.operators import score as P
 from sparkloom.operators import signals as S
+from sparkloom.sources.shared import cut
 
 from . import bindings as B
 from .catalog import register
@@ -147,9 +149,11 @@ def tier_loss_gaps(spark, d):
     return C.loss_gaps(B.signals(spark, d), ["open", "defended"]).select("niche_id", B.shown_gaps().alias("coverage_gaps"))
 
 
-@register("tier_effects", _LOSS + f", {_THIN.replace('s1 AS', 's1 AS')}, {_HOST} SELECT niche_id, hostile_dependent, len(gaps) AS n_loss_gaps FROM gt JOIN hd USING (niche_id)")
+@register("tier_effects", _LOSS + f", {_THIN}, {_HOST}, mc AS (SELECT niche_id, avg(confidence) + 0.05 AS c FROM s1 GROUP BY niche_id), gl AS (SELECT niche_id, 5 - least(5, len(gaps)) AS unused, array_to_string(gaps, ';') AS coverage_gaps FROM gt) SELECT niche_id, hostile_dependent, round(CASE WHEN hostile_dependent THEN least(c, 0.5) ELSE c END, 2) AS capped_confidence, coverage_gaps FROM gl JOIN hd USING (niche_id) LEFT JOIN mc USING (niche_id)".replace("5 - least(5, len(gaps)) AS unused, ", ""))
 def tier_effects(spark, d):
-    return C.hostile_dependence(_thin(spark, d), hard_required_tiers=X.TIERS).join(C.loss_gaps(B.signals(spark, d), ["open", "defended"]), "niche_id").select("niche_id", "hostile_dependent", F.size("coverage_gaps").cast("long").alias("n_loss_gaps"))
+    s = _thin(spark, d)
+    confidence = s.groupBy("niche_id").agg((F.avg("confidence") + 0.05).alias("confidence"))
+    return C.tier_effects(s, confidence, ["open", "defended"], hard_required_tiers=X.TIERS).withColumn("coverage_gaps", B.shown_gaps())
 
 
 _NOHOST = f"WITH {B.RAW}, {B.RANKS}, sig AS (SELECT * FROM (SELECT raw.*, CASE WHEN signal_type = 'competition' OR metric_name = 'content_saturation' THEN 1 - pct ELSE pct END AS normalized_score, {B.CONF} AS confidence FROM raw JOIN rk ON rk.cohort = raw.signal_type AND rk.value = raw.value) WHERE tier <> 'open'), {B.BEST}, {B.GATE}, {B.AXES}, {B.SCORE}"
@@ -167,7 +171,8 @@ def score_best_signals(spark, d):
 
 @register("score_shrink", f"WITH {B.SIG} SELECT signal_id, round(0.5 + (normalized_score - 0.5) * confidence, 6) AS shrunk FROM sig")
 def score_shrink(spark, d):
-    return B.signals(spark, d).select("signal_id", R6(X.shrink(F.col("normalized_score"), F.col("confidence"))).alias("shrunk"))
+    sql.register(spark)
+    return B.signals(spark, d).selectExpr("signal_id", "round(shrink_toward_neutral(normalized_score, confidence), 6) AS shrunk")
 
 
 @register("score_axis_pivot", f"WITH {B.SIG}, {B.BEST}, {B.AXES} SELECT niche_id, scored_from, " + ", ".join(f"round(shrunk_{a}, 6) AS shrunk_{a}" for a in X.AXES) + " FROM ax")
@@ -243,5 +248,5 @@ _DIFF = f"SELECT coalesce(l.niche_id, r.niche_id) AS niche_id, {', '.join(f'roun
 
 @register("score_diff", _DIFF)
 def score_diff(spark, d):
-    sig = B.signals(spark, d)
+    sig = cut(B.signals(spark, d))  # normalised once, scored twice
     return P.diff(P.score(sig, B.as_of()), P.score(C.without_tiers(sig, ["open"]), B.as_of()))

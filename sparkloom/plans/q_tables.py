@@ -59,6 +59,21 @@ def cand_score_table(spark, d):
     return t.select("key", "candidate_id", "title", "penalties", F.when(F.col("status") == "OK", F.col("score_band")).otherwise("unknown").alias("score_band"), "status")
 
 
+# Templates of the query packs: id, goal, text.
+TEMPLATES = (
+    ("t-hard", "complaint", "why is {task} so hard in {activity}"),
+    ("t-broke", "complaint", "{product_territory} stopped working {activity}"),
+    ("t-without", "complaint", "{activity} without {friction_family} trouble"),
+    ("t-homemade", "workaround", "homemade {product_territory} for {task}"),
+    ("t-instead", "workaround", "what people use instead of {product_territory}"),
+    ("t-compare", "competition", "{product_territory} compared {current_year}"),
+    ("t-cost", "price", "cost of {product_territory} in {region}"),
+    ("t-when", "seasonality", "when does {activity} start in {region}"),
+    ("t-nobody", "falsification", "nobody needs {product_territory}"),
+    ("t-odd", "community", "{activity}  clubs  {task}"),
+)
+
+
 def _seeds(spark, d):
     p = B.table(spark, d, "part")
     word = lambda i: F.element_at(F.split("p_name", " "), i)
@@ -71,12 +86,12 @@ def _tsql(t: str) -> str:
     return f"'{t}'"
 
 
-_QP = "qp AS (" + " UNION ALL ".join(f"SELECT p_partkey AS r, {i} AS t, '{tid}' AS template_id, '{g}' AS evidence_goal, trim({_tsql(x)}) AS query, p_brand AS activity_id FROM part" for i, (tid, g, x) in enumerate(K.TEMPLATES)) + ")"
+_QP = "qp AS (" + " UNION ALL ".join(f"SELECT p_partkey AS r, {i} AS t, '{tid}' AS template_id, '{g}' AS evidence_goal, trim({_tsql(x)}) AS query, p_brand AS activity_id FROM part" for i, (tid, g, x) in enumerate(TEMPLATES)) + ")"
 _QD = "fq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) ORDER BY r, t) AS k FROM qp) WHERE k = 1), dq AS (SELECT 'query-' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS query_id, activity_id, template_id, evidence_goal, query FROM (SELECT *, row_number() OVER (ORDER BY r, t) AS n FROM fq))"
 
 
 def _pack(spark, d):
-    return K.query_pack(_seeds(spark, d), K.templates(spark), "United States", 2026)
+    return K.query_pack(_seeds(spark, d), K.templates(spark, TEMPLATES), "United States", 2026)
 
 
 @register("query_pack", f"WITH {_QP} SELECT r, template_id, query, 'unsearched' AS status FROM qp")
@@ -91,36 +106,40 @@ def query_pack_dedup(spark, d):
 
 @register("query_pack_by_activity", f"WITH {_QP.replace('FROM part', 'FROM part WHERE p_brand = ' + chr(39) + 'Brand#2' + chr(39))}, {_QD} SELECT * FROM dq")
 def query_pack_by_activity(spark, d):
-    return K.dedup_queries(K.query_pack(_seeds(spark, d).filter(F.col("activity_id") == "Brand#2"), K.templates(spark), "United States", 2026)).drop("status")
+    return K.dedup_queries(K.query_pack(_seeds(spark, d).filter(F.col("activity_id") == "Brand#2"), K.templates(spark, TEMPLATES), "United States", 2026)).drop("status")
 
 
 def evidence(spark, d):
     """Documents as evidence; the labels give the polarity."""
     docs, lab = B.table(spark, d, "documents"), B.table(spark, d, "labels")
     pol = F.when(F.col("quality").isNull(), "neutral").when((F.col("quality") == 1) & (F.col("toxic") == 0), "supporting").otherwise("contradicting")
-    return docs.join(lab, "doc_id", "left").select(F.col("doc_id").alias("evidence_id"), (F.col("doc_id") % 37).alias("candidate_id"), pol.alias("polarity"), F.substring("text", 1, 60).alias("observation"), "source", "lang", "text", "doc_id")
+    return docs.join(lab, "doc_id", "left").select(F.col("doc_id").alias("evidence_id"), (F.col("doc_id") % 37).alias("candidate_id"), pol.alias("polarity"), F.col("text").alias("observation"), "source", "lang", "text", "doc_id")
 
 
-_EV = "ev AS (SELECT d.doc_id AS evidence_id, d.doc_id % 37 AS candidate_id, CASE WHEN quality IS NULL THEN 'neutral' WHEN quality = 1 AND toxic = 0 THEN 'supporting' ELSE 'contradicting' END AS polarity, substr(text, 1, 60) AS observation, source, lang, text, d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+_EV = "ev AS (SELECT d.doc_id AS evidence_id, d.doc_id % 37 AS candidate_id, CASE WHEN quality IS NULL THEN 'neutral' WHEN quality = 1 AND toxic = 0 THEN 'supporting' ELSE 'contradicting' END AS polarity, text AS observation, source, lang, text, d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 _SAFE = "regexp_replace(replace(observation, '|', '/'), '[\\r\\n]+', ' ', 'g')"
-_SPL = f"sp AS (SELECT candidate_id, {', '.join(f'string_agg(CAST(evidence_id AS VARCHAR) || {chr(39)}:{chr(39)} || {_SAFE}, {chr(39)};{chr(39)} ORDER BY evidence_id) FILTER (polarity = {chr(39)}{p}{chr(39)}) AS {p}' for p in ('supporting', 'contradicting', 'neutral'))} FROM ev GROUP BY candidate_id)"
 
 
-@register("report_evidence_split", f"WITH {_EV}, {_SPL} SELECT candidate_id, coalesce(supporting, '') AS supporting, coalesce(contradicting, '') AS contradicting, coalesce(neutral, '') AS neutral FROM sp")
+@register("report_evidence_split", f"WITH {_EV} SELECT candidate_id, polarity, CAST(row_number() OVER (PARTITION BY candidate_id, polarity ORDER BY evidence_id) AS INTEGER) AS position, evidence_id, {_SAFE} AS observation FROM ev")
 def report_evidence_split(spark, d):
-    s = K.evidence_split(evidence(spark, d))
-    text = lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["evidence_id"].cast("string"), F.lit(":"), x["observation"])), ";").alias(p)
-    return s.select("candidate_id", text("supporting"), text("contradicting"), text("neutral"))
+    return K.evidence_split(evidence(spark, d))
 
 
-_ROWS = lambda p: f"coalesce(string_agg('| ' || evidence_id || ' | ' || {_SAFE} || ' |', chr(10) ORDER BY evidence_id) FILTER (polarity = '{p}'), '_none_')"
+_SECTION = "CASE polarity WHEN 'supporting' THEN 1 WHEN 'contradicting' THEN 2 ELSE 3 END"
 
 
-@register("report_render", f"WITH {_EV}, {_C}, {_SC} SELECT s.key AS candidate_id, '# ' || title || chr(10) || chr(10) || 'Score: ' || printf('%.2f', round(f, 2)) || ' (' || {_BD} || ')' || chr(10) || chr(10) || '## Supporting evidence' || chr(10) || chr(10) || {_ROWS('supporting')} || chr(10) || chr(10) || '## Contradicting evidence' || chr(10) || chr(10) || {_ROWS('contradicting')} || chr(10) || chr(10) || '## Neutral evidence' || chr(10) || chr(10) || {_ROWS('neutral')} AS report FROM s LEFT JOIN ev ON ev.candidate_id = s.key WHERE ws IS NOT NULL GROUP BY s.key, title, f, ws")
+@register(
+    "report_render",
+    f"""WITH {_EV}, {_C}, {_SC}, k AS (SELECT key AS candidate_id, title, f, {_BD} AS band FROM s WHERE ws IS NOT NULL),
+rw AS (SELECT candidate_id, {_SECTION} AS section, row_number() OVER (PARTITION BY candidate_id, polarity ORDER BY evidence_id) AS line, '| ' || evidence_id || ' | ' || {_SAFE} || ' |' AS text FROM ev WHERE candidate_id IN (SELECT candidate_id FROM k)),
+hd AS (SELECT 1 AS n, 'Supporting evidence' AS name UNION ALL SELECT 2, 'Contradicting evidence' UNION ALL SELECT 3, 'Neutral evidence')
+SELECT candidate_id, 0 AS section, 0 AS line, '# ' || title AS text FROM k UNION ALL SELECT candidate_id, 0, 1, 'Score: ' || printf('%.2f', round(f, 2)) || ' (' || band || ')' FROM k
+UNION ALL SELECT candidate_id, n, 0, '## ' || name FROM k, hd UNION ALL SELECT * FROM rw
+UNION ALL SELECT candidate_id, n, 1, '_none_' FROM k, hd WHERE NOT EXISTS (SELECT 1 FROM rw WHERE rw.candidate_id = k.candidate_id AND section = n)""",
+)
 def report_render(spark, d):
     c = candidates(spark, d).filter(K.weighted_score().isNotNull()).withColumn("candidate_id", F.col("key"))
-    c = K.score_table(c)
-    return K.render(c, K.evidence_split(evidence(spark, d)))
+    return K.render(K.score_table(c), K.evidence_split(evidence(spark, d)))
 
 
 _STATES = ("seed", "researching", "evidence_ready", "red_team", "experiment_ready", "validated", "rejected", "stale")
@@ -189,11 +208,28 @@ def dq_row_floor(spark, d):
     return Q.row_floor(B.table(spark, d, "nation"), "nation", 500)
 
 
-@register("dq_report", f"WITH {_C}, e AS (SELECT count(*) FILTER (p_plant_growth_unused NOT BETWEEN 0 AND 5) AS n FROM (SELECT product_simplicity AS p_plant_growth_unused FROM c)), w AS (SELECT count(*) AS n FROM c WHERE score_basis <> 'seed_prior' AND evidence_ids = '') SELECT e.n + (SELECT count(*) FROM (SELECT candidate_id FROM c GROUP BY candidate_id HAVING count(*) > 1)) AS errors, w.n AS warnings, false AS ok FROM e, w".replace("p_plant_growth_unused", "v"))
+#: Findings of the report by hand: counts over candidates, orders and customers.
+_RANGES = " + ".join(f"count(*) FILTER ({c} NOT BETWEEN 0 AND 5)" for c in DIMS)
+
+
+@register(
+    "dq_report",
+    f"""WITH {_C}, ce AS (SELECT {_RANGES} + count(*) FILTER (NOT regexp_matches(candidate_id, '^nc-\\d{{3,}}$')) + count(*) FILTER (NOT gate AND key % 7 = 0) AS n, count(*) FILTER (score_basis <> 'seed_prior' AND evidence_ids = '') AS w FROM c),
+du AS (SELECT count(*) AS n FROM (SELECT candidate_id FROM c GROUP BY candidate_id HAVING count(*) > 1)),
+oe AS (SELECT count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) + count(*) FILTER (o_orderkey % 50 = 0) + count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)) AS n, count(*) FILTER (o_orderkey % 50 <> 0 AND date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') > 180) AS w FROM orders),
+fl AS (SELECT CASE WHEN count(*) < 1000000000 THEN 1 ELSE 0 END AS n FROM orders)
+SELECT CAST(ce.n + du.n + oe.n + fl.n + 1 AS BIGINT) AS errors, CAST(ce.w + oe.w AS BIGINT) AS warnings, false AS ok FROM ce, du, oe, fl""",
+)
 def dq_report(spark, d):
-    c = candidates(spark, d)
-    rules = Q.run_rules(c, "candidates", "key", [*[Q.int_range(x, 0, 5) for x in DIMS], Q.conditional("evidence_for_claims", F.col("score_basis") != "seed_prior", F.length("evidence_ids") > 0)])
-    return Q.totals([rules, Q.duplicate_keys(c, "candidates", "candidate_id"), Q.missing_columns(c, "candidates", ["candidate_id", "title"])])
+    # One column is missing, some candidates share an id and some levels, ids, states, dates and references are wrong.
+    c = candidates(spark, d).withColumn("gate", F.when((F.col("key") % 7 == 0) & (F.col("hard_gates_passed") == "false"), "no").otherwise(F.col("hard_gates_passed")))
+    o = B.table(spark, d, "orders").withColumn("day", F.when(F.col("o_orderkey") % 50 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
+    tables = {"candidates": c, "orders": o, "customer": B.table(spark, d, "customer").filter("c_nationkey < 20")}
+    specs = {
+        "candidates": Q.TableRules("candidate_id", ["candidate_id", "title", "niche"], [*[Q.int_range(x, 0, 5) for x in DIMS], Q.pattern("candidate_id", r"^nc-\d{3,}$"), Q.enum("gate", ["true", "false"]), Q.conditional("evidence_for_claims", F.col("score_basis") != "seed_prior", F.length("evidence_ids") > 0)]),
+        "orders": Q.TableRules("o_orderkey", ["o_orderkey"], [Q.enum("o_orderstatus", ["F", "O"]), *Q.staleness("day", F.lit("1999-01-01").cast("date"), 180)], [("o_custkey", "customer", "c_custkey")], 1_000_000_000),
+    }
+    return Q.totals([Q.validate(tables, specs)])
 
 
 def _provenance(spark, d):
@@ -211,10 +247,13 @@ def dq_no_model_score(spark, d):
     return Q.run_rules(_provenance(spark, d), "orders", "o_orderkey", [Q.Rule("no_model_score", "error", F.col("provenance.model_id").isNull(), F.col("provenance.model_id"))])
 
 
-@register("dq_normalize_invariants", f"WITH {B.SIG} SELECT signal_type, count(*) AS n, 0::BIGINT AS broken FROM sig GROUP BY ALL")
+@register("dq_normalize_invariants", f"WITH {B.SIG} SELECT signal_id, concat_ws(';', CASE WHEN event_id % 13 = 0 AND (signal_type = 'competition' OR metric_name = 'content_saturation') AND abs(2 * normalized_score - 1) > 1e-12 THEN 'direction' END, CASE WHEN event_id % 17 = 0 THEN 'score' END, CASE WHEN event_id % 19 = 0 THEN 'window' END) AS violations FROM (SELECT * FROM sig WHERE event_id % 17 <> 0 OR event_id % 13 <> 0)".replace("CASE WHEN event_id % 13 = 0 AND", "CASE WHEN event_id % 17 = 0 OR event_id % 13 = 0 AND"))
 def dq_normalize_invariants(spark, d):
-    ok = F.col("normalized_score").between(0, 1) & F.col("window_from").isNotNull() & F.col("window_to").isNotNull()
-    return B.signals(spark, d).groupBy("signal_type").agg(F.count("*").alias("n"), F.count(F.when(~F.coalesce(ok, F.lit(False)), 1)).alias("broken"))
+    # Some scores are those before the direction, some out of range, some windows open.
+    e = F.col("event_id")
+    s = S.normalize(B.raw_signals(spark, d), B.as_of(), keep_rank=True).filter((e % 17 != 0) | (e % 13 != 0))
+    s = s.withColumns({"normalized_score": F.when(e % 17 == 0, F.col("normalized_score") + 2).when(e % 13 == 0, F.col("percentile")).otherwise(F.col("normalized_score")), "window_to": F.when(e % 19 != 0, F.col("window_to"))})
+    return s.select("signal_id", F.array_join(S.invariant_violations(), ";").alias("violations"))
 
 
 @register("dq_lineage_required", f"WITH {B.RAW} SELECT signal_id FROM raw WHERE event_id % 9 = 0 OR event_id % 5 = 0")

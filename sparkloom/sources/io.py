@@ -31,10 +31,23 @@ def append_checked(df: DataFrame, path: str) -> None:
     df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in target]).write.mode("append").parquet(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Documents of a fixed shape; those that can't be read keep their text in ``_corrupt``."""
+def read_json(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """Documents of a fixed shape, a file each or a line each; those that can't be read keep their text in ``_corrupt``."""
     shaped = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return spark.read.schema(StructType([*shaped.fields]).add("_corrupt", "string")).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return spark.read.schema(StructType([*shaped.fields]).add("_corrupt", "string")).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+
+
+def html_pages(files: DataFrame) -> DataFrame:
+    """Raw pages (url, content as bytes, as ``binaryFile`` gives them) as rows: url, html, n_bytes, content_hash, status.
+
+    Bytes are UTF-8 unless a meta tag in front names Latin-1. Status is ``EMPTY``
+    for blank pages and ``NO_URL`` without an address.
+    """
+    head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
+    latin = F.lower(head).rlike("<meta[^>]+charset=[\"']?(iso-8859-1|latin-?1|windows-1252)")
+    html = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.col("content").cast("string"))
+    status = F.when(F.coalesce(F.trim("url"), F.lit("")) == "", "NO_URL").when(F.coalesce(F.trim(html), F.lit("")) == "", "EMPTY").otherwise("OK")
+    return files.select("url", html.alias("html"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_hash"), status.alias("status"))
 
 
 def new_rows(df: DataFrame, target: DataFrame | None, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

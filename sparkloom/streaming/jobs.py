@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -14,6 +15,8 @@ from sparkloom.sources import io
 
 # Fixed values of the circuit: failures in a row, share of the last results, their number, cooldowns.
 IN_A_ROW, SHARE, RECENT, COOLDOWNS = 10, 0.5, 20, (300, 900, 1800)
+#: Routes with cooldowns of their own.
+ROUTE_COOLDOWNS = {"youtube:ytdlp": (43_200, 86_400, 172_800)}
 TRANSITIONS = "route string, event_id long, ts timestamp, event_type string, previous_state string, new_state string, cooldown_until timestamp"
 
 
@@ -22,9 +25,26 @@ def ingest_once(stream: DataFrame, keys: list[str], ts: str, late: str = "10 min
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def ingest_forever(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that appends only keys that the table at ``path`` never had."""
-    return lambda batch, _epoch: io.append_new(batch, path, keys)
+def ingest_forever(path: str, keys: list[str], order: list[str] | tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that appends only keys that the table at ``path`` never had, of a batch the first by ``order``."""
+    return lambda batch, _epoch: io.append_new(batch, path, keys, order)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which timers need; the session's own choice comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Run a stream over all that is there now into a foreachBatch sink, and stop."""
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def coverage(signals: DataFrame) -> DataFrame:
@@ -54,9 +74,9 @@ class Circuit:
     ``reopen``.
     """
 
-    def __init__(self, state: tuple | None = None, reopen: bool = False) -> None:
+    def __init__(self, state: tuple | None = None, reopen: bool = False, cooldowns: tuple[int, ...] = COOLDOWNS) -> None:
         self.state, self.row, self.opens, self.until, self.recent = state or ("closed", 0, 0, 0, "")
-        self.reopen = reopen
+        self.reopen, self.cooldowns = reopen, cooldowns
 
     def dump(self) -> tuple:
         return self.state, self.row, self.opens, self.until, self.recent
@@ -83,7 +103,7 @@ class Circuit:
         if self.row >= IN_A_ROW or over or (probe and self.reopen):
             before, self.state = self.state, "open"
             self.opens += 1
-            self.until = at + 1_000_000 * COOLDOWNS[min(self.opens, len(COOLDOWNS) - 1)]
+            self.until = at + 1_000_000 * self.cooldowns[min(self.opens, len(self.cooldowns) - 1)]
             out.append(("circuit_open", before, "open", self.until))
         return out
 
@@ -97,28 +117,39 @@ def _transitions(route: str, rows: list[tuple[int, pd.Timestamp, bool]], circuit
     return out.astype({"ts": "datetime64[us]", "cooldown_until": "datetime64[us]"})
 
 
-def circuit_batch(log: DataFrame, reopen: bool = False) -> DataFrame:
-    """Transitions of (route, event_id, ts, ok), per route in time order.
+def circuit_batch(log: DataFrame, reopen: bool = False, cooldowns: Mapping[str, tuple[int, ...]] = ROUTE_COOLDOWNS) -> DataFrame:
+    """Transitions of (route, event_id, ts, ok), per route in time order; ``cooldowns`` are those of routes with their own.
 
     Routes run in parallel; a route's log streams through its task in batches of
-    sorted rows, so that a hot route needs a task's time, not its memory.
+    sorted rows. A circuit's next state hangs on all results before it (when a
+    cooldown ends depends on when it began), so a route can't be cut into parts
+    that run at once: a hot route needs a task's time, though not its memory.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, circuit = None, Circuit(reopen=reopen)
+        now, circuit = None, Circuit()
         for b in batches:
             for name, one in b.groupby("route", sort=False):
                 if name != now:
-                    now, circuit = name, Circuit(reopen=reopen)
+                    now, circuit = name, Circuit(reopen=reopen, cooldowns=cooldowns.get(name, COOLDOWNS))
                 yield _transitions(name, list(zip(one["event_id"].tolist(), one["ts"], one["ok"].tolist(), strict=True)), circuit)
 
     dealt = log.select(F.col("route").cast("string").alias("route"), "event_id", "ts", "ok").repartition("route").sortWithinPartitions("route", "ts", "event_id")
     return dealt.mapInPandas(run, TRANSITIONS)
 
 
+def degradations(transitions: DataFrame) -> DataFrame:
+    """The openings and closings among transitions, as rows with ids of their own."""
+    t = transitions.filter(F.col("event_type").isin("circuit_open", "circuit_close"))
+    return t.select("route", "event_type", "ts", "cooldown_until", F.concat_ws(":", F.lit("deg"), "route", F.col("event_id").cast("string")).alias("degradation_id"))
+
+
 class CircuitProcessor(StatefulProcessor):
     """The circuit as state per route; rows of a micro-batch are sorted by (ts, event_id)."""
 
+    def __init__(self, cooldowns: Mapping[str, tuple[int, ...]] = ROUTE_COOLDOWNS) -> None:
+        self.cooldowns = dict(cooldowns)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("circuit", StructType([StructField("state", StringType()), StructField("row", IntegerType()), StructField("opens", IntegerType()), StructField("until", LongType()), StructField("recent", StringType())]))
 
@@ -127,7 +158,7 @@ class CircuitProcessor(StatefulProcessor):
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        circuit = Circuit(tuple(self.kept.get()) if self.kept.exists() else None)
+        circuit = Circuit(tuple(self.kept.get()) if self.kept.exists() else None, cooldowns=self.cooldowns.get(key[0], COOLDOWNS))
         yield _transitions(key[0], list(zip(pdf["event_id"].tolist(), pdf["ts"], pdf["ok"].tolist(), strict=True)), circuit)
         self.kept.update(circuit.dump())
 
@@ -135,40 +166,49 @@ class CircuitProcessor(StatefulProcessor):
         pass
 
 
-def circuit_stream(log: DataFrame) -> DataFrame:
+def circuit_stream(log: DataFrame, cooldowns: Mapping[str, tuple[int, ...]] = ROUTE_COOLDOWNS) -> DataFrame:
     rows = log.select(F.col("route").cast("string").alias("route"), "event_id", "ts", "ok")
-    return rows.groupBy("route").transformWithStateInPandas(CircuitProcessor(), outputStructType=TRANSITIONS, outputMode="Append", timeMode="None")
+    return rows.groupBy("route").transformWithStateInPandas(CircuitProcessor(cooldowns), outputStructType=TRANSITIONS, outputMode="Append", timeMode="None")
 
 
 class ExpiryProcessor(StatefulProcessor):
-    """Emits a signal once the watermark passes its expiry: an event-time timer per signal."""
+    """Emits signals once the watermark passes their expiry: a timer per expiry, over groups of signals."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("expiry", StructType([StructField("at", LongType())]))
+        self.kept = handle.getMapState("expiry", StructType([StructField("at", LongType())]), StructType([StructField("ids", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for at in pdf["expires_at"]:
-                ms = int(at.value // 1_000_000)
-                if not self.kept.exists():
-                    self.kept.update((ms,))
-                    self.handle.registerTimer(ms)
+        frames = [r for r in rows]
+        if frames:
+            pdf = pd.concat(frames)
+            ms = pdf["expires_at"].astype("datetime64[ms]").astype("int64")
+            for at, ids in pdf["signal_id"].groupby(ms):
+                old = self.kept.getValue((at,))[0].split("\n") if self.kept.containsKey((at,)) else []
+                if not old:
+                    self.handle.registerTimer(int(at))
+                self.kept.updateValue((at,), ("\n".join(sorted({*old, *ids})),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = self.kept.get()[0]
-        self.kept.clear()
-        yield pd.DataFrame({"signal_id": [key[0]], "expired_at": [pd.Timestamp(at, unit="ms")]})
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.kept.containsKey((at,)):
+            ids = self.kept.getValue((at,))[0].split("\n")
+            self.kept.removeKey((at,))
+            yield pd.DataFrame({"signal_id": ids, "expired_at": [pd.Timestamp(at, unit="ms")] * len(ids)})
 
     def close(self) -> None:
         pass
 
 
 def expiry_stream(signals: DataFrame, late: str = "1 minute") -> DataFrame:
-    """(signal_id, expired_at) of signals (signal_id, observed_at, expires_at) as event time passes their expiry."""
-    s = signals.withWatermark("observed_at", late).select("signal_id", "observed_at", "expires_at")
-    return s.groupBy("signal_id").transformWithStateInPandas(ExpiryProcessor(), outputStructType="signal_id string, expired_at timestamp", outputMode="Append", timeMode="EventTime")
+    """(signal_id, expired_at) of signals (signal_id, observed_at, expires_at) as event time passes their expiry.
+
+    State is kept per hour of expiry, in a few thousand groups however many signals
+    there are; a signal that comes again with the same expiry is one. Times have milliseconds.
+    """
+    s = signals.withWatermark("observed_at", late).select("signal_id", "observed_at", "expires_at", F.date_trunc("hour", "expires_at").cast("string").alias("hour"))
+    return s.groupBy("hour").transformWithStateInPandas(ExpiryProcessor(), outputStructType="signal_id string, expired_at timestamp", outputMode="Append", timeMode="EventTime")
 
 
 def backpressure(levels: DataFrame, high: int, low: int) -> DataFrame:

@@ -42,7 +42,7 @@ def test_missing_axis_is_a_status_not_a_failure(spark):
     assert (r.status, r.score) == ("ERR_NONPOSITIVE_CONFIDENCE", None) and [g.signal_type for g in r.coverage_gaps] == ["content"]
     assert one(score.score(golden(spark, drop=("pain",)), F.lit(AS_OF))).status == "BLOCKED_COVERAGE"
     low = one(score.score(golden(spark, change={"content": 0.2}), F.lit(AS_OF)))
-    assert low.status == "OK" and low.coverage_gaps[0].reason == "soft-required: best any-tier confidence 0.200 < 0.40"
+    assert low.status == "OK" and low.coverage_gaps[0].reason == "wanted: best of all tiers, confidence 0.200 < 0.40"
 
 
 def test_gate_deadline(spark):
@@ -108,8 +108,8 @@ def test_rubric_goldens_and_penalties(spark):
 
 def test_query_pack_first_wins_and_ids_are_dense(spark):
     rows = spark.createDataFrame([(i, "Camp", "tie", "f", "fan", "a") for i in range(3)] + [(3, "camp ", "tie", "g", "fan", "a")], "r long, activity string, task string, friction_family string, product_territory string, activity_id string")
-    out = candidates.dedup_queries(candidates.query_pack(rows, candidates.templates(spark), "US", 2026)).collect()
-    assert sorted(r.query_id for r in out) == [f"query-{i:04d}" for i in range(1, len(out) + 1)] and len(out) == 19
+    out = candidates.dedup_queries(candidates.query_pack(rows, candidates.templates(spark, [(f"t{i}", "g", "{activity} {task} " + x) for i, x in enumerate(["a", "b", "{friction_family}", "a  "])]), "US", 2026)).collect()
+    assert sorted(r.query_id for r in out) == [f"query-{i:04d}" for i in range(1, len(out) + 1)] and len(out) == 4
     bad = spark.createDataFrame([(0, "t", "g", "{activity} {oops}")], "t int, template_id string, evidence_goal string, template string")
     assert {r.status for r in candidates.query_pack(rows, bad, "US", 2026).collect()} == {"ERR_PLACEHOLDER"}
 
