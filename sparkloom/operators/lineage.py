@@ -27,30 +27,37 @@ def select_edges(edges: DataFrame, limit: int | None = None, **where: str) -> Da
     return ordered if limit is None else ordered.limit(limit)
 
 
-def _walk(start: DataFrame, edges: DataFrame, step) -> list[DataFrame]:
-    """The new (root, kind, id) of each round, until a round finds nothing new, however deep that is.
+def _walk(start: DataFrame, edges: DataFrame, step, merge: int = 8) -> DataFrame:
+    """All (root, kind, id, depth) found, by rounds until one finds nothing new, however deep that is.
 
     ``step`` turns a frontier joined to its edges into the next one. The edges are
-    hashed by child once; only a round's new rows are written. A node that many
-    roots reach does not land in one task.
+    hashed by child once. A round writes only its new rows; every ``merge`` rounds what
+    was found becomes one table, so that plans stay small. A node that many roots
+    reach does not land in one task.
     """
     key = ["root", "kind", "id"]
     e = cut(edges.withColumnsRenamed({"child_kind": "kind", "child_id": "id"}).repartition("kind", "id"))
-    rounds = [cut(start)]
-    while True:
-        seen = rounds[0].select(*key)
-        for r in rounds[1:]:
-            seen = seen.unionByName(r.select(*key))
-        new = cut(step(hot_join(rounds[-1], e, ["kind", "id"])).join(seen, key, "left_anti"))
-        if new.isEmpty():
-            return rounds
-        rounds.append(new)
-
-
-def _by_depth(rounds: list[DataFrame]) -> DataFrame:
-    out = rounds[0].withColumn("depth", F.lit(0))
-    for depth, r in enumerate(rounds[1:], 1):
-        out = out.unionByName(r.withColumn("depth", F.lit(depth)))
+    frontier = cut(start.withColumn("depth", F.lit(0)))
+    n = frontier.count()
+    found, depth = [frontier], 0
+    while n:
+        depth += 1
+        now = frontier.drop("depth")
+        near = hot_join(now, e, ["kind", "id"]) if n > FEW else now.join(e, ["kind", "id"])
+        frontier = cut(step(near).join(_union(found).select(*key), key, "left_anti").withColumn("depth", F.lit(depth)))
+        n = frontier.count()
+        found = [*found, frontier] if len(found) < merge else [cut(_union([*found, frontier]))]
+    return _union(found)
+
+
+#: A frontier of so few rows has no hot node.
+FEW = 1000
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
@@ -62,7 +69,7 @@ def trace(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """
     start = roots.select(F.struct("kind", "id").alias("root"), "kind", "id").distinct()
     up = lambda j: j.select("root", F.col("parent_kind").alias("kind"), F.col("parent_id").alias("id")).distinct()
-    found = _by_depth(_walk(start, unique_edges(edges).select("child_kind", "child_id", "parent_kind", "parent_id"), up))
+    found = _walk(start, unique_edges(edges).select("child_kind", "child_id", "parent_kind", "parent_id"), up)
     return found.select(F.col("root.kind").alias("root_kind"), F.col("root.id").alias("root_id"), "kind", "id", "depth")
 
 
@@ -96,7 +103,7 @@ def replay_plan(roots: DataFrame, edges: DataFrame, leaf_kind: str) -> DataFrame
         return j.select("root", F.col("parent_kind").alias("kind"), F.col("parent_id").alias("id"), pins.alias("pins")).groupBy("root", "kind", "id").agg(F.min("pins").alias("pins"))
 
     start = roots.select(F.struct("kind", "id").alias("root"), "kind", "id").distinct().withColumn("pins", F.lit(""))
-    found = _by_depth(_walk(start, edges.select("child_kind", "child_id", "parent_kind", "parent_id", "version_tag"), up))
+    found = _walk(start, edges.select("child_kind", "child_id", "parent_kind", "parent_id", "version_tag"), up)
     return found.filter(F.col("kind") == leaf_kind).select(F.col("root.id").alias("root_id"), F.col("id").alias("leaf_id"), "depth", "pins")
 
 

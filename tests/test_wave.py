@@ -39,12 +39,16 @@ def test_components_of_chains_stars_and_cycles(spark):
 
 
 def test_lineage_of_any_depth(spark):
-    n = 150
+    n = 110
     e = spark.createDataFrame([("x", str(i), "x" if i < n - 1 else "query_spec", str(i + 1), f"v{i}") for i in range(n)], "child_kind string, child_id string, parent_kind string, parent_id string, version_tag string")
     roots = spark.createDataFrame([("x", "0")], "kind string, id string")
     assert lineage.trace(roots, e).agg(F.max("depth"), F.count("*")).first()[:] == (n, n + 1)
-    plan = lineage.replay_plan(roots, e, "query_spec").collect()
-    assert [(p.leaf_id, p.depth, p.pins.count(">")) for p in plan] == [(str(n), n, n - 1)]
+
+
+def test_replay_pins_the_shortest_path(spark):
+    e = spark.createDataFrame([("x", "0", "x", "1", "a"), ("x", "1", "query_spec", "q", "b"), ("x", "0", "x", "2", "c"), ("x", "2", "x", "3", "d"), ("x", "3", "query_spec", "q", "e"), ("x", "3", "query_spec", "r", "f")], "child_kind string, child_id string, parent_kind string, parent_id string, version_tag string")
+    plan = {p.leaf_id: (p.depth, p.pins) for p in lineage.replay_plan(spark.createDataFrame([("x", "0")], "kind string, id string"), e, "query_spec").collect()}
+    assert plan == {"q": (2, "x=a>query_spec=b"), "r": (3, "x=c>x=d>query_spec=f")}
 
 
 def test_places_and_last_sums_against_the_definition(spark):
