@@ -139,3 +139,9 @@ def chunks(docs: DataFrame, key: str, size: int = 100, overlap: int = 10) -> Dat
     t = docs.select(key, F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("t")).filter(F.size("t") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("t") - overlap - 1, F.lit(0)), F.lit(size - overlap))
     return t.select(key, "t", F.posexplode(starts).alias("chunk", "i")).select(key, "chunk", F.array_join(F.slice("t", F.col("i") + 1, F.lit(size)), " ").alias("body"))
+
+
+def search_rows(answers: DataFrame) -> DataFrame:
+    """One row per usable result of search answers (query, results: array of structs with url and engine); a missing engine is ``unknown``."""
+    r = answers.select("query", F.explode("results").alias("r")).filter(F.col("r.url").isNotNull())
+    return r.select("query", "r.url", F.coalesce("r.engine", F.lit("unknown")).alias("engine"), *[F.col(f"r.{c}") for c in answers.schema["results"].dataType.elementType.names if c not in ("url", "engine")])

@@ -102,11 +102,11 @@ def page_assemble(spark, d):
 def _vtt(spark, d):
     """Conversations as captions: a cue per turn."""
     c = B.table(spark, d, "conversations")
-    line = F.concat(F.col("turn").cast("string"), F.lit("\n00:01.000 --> 00:02.000\n"), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40), F.lit(" \n"))
+    line = F.concat(F.col("turn").cast("string"), F.lit("\n00:01.000 --> 00:02.000\n"), F.regexp_replace("text", r"\s+", " "), F.lit(" \n"))
     return c.groupBy(F.concat(F.lit("v"), F.col("conv_id").cast("string")).alias("video_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("body")).select("video_id", F.concat(F.lit("WEBVTT\n\n"), "body").alias("vtt"))
 
 
-_VTT = "vt AS (SELECT 'v' || conv_id AS video_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> '') AS txt FROM (SELECT conv_id, turn, trim(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40)) AS t FROM conversations) GROUP BY conv_id)"
+_VTT = "vt AS (SELECT 'v' || conv_id AS video_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> '') AS txt FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) GROUP BY conv_id)"
 
 
 @register("vtt_text", f"WITH {_VTT} SELECT video_id, txt AS transcript FROM vt")
@@ -140,20 +140,14 @@ def _results(spark, d):
     return P(spark, d).groupBy(F.lower(F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("query")).agg(F.collect_list(r).alias("results"))
 
 
-def search_rows(answers):
-    """One row per usable result; a missing engine is ``unknown``."""
-    r = answers.select("query", F.explode("results").alias("r")).filter(F.col("r.url").isNotNull())
-    return r.select("query", "r.url", F.coalesce("r.engine", F.lit("unknown")).alias("engine"), "r.page_id")
-
-
 @register("src_search_results", f"WITH {_RES} SELECT query, url, engine, page_id FROM rs WHERE url IS NOT NULL")
 def src_search_results(spark, d):
-    return search_rows(_results(spark, d))
+    return G.search_rows(_results(spark, d))
 
 
 @register("discover_urls", f"WITH {_RES}, q AS (SELECT DISTINCT 'qs_' || substr(sha256('job|' || query || '|' || engine), 1, 16) AS query_spec_id, url FROM rs WHERE url IS NOT NULL) SELECT query_spec_id, url, 'tsk_' || substr(sha256('job|' || query_spec_id || '|' || url), 1, 12) AS task_id, 'idem_' || sha256('fetch|' || query_spec_id || '|' || url) AS idempotency_key FROM q")
 def discover_urls(spark, d):
-    return G.discover(search_rows(_results(spark, d)), F.lit("job"))
+    return G.discover(G.search_rows(_results(spark, d)), F.lit("job"))
 
 
 @register("est_tokens", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")
