@@ -69,7 +69,9 @@ def trace(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """
     start = roots.select(F.struct("kind", "id").alias("root"), "kind", "id").distinct()
     up = lambda j: j.select("root", F.col("parent_kind").alias("kind"), F.col("parent_id").alias("id")).distinct()
-    found = _walk(start, unique_edges(edges).select("child_kind", "child_id", "parent_kind", "parent_id"), up)
+    # Edges that are there twice give what the round's distinct drops.
+    kinds = {c: strip_version(F.col(c)) for c in ("child_kind", "parent_kind")}
+    found = _walk(start, edges.withColumns(kinds).select("child_kind", "child_id", "parent_kind", "parent_id"), up)
     return found.select(F.col("root.kind").alias("root_kind"), F.col("root.id").alias("root_id"), "kind", "id", "depth")
 
 
