@@ -16,9 +16,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if given is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        _remove_at_end(spark, sc.getCheckpointDir())
     return given or sc.getCheckpointDir()
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """The folder is made, and deleted when the session's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
@@ -26,8 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """The path of a new folder that the driver and all executors share."""
-    return f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    """The path of a new, empty folder that the driver and all executors share; it goes with the session at the latest."""
+    path = f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    _remove_at_end(spark, path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut``, but in columns, compressed and pruned when read."""
+    path = f"{new_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
