@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, packing, pii, quality, rules, sharding, simhash, toxicity, warc
+from . import decontam, extract, packing, pii, quality, rules, sharding, simhash, tokens, toxicity, warc
 from .common import table
 
 
@@ -86,5 +86,9 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """.replace("\\\\", "\\")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_warc_archive, op4_quality_classifier, op5_toxicity_grammar, op6_html_extraction, op7_quality_rules, op8_pii_bootstrap, op9_vector_sharding, op10_benchmark_decontamination)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_warc_archive, op4_quality_classifier, op5_toxicity_grammar, op6_html_extraction, op7_quality_rules, op8_pii_bootstrap, op9_vector_sharding, op10_benchmark_decontamination, op13_token_counts)}
 ORACLE: dict[str, str] = {"op3_warc_archive": OP3_SQL, "op10_benchmark_decontamination": OP10_SQL}
