@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, packing, pii, quality, rules, sharding, simhash, tokens, toxicity, warc
+from . import decontam, extract, manifest, packing, pii, quality, rules, sharding, simhash, tokens, toxicity, warc
 from .common import table
 
 
@@ -86,9 +86,44 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def _tree_sql(leaves: str, name: str, depth: int) -> str:
+    """CTEs over ``leaves`` (tree, pos, n, h), a tree of up to 16^depth leaves: {name}0 to {name}{depth}, and what stands beside each node in its run."""
+    level = lambda k: f"""{name}{k} AS (SELECT tree, pos // 16 AS pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h FROM {name}{k - 1} GROUP BY tree, pos // 16, n)"""
+    beside = lambda k: f"""{name}s{k} AS (SELECT tree, pos, n, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WINDOW run AS (PARTITION BY tree, pos // 16 ORDER BY pos))"""
+    return ",\n".join([f"{name}0 AS (SELECT tree, pos, n, h FROM {leaves})", *map(level, range(1, depth + 1)), *map(beside, range(depth))])
+
+
+def _fold_sql(start: str, name: str, depth: int, place: str, tree: str) -> str:
+    """CTEs that carry ``start`` (x the node as folded, proof so far) up the levels of a tree: {name}f1 to {name}f{depth}."""
+    step = lambda k: f"""{name}f{k + 1} AS (SELECT f.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.l || f.x || s.r) ELSE f.x END AS x, CASE WHEN s.n > 1 THEN f.proof || s.l || s.r ELSE f.proof END AS proof) FROM {start if k == 0 else f"{name}f{k}"} f JOIN {name}s{k} s ON s.tree = {tree} AND s.pos = {place} // {16**k})"""
+    return ",\n".join(map(step, range(depth)))
+
+
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_BYTES = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_BYTES.format(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{0}")) + ")"
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+#: Sources of up to 16^5 documents, up to 16^3 sources.
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce('+' || source, '') AS tree, {_LEAF.format("text")} AS h, {_LEAF.format(f"translate(text, {_UPPER})")} AS low, {_CRC32} AS crc FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_tree_sql("e", "t", 5)},
+u AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, h, tree AS of FROM t5),
+{_tree_sql("u", "v", 3)},
+g AS (SELECT doc_id, e.h AS leaf, e.tree, e.pos, u.h AS subroot, u.pos AS place, CASE WHEN crc % 5 = 0 THEN low ELSE e.h END AS x, '' AS proof FROM e JOIN u ON u.of = e.tree),
+{_fold_sql("g", "t", 5, "f.pos", "f.tree")},
+{_fold_sql("tf5", "v", 3, "f.place", "''")}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = r.h AS verified FROM vf3, v3 r
+"""
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_warc_archive, op4_quality_classifier, op5_toxicity_grammar, op6_html_extraction, op7_quality_rules, op8_pii_bootstrap, op9_vector_sharding, op10_benchmark_decontamination, op13_token_counts)}
-ORACLE: dict[str, str] = {"op3_warc_archive": OP3_SQL, "op10_benchmark_decontamination": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_warc_archive, op4_quality_classifier, op5_toxicity_grammar, op6_html_extraction, op7_quality_rules, op8_pii_bootstrap, op9_vector_sharding, op10_benchmark_decontamination, op11_merkle_manifest, op13_token_counts)}
+ORACLE: dict[str, str] = {"op3_warc_archive": OP3_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
