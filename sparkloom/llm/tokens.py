@@ -5,32 +5,35 @@ so the pieces of a text are those of its pre-tokens. Each document becomes its
 pre-tokens and how often each occurs; each distinct pre-token of the corpus is
 given to the library once; counts are joined to frequencies and summed up.
 
-Few pre-tokens stand in most documents. Those that make up over a 50,000th of
-all (document, pre-token) pairs, so 50,000 at most, are broadcast with their
-counts; any other key holds too few pairs to weigh on one task.
+Few pre-tokens make up most of the (document, pre-token) pairs. The most frequent,
+a million at most, travel to the documents and are joined where those are; only
+pairs of rarer ones shuffle, none of which is in many documents.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import written
 
 BLANK = "▁"
-#: A run of blanks or a newline, and what follows up to the next; every text with a blank before it is a row of these.
-PRE_TOKEN = re.compile(f"(?:[ {BLANK}]+|\n)[^ {BLANK}\n]*")
 BORDER = re.compile(f"(?<![ {BLANK}])[ {BLANK}]|\n")
 #: Pre-tokens of more characters are cut further, wherever two characters stand together in no piece.
 LONG = 32
 #: Characters of a text that are cut into pre-tokens at once.
 STRETCH = 1_000_000
+#: Bytes of a pre-token that may be broadcast.
+WIDEST = 64
 
 
 class Vocabulary:
@@ -44,6 +47,10 @@ class Vocabulary:
         if any("\n" in p or re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces):
             raise ValueError("pieces of this vocabulary go on over blanks or newlines")
         self.together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        # Signs that follow a letter in no piece begin a pre-token there; else a run of blanks or a newline does. A text
+        # with a blank before it is a row of pre-tokens.
+        signs = "".join(re.escape(c) for c in ".,;:!?\"')" if not any(a.isascii() and a.isalpha() and b == c for a, b in self.together)) or BLANK
+        self.pre_token = re.compile(f"(?:[ {BLANK}]+|\n|(?<=[A-Za-z])[{signs}])(?:[A-Za-z]+(?![^{signs} {BLANK}\n])|[^ {BLANK}\n]*)")
 
     def pre_tokens(self, text: str) -> Counter[str]:
         """How often each pre-token occurs in a text; none in an empty one."""
@@ -55,7 +62,7 @@ class Vocabulary:
         while at < len(text):
             border = BORDER.search(text, at + STRETCH)
             end = border.start() if border else len(text)
-            found.update(PRE_TOKEN.findall(text, at, end))
+            found.update(self.pre_token.findall(text, at, end))
             at = end
         for word in [w for w in found if len(w) > LONG]:
             times = found.pop(word)
@@ -91,14 +98,33 @@ def vocabulary_of(path: str) -> Vocabulary:
     return _KNOWN[path]
 
 
-FREQUENCIES = "row long, doc_id long, n_bytes long, words array<string>, times array<int>"
+FREQUENCIES = "row long, doc_id long, n_bytes long, n_tokens long, words array<string>, times array<int>"
 
 
-def frequencies(docs: DataFrame, model: str, most: int = 200_000) -> DataFrame:
+def frequencies(docs: DataFrame, model: str, often: tuple[pa.Array, np.ndarray] | None = None, most: int = 200_000) -> DataFrame:
     """A row per document: its number, doc_id, n_bytes, and its pre-tokens with their frequencies.
 
-    A worker hands rows on once they hold ``most`` pre-tokens.
+    The tokens of pre-tokens in ``often`` (words, pieces) are summed into
+    ``n_tokens``; they are left out of ``words``. A worker hands rows on once they
+    hold ``most`` pre-tokens.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def row_group(batch: pa.RecordBatch, words: list[str], times: list[int], ends: list[int]) -> pa.RecordBatch:
+        word, n, end, known = pa.array(words, pa.string()), np.array(times, np.int32), np.array(ends), np.zeros(len(ends), np.int64)
+        if shared.value is not None:
+            held, pieces = shared.value
+            at = pc.index_in(word, value_set=held).to_numpy(zero_copy_only=False)
+            found = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), bool)
+            sums = np.zeros(len(word), np.int64)
+            sums[found] = n[found].astype(np.int64) * pieces[at[found].astype(np.int64)]
+            known = np.r_[0, np.cumsum(sums)][end]
+            word, n, end = word.filter(pa.array(~found)), n[~found], np.r_[0, np.cumsum(~found)][end]
+        ends32 = pa.array(end, pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("row", "doc_id", "n_bytes")), pa.array(np.diff(known), pa.int64()), pa.ListArray.from_arrays(ends32, word), pa.ListArray.from_arrays(ends32, pa.array(n, pa.int32()))],
+            ["row", "doc_id", "n_bytes", "n_tokens", "words", "times"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = vocabulary_of(model).pre_tokens
@@ -112,11 +138,7 @@ def frequencies(docs: DataFrame, model: str, most: int = 200_000) -> DataFrame:
                 times += found.values()
                 ends.append(len(words))
                 if len(words) >= most or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(c).slice(first, i + 1 - first) for c in ("row", "doc_id", "n_bytes")]
-                        + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int32()))],
-                        ["row", "doc_id", "n_bytes", "words", "times"],
-                    )
+                    yield row_group(batch.slice(first, i + 1 - first), words, times, ends)
                     words, times, ends, first = [], [], [0], i + 1
 
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -133,22 +155,36 @@ def piece_counts(words: DataFrame, model: str) -> DataFrame:
     return words.withColumn("pieces", pieces("word"))
 
 
-def count_tokens(docs: DataFrame, model: str, limit: int = 4096, hot: int = 50_000) -> DataFrame:
+def least_often(counts: DataFrame, most: int) -> int:
+    """The number of documents from which on pre-tokens are the most frequent, at most ``most`` of them.
+
+    It is the least power of a tenth root of two, so that the histogram behind it has under 700 rows.
+    """
+    step = F.floor(F.log2(F.col("docs").cast("double")) * 10).cast("int")
+    held = 0
+    bound = 2**62
+    for row in counts.filter(f"octet_length(word) <= {WIDEST}").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += row["count"]
+        if held > most:
+            break
+        bound = math.ceil(2 ** (row["step"] / 10) - 1e-9)
+    return bound
+
+
+def count_tokens(docs: DataFrame, model: str, limit: int = 4096, often: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     Counts are those of the library for the whole text, without begin or end. A
     null or empty text has none. Null ids and repeated rows stay, each a row of its
     own; an empty table gives no rows. Columns other than doc_id and text are not
-    read. A broadcast pre-token has 256 bytes at most; a longer one that stands in
-    many documents is joined like the rare ones, where Spark splits its rows.
+    read. At most ``often`` pre-tokens of 64 bytes at most are broadcast.
     """
-    freq = written(frequencies(docs, model))
-    pairs = freq.select("row", "doc_id", "n_bytes", F.expr("inline_outer(arrays_zip(words, times))")).toDF("row", "doc_id", "n_bytes", "word", "times")
-    counts = cut(piece_counts(pairs.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("docs")), model))
-    total = counts.agg(F.sum("docs")).first()[0] or 0
-    often = F.broadcast(counts.filter((F.col("docs") * hot > total) & (F.octet_length("word") <= 256)).select("word", "pieces"))
-    who = ["row", "doc_id", "n_bytes"]
-    some = pairs.join(often, "word", "left").groupBy(*who).agg(F.sum(F.coalesce(F.col("times").cast("long") * F.col("pieces"), F.lit(0))).alias("n"))
-    rest = pairs.filter(F.col("word").isNotNull()).join(often, "word", "left_anti").join(counts.select("word", "pieces"), "word").groupBy(*who).agg(F.sum(F.col("times").cast("long") * F.col("pieces")).alias("n"))
-    n = F.sum("n")
-    return some.unionByName(rest).groupBy(*who).agg(n.alias("n_tokens"), (n > limit).alias("over_limit")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    pairs = lambda of: of.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", F.col("p.words").alias("word"), F.col("p.times").cast("long").alias("times"))
+    counts = written(piece_counts(frequencies(docs, model).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("docs")), model))
+    frequent = (F.col("docs") >= least_often(counts, often)) & (F.octet_length("word") <= WIDEST)
+    head = counts.filter(frequent).select("word", "pieces").toArrow()
+    known = (pa.array(head["word"].combine_chunks(), pa.string()), head["pieces"].to_numpy())
+    freq = written(frequencies(docs, model, known))
+    rest = pairs(freq).join(counts.filter(~frequent).select("word", "pieces"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+    n = F.col("n_tokens") + F.coalesce("rest", F.lit(0))
+    return freq.select("row", "doc_id", "n_bytes", "n_tokens").join(rest, "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

@@ -14,7 +14,7 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 def test_counts_are_the_library_s_for_odd_texts():
     v = tokens.Vocabulary(PATH)
     r = random.Random(3)
-    signs = [" ", "  ", "▁", "\n", "\t", "\r", "　", " ", "​", "<s>", "</s>", "<unk>", "<0x0A>", "中文", "é", "\U0001f600", "the", "ing", "ed", "qzx", "0123", ".,", "x" * 50, "\x00", "é"]
+    signs = [" ", "  ", "▁", "\n", "\t", "\r", "　", " ", "​", "<s>", "</s>", "<unk>", "<0x0A>", "中文", "é", "\U0001f600", "the", "ing", "ed", "qzx", "0123", ".,", "x" * 50, ".", ",", "a,", ")", "'", "?!", "\x00", "é"]
     for _ in range(4000):
         text = "".join(r.choice(signs) for _ in range(r.randint(0, 25)))
         found = v.pre_tokens(text)
@@ -36,8 +36,8 @@ def expected(rows):
 
 def test_documents_equal_the_library(spark):
     d = docs(spark)
-    for hot in (50_000, 20, 1):  # all, some and no pre-tokens broadcast
-        out = tokens.count_tokens(d, PATH, limit=100, hot=hot).collect()
+    for often in (1_000_000, 300, 5, 0):  # all, some and no pre-tokens broadcast
+        out = tokens.count_tokens(d, PATH, limit=100, often=often).collect()
         assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in out), key=str) == expected(d.collect())
         assert all(r.over_limit == (r.n_tokens > 100) for r in out)
 
