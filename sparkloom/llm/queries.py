@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, manifest, packing, pii, quality, rules, sharding, simhash, tokens, toxicity, warc
+from . import decontam, extract, filters, manifest, packing, pii, quality, rules, sharding, simhash, tokens, toxicity, warc
 from .common import table
 
 
@@ -121,9 +121,33 @@ SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, x AS f
 """
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY x) AS low FROM t),
+m AS (SELECT part, doc_id, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(x) AS INT)
+    + 8 * CAST(regexp_matches(x, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > low, false) AS INT) AS mask FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS docs, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT f1.f || f2.f || f3.f || f4.f || f5.f AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bs FROM f f1, f f2, f f3, f f4, f f5 WHERE len(list_distinct([f1.b, f2.b, f3.b, f4.b, f5.b])) = 5),
+s AS (SELECT filter_order, step, bs[step] AS own, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (SELECT part, filter_order, step, own,
+    coalesce(sum(docs) FILTER (mask & own = 0 AND mask & before = 0), 0) AS kept, coalesce(sum(docs) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS removed,
+    coalesce(sum(docs) FILTER (mask & own <> 0 AND mask & before <> 0), 0) AS redundant, coalesce(sum(docs) FILTER (mask = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_warc_archive, op4_quality_classifier, op5_toxicity_grammar, op6_html_extraction, op7_quality_rules, op8_pii_bootstrap, op9_vector_sharding, op10_benchmark_decontamination, op11_merkle_manifest, op13_token_counts)}
-ORACLE: dict[str, str] = {"op3_warc_archive": OP3_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_warc_archive, op4_quality_classifier, op5_toxicity_grammar, op6_html_extraction, op7_quality_rules, op8_pii_bootstrap, op9_vector_sharding, op10_benchmark_decontamination, op11_merkle_manifest, op12_filter_audit, op13_token_counts)}
+ORACLE: dict[str, str] = {"op3_warc_archive": OP3_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_filter_audit": OP12_SQL}
