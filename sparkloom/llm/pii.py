@@ -22,7 +22,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL = "[A-Za-z0-9._%+-]"
 # Each is the stated pattern with possessive repeats where nothing could be given back, so that long runs
 # neither recurse nor get scanned from each of their places.
-EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -44,9 +44,30 @@ def _matches(text: Column, pattern: str, wanted: Column) -> Column:
     return F.when(wanted, F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")))
 
 
+def _running(items: str, kind: str, zero: str, emit: str, after: str) -> str:
+    """What ``emit`` gives for each item x in turn; c.at is the state, from ``zero`` on, which ``after`` moves.
+
+    Items go in blocks of 128, as appending to an array copies it.
+    """
+    block = f"aggregate(b, struct(cast(array() AS array<{kind}>) AS out, a.at AS at), (c, x) -> struct(array_append(c.out, {emit}) AS out, {after} AS at), c -> c)"
+    blocks = "transform(sequence(0, greatest(size(v) - 1, 0) div 128), k -> slice(v, k * 128 + 1, 128))"
+    return f"transform(array({items}), v -> flatten(aggregate({blocks}, struct(cast(array() AS array<array<{kind}>>) AS out, {zero} AS at), (a, b) -> transform(array({block}), z -> struct(array_append(a.out, z.out) AS out, z.at AS at))[0], a -> a.out)))[0]"
+
+
 def _placed(found: str) -> str:
     """The start of each match: the lengths of all pieces and matches before it."""
-    return f"aggregate({found}.m, struct(cast(array() AS array<struct<start:int,m:string>>) AS out, 0 AS at, 0 AS i), (a, x) -> struct(array_append(a.out, struct(a.at + length({found}.gap[a.i]) AS start, x AS m)) AS out, a.at + length({found}.gap[a.i]) + length(x) AS at, a.i + 1 AS i), a -> a.out)"
+    starts = _running(f"transform({found}.m, (m, i) -> struct(length({found}.gap[i]) AS gap, length(m) AS own))", "int", "0", "c.at + x.gap", "c.at + x.gap + x.own")
+    return f"zip_with({starts}, {found}.m, (start, m) -> struct(start AS start, m AS m))"
+
+
+#: Characters of the pieces that a text is held in where parts of it are taken, as taking a part reads what is before it.
+PIECE = 1000
+PIECES = f"regexp_extract_all(t, '(?s).{{1,{PIECE}}}', 0)"
+
+
+def _part(pieces: str, start: str, length: str) -> str:
+    """``length`` characters of a text from ``start`` (from 0) on."""
+    return f"substring(array_join(slice({pieces}, ({start}) div {PIECE} + 1, ({start} + {length}) div {PIECE} - ({start}) div {PIECE} + 1), ''), ({start}) % {PIECE} + 1, {length})"
 
 
 DIGITS = "regexp_replace(e.m, '[^0-9]', '')"
@@ -77,7 +98,7 @@ def _quoted(pattern: str) -> str:
 
 
 def cues(docs: DataFrame) -> DataFrame:
-    """Add ``cues``: array<struct<labels, start, end, value, seed>> of the labelled values in ``t``.
+    """Add ``cues``: array<struct<labels, start, end, value, seed, free>> of the labelled values in ``t``; free ones overlap no base span.
 
     A value has two lexical patterns: its label's last word, and both words. It
     is the base span that begins there, else groups free of base spans, else a run.
@@ -87,19 +108,28 @@ def cues(docs: DataFrame) -> DataFrame:
     # How far a value runs is added up from the last cue to the first: a run that fills a gap goes on into the next cue.
     run = lambda of: f"length(regexp_extract({of}, {_quoted(RUN)}, 0))"
     parts = f"transform(_cue.m, (x, i) -> struct(length(x) AS n, {run('x')} AS own, length(_cue.gap[i + 1]) AS room, {run('_cue.gap[i + 1]')} AS run))"
-    length = "IF(x.run < x.room, x.run, x.run + a.next)"
-    sizes = f"reverse(aggregate(reverse({parts}), struct(cast(array() AS array<int>) AS out, 0 AS next), (a, x) -> struct(array_append(a.out, {length}) AS out, IF(x.own < x.n, x.own, x.n + {length}) AS next), a -> a.out))"
+    length = "IF(x.run < x.room, x.run, x.run + c.at)"
+    sizes = f"reverse({_running(f'reverse({parts})', 'int', '0', length, f'IF(x.own < x.n, x.own, x.n + {length})')})"
     grouped = F.when(F.col("t").rlike(r"[:=#] ?[\"']?[A-Za-z0-9]{1,8}\x20[A-Z0-9a-z]"), F.regexp_extract_all(F.col("t"), F.lit(f"{CUE}(?=({GROUPS}|))"), F.lit(1))).otherwise(F.expr("cast(array() AS array<string>)"))
     docs = docs.withColumn("_size", F.expr(sizes)).withColumn("_cue", F.expr(_placed("_cue"))).withColumn("_groups", grouped)
     label = "regexp_replace(lower(c.m), ' ?([:=#]) ?[\"\\']?$', '$1')"
     docs = docs.withColumn("_cue", F.expr(f"transform(arrays_zip(_cue.start, _cue.m, _size, _groups), c -> struct({label} AS label, c.start + length(c.m) AS start, c._size AS size, coalesce(length(c._groups), 0) AS wide))"))
-    whole = "array_max(transform(filter(spans, s -> s.start = c.start OR s.start = c.start - 1), s -> struct(s.end AS end, s.start AS start)))"
-    size = "IF(c.wide > c.size AND NOT exists(spans, s -> s.start < c.start + c.wide AND c.start < s.end), c.wide, c.size)"
-    docs = docs.withColumn("_cue", F.expr(f"transform(_cue, c -> struct(c.label AS label, c.start AS start, {size} AS size, {whole} AS whole))"))
-    docs = docs.withColumn("_cue", F.expr("transform(filter(_cue, c -> c.whole IS NOT NULL OR c.size >= 4), c -> struct(c.label AS label, coalesce(c.whole.start, c.start) AS start, coalesce(c.whole.end, c.start + c.size) AS end, c.whole IS NOT NULL AS base))"))
-    value = "substring(t, c.start + 1, c.end - c.start)"
-    seed = f"c.base OR ({value} rlike '^[0-9a-fA-F]{{24,}}$' AND {value} rlike '[0-9]' AND {value} rlike '[a-fA-F]')"
-    return docs.withColumn("cues", F.expr(f"transform(_cue, c -> struct(array_distinct(array(regexp_extract(c.label, '[^ ]+$', 0), c.label)) AS labels, c.start AS start, c.end AS end, xxhash64({value}) AS value, {seed} AS seed))")).drop("_cue", "_size", "_groups")
+    # Spans and cues in one order: what a cue's base span is, how far spans before it reach, where the next one begins.
+    events = "array_sort(concat(transform(spans, s -> struct(s.start AS at, 0 AS what, s.end AS end)), transform(_cue, c -> struct(c.start AS at, 1 AS what, 0 AS end))))"
+    zero = "struct(-9 AS p, 0 AS e, -9 AS q, 0 AS f, 0 AS far)"
+    whole = "array_max(filter(array(IF(c.at.p >= x.at - 1, struct(c.at.e AS end, c.at.p AS start), NULL), IF(c.at.q >= x.at - 1, struct(c.at.f AS end, c.at.q AS start), NULL)), w -> w IS NOT NULL))"
+    after = "IF(x.what = 1, c.at, struct(x.at AS p, IF(x.at = c.at.p, greatest(c.at.e, x.end), x.end) AS e, IF(x.at = c.at.p, c.at.q, c.at.p) AS q, IF(x.at = c.at.p, c.at.f, c.at.e) AS f, greatest(c.at.far, x.end) AS far))"
+    before = _running("_events", "struct<whole:struct<end:int,start:int>,far:int>", zero, f"IF(x.what = 1, struct({whole} AS whole, c.at.far AS far), NULL)", after)
+    beyond = _running("reverse(_events)", "int", "2147483647", "IF(x.what = 1, c.at, NULL)", "IF(x.what = 1, c.at, x.at)")
+    docs = docs.withColumn("_events", F.expr(events)).withColumn("_before", F.expr(f"filter({before}, x -> x IS NOT NULL)")).withColumn("_next", F.expr(f"reverse(filter({beyond}, x -> x IS NOT NULL))"))
+    docs = docs.withColumn("_cue", F.expr("transform(arrays_zip(_cue, _before, _next), z -> struct(z._cue.label AS label, z._cue.start AS start, z._cue.size AS size, z._cue.wide AS wide, z._before.whole AS whole, z._before.far AS far, z._next AS next))"))
+    size = "IF(c.wide > c.size AND c.far <= c.start AND c.next >= c.start + c.wide, c.wide, c.size)"
+    docs = docs.withColumn("_cue", F.expr(f"transform(_cue, c -> struct(c.label AS label, c.start AS start, {size} AS size, c.whole AS whole, c.far AS far, c.next AS next))"))
+    docs = docs.withColumn("_cue", F.expr("transform(filter(_cue, c -> c.whole IS NOT NULL OR c.size >= 4), c -> struct(c.label AS label, coalesce(c.whole.start, c.start) AS start, coalesce(c.whole.end, c.start + c.size) AS end, c.whole IS NOT NULL AS base, c.whole IS NULL AND c.far <= c.start AND c.next >= c.start + c.size AS free))"))
+    valued = f"transform(array({PIECES}), p -> transform(_cue, c -> struct(c.label AS label, c.start AS start, c.end AS end, c.base AS base, c.free AS free, {_part('p', 'c.start', '(c.end - c.start)')} AS value)))[0]"
+    docs = docs.withColumn("_cue", F.when(F.size("_cue") > 0, F.expr(valued)))
+    seed = "c.base OR (c.value rlike '^[0-9a-fA-F]{24,}$' AND c.value rlike '[0-9]' AND c.value rlike '[a-fA-F]')"
+    return docs.withColumn("cues", F.expr(f"transform(_cue, c -> struct(array_distinct(array(regexp_extract(c.label, '[^ ]+$', 0), c.label)) AS labels, c.start AS start, c.end AS end, xxhash64(c.value) AS value, {seed} AS seed, c.free AS free))")).drop("_cue", "_size", "_groups", "_events", "_before", "_next")
 
 
 def confident_patterns(found: DataFrame, support: int = 3, least: float = 0.8, still: float = 0.001) -> DataFrame:
@@ -134,9 +164,8 @@ def _scan(docs: DataFrame) -> DataFrame:
 def _found(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows (k_hash, k_crc, k_len, more): spans of confident patterns by text; texts with equal keys are equal."""
     key = ["k_hash", "k_crc", "k_len"]
-    some = scanned.filter(F.size("cues") > 0).groupBy(*key).agg(F.any_value("cues").alias("cues"), F.any_value("spans").alias("spans"))
-    hit = hot_join(cut(some.select(*key, "spans", F.explode("cues").alias("c")).withColumn("label", F.explode("c.labels"))), patterns.select("label"), ["label"])
-    new = hit.filter(~F.expr("exists(spans, s -> s.start < c.end AND c.start < s.end)"))
+    some = scanned.filter(F.size("cues") > 0).groupBy(*key).agg(F.any_value("cues").alias("cues"))
+    new = hot_join(cut(some.select(*key, F.explode("cues").alias("c")).filter("c.free").withColumn("label", F.explode("c.labels"))), patterns.select("label"), ["label"])
     return new.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct(F.col("c.start").alias("start"), F.lit(4).alias("kind"), F.col("c.end").alias("end")))).alias("more"))
 
 
@@ -149,7 +178,9 @@ def detect(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     A null text is empty; null ids and repeated rows stay. ``spans`` holds the
-    base spans and those of learned patterns (kind ``secret``).
+    base spans and those of learned patterns (kind ``secret``). An empty table gives
+    no rows; columns other than doc_id and text are not read. Work grows with a
+    text's length, not with the square of its matches.
     """
     scanned = cut(_scan(docs).select("doc_id", *text_key(F.col("t")), "spans", "cues"))
     more = _found(scanned, confident_patterns(scanned))
@@ -179,8 +210,11 @@ def mask(docs: DataFrame) -> DataFrame:
     # Texts without any mark of personal data need no look-up.
     maybe = F.col("t").rlike(r"@|[0-9]\.[0-9]|[0-9][0-9().\x20-]{4}|[:=#] ?[\"']?[A-Za-z0-9+]")
     untouched = keyed.filter(~maybe).select("row.*")
-    out = keyed.filter(maybe).join(marked, key, "left")
+    # A text that many rows share is a hot key: only the keys are counted, whole rows then stay where they are.
+    out = hot_join(cut(keyed.filter(maybe)), marked, key, "left")
     # Pieces between spans, left to right; a span that begins inside the last one only moves its end.
-    build = f"aggregate(every, struct('' AS s, 0 AS at), (a, x) -> struct(CASE WHEN x.start >= a.at THEN concat(a.s, substring(t, a.at + 1, x.start - a.at), array({tags})[x.kind]) ELSE a.s END AS s, greatest(a.at, x.end) AS at), a -> concat(a.s, substring(t, a.at + 1)))"
+    piece = f"IF(x.start >= c.at, concat({_part('p', 'c.at', '(x.start - c.at)')}, array({tags})[x.kind]), '')"
+    shown = _running("every", "string", "0", piece, "greatest(c.at, x.end)")
+    build = f"transform(array({PIECES}), p -> concat(array_join({shown}, ''), {_part('p', 'array_max(transform(every, s -> s.end))', 'length(t)')}))[0]"
     text = F.when(F.size("every") > 0, F.expr(build)).otherwise(F.col("row.text"))
     return out.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in names]).unionByName(untouched)

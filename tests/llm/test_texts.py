@@ -330,3 +330,23 @@ def test_pipeline_runs_on_odd_and_on_empty_tables(spark, tmp_path):
             rows.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert ({r.doc_id for r in got} >= {1, 4, 8, 12, 20}) if name == "odd" else got == []
+
+
+def test_texts_full_of_matches_take_time_in_proportion(spark):
+    import time
+
+    dotted = "a@b" + ".cd" * 1_000_000
+    many = "".join(f"mail: u{i}@ex.com token = k{i:07d}z " for i in range(40_000))
+    rows = [(1, dotted), (2, "x@y.z " * 200_000), (3, many)]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 120
+    assert (got[1].n_email, got[1].spans) == (1, f"email:0:{len(dotted)}")
+    assert got[2].n_email == 200_000 and got[2].spans.endswith("email:1199994:1199999")
+    assert got[3].n_email == 40_000
+    for r in rows[:2]:
+        found = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r[1])]
+        assert got[r[0]].spans == ",".join(f"email:{a}:{b}" for a, b in found)
+    masked = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert masked[1] == "<EMAIL>" and masked[2] == "<EMAIL> " * 200_000
+    assert masked[3].startswith("mail: <EMAIL> token = ") and "@" not in masked[3]
