@@ -2,7 +2,8 @@
 
 All files of the table go through available-now micro-batches. A row's texts are
 judged where they are; then only its mask of failed filters and a text key travel.
-The state of a text is the smallest id seen and the masks counted under that id:
+The state of a text, kept in buckets of some 2,000 texts whatever the size of the
+table, is the smallest id seen and the masks counted under that id:
 when a smaller id arrives, the earlier masks are taken back from the counters of
 their parts and counted again as copies. Copies inside a task shrink to a few rows
 before they shuffle, so a text of a third of all rows does not land on one task.
@@ -58,32 +59,28 @@ def _shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _retract(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by a text's new rows; the state is its smallest id and what is counted under it."""
-    low, held = None, Counter()
-    if state.exists:
-        low, text = state.get
-        held = Counter({tuple(k): n for *k, n in json.loads(text)})
-    before = low, dict(held)
+    """Changes of the counters by new rows of a bucket's texts; the state has each text's smallest id and what is counted under it."""
+    texts: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
     change: Counter = Counter()
     for b in batches:
-        for at, part, mask, good, toxic, n in zip(*(b[c].tolist() for c in ("low", "part", "mask", "good", "toxic", "n")), strict=True):
-            row = (part, int(mask), int(good), int(toxic))
+        for text, at, *row, n in zip(*(b[c].tolist() for c in ("text", "low", "part", "mask", "good", "toxic", "n")), strict=True):
             if pd.isna(at):  # a copy already, or a row without an id
-                change[row] += n
+                change[tuple(row)] += n
                 continue
             at = int(at)
+            low, held = texts.get(text, (None, []))
             if low is None or at < low:
-                for (p, m, g, t), k in held.items():
+                for (p, m, g, t), k in held:
                     change[p, m, g, t] -= k
                     change[p, m | COPY, g, t] += k
-                low, held = at, Counter()
-            if at == low:
-                held[row] += n
-                change[row] += n
+                low, held = at, []
+                texts[text] = [low, held]
+            if at > low:
+                row[1] |= COPY
             else:
-                change[part, row[1] | COPY, row[2], row[3]] += n
-    if (low, dict(held)) != before:
-        state.update((low, json.dumps([[*k, n] for k, n in sorted(held.items())])))
+                held.append([row, n])
+            change[tuple(row)] += n
+    state.update((json.dumps(texts),))
     rows = [(p, m, n, n * g, n * t) for (p, m, g, t), n in change.items() if n]
     if rows:
         yield pd.DataFrame(rows, columns=["part", "mask", "docs", "good", "toxic"])
@@ -95,10 +92,11 @@ def _marks(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("known")).agg(of("quality").alias("good"), of("toxic"))
 
 
-def mask_counts(spark: SparkSession, path: str, labels: DataFrame, files_a_batch: int | None = None) -> DataFrame:
+def mask_counts(spark: SparkSession, path: str, labels: DataFrame, files_a_batch: int | None = None, texts_a_bucket: int = 2000) -> DataFrame:
     """Documents, good and toxic ones per (part, mask) of the Parquet table at ``path``.
 
     ``files_a_batch`` is how many files a micro-batch takes; by default 16 for each core of the cluster.
+    States of about ``texts_a_bucket`` texts are kept and updated together, as a call for each text costs milliseconds.
     """
     folder = new_folder(spark)
     path = path.rstrip("/")
@@ -112,7 +110,9 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, files_a_batch
     ).select("part", *KEY, F.coalesce("id", "at").alias("doc_id"), F.col("id").isNotNull().alias("known"), "text", "n")
     judged = rows.mapInPandas(_judge, JUDGED).join(cut(_marks(labels)), ["doc_id", "known"], "left")
     some = judged.select(*KEY, F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    changes = some.mapInPandas(_shrink, SHRUNK).groupBy(*KEY).applyInPandasWithState(_retract, CHANGES, "low long, held string", "append", "NoTimeout")
+    buckets = max(64, -(-shown.count() // texts_a_bucket))
+    dealt = some.mapInPandas(_shrink, SHRUNK).select(F.pmod("k_hash", F.lit(buckets)).alias("bucket"), F.concat_ws(":", *KEY).alias("text"), "low", "part", "mask", "good", "toxic", "n")
+    changes = dealt.groupBy("bucket").applyInPandasWithState(_retract, CHANGES, "texts string", "append", "NoTimeout")
 
     def add(batch: DataFrame, number: int) -> None:
         sums = batch.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("docs", "good", "toxic")])
