@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.tables import KeyedTable
+
 from . import dq
 
 
@@ -33,6 +35,16 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(top.alias("_t")).select(key, "_t.*")
 
 
+def vector_table(spark: SparkSession, path: str) -> KeyedTable:
+    """A stored collection of vectors; ``latest(["version"])`` reads each point once."""
+    return KeyedTable(spark, path, "point string, record_id string, version int, embedding array<float>", ["point"])
+
+
+def points(vectors: DataFrame) -> DataFrame:
+    """Vectors (record_id, version, embedding) with their point ids, which come from the record's."""
+    return vectors.select(F.substring(F.sha2("record_id", 256), 1, 32).alias("point"), "record_id", "version", F.col("embedding").cast("array<float>").alias("embedding"))
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest by cosine; a zero vector has score 0; ties by id.
 

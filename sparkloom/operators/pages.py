@@ -33,7 +33,7 @@ def title(html: Column) -> Column:
 def absolute(href: Column, base: Column) -> Column:
     """A link joined to its page's address: absolute, protocol-relative, rooted or relative."""
     root = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+(?:/[^/?#]*)*/)", 1)
+    folder = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+/(?:[^?#]*/)?)", 1)  # no repeated group: addresses of any length
     return F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z]+:)", 1), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(root, F.lit("/"))), href))
 
 

@@ -9,7 +9,7 @@ from sparkloom.operators import keys, near, season
 from sparkloom.operators import profiles as R
 from sparkloom.operators import signals as S
 from sparkloom.operators.dq import Rule
-from sparkloom.sources.shared import cut
+from sparkloom.sources.shared import cut, new_folder
 
 from . import bindings as B
 from .catalog import register
@@ -57,10 +57,17 @@ def ev_index_payload(spark, d):
     return evidence(spark, d).select(p.alias("p")).select("p.*")
 
 
-@register("ev_upsert_vectors", "SELECT l_orderkey AS point, arg_max(l_linenumber, (l_linenumber, l_partkey)) AS version, arg_max(l_partkey, (l_linenumber, l_partkey)) AS payload FROM lineitem GROUP BY l_orderkey")
+@register("ev_upsert_vectors", "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 2 WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END AS version, embedding FROM embeddings) SELECT substr(sha256('ev_' || vec_id), 1, 32) AS point, 'ev_' || vec_id AS record_id, CAST(version AS INTEGER) AS version, len(embedding) AS dims, round(CAST(embedding[1] AS DOUBLE) * (version + 1), 5) AS head FROM v")
 def ev_upsert_vectors(spark, d):
-    li = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("point"), F.col("l_linenumber").alias("version"), F.col("l_partkey").alias("payload"))
-    return E.latest(li, "point", ["version", "payload"])
+    # Three batches of vectors, the newest first; the table is compacted between them.
+    v = B.table(spark, d, "embeddings")
+    t = E.vector_table(spark, f"{new_folder(spark)}/vectors")
+    for version in (2, 0, 1):
+        scaled = F.transform("embedding", lambda x: x * (version + 1))
+        t.upsert(E.points(v.filter(F.col("vec_id") % (version + 1) == 0).select(F.concat(F.lit("ev_"), F.col("vec_id").cast("string")).alias("record_id"), F.lit(version).alias("version"), scaled.alias("embedding"))))
+        if version == 0:
+            t.compact(["version"])
+    return t.latest(["version"]).select("point", "record_id", "version", F.size("embedding").cast("long").alias("dims"), F.round(F.col("embedding")[0].cast("double"), 5).alias("head"))
 
 
 @register("ev_semantic_search", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")

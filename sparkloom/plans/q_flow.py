@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.sources import io
-from sparkloom.sources.shared import new_folder
+from sparkloom.sources.shared import cut, new_folder
+from sparkloom.sources.tables import KeyedTable
 from sparkloom.streaming import jobs as J
+from sparkloom.streaming import ordered as O
 
 from . import bindings as B
 from .catalog import register
@@ -36,25 +38,34 @@ def src_json_artifacts(spark, d):
     return got.select("event_id", "k", F.col("_corrupt").isNotNull().alias("corrupt"))
 
 
-@register("sink_idempotent", "SELECT o_custkey AS key, min(o_orderkey) AS row_id, o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AS inserted FROM orders GROUP BY o_custkey")
+@register("sink_idempotent", "SELECT o_custkey AS key, min(o_orderkey) AS row_id, o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AS inserted, false AS again FROM orders GROUP BY o_custkey")
 def sink_idempotent(spark, d):
     rows = B.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("row_id"))
-    known = B.table(spark, d, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("key"))
-    return io.with_inserted(io.new_rows(rows, None, ["key"], ["row_id"]), known, ["key"])
+    t = KeyedTable(spark, f"{new_folder(spark)}/keys", "key long, row_id long", ["key"], 16)
+    t.insert(B.table(spark, d, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("key"), F.lit(None).cast("long").alias("row_id")))
+    first, second = t.insert(rows, ["row_id"]), t.insert(rows, ["row_id"])
+    return first.join(second.select("key", F.col("inserted").alias("again")), "key").select("key", "row_id", "inserted", "again")
 
 
-@register("sink_artifacts", "SELECT 'sha256:' || sha256(text) AS content_hash, substr(sha256(text), 1, 2) AS shard, min(doc_id) AS artifact_id FROM documents WHERE doc_id % 9 <> 0 GROUP BY text")
+@register("sink_artifacts", "SELECT 'sha256:' || sha256(text) AS content_hash, substr(sha256(text), 1, 2) AS shard, min(doc_id) AS artifact_id, CAST(CASE WHEN min(doc_id) % 2 = 0 THEN 1 WHEN bool_or(doc_id % 2 = 0) THEN 1 ELSE 2 END AS BIGINT) AS version FROM (SELECT text, doc_id FROM documents WHERE doc_id % 9 <> 0 QUALIFY NOT bool_or(doc_id % 2 = 0) OVER (PARTITION BY text) OR doc_id % 2 = 0) GROUP BY text")
 def sink_artifacts(spark, d):
     docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("artifact_id"), F.concat(F.lit("sha256:"), F.sha2(F.col("text").cast("binary"), 256)).alias("content_hash"), F.lit("page.v1").alias("schema_version"), F.lit("page").alias("artifact_kind"), F.when(F.col("doc_id") % 9 != 0, F.lit("p")).alias("provenance"), F.array("source").alias("derived_from"))
-    c = io.checked_artifacts(docs).filter(F.size("violations") == 0)
-    return io.new_rows(c, None, io.ARTIFACT_KEY, ["artifact_id"]).select("content_hash", "shard", "artifact_id")
+    t = io.artifact_table(spark, f"{new_folder(spark)}/artifacts")
+    for part in (docs.filter("artifact_id % 2 = 0"), docs, docs):  # a half, all of it, and all of it once more
+        io.append_artifacts(part, t)
+    return t.read().select("content_hash", "shard", "artifact_id", F.col("_seq").alias("version"))
 
 
 @register("sink_edges", "SELECT DISTINCT 'line' AS child_kind, l_orderkey AS child_id, 'part' AS parent_kind, l_partkey AS parent_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def sink_edges(spark, d):
     e = B.table(spark, d, "lineitem").select(F.lit("line").alias("child_kind"), F.col("l_orderkey").alias("child_id"), F.lit("part").alias("parent_kind"), F.col("l_partkey").alias("parent_id"))
     known = e.join(B.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("child_id")), "child_id", "left_semi").select(*e.columns)
-    return io.new_rows(e, known, io.EDGE_KEY)
+    t = io.edge_table(spark, f"{new_folder(spark)}/edges", "long")
+    io.append_edges(known, t)
+    before = t.manifest()["version"]
+    io.append_edges(e, t)
+    io.append_edges(e, t)  # nothing
+    return t.read(since=before).select(*e.columns)
 
 
 @register("sink_append_checked", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS p_brand FROM part")
@@ -99,7 +110,8 @@ UNION ALL SELECT route, i, 'circuit_open', before, 'open', make_timestamp(until)
 
 @register("stream_circuit", _CIRCUIT + " SELECT route, event_id, ts, event_type, previous_state, new_state, cooldown_until FROM tr JOIN lg USING (route, i)")
 def stream_circuit(spark, d):
-    t = J.circuit_batch(_log(spark, d), cooldowns=OWN_COOLDOWNS)
+    arrived, late = _out_of_order(spark, _log(spark, d).withColumn("route", F.col("route").cast("string")), "route", "event_id")
+    t = _collected(spark, lambda: O.circuit_stream(arrived, late, OWN_COOLDOWNS))
     return t.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "cooldown_until")})
 
 
@@ -111,8 +123,9 @@ def degradation_events(spark, d):
 
 @register("stream_backpressure", "WITH l AS (SELECT event_type AS phase, ts, event_id AS seq, value AS backlog, CASE WHEN value >= 20 THEN true WHEN value <= 3 THEN false END AS m FROM events) SELECT phase, seq, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY phase ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS paused FROM l")
 def stream_backpressure(spark, d):
-    l = B.table(spark, d, "events").select(F.col("event_type").alias("phase"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("backlog"))
-    return J.backpressure(l, 20, 3).select("phase", "seq", "paused")
+    l = B.table(spark, d, "events").select(F.col("event_type").alias("phase"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("backlog"))
+    arrived, late = _out_of_order(spark, l, "phase", "seq")
+    return _collected(spark, lambda: O.backpressure_stream(arrived, late, 20, 3)).select("phase", "seq", "paused")
 
 
 @register("stream_rate_gap", "WITH r AS (SELECT user_id AS route, event_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0::DOUBLE AS gap_seconds, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS nth FROM events) SELECT route, event_id, round(gap_seconds, 6) AS gap_seconds, coalesce(gap_seconds < 600, false) AS too_soon, nth > 3 AS over_cap FROM r")
@@ -121,16 +134,51 @@ def stream_rate_gap(spark, d):
     return J.rate_gaps(r, 600.0, 3).select("route", "event_id", F.round("gap_seconds", 6).alias("gap_seconds"), "too_soon", "over_cap")
 
 
-@register("stream_coverage", f"WITH {B.SIG} SELECT niche_id, signal_type, tier, round(max(confidence), 6) AS best_confidence, count(*) AS n FROM sig GROUP BY ALL")
+@register("stream_coverage", f"WITH {B.SIG}, m AS (SELECT niche_id, signal_type, tier, max(confidence) AS best FROM sig GROUP BY ALL) SELECT niche_id, signal_type, tier, round(best, 6) AS best_confidence, string_agg(signal_id, ';' ORDER BY signal_id) AS signal_ids FROM m JOIN sig USING (niche_id, signal_type, tier) WHERE confidence = best GROUP BY ALL")
 def stream_coverage(spark, d):
-    return J.coverage(B.signals(spark, d)).withColumn("best_confidence", F.round("best_confidence", 6))
+    # Signals arrive in files that mix all times, some a batch; cells and their ids merge into stored tables.
+    signals = B.signals(spark, d).select("niche_id", "signal_type", "tier", "signal_id", "confidence")
+    sink = J.CoverageSink(spark, f"{new_folder(spark)}/grid")
+    J.drain(_stream(spark, signals.repartition(9, F.xxhash64("signal_id")), 3), sink, f"{new_folder(spark)}/state")
+    return sink.grid().select("niche_id", "signal_type", "tier", F.round("best_confidence", 6).alias("best_confidence"), F.array_join("signal_ids", ";").alias("signal_ids"))
 
 
-def _stream(spark, df):
-    """A frame as a stream: written to a new folder, read as it would arrive there."""
+def _stream(spark, df, files=1000):
+    """A frame as a stream: written to a new folder, read as it would arrive there, some files a batch."""
     path = f"{new_folder(spark)}/in"
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _out_of_order(spark, rows, key, number, files=4):
+    """Rows with ``ts`` as a stream of files in which times are mixed, and how late its rows come.
+
+    Each file has a slice of the time and a half of the slice before it. A tick under a
+    key of its own ends the stream; with it all other rows fall due.
+    """
+    path = f"{new_folder(spark)}/in"
+    us = F.unix_micros("ts")
+    first, last = rows.agg(F.min(us), F.max(us)).first()
+    first, last = first or 0, last or 0
+    slice_us = (last - first) // files + 1
+    at = F.floor((us - first) / slice_us) + F.pmod(F.xxhash64(number), F.lit(2))
+    dealt = cut(rows.withColumn("_at", at))
+    late = 2 * slice_us // 1_000_000 + 1
+    for k in range(files + 1):  # in this order
+        dealt.filter(F.col("_at") == k).drop("_at").orderBy(F.xxhash64(number)).coalesce(1).write.mode("append").parquet(path)
+    tick = {key: F.lit("tick"), number: F.lit(-1).cast("long"), "ts": F.timestamp_micros(F.lit(last + 2_000_000 * late))}
+    spark.range(1).select(*[(tick[f.name] if f.name in tick else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), f"{late} seconds"
+
+
+def _collected(spark, stream):
+    """All rows of an append-mode stream, run to its end; a batch that comes again writes its folder again."""
+    out = f"{new_folder(spark)}/out"
+    with J.rocksdb(spark):
+        made = stream()
+        spark.createDataFrame([], made.schema).write.parquet(f"{out}/batch=-1")
+        J.drain(made, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}"), f"{new_folder(spark)}/state")
+    return spark.read.schema(made.schema).parquet(out).select(*made.columns)
 
 
 @register("stream_expiry", f"WITH {B.SIG} SELECT signal_id, CAST(date_trunc('millisecond', expires_at) AS TIMESTAMP) AS expired_at FROM sig WHERE expires_at <= (SELECT max(observed_at) FROM sig) - INTERVAL 1 MINUTE")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkloom.sources.tables import KeyedTable
+
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Rows of text; an empty cell is unknown (null), zero is a value."""
@@ -94,15 +96,26 @@ def checked_artifacts(df: DataFrame) -> DataFrame:
     return df.withColumns({"violations": F.filter(marks, lambda x: x.isNotNull()), "shard": F.substring(F.regexp_replace("content_hash", "^sha256:", ""), 1, 2)})
 
 
-def append_artifacts(df: DataFrame, path: str) -> DataFrame:
-    """Write the valid artifacts that are new; returns the invalid ones with their violations."""
+def artifact_table(spark: SparkSession, path: str, id_type: str = "long") -> KeyedTable:
+    """The stored table that ``append_artifacts`` fills."""
+    return KeyedTable(spark, path, f"artifact_id {id_type}, content_hash string, schema_version string, artifact_kind string, provenance string, derived_from array<string>, shard string", ARTIFACT_KEY)
+
+
+def append_artifacts(df: DataFrame, table: KeyedTable) -> DataFrame:
+    """Write the valid artifacts that are new, the smallest id of each content; returns the invalid ones with their violations."""
     c = checked_artifacts(df)
-    append_new(c.filter(F.size("violations") == 0).drop("violations"), path, ARTIFACT_KEY, ["artifact_id"], ["artifact_kind", "shard"])
+    table.insert(c.filter(F.size("violations") == 0), ["artifact_id"])
     return c.filter(F.size("violations") > 0)
 
 
-def append_edges(df: DataFrame, path: str) -> None:
-    append_new(df, path, EDGE_KEY)
+def edge_table(spark: SparkSession, path: str, id_type: str = "string") -> KeyedTable:
+    """The stored table that ``append_edges`` fills."""
+    return KeyedTable(spark, path, f"child_kind string, child_id {id_type}, parent_kind string, parent_id {id_type}", EDGE_KEY)
+
+
+def append_edges(df: DataFrame, table: KeyedTable) -> DataFrame:
+    """Write the edges that are new; returns the batch's edges, once each, with ``inserted``."""
+    return table.insert(df)
 
 
 def manifest(files: DataFrame, root: Column | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sparkloom.sources import io
+from sparkloom.sources.tables import KeyedTable
 
 # Fixed values of the circuit: failures in a row, share of the last results, their number, cooldowns.
 IN_A_ROW, SHARE, RECENT, COOLDOWNS = 10, 0.5, 20, (300, 900, 1800)
@@ -52,6 +53,42 @@ def coverage(signals: DataFrame) -> DataFrame:
     return signals.groupBy("niche_id", "signal_type", "tier").agg(F.max("confidence").alias("best_confidence"), F.count("*").alias("n"))
 
 
+class CoverageSink:
+    """A foreachBatch sink of signals (niche_id, signal_type, tier, signal_id, confidence): the coverage grid, kept up.
+
+    A cell's best confidence is an upsert that the greatest wins; ids go into a long
+    table, once each, if they reach the best of their batch. So any order of arrival,
+    and a batch that comes again, gives the same grid, and no row holds a cell's ids.
+    """
+
+    CELL = ("niche_id", "signal_type", "tier")
+
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 16) -> None:
+        cell = ", ".join(f"{c} string" for c in self.CELL)
+        self.best = KeyedTable(spark, f"{path}/best", f"{cell}, confidence double", self.CELL, 16)
+        self.ids = KeyedTable(spark, f"{path}/ids", f"{cell}, signal_id string, confidence double", [*self.CELL, "signal_id", "confidence"], 64)
+        self.compact_every = compact_every
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        rows = batch.persist()
+        try:
+            top = rows.groupBy(*self.CELL).agg(F.max("confidence").alias("confidence")).filter("confidence IS NOT NULL")
+            self.ids.insert(rows.join(top, [*self.CELL, "confidence"], "left_semi"))
+            self.best.upsert(top)
+        finally:
+            rows.unpersist()
+        if epoch % self.compact_every == self.compact_every - 1:
+            self.best.compact(["confidence"])
+
+    def members(self) -> DataFrame:
+        """The grid in long form: a row per cell and id that reaches the best confidence."""
+        return self.ids.read().join(self.best.latest(["confidence"]), [*self.CELL, "confidence"], "left_semi").select(*self.CELL, "signal_id", "confidence")
+
+    def grid(self) -> DataFrame:
+        """Per cell the best confidence and the sorted ids that reach it, for cells of few ids."""
+        return self.members().groupBy(*self.CELL).agg(F.max("confidence").alias("best_confidence"), F.array_sort(F.collect_set("signal_id")).alias("signal_ids"))
+
+
 def route(valid_path: str, invalid_path: str, ok: Column) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: good rows to one table, others to another, of one computed batch."""
 
@@ -144,33 +181,6 @@ def degradations(transitions: DataFrame) -> DataFrame:
     return t.select("route", "event_type", "ts", "cooldown_until", F.concat_ws(":", F.lit("deg"), "route", F.col("event_id").cast("string")).alias("degradation_id"))
 
 
-class CircuitProcessor(StatefulProcessor):
-    """The circuit as state per route; rows of a micro-batch are sorted by (ts, event_id)."""
-
-    def __init__(self, cooldowns: Mapping[str, tuple[int, ...]] = ROUTE_COOLDOWNS) -> None:
-        self.cooldowns = dict(cooldowns)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("circuit", StructType([StructField("state", StringType()), StructField("row", IntegerType()), StructField("opens", IntegerType()), StructField("until", LongType()), StructField("recent", StringType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [r for r in rows]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        circuit = Circuit(tuple(self.kept.get()) if self.kept.exists() else None, cooldowns=self.cooldowns.get(key[0], COOLDOWNS))
-        yield _transitions(key[0], list(zip(pdf["event_id"].tolist(), pdf["ts"], pdf["ok"].tolist(), strict=True)), circuit)
-        self.kept.update(circuit.dump())
-
-    def close(self) -> None:
-        pass
-
-
-def circuit_stream(log: DataFrame, cooldowns: Mapping[str, tuple[int, ...]] = ROUTE_COOLDOWNS) -> DataFrame:
-    rows = log.select(F.col("route").cast("string").alias("route"), "event_id", "ts", "ok")
-    return rows.groupBy("route").transformWithStateInPandas(CircuitProcessor(cooldowns), outputStructType=TRANSITIONS, outputMode="Append", timeMode="None")
-
-
 class ExpiryProcessor(StatefulProcessor):
     """Emits signals once the watermark passes their expiry: a timer per expiry, over groups of signals."""
 

@@ -168,3 +168,12 @@ def test_page_links_and_canonical(spark):
     r = one(df.select(pages.links(F.col("h"), F.col("u")).alias("l"), pages.canonical(F.col("h"), F.col("u")).alias("c"), pages.domain(F.col("u")).alias("d")))
     assert r.l == ["https://WWW.Ex.com/r", "https://WWW.Ex.com/a/s?q", "https://h/p", "mailto:a@b"]
     assert (r.c, r.d) == ("https://WWW.Ex.com/a/c/d", "ex.com")
+
+
+def test_addresses_of_any_length_are_joined(spark):
+    from sparkloom.operators import pages
+
+    base = "https://a.org" + "/x" * 200_000
+    rows = [(base + "/y.html", "z"), ("https://a.org", "z"), ("https://a.org/", "z"), ("https://a.org/p?q=/r/s", "z"), ("https://a.org/p/o#/r/s", "z"), ("https://a.org?u=/b", "z")]
+    got = [r[0] for r in spark.createDataFrame(rows, "b string, h string").select(pages.absolute(F.col("h"), F.col("b"))).collect()]
+    assert got == [base + "/z", "https://a.org/z", "https://a.org/z", "https://a.org/z", "https://a.org/p/z", "https://a.org/z"]

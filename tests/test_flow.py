@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.operators import coverage
 from sparkloom.sources import io
-from sparkloom.streaming import jobs
+from sparkloom.streaming import jobs, ordered
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -36,14 +38,15 @@ def test_corrupt_json_keeps_its_text(spark, tmp_path):
 
 def test_artifacts_and_edges_are_written_once(spark, tmp_path):
     df = spark.createDataFrame([("a1", "sha256:ab1", "v1", "page", "p", ["x"]), ("a2", "sha256:ab1", "v1", "page", "p", ["x"]), ("a3", "sha256:cd1", "v1", "page", None, ["x"]), ("a4", "sha256:ee1", "v1", "page", "p", [])], "artifact_id string, content_hash string, schema_version string, artifact_kind string, provenance string, derived_from array<string>")
+    table = io.artifact_table(spark, f"{tmp_path}/a", "string")
     for _ in range(2):
-        bad = io.append_artifacts(df, f"{tmp_path}/a")
+        bad = io.append_artifacts(df, table)
         assert {(r.artifact_id, tuple(r.violations)) for r in bad.collect()} == {("a3", ("provenance",)), ("a4", ("derived_from",))}
-    assert [r.artifact_id for r in spark.read.parquet(f"{tmp_path}/a").collect()] == ["a1"]
+    assert [r.artifact_id for r in table.read().collect()] == ["a1"]
     e = spark.createDataFrame([("a", "1", "b", "2")] * 2, "child_kind string, child_id string, parent_kind string, parent_id string")
-    for _ in range(2):
-        io.append_edges(e, f"{tmp_path}/e")
-    assert spark.read.parquet(f"{tmp_path}/e").count() == 1
+    edges = io.edge_table(spark, f"{tmp_path}/e")
+    assert [[r.inserted for r in io.append_edges(e, edges).collect()] for _ in range(2)] == [[True], [False]]
+    assert edges.read().count() == 1
 
 
 def test_manifest_of_files(spark, tmp_path):
@@ -83,12 +86,46 @@ def test_failed_probe_reopens_only_on_request():
     assert jobs.Circuit(("half_open", 0, 1, 0, "1"), reopen=True).record(1, False)[0][0] == "circuit_open"
 
 
-def test_circuit_stream_equals_batch(spark, tmp_path):
+def mixed(spark, tmp_path, rows, schema, job, files, late, at):
+    """A stream whose files hold all times within ``late`` of each other in no order."""
+    r = random.Random(4)
+    rows = sorted(rows, key=lambda x: x[at] + dt.timedelta(seconds=r.randint(0, late)))
+    for k in range(files):
+        part = rows[k * len(rows) // files : (k + 1) * len(rows) // files]
+        r.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = []
+    job(stream).writeStream.foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_circuit_stream_equals_batch_in_mixed_order(spark, tmp_path):
     rows = log()
-    key = lambda r: (r.route, r.event_id, r.event_type)
-    batch = sorted(map(tuple, jobs.circuit_batch(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
-    out = run_stream(spark, tmp_path, rows, SCHEMA, jobs.circuit_stream, key=lambda r: r[2])
-    assert sorted(map(tuple, out.collect()), key=str) == batch and key
+    end = max(r[2] for r in rows) - dt.timedelta(seconds=1200)
+    batch = jobs.circuit_batch(spark.createDataFrame(rows, SCHEMA)).collect()
+    out = mixed(spark, tmp_path, rows, SCHEMA, lambda s: ordered.circuit_stream(s, "1200 seconds"), 5, 1200, 2)
+    assert sorted(out, key=str) == sorted((tuple(r) for r in batch if r.ts <= end), key=str) and out
+
+
+def test_backpressure_stream_equals_batch_in_mixed_order(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(f"p{i % 3}", T0 + dt.timedelta(seconds=37 * (i // 2)), i, float(r.choice([1, 2, 5, 10, 15, 25, 30]))) for i in range(400)]
+    schema = "phase string, ts timestamp, seq long, backlog double"
+    end = max(x[1] for x in rows) - dt.timedelta(seconds=900)
+    batch = {(x.phase, x.ts, x.seq, x.backlog, x.paused) for x in jobs.backpressure(spark.createDataFrame(rows, schema), 20, 3).collect() if x.ts <= end}
+    out = mixed(spark, tmp_path, rows, schema, lambda s: ordered.backpressure_stream(s, "900 seconds", 20, 3), 6, 900, 1)
+    assert set(out) == batch and len(out) == len(batch) > 300
+
+
+def test_coverage_sink_gives_the_grid_in_any_order_and_when_batches_repeat(spark, tmp_path):
+    rows = [(f"n{i % 3}", "demand", "open", f"s{i:02d}", (i * 37 % 20) / 20) for i in range(60)] + [("n9", "pain", "open", "x", None)]
+    df = spark.createDataFrame(rows, "niche_id string, signal_type string, tier string, signal_id string, confidence double")
+    want = sorted((r.niche_id, r.best_confidence, tuple(r.signal_ids)) for r in coverage.grid(df.filter("confidence IS NOT NULL")).collect())
+    sink = jobs.CoverageSink(spark, f"{tmp_path}/g", compact_every=3)
+    for epoch, k in enumerate((2, 0, 2, 1, 3)):
+        sink(df.filter(F.pmod(F.xxhash64("signal_id"), F.lit(4)) == k), epoch)
+    assert sorted((r.niche_id, r.best_confidence, tuple(r.signal_ids)) for r in sink.grid().collect()) == want
 
 
 def test_coverage_stream_equals_batch_in_any_order(spark, tmp_path):
