@@ -14,7 +14,6 @@ that a dense part of the article is not lost for one word of its name.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -54,13 +53,16 @@ def _name_weight(names: str) -> float:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, tags seen before it, characters in links, and the open elements; and what elements' names weigh."""
+    """Collects lines: text, tags seen before it, characters in links, the innermost open element; and elements with their parents."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, element number, left out
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.at: dict[str, list[int]] = {}  # where each tag stands in the stack
+        self.blocks: list[int] = []  # where blocks but paragraphs stand
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.tags_of: list[str] = []
+        self.parent: list[int] = []  # always a smaller number, or -1
         self.text: list[str] = []
         self.tags = self.linked = self.anchors = 0
         self.marks: dict[str, float] = {}
@@ -71,10 +73,31 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             self.text = []
             if text:
-                self.lines.append((text, max(1, self.tags), self.linked, tuple(e[1] for e in self.stack), bool(self.stack) and self.stack[-1][2]))
+                _, element, out = self.stack[-1] if self.stack else ("", -1, False)
+                self.lines.append((text, max(1, self.tags), self.linked, element, out))
                 self.tags = 0
         self.linked = 0
 
+    def _innermost(self, tags) -> int:
+        """Where the innermost open element of these kinds stands in the stack; -1 if there is none."""
+        return max((held[-1] for t in tags if (held := self.at.get(t))), default=-1)
+
+    def _push(self, tag: str, out: bool) -> None:
+        at = len(self.stack)
+        self.at.setdefault(tag, []).append(at)
+        if tag in BLOCKS and tag != "p":
+            self.blocks.append(at)
+        self.parent.append(self.stack[-1][1] if self.stack else -1)
+        self.tags_of.append(tag)
+        self.stack.append((tag, len(self.tags_of) - 1, out))
+
+    def _pop_to(self, at: int) -> None:
+        for tag, _, _ in self.stack[at:]:
+            self.at[tag].pop()
+        del self.stack[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
     def _left_out(self, tag: str, attrs) -> bool:
         if tag in SKIPPED:
             return True
@@ -86,7 +109,7 @@ class _Lines(HTMLParser):
                 return True
             if k in ("class", "id") and v:
                 names.append(v)
-        inside = any(e[0] in ("article", "main") for e in self.stack)
+        inside = self._innermost(("article", "main")) >= 0
         if tag == "header":
             return not inside
         if not names or tag in ("html", "body", "article", "main"):
@@ -109,32 +132,26 @@ class _Lines(HTMLParser):
             elif tag == "hr":
                 self._flush()
             return
-        block = tag in BLOCKS
-        if block:
+        if tag in BLOCKS:
             self._flush()
-            if tag not in ("html", "body") and any(e[0] == "p" for e in self.stack):
-                self._close({"p"}, BLOCKS - {"p"})
+            if tag not in ("html", "body"):
+                self._close(("p",), self.blocks[-1] if self.blocks else -1)
         if tag in ENDS:
-            self._close(ENDS[tag], {"ul", "ol", "dl", "table"})
-        if tag in ("article", "main") and any(e[0] in ("nav", "header", "head") for e in self.stack):  # never closed
-            self._close({"nav", "header", "head"}, {"aside", "footer"})
+            self._close(ENDS[tag], self._innermost(("ul", "ol", "dl", "table")))
+        if tag in ("article", "main"):  # never closed
+            self._close(("nav", "header", "head"), self._innermost(("aside", "footer")))
         if tag == "body":
-            self._close({"head"}, set())
-        out = (bool(self.stack) and self.stack[-1][2]) or self._left_out(tag, attrs)
-        self.tags_of.append(tag)
-        self.stack.append((tag, len(self.tags_of) - 1, out))
+            self._close(("head",), -1)
+        self._push(tag, (bool(self.stack) and self.stack[-1][2]) or self._left_out(tag, attrs))
         if tag == "a":
             self.anchors += 1
 
-    def _close(self, tags, walls) -> None:
+    def _close(self, tags, wall: int) -> None:
         """End the innermost open element of these kinds, unless a wall stands before it."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                self._flush()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in walls:
-                return
+        at = self._innermost(tags)
+        if at > wall:
+            self._flush()
+            self._pop_to(at)
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -143,14 +160,12 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag) -> None:
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag in BLOCKS or any(e[0] in BLOCKS for e in self.stack[i:]) or tag in SKIPPED:
-                    self._flush()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                return
+        at = self._innermost((tag,))
+        if at < 0 or (tag not in ("article", "main", "body", "html") and at < self._innermost(("article", "main", "body"))):
+            return
+        if tag in BLOCKS or tag in SKIPPED or max(self.blocks[-1] if self.blocks else -1, self._innermost(("p",))) >= at:
+            self._flush()
+        self._pop_to(at)
 
     def handle_data(self, data) -> None:
         if self.stack and self.stack[-1][0] in SKIPPED and self.stack[-1][0] not in BLOCKS:
@@ -163,6 +178,24 @@ class _Lines(HTMLParser):
         self.close()
         self._flush()
 
+    def sums(self, at: list[int], values: list) -> list:
+        """For each element, the values of lines in it and in all elements inside; ``at`` are the lines' own elements."""
+        total = [0] * len(self.parent)
+        for e, x in zip(at, values, strict=True):
+            if e >= 0:
+                total[e] += x
+        for e in range(len(self.parent) - 1, -1, -1):
+            if self.parent[e] >= 0:
+                total[self.parent[e]] += total[e]
+        return total
+
+    def inside(self, some: set[int]) -> list[bool]:
+        """Whether each element is one of these or in one; a last place stands for no element."""
+        found = [False] * (len(self.parent) + 1)
+        for e, up in enumerate(self.parent):
+            found[e] = e in some or (up >= 0 and found[up])
+        return found
+
 
 def smooth(ratio: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines; the ends are weighted by what there is."""
@@ -185,30 +218,20 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
     return t
 
 
-def _sparse(lines: list, ratio: np.ndarray, size: np.ndarray, border: float, weights: dict[int, float]) -> np.ndarray:
-    """Lines in elements whose name weighs more than their density: mean smoothed ratio against the border."""
-    inside: dict[int, list[int]] = {}
-    for i, line in enumerate(lines):
-        for e in line[3]:
-            if e in weights:
-                inside.setdefault(e, []).append(i)
-    out = np.zeros(len(lines), bool)
-    for e, at in inside.items():
-        if np.average(ratio[at], weights=size[at]) < 2 * weights[e] ** 2 * border:
-            out[at] = True
-    return out
+HOLDERS = BLOCKS - {"p", "li", "h1", "h2", "h3", "td", "tr", "pre", "blockquote"}
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks, joined by a blank line; empty if there is none."""
+    """The article's blocks, joined by a blank line; empty if there is none. The work grows with the page, however deep it nests."""
     if not html:
         return ""
     p = _Lines()
     p.feed(html)
     p.finish()
-    lines = p.lines
+    lines, tags_of = p.lines, p.tags_of
     if not lines:
         return ""
+    at = [x[3] for x in lines]
     size = np.array([len(x[0]) for x in lines], float)
     own = np.log1p(size * np.array([not x[4] for x in lines]) / np.array([x[1] for x in lines]))
     ratio = smooth(own)
@@ -216,50 +239,53 @@ def main_text(html: str | None) -> str:
     if not kept.any():
         return ""
     border = threshold(ratio)
-    kept &= ~_sparse(lines, ratio, size, border, p.weights)
-    if not kept.any():
-        return ""
+    if p.weights:  # elements whose name weighs more than their density: mean smoothed ratio against the border
+        ratios, sizes = p.sums(at, (ratio * size).tolist()), p.sums(at, size.tolist())
+        sparse = p.inside({e for e, w in p.weights.items() if sizes[e] and ratios[e] / sizes[e] < 2 * w**2 * border})
+        kept &= ~np.array([sparse[e] for e in at])
+        if not kept.any():
+            return ""
     dense = kept & ((ratio > border) if (ratio > border).any() else kept)
     if not dense.any():
         dense = kept
-    weight: Counter[int] = Counter()
-    for i in np.flatnonzero(dense):
-        for e in lines[i][3]:
-            weight[e] += int(size[i])
+    weight = p.sums(at, [int(s) if d else 0 for s, d in zip(size, dense, strict=True)])
     total = int(size[dense].sum())
     # The first region: an article or main element with most of the dense text, else the innermost element with nearly all.
-    named = [e for e, w in weight.items() if p.tags_of[e] in ("article", "main") and 2 * w >= total]
-    holds = lambda e: p.tags_of[e] in BLOCKS and p.tags_of[e] not in ("p", "li", "h1", "h2", "h3", "td", "tr", "pre", "blockquote")
-    inner = [e for e, w in weight.items() if holds(e) and 10 * w >= 9 * total]
-    region = max(named, default=max(inner, default=-1))
-    around = next((x[3][: x[3].index(region) + 1] for x in lines if region in x[3]), ())
-    # Further regions: of each block beside those, the innermost element with all of its lines that are dense by themselves too.
-    blocks: dict[int, list[int]] = {}
-    for i in np.flatnonzero(dense & (own > border)):
-        if region >= 0 and region not in lines[i][3]:
-            beside = next((e for e in lines[i][3] if e not in around), -1 - i)
-            blocks.setdefault(beside, []).append(i)
+    region = max((e for e, w in enumerate(weight) if w and tags_of[e] in ("article", "main") and 2 * w >= total), default=-1)
+    if region < 0:
+        region = max((e for e, w in enumerate(weight) if w and tags_of[e] in HOLDERS and 10 * w >= 9 * total), default=-1)
+    around: set[int] = set()
+    up = region
+    while up >= 0:
+        around.add(up)
+        up = p.parent[up]
     regions, alone = {region}, set()
-    for group in blocks.values():
-        shared = set.intersection(*(set(lines[i][3]) for i in group)).difference(around)
-        best = max(filter(holds, shared), default=-1)
-        if best < 0:
-            alone.update(group)
-        else:
-            regions.add(best)
-    chosen = [i for i in np.flatnonzero(kept) if region < 0 or i in alone or not regions.isdisjoint(lines[i][3])]
+    if region >= 0:
+        # Further regions: of each block beside those, the innermost element with all of its lines that are dense by themselves too.
+        within = p.inside({region})
+        more = [i for i in np.flatnonzero(dense & (own > border)) if not within[at[i]]]
+        beside = [-1] * len(tags_of)
+        for e, up in enumerate(p.parent):
+            if e not in around:
+                beside[e] = e if up < 0 or up in around else beside[up]
+        held = p.sums([at[i] for i in more], [1] * len(more))
+        best: dict[int, int] = {}
+        for e, b in enumerate(beside):
+            if b >= 0 and held[e] and held[e] == held[b] and tags_of[e] in HOLDERS:
+                best[b] = e  # inner ones come later
+        for i in more:
+            b = beside[at[i]] if at[i] >= 0 else -1
+            if b in best:
+                regions.add(best[b])
+            else:
+                alone.add(i)
+    chosen_in = p.inside(regions)
+    chosen = [i for i in np.flatnonzero(kept) if region < 0 or i in alone or chosen_in[at[i]]]
     # Lists of links that nothing marks: elements of sparse lines, nearly all of it in links.
-    linked: Counter[int] = Counter()
-    chars: Counter[int] = Counter()
-    parts: Counter[int] = Counter()
-    for i in chosen:
-        for e in lines[i][3]:
-            if p.tags_of[e] in ("ul", "ol", "div", "table", "dl"):
-                linked[e] += lines[i][2]
-                chars[e] += len(lines[i][0])
-                parts[e] += 1
-    menus = {e for e in chars if e not in around and parts[e] > 1 and linked[e] >= 0.8 * chars[e] and chars[e] < 0.3 * total}
-    return "\n\n".join(lines[i][0] for i in chosen if menus.isdisjoint(lines[i][3]))
+    where = [at[i] for i in chosen]
+    linked, chars, parts = p.sums(where, [lines[i][2] for i in chosen]), p.sums(where, [len(lines[i][0]) for i in chosen]), p.sums(where, [1] * len(chosen))
+    menus = p.inside({e for e, t in enumerate(tags_of) if t in ("ul", "ol", "div", "table", "dl") and e not in around and parts[e] > 1 and linked[e] >= 0.8 * chars[e] and chars[e] < 0.3 * total})
+    return "\n\n".join(lines[i][0] for i in chosen if not menus[at[i]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -350,3 +350,14 @@ def test_texts_full_of_matches_take_time_in_proportion(spark):
     masked = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert masked[1] == "<EMAIL>" and masked[2] == "<EMAIL> " * 200_000
     assert masked[3].startswith("mail: <EMAIL> token = ") and "@" not in masked[3]
+
+
+@pytest.mark.parametrize("page", ["<div>some words here " * 50_000, "<td><ul>" + "<b>" * 50_000 + "<td>x</td>" * 50_000, "<p>" + "<span>deep words " * 60_000, "<div class='ad box'>" * 40_000 + "text " * 40_000])
+def test_a_megabyte_of_nested_elements_takes_seconds(page):
+    import time
+
+    began = time.time()
+    text = extract.main_text(page)
+    assert time.time() - began < 20 and isinstance(text, str)
+    if page.startswith("<div>"):
+        assert text == "\n\n".join(["some words here"] * 50_000)
