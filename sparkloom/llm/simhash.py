@@ -23,31 +23,40 @@ from pyspark.sql import functions as F
 from sparkloom.operators.graph import components as components
 from sparkloom.operators.joins import hot_join
 
-from .common import cut, free_names
+from .common import cut, free_names, text_key
 
 SEED = 42
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """The 64-bit SimHash of a text; 0 for one without words."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text's lower-cased words, repeats included; none without words."""
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     k = min(shingle, len(words))
     starts, ends = (end - size)[: len(words) - k + 1].tolist(), end[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype=">u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype=">u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes; 0 if there are none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65_536):
         ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """The 64-bit SimHash of a text; 0 for one without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """Rows (doc_id, fp): fp is the fingerprint as a signed long. Null texts have no words."""
 
@@ -230,7 +239,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, block: i
     """
     fps = cut(fingerprints(docs, shingle))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp"), radius, block))
+    return _named(fps, distinct, components(links(distinct.select("fp"), radius, block)))
+
+
+def _named(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """Documents with the smallest id of their component; ``distinct`` has each fingerprint and its smallest id."""
     named = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = hot_join(named, lows, ["root"]).select("fp", "component_id", "root")
@@ -238,14 +251,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, block: i
     return hot_join(fps, of_fp, ["fp"]).select("doc_id", written("fp").alias("fingerprint"), "component_id", written("root").alias("root_fingerprint"))
 
 
-def first_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = 2048) -> DataFrame:
+#: MinHash bands for texts whose fingerprints lie too far apart: similar texts (0.8) meet in one of them with probability 0.99.
+BANDS, ROWS = 12, 5
+_SPREAD = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+KEY = ["k_hash", "k_crc", "k_len"]
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """A number for each band of a text's shingle hashes; none for a text without words."""
+    import xxhash
+
+    if not len(h):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    h = np.unique(h).astype(np.uint64)
+    for i in range(0, len(h), 16_384):
+        least = np.minimum(least, (h[i : i + 16_384, None] * _SPREAD[0] + _SPREAD[1]).min(axis=0))
+    low = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return np.array(low, np.uint64).view(np.int64).tolist()
+
+
+def _marks(docs: DataFrame, shingle: int) -> DataFrame:
+    """Rows (doc_id, text key, fp, bands)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hashes = [shingle_hashes(t, shingle) for t in b["text"].tolist()]
+            fp = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            yield b.drop(columns=["text"]).assign(doc_id=b["doc_id"].astype("Int64"), fp=fp, bands=[band_keys(h) for h in hashes])
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), text.alias("text")).mapInPandas(run, "doc_id long, k_hash long, k_crc long, k_len int, fp long, bands array<long>")
+
+
+def similar_links(docs: DataFrame, marks: DataFrame, roots: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links (a, b) between fingerprints of different components (``roots``) whose texts have a Jaccard similarity of ``similar``.
+
+    Of a band's key each component sends one text, so a large group of copies is one
+    row; each meets one other component's, another one in each band, and the
+    shingles of the two texts are compared whole. Only texts of such pairs travel.
+    """
+    rows = cut(marks.select("fp", *KEY, F.posexplode("bands").alias("band", "value")))
+    placed = hot_join(rows, roots.withColumnRenamed("node", "fp"), ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
+    sent = cut(placed.groupBy("band", "value", "root").agg(F.min(F.struct("fp", *KEY)).alias("own")))
+    middle = sent.groupBy("band", "value").agg(F.min_by(F.struct("root", "own"), F.xxhash64("root", "band")).alias("mid"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = hot_join(sent, middle, ["band", "value"]).filter(F.col("root") != F.col("mid.root")).select("own", F.col("mid.own").alias("other")).distinct()
+    pairs = cut(pairs)
+    needed = pairs.select(F.explode(F.array("own", "other")).alias("x")).select(*[f"x.{k}" for k in KEY]).distinct()
+    texts = cut(docs.select(*text_key(F.col("text")), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(needed, KEY, "left_semi").groupBy(*KEY).agg(F.any_value("text").alias("text")))
+    for side, text in (("own", "t"), ("other", "u")):
+        pairs = cut(hot_join(cut(pairs.select("*", *[F.col(f"{side}.{k}").alias(k) for k in KEY])), texts.withColumnRenamed("text", text), KEY).drop(*KEY))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = []
+            for x, y in zip(b["t"].tolist(), b["u"].tolist(), strict=True):
+                p, q = (np.unique(shingle_hashes(z, shingle)) for z in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                held.append(both >= similar * (len(p) + len(q) - both))
+            yield b.loc[held, ["a", "b"]]
+
+    return pairs.select(F.col("own.fp").alias("a"), F.col("other.fp").alias("b"), "t", "u").mapInPandas(compare, "a long, b long").distinct()
+
+
+def near_texts(docs: DataFrame, shingle: int = 5, radius: int = 7, similar: float = 0.8, rounds: int = 2, block: int = 2048) -> DataFrame:
+    """Like ``near_duplicates``, with links between texts of a Jaccard similarity of ``similar`` too, found by MinHash bands.
+
+    Components of the fingerprints come first; only texts of different components are
+    looked at further, again after each of the ``rounds``.
+    """
+    marks = cut(_marks(docs, shingle))
+    distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    edges = cut(links(distinct.select("fp"), radius, block))
+    roots = components(edges)
+    for _ in range(rounds):
+        more = cut(similar_links(docs, marks, roots, shingle, similar))
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        roots = components(edges)
+    return _named(marks.select("doc_id", "fp"), distinct, roots)
+
+
+def first_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = 2048, similar: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are first in their component, with the columns of ``docs``.
 
-    Rows that repeat the kept doc_id are kept once; rows with a null doc_id are
-    kept once a component that has no other id. A null text has no words; columns
-    of any name stay as they are. An empty table gives no rows.
+    ``similar`` links texts of that Jaccard similarity too. Rows that repeat the
+    kept doc_id are kept once; rows with a null doc_id are kept once a component
+    that has no other id. A null text has no words; columns of any name stay as they
+    are. An empty table gives no rows.
     """
-    found = cut(near_duplicates(docs.select("doc_id", "text"), shingle, radius, block))
+    plain = docs.select("doc_id", "text")
+    found = cut(near_duplicates(plain, shingle, radius, block) if similar is None else near_texts(plain, shingle, radius, similar, block=block))
     ids = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     wanted = found.filter(F.col("component_id").isNull() & (F.col("fingerprint") == F.col("root_fingerprint"))).select("fingerprint").distinct()

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 from hypothesis import given, settings
@@ -114,3 +116,28 @@ def test_bit_slices_find_all_close_pairs(seed, radius, n):
 
 def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_similar_texts_are_linked_and_clean_ones_are_not(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    rows, want = [], {}
+    for g in range(60):
+        base = r.choices(words, k=r.randint(60, 300))
+        for c in range(3):
+            text = list(base)
+            for _ in range(len(base) // 60 if c else 0):  # each changed word changes five shingles
+                text[r.randrange(len(text))] = f"x{r.random()}"
+            rows.append((len(rows), " ".join(text)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    close = [(a, b) for a in range(len(rows)) for b in range(a) if a // 3 == b // 3 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {x.doc_id: x.component_id for x in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in close) >= 0.97 * len(close) > 60
+    assert all(got[i] // 3 == i // 3 for i in got)
+
+
+def test_near_texts_of_odd_rows(spark):
+    out = simhash.first_of_each(docs(spark), shingle=5, radius=7, similar=0.8)
+    ids = [x.doc_id for x in out.collect()]
+    assert out.columns == docs(spark).columns and {1, 4, 8, 12} <= set(ids) and not {2, 3, 5, 6, 13} & set(ids)
+    assert simhash.first_of_each(empty(spark), shingle=5, radius=7, similar=0.8).count() == 0
