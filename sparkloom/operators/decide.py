@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import merged_set_hash
+
 # Fixed values of the re-ranking.
 FIT_WEIGHTS = {"margin_potential": 0.40, "shipping_fit": 0.35, "channel_fit": 0.25}
 MIN_FIT, OPPORTUNITY_SHARE, FIT_SHARE, DEFAULT_LEVEL = 0.55, 0.65, 0.35, 3
@@ -22,7 +24,22 @@ def partition(signals: DataFrame, as_of: Column) -> DataFrame:
 
 
 def evaluate(signals: DataFrame, as_of: Column) -> DataFrame:
-    """Per niche: active signals, sorted expired ids and whether to collect again."""
+    """Per niche: active and expired signals, a hash of the set of expired ids (a signal_id counts once) and whether to collect again.
+
+    No row holds a niche's ids; ``expired_ids`` has them, a row each.
+    """
+    once = partition(signals, as_of).groupBy("niche_id", "signal_id").agg(F.max("expired").alias("expired"), F.count(F.when(~F.col("expired"), 1)).alias("_active"))
+    n = F.count(F.when(F.col("expired"), 1))
+    return once.groupBy("niche_id").agg(F.sum("_active").alias("n_active"), n.alias("n_expired"), merged_set_hash(F.col("signal_id"), F.col("expired")).alias("expired_set"), (n > 0).alias("needs_recollection"))
+
+
+def expired_ids(signals: DataFrame, as_of: Column) -> DataFrame:
+    """(niche_id, signal_id) of expired signals, each once."""
+    return partition(signals, as_of).filter("expired").select("niche_id", "signal_id").distinct()
+
+
+def evaluate_listed(signals: DataFrame, as_of: Column) -> DataFrame:
+    """Per niche: active signals, sorted expired ids in one row and whether to collect again; for niches of few signals."""
     p = partition(signals, as_of)
     ids = F.array_sort(F.collect_list(F.when(F.col("expired"), F.col("signal_id"))))
     return p.groupBy("niche_id").agg(F.count(F.when(~F.col("expired"), 1)).alias("n_active"), ids.alias("expired_ids")).withColumn("needs_recollection", F.size("expired_ids") > 0)
@@ -41,16 +58,21 @@ def apply_expiry(stale: DataFrame) -> DataFrame:
 
 
 def recollection(evaluated: DataFrame, queries: DataFrame) -> DataFrame:
-    """A task for each query (job_id, niche_id, query_spec_id) of each niche with expired signals; keys depend on the set of ids alone."""
+    """A task for each query (job_id, niche_id, query_spec_id) of each niche with expired signals; keys depend on the set of ids alone.
+
+    ``evaluated`` comes from ``evaluate`` or, for niches of few signals, from ``evaluate_listed``.
+    """
+    listed = "expired_ids" in evaluated.columns
     j = evaluated.filter("needs_recollection").join(queries, "niche_id")
     part = lambda *xs: F.sha2(F.concat_ws("|", *xs), 256)
-    ids = F.array_join(F.array_sort("expired_ids"), "|")
-    return j.select("niche_id", "query_spec_id", F.concat(F.lit("tsk_rec_"), F.substring(part(F.lit("recollect"), "job_id", "query_spec_id"), 1, 12)).alias("task_id"), F.concat(F.lit("idem_rec_"), part(F.lit("recollect"), ids, "query_spec_id")).alias("idempotency_key"), F.lit("search").alias("lane"), "expired_ids")
+    ids = F.array_join(F.array_sort("expired_ids"), "|") if listed else F.col("expired_set")
+    return j.select("niche_id", "query_spec_id", F.concat(F.lit("tsk_rec_"), F.substring(part(F.lit("recollect"), "job_id", "query_spec_id"), 1, 12)).alias("task_id"), F.concat(F.lit("idem_rec_"), part(F.lit("recollect"), ids, "query_spec_id")).alias("idempotency_key"), F.lit("search").alias("lane"), *(["expired_ids"] if listed else []))
 
 
-def recollection_edges(tasks: DataFrame) -> DataFrame:
-    row = lambda kind, pid: tasks.select(F.lit("task").alias("child_kind"), F.col("task_id").alias("child_id"), F.lit(kind).alias("parent_kind"), pid.alias("parent_id"), F.lit("recollect_for").alias("relation"))
-    return row("signal", F.explode("expired_ids")).unionByName(row("query_spec", F.col("query_spec_id")))
+def recollection_edges(tasks: DataFrame, expired: DataFrame) -> DataFrame:
+    """Edges of recollection tasks to their query and to the expired signals (``expired_ids``) of their niche, a row each."""
+    edge = lambda kind, parent: [F.lit("task").alias("child_kind"), F.col("task_id").alias("child_id"), F.lit(kind).alias("parent_kind"), F.col(parent).alias("parent_id"), F.lit("recollect_for").alias("relation")]
+    return tasks.join(expired, "niche_id").select(*edge("signal", "signal_id")).unionByName(tasks.select(*edge("query_spec", "query_spec_id")))
 
 
 def profile(candidates: DataFrame, external: DataFrame | None = None) -> DataFrame:

@@ -215,7 +215,11 @@ def route(evidence: DataFrame, rules: list[dq.Rule], key: str, lane: str = "enri
     Both come from one pass over the rules; only valid rows should be indexed.
     Materialise ``evidence`` first if both are written.
     """
-    marked = dq.with_violations(evidence, rules)
+    return routed(dq.with_violations(evidence, rules), key, lane)
+
+
+def routed(marked: DataFrame, key: str, lane: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``violations``: those without any, and a repair task for each other."""
     broken = marked.filter(F.size("violations") > 0)
     task = F.concat(F.lit("tsk_repair_"), F.substring(F.sha2(F.concat_ws("|", F.lit("repair"), F.col(key).cast("string"), F.array_join("violations", ",")), 256), 1, 12))
     return marked.filter(F.size("violations") == 0).drop("violations"), broken.select(task.alias("task_id"), F.col(key).cast("string").alias("record_id"), F.lit(lane).alias("lane"), "violations")

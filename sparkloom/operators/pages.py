@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import cut
+from sparkloom.sources.tables import KeyedTable
+
 DROPPED = ("script", "style", "nav", "footer", "head", "aside", "form", "noscript")
 BLOCK = r"(?i)</?(?:p|h[1-6]|div|article|section|main|body|html|li|ul|ol|table|tr|td|th|blockquote|header)(?:\s[^>]*)?>"
 
@@ -116,9 +119,28 @@ def query_slug(text: Column) -> Column:
 
 def discover(results: DataFrame, job_id: Column) -> DataFrame:
     """Fetch tasks of search results (query, engine, url): stable ids, one row per job, query and url."""
-    spec = F.concat(F.lit("qs_"), F.substring(F.sha2(F.concat_ws("|", job_id, "query", F.coalesce("engine", F.lit("unknown"))), 256), 1, 16))
+    engine = F.coalesce("engine", F.lit("unknown"))
+    spec = F.concat(F.lit("qs_"), F.substring(F.sha2(F.concat_ws("|", job_id, "query", engine), 256), 1, 16))
     r = results.filter(F.col("url").isNotNull() & (F.col("url") != "")).withColumn("query_spec_id", spec)
-    return r.select("query_spec_id", "url", F.concat(F.lit("tsk_"), F.substring(F.sha2(F.concat_ws("|", job_id, "query_spec_id", "url"), 256), 1, 12)).alias("task_id"), F.concat(F.lit("idem_"), F.sha2(F.concat_ws("|", F.lit("fetch"), "query_spec_id", "url"), 256)).alias("idempotency_key")).distinct()
+    return r.select("query_spec_id", "query", engine.alias("engine"), "url", F.concat(F.lit("tsk_"), F.substring(F.sha2(F.concat_ws("|", job_id, "query_spec_id", "url"), 256), 1, 12)).alias("task_id"), F.concat(F.lit("idem_"), F.sha2(F.concat_ws("|", F.lit("fetch"), "query_spec_id", "url"), 256)).alias("idempotency_key")).distinct()
+
+
+class Discovery:
+    """Stored query specs, fetch tasks and edges; what a search finds again adds nothing to any of them."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.specs = KeyedTable(spark, f"{path}/query_specs", "query_spec_id string, job_id string, query string, engine string", ["query_spec_id"], 16)
+        self.tasks = KeyedTable(spark, f"{path}/tasks", "task_id string, idempotency_key string, query_spec_id string, url string", ["idempotency_key"], 16)
+        self.edges = KeyedTable(spark, f"{path}/edges", "child_kind string, child_id string, parent_kind string, parent_id string", ["child_kind", "child_id", "parent_kind", "parent_id"], 16)
+
+    def add(self, results: DataFrame, job_id: Column) -> DataFrame:
+        """Store what is new of search results; returns the tasks with ``inserted``. Specs come first, edges last, so a
+        run that stops leaves no edge without its ends; run again, it adds the rest."""
+        found = cut(discover(results, job_id))
+        self.specs.insert(found.select("query_spec_id", job_id.cast("string").alias("job_id"), "query", "engine"))
+        tasks = self.tasks.insert(found)
+        self.edges.insert(found.select(F.lit("task").alias("child_kind"), F.col("task_id").alias("child_id"), F.lit("query_spec").alias("parent_kind"), F.col("query_spec_id").alias("parent_id")))
+        return tasks
 
 
 def est_tokens(text: Column) -> Column:

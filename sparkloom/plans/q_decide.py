@@ -32,9 +32,25 @@ def fresh_partition(spark, d):
     return D.partition(B.signals(spark, d), later()).groupBy("signal_type", "expired").agg(F.count("*").alias("n"))
 
 
-@register("fresh_evaluate", f"WITH {B.SIG} SELECT niche_id, count(*) FILTER ({L} < expires_at) AS n_active, coalesce(string_agg(signal_id, ';' ORDER BY signal_id) FILTER ({L} >= expires_at), '') AS expired_ids, bool_or({L} >= expires_at) AS needs_recollection FROM sig GROUP BY niche_id")
+def set_hash_sql(ids: str, where: str = "true") -> str:
+    """The twin of ``keys.merged_set_hash`` over distinct ids."""
+    parts = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(sha256({ids}), {8 * i + 1}, 8) AS BIGINT)) FILTER ({where}), 0) AS VARCHAR)" for i in range(8))
+    return f"sha256(concat_ws(',', CAST(count({ids}) FILTER ({where}) AS VARCHAR), {parts}))"
+
+
+@register("fresh_evaluate", f"WITH {B.SIG} SELECT niche_id, count(*) FILTER ({L} < expires_at) AS n_active, count(*) FILTER ({L} >= expires_at) AS n_expired, {set_hash_sql('signal_id', f'{L} >= expires_at')} AS expired_set, bool_or({L} >= expires_at) AS needs_recollection FROM sig GROUP BY niche_id")
 def fresh_evaluate(spark, d):
-    return D.evaluate(B.signals(spark, d), later()).select("niche_id", "n_active", F.array_join("expired_ids", ";").alias("expired_ids"), "needs_recollection")
+    return D.evaluate(B.signals(spark, d), later())
+
+
+@register("fresh_expired_ids", f"WITH {B.SIG} SELECT niche_id, signal_id FROM sig WHERE {L} >= expires_at")
+def fresh_expired_ids(spark, d):
+    return D.expired_ids(B.signals(spark, d), later())
+
+
+@register("fresh_evaluate_listed", f"WITH {B.SIG} SELECT niche_id, count(*) FILTER ({L} < expires_at) AS n_active, coalesce(string_agg(signal_id, ';' ORDER BY signal_id) FILTER ({L} >= expires_at), '') AS expired_ids, bool_or({L} >= expires_at) AS needs_recollection FROM sig GROUP BY niche_id")
+def fresh_evaluate_listed(spark, d):
+    return D.evaluate_listed(B.signals(spark, d), later()).select("niche_id", "n_active", F.array_join("expired_ids", ";").alias("expired_ids"), "needs_recollection")
 
 
 _FRESH = f"WITH {B.SIG.replace('sig AS (', 'sig9 AS (', 1)}, sig AS (SELECT * FROM sig9 WHERE {L} < expires_at), {B.BEST}, {B.GATE}, {B.AXES}, {B.SCORE}"
@@ -69,11 +85,30 @@ def fresh_apply_expiry(spark, d):
 _QS = "qs AS (SELECT 'job_' || (c_custkey % 20) AS job_id, 'niche-' || (c_custkey % 20) AS niche_id, 'qs_' || c_custkey AS query_spec_id FROM customer)"
 
 
-@register("fresh_recollect_plan", f"WITH {B.SIG}, {_QS}, ev AS (SELECT niche_id, string_agg(signal_id, '|' ORDER BY signal_id) AS ids FROM sig WHERE {L} >= expires_at GROUP BY niche_id) SELECT niche_id, query_spec_id, 'tsk_rec_' || substr(sha256('recollect|' || job_id || '|' || query_spec_id), 1, 12) AS task_id, 'idem_rec_' || sha256('recollect|' || ids || '|' || query_spec_id) AS idempotency_key, 'search' AS lane FROM ev JOIN qs USING (niche_id)")
-def fresh_recollect_plan(spark, d):
+def _query_specs(spark, d):
     k = (F.col("c_custkey") % 20).cast("string")
-    qs = B.table(spark, d, "customer").select(F.concat(F.lit("job_"), k).alias("job_id"), F.concat(F.lit("niche-"), k).alias("niche_id"), F.concat(F.lit("qs_"), F.col("c_custkey").cast("string")).alias("query_spec_id"))
-    return D.recollection(D.evaluate(B.signals(spark, d), later()), qs).drop("expired_ids")
+    return B.table(spark, d, "customer").select(F.concat(F.lit("job_"), k).alias("job_id"), F.concat(F.lit("niche-"), k).alias("niche_id"), F.concat(F.lit("qs_"), F.col("c_custkey").cast("string")).alias("query_spec_id"))
+
+
+_TASK = "'tsk_rec_' || substr(sha256('recollect|' || job_id || '|' || query_spec_id), 1, 12)"
+
+
+@register("fresh_recollect_plan", f"WITH {B.SIG}, {_QS}, ev AS (SELECT niche_id, {set_hash_sql('signal_id')} AS ids FROM sig WHERE {L} >= expires_at GROUP BY niche_id) SELECT niche_id, query_spec_id, {_TASK} AS task_id, 'idem_rec_' || sha256('recollect|' || ids || '|' || query_spec_id) AS idempotency_key, 'search' AS lane FROM ev JOIN qs USING (niche_id)")
+def fresh_recollect_plan(spark, d):
+    return D.recollection(D.evaluate(B.signals(spark, d), later()), _query_specs(spark, d))
+
+
+@register("fresh_recollect_plan_listed", f"WITH {B.SIG}, {_QS}, ev AS (SELECT niche_id, string_agg(signal_id, '|' ORDER BY signal_id) AS ids FROM sig WHERE {L} >= expires_at GROUP BY niche_id) SELECT niche_id, query_spec_id, {_TASK} AS task_id, 'idem_rec_' || sha256('recollect|' || ids || '|' || query_spec_id) AS idempotency_key, 'search' AS lane FROM ev JOIN qs USING (niche_id)")
+def fresh_recollect_plan_listed(spark, d):
+    return D.recollection(D.evaluate_listed(B.signals(spark, d), later()), _query_specs(spark, d)).drop("expired_ids")
+
+
+# All edges, counted per task, with the first and last of each kind.
+@register("fresh_recollect_edges", f"WITH {B.SIG}, {_QS}, ex AS (SELECT niche_id, signal_id FROM sig WHERE {L} >= expires_at), t AS (SELECT niche_id, query_spec_id, {_TASK} AS task_id FROM qs WHERE niche_id IN (SELECT niche_id FROM ex)), e AS (SELECT task_id, 'signal' AS parent_kind, signal_id AS parent_id FROM t JOIN ex USING (niche_id) UNION ALL SELECT task_id, 'query_spec', query_spec_id FROM t) SELECT task_id, parent_kind, count(*) AS n, min(parent_id) AS first_id, max(parent_id) AS last_id FROM e GROUP BY ALL")
+def fresh_recollect_edges(spark, d):
+    signals = cut(B.signals(spark, d))
+    edges = D.recollection_edges(D.recollection(D.evaluate(signals, later()), _query_specs(spark, d)), D.expired_ids(signals, later()))
+    return edges.groupBy(F.col("child_id").alias("task_id"), "parent_kind").agg(F.count("*").alias("n"), F.min("parent_id").alias("first_id"), F.max("parent_id").alias("last_id"))
 
 
 # Opportunities of the re-ranking: parts with scores; the group is the brand.

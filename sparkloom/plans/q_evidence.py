@@ -14,6 +14,7 @@ from sparkloom.sources.shared import cut, new_folder
 
 from . import bindings as B
 from .catalog import register
+from .q_decide import set_hash_sql
 from .q_tables import _EV, evidence
 
 R6 = lambda c: F.round(c, 6)
@@ -279,11 +280,16 @@ def season_decision_date(spark, d):
     return season.decision_dates(calendar, signals, 2026).select("season_id", "use_start", "decide_by", "n_signals", "confirmed", "status")
 
 
-@register("signal_key", f"WITH {B.RAW} SELECT niche_id, signal_type, sha256(concat_ws('|', niche_id, signal_type, 'normalize-1', sha256(ids))) AS key FROM (SELECT niche_id, signal_type, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS ids FROM raw GROUP BY ALL)")
+@register("signal_key", f"WITH {B.RAW}, r AS (SELECT DISTINCT niche_id, signal_type, record_id FROM raw) SELECT niche_id, signal_type, sha256(concat_ws('|', niche_id, signal_type, 'normalize-1', {set_hash_sql('record_id')})) AS key FROM r GROUP BY niche_id, signal_type")
 def signal_key(spark, d):
     return keys.signal_keys(B.raw_signals(spark, d), S.CODE_VERSION)
 
 
+@register("signal_key_listed", f"WITH {B.RAW} SELECT niche_id, signal_type, sha256(concat_ws('|', niche_id, signal_type, 'normalize-1', sha256(ids))) AS key FROM (SELECT niche_id, signal_type, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS ids FROM raw GROUP BY ALL)")
+def signal_key_listed(spark, d):
+    return keys.signal_keys(B.raw_signals(spark, d), S.CODE_VERSION, listed=True)
+
+
 @register("opportunity_key", f"WITH {B.SIG}, {B.BEST}, {B.AXES} SELECT niche_id, sha256(concat_ws('|', niche_id, 'score-1', 'w-1', sha256(array_to_string(list_sort(string_split(scored_from, ';')), ',')))) AS key FROM ax")
 def opportunity_key(spark, d):
     from sparkloom.operators import score as P

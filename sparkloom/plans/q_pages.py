@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import pages as G
 from sparkloom.sources import io
+from sparkloom.sources.shared import cut, new_folder
 
 from . import bindings as B
 from .catalog import register
@@ -135,9 +136,9 @@ _RES = "rs AS (SELECT lower(regexp_extract(url, '/([a-z]{2})/', 1)) AS query, CA
 
 
 def _results(spark, d):
-    """Pages as one search answer a language: results nested in an array."""
+    """Pages as search answers by language, twenty results at most in each: nested in an array."""
     r = F.struct(F.when(F.col("page_id") % 10 != 9, F.col("url")).alias("url"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("e"), (F.col("page_id") % 3).cast("string"))).alias("engine"), "page_id")
-    return P(spark, d).groupBy(F.lower(F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("query")).agg(F.collect_list(r).alias("results"))
+    return P(spark, d).groupBy(F.lower(F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("query"), (F.col("page_id") / 20).cast("long").alias("_answer")).agg(F.collect_list(r).alias("results")).drop("_answer")
 
 
 @register("src_search_results", f"WITH {_RES} SELECT query, url, engine, page_id FROM rs WHERE url IS NOT NULL")
@@ -145,9 +146,17 @@ def src_search_results(spark, d):
     return G.search_rows(_results(spark, d))
 
 
-@register("discover_urls", f"WITH {_RES}, q AS (SELECT DISTINCT 'qs_' || substr(sha256('job|' || query || '|' || engine), 1, 16) AS query_spec_id, url FROM rs WHERE url IS NOT NULL) SELECT query_spec_id, url, 'tsk_' || substr(sha256('job|' || query_spec_id || '|' || url), 1, 12) AS task_id, 'idem_' || sha256('fetch|' || query_spec_id || '|' || url) AS idempotency_key FROM q")
+@register("discover_urls", f"WITH {_RES}, q AS (SELECT DISTINCT 'qs_' || substr(sha256('job|' || query || '|' || engine), 1, 16) AS query_spec_id, query, engine, url FROM rs WHERE url IS NOT NULL), t AS (SELECT *, 'tsk_' || substr(sha256('job|' || query_spec_id || '|' || url), 1, 12) AS task_id FROM q) SELECT query_spec_id, query, engine, url, task_id, 'idem_' || sha256('fetch|' || query_spec_id || '|' || url) AS idempotency_key, 'query_spec' AS parent_kind, false AS again FROM t")
 def discover_urls(spark, d):
-    return G.discover(G.search_rows(_results(spark, d)), F.lit("job"))
+    # Half of the answers, then all of them, then all once more: the stored tables, and whether the last run added anything.
+    results = cut(G.search_rows(_results(spark, d)))
+    known = G.Discovery(spark, f"{new_folder(spark)}/discovery")
+    known.add(results.filter("page_id % 2 = 0"), F.lit("job"))
+    known.add(results, F.lit("job"))
+    again = known.add(results, F.lit("job")).select("idempotency_key", F.col("inserted").alias("again"))
+    specs, edges = known.specs.read().select("query_spec_id", "query", "engine"), known.edges.read().select(F.col("child_id").alias("task_id"), F.col("parent_id").alias("query_spec_id"), "parent_kind")
+    tasks = known.tasks.read().join(specs, "query_spec_id").join(edges, ["task_id", "query_spec_id"]).join(again, "idempotency_key")
+    return tasks.select("query_spec_id", "query", "engine", "url", "task_id", "idempotency_key", "parent_kind", "again")
 
 
 @register("est_tokens", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")

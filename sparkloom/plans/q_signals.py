@@ -9,6 +9,7 @@ from sparkloom.functions import expressions as X
 from sparkloom.functions import sql
 from sparkloom.operators import coverage as C
 from sparkloom.operators import score as P
+from sparkloom.operators import evidence as E
 from sparkloom.operators import signals as S
 from sparkloom.sources.shared import cut
 
@@ -30,10 +31,12 @@ def sig_raw_finalize(spark, d):
     return S.finalize_raw(part).select("signal_id", F.array_join("evidence_ids", ";").alias("evidence_ids"), "tier")
 
 
-@register("sig_route", f"WITH {B.RAW} SELECT CASE WHEN sample_n > 5 THEN 'normalize' ELSE 'repair' END AS route, count(*) AS n FROM raw GROUP BY ALL")
+@register("sig_route", f"WITH {B.RAW} SELECT signal_id, CASE WHEN sample_n > 5 THEN 'normalize' ELSE 'repair' END AS route, CASE WHEN sample_n <= 5 THEN 'tsk_repair_' || substr(sha256('repair|' || signal_id || '|sample_n'), 1, 12) END AS task_id, CASE WHEN sample_n <= 5 THEN 'classify' END AS lane FROM raw")
 def sig_route(spark, d):
     raw = B.raw_signals(spark, d).withColumn("sample_n", F.col("sample_n") - 5)
-    return raw.withColumn("route", F.when(F.size(S.raw_violations()) == 0, "normalize").otherwise("repair")).groupBy("route").agg(F.count("*").alias("n"))
+    good, tasks = E.routed(raw.withColumn("violations", S.raw_violations()), "signal_id", "classify")
+    none = F.lit(None).cast("string")
+    return good.select("signal_id", F.lit("normalize").alias("route"), none.alias("task_id"), none.alias("lane")).unionByName(tasks.select(F.col("record_id").alias("signal_id"), F.lit("repair").alias("route"), "task_id", "lane"))
 
 
 @register("sig_winsorize", f"WITH {B.RAW}, {B.RANKS} SELECT cohort, value, clipped FROM rk")

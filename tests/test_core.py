@@ -177,3 +177,26 @@ def test_addresses_of_any_length_are_joined(spark):
     rows = [(base + "/y.html", "z"), ("https://a.org", "z"), ("https://a.org/", "z"), ("https://a.org/p?q=/r/s", "z"), ("https://a.org/p/o#/r/s", "z"), ("https://a.org?u=/b", "z")]
     got = [r[0] for r in spark.createDataFrame(rows, "b string, h string").select(pages.absolute(F.col("h"), F.col("b"))).collect()]
     assert got == [base + "/z", "https://a.org/z", "https://a.org/z", "https://a.org/z", "https://a.org/p/z", "https://a.org/z"]
+
+
+def test_a_set_hash_is_free_of_order_and_partitions(spark):
+    from sparkloom.operators import keys
+
+    of = lambda ids, n: spark.createDataFrame([(i,) for i in ids], "i string").repartition(n).agg(keys.merged_set_hash(F.col("i"))).first()[0]
+    ids = [f"id{k}" for k in range(300)]
+    assert of(ids, 1) == of(ids[::-1], 7) != of(ids[1:], 3)
+    assert of([], 1) != of(["id0"], 1) and of(["a", "b"], 2) != of(["ab"], 1)
+
+
+def test_recollection_keys_and_edges_need_no_lists(spark):
+    t = lambda d: dt.datetime(2026, 1, d)
+    rows = [("n1", "s1", t(2)), ("n1", "s2", t(1)), ("n1", "s2", t(1)), ("n1", "s3", t(9)), ("n2", "s4", t(9))]
+    signals = spark.createDataFrame(rows, "niche_id string, signal_id string, expires_at timestamp")
+    at = F.lit("2026-01-05").cast("timestamp")
+    e = {r.niche_id: r for r in decide.evaluate(signals, at).collect()}
+    assert [(e[n].n_active, e[n].n_expired, e[n].needs_recollection) for n in ("n1", "n2")] == [(1, 2, True), (1, 0, False)]
+    again = {r.niche_id: r.expired_set for r in decide.evaluate(signals.orderBy(F.desc("signal_id")), at).collect()}
+    assert again == {n: e[n].expired_set for n in e}
+    tasks = decide.recollection(decide.evaluate(signals, at), spark.createDataFrame([("j", "n1", "q1"), ("j", "n2", "q2")], "job_id string, niche_id string, query_spec_id string"))
+    edges = decide.recollection_edges(tasks, decide.expired_ids(signals, at)).collect()
+    assert sorted((r.parent_kind, r.parent_id) for r in edges) == [("query_spec", "q1"), ("signal", "s1"), ("signal", "s2")]
