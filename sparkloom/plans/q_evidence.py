@@ -59,7 +59,7 @@ def ev_index_payload(spark, d):
     return evidence(spark, d).select(p.alias("p")).select("p.*")
 
 
-@register("ev_upsert_vectors", "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 2 WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END AS version, embedding FROM embeddings) SELECT substr(sha256('ev_' || vec_id), 1, 32) AS point, 'ev_' || vec_id AS record_id, CAST(version AS INTEGER) AS version, len(embedding) AS dims, round(CAST(embedding[1] AS DOUBLE) * (version + 1), 5) AS head FROM v")
+@register("ev_upsert_vectors", "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 2 WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END AS version, embedding FROM embeddings) SELECT substr(sha256('ev_' || vec_id), 1, 32) AS point, 'ev_' || vec_id AS record_id, CAST(version AS INTEGER) AS version, len(embedding) AS dims, round(CAST(CAST(CAST(embedding[1] AS DOUBLE) * (version + 1) AS FLOAT) AS DOUBLE), 5) AS head FROM v")
 def ev_upsert_vectors(spark, d):
     # Three batches of vectors, the newest first; the table is compacted between them.
     v = B.table(spark, d, "embeddings")
