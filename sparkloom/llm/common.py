@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.shared import cut as cut
 from sparkloom.sources.shared import new_folder as new_folder
+from sparkloom.sources.shared import remove as remove
 from sparkloom.sources.shared import written as written
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkloom.llm import simhash
 
@@ -141,3 +142,33 @@ def test_near_texts_of_odd_rows(spark):
     ids = [x.doc_id for x in out.collect()]
     assert out.columns == docs(spark).columns and {1, 4, 8, 12} <= set(ids) and not {2, 3, 5, 6, 13} & set(ids)
     assert simhash.first_of_each(empty(spark), shingle=5, radius=7, similar=0.8).count() == 0
+
+
+def test_sketches_agree_as_often_as_minima(spark):
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(6)]
+    sets += [np.r_[s[:200], rng.integers(0, 2**63, 20, dtype=np.uint64)] for s in sets]
+    least = [simhash.minima(s) for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    rows = spark.createDataFrame([(i, j, simhash.sketch(least[i]), simhash.sketch(least[j])) for i, j in pairs], "i int, j int, x array<long>, y array<long>")
+    nibble = lambda v: (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
+    for r in rows.select("i", "j", simhash.agreeing(F.col("x"), F.col("y")).alias("n")).collect():
+        assert r["n"] == int((nibble(least[r["i"]]) == nibble(least[r["j"]])).sum())
+        if r["i"] == r["j"]:
+            assert r["n"] == 60
+    assert simhash.minima(np.zeros(0, np.uint64)) is None and simhash.sketch(None) == [] and simhash.band_keys(None) == []
+
+
+def test_no_similar_pair_is_lost_by_sketches():
+    # All pairs of one base text with edits: what is 0.8 alike agrees in enough minima, far unlike pairs do not.
+    rng = np.random.default_rng(5)
+    lost = far = 0
+    for _ in range(400):
+        base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        other = base.copy()
+        other[rng.permutation(400)[:44]] = rng.integers(0, 2**63, 44, dtype=np.uint64)  # a similarity of 0.8
+        apart = np.r_[base[:100], rng.integers(0, 2**63, 300, dtype=np.uint64)]  # 0.14
+        agree = lambda p, q: 60 - sum(bin((d | d >> 1 | d >> 2 | d >> 3) & 0x1111111111111111).count("1") for d in ((int(a) ^ int(b)) & (2**64 - 1) for a, b in zip(simhash.sketch(simhash.minima(p)), simhash.sketch(simhash.minima(q)), strict=True)))
+        lost += agree(base, other) < simhash.AGREE
+        far += agree(base, apart) >= simhash.AGREE
+    assert lost == 0 and far < 4
