@@ -13,6 +13,7 @@ for one block after the other.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, free_names
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of so many bytes or more travel as SHA-256 in hex, which is as long: no other word looks like one.
+LONG = 64
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: The same words on UTF-8 bytes: separators become spaces, A-Z lower case.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -146,7 +149,10 @@ def windows(rows: list[tuple[object, str | None]], window: int) -> dict[tuple[by
 
 
 class Phrases:
-    """The windows of a block of items as arrays of word numbers, and which items have each."""
+    """The windows of a block of items as arrays of word numbers, and which items have each.
+
+    Words of ``LONG`` bytes or more stand as their digests (see ``_blocks``), in the texts that are searched too.
+    """
 
     def __init__(self, rows: list[tuple[str | None, str]], window: int) -> None:
         names = sorted({"null" if item is None else item for item, _ in rows})
@@ -160,6 +166,7 @@ class Phrases:
                 codes = np.array([self.number.setdefault(x, len(self.number) + 2) for x in w], np.int32)
                 n = min(window, len(w))
                 cut_up.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(codes, n), name_at["null" if item is None else item]))
+        self.long = any(len(x) >= LONG for x in self.number)
         self.sigma = len(self.number) + 2
         self.shortest, self.deepest = min(cut_up, default=0), max(cut_up, default=1)
         #: Length to (different windows, where the items of each begin and end, items).
@@ -188,6 +195,8 @@ def _hits(texts: list[list[bytes]], phrases: Phrases) -> tuple[dict[int, list[tu
     for d, w in enumerate(texts):
         if not phrases.shortest or len(w) < phrases.shortest:
             continue
+        if phrases.long:
+            w = [x if len(x) < LONG else hashlib.sha256(x).hexdigest().encode() for x in w]
         code = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
         edge = np.diff(np.r_[0, (code > 0).astype(np.int8), 0])
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -210,8 +219,9 @@ def _hits(texts: list[list[bytes]], phrases: Phrases) -> tuple[dict[int, list[tu
         rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[some], size)
         for i in range(0, len(rows), 1_000_000):
             at = index.locate(rows[i : i + 1_000_000])
-            for d, a, k in zip(of[at].tolist(), place[at].tolist(), which[i : i + 1_000_000].tolist(), strict=True):
+            for d, a in zip(of[at].tolist(), place[at].tolist(), strict=True):
                 spans.setdefault(d, []).append((a, a + n))
+            for d, k in np.unique(np.c_[of[at], which[i : i + 1_000_000]], axis=0).tolist():  # each window once a text, however often it occurs
                 items.setdefault(d, set()).update(phrases.names[item[begin[k] : begin[k + 1]]].tolist())
     return spans, items
 
@@ -269,24 +279,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _blocks(benchmark: DataFrame, window: int, block_chars: int, piece_words: int) -> list[list[tuple[str | None, str]]]:
     """The different items, long ones in pieces that overlap by a window, dealt into blocks of about ``block_chars``.
 
-    Spark cuts and deals; a block of more than eight times that is refused.
+    Spark cuts and deals. Long words stand as digests, so a piece has a bounded size however long its words are;
+    a block that comes out over eight times too large is dealt again.
     """
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "".join(map(chr, LOWER)), "".join(map(chr, LOWER.values())))
     w = benchmark.select(F.col("item_id").cast("string").alias("item"), F.regexp_extract_all(lower, F.lit(word), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    w = w.withColumn("w", F.transform("w", lambda x: F.when(F.octet_length(x) < LONG, x).otherwise(F.sha2(x.cast("binary"), 256))))
     step = piece_words - window + 1
     starts = F.expr(f"sequence(0, greatest(size(w) - {window}, 0), {step})")
     pieces = w.select("item", "w", F.explode(starts).alias("at")).select("item", F.array_join(F.slice("w", F.col("at") + 1, piece_words), " ").alias("text")).distinct()
-    pieces = cut(pieces)
-    chars = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
+    return _dealt(cut(pieces), block_chars, 0)
+
+
+def _dealt(pieces: DataFrame, block_chars: int, turn: int) -> list[list[tuple[str | None, str]]]:
+    """Pieces in blocks of about ``block_chars``; a piece larger than that has a block of its own."""
+    rows, chars = pieces.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     n = max(1, -(-chars // block_chars))
-    out = []
+    if rows <= 1 or n == 1 or (turn and chars <= 8 * block_chars):
+        return [[(r["item"], r["text"]) for r in pieces.collect()]]
+    blocks = []
     for k in range(n):
-        one = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        if n > 1 and (one.agg(F.sum(F.length("text"))).first()[0] or 0) > 8 * max(block_chars, 10_000):
-            raise ValueError("a block of the benchmark is too large; its words are too long")
-        out.append([(r["item"], r["text"]) for r in one.collect()])
-    return out
+        blocks += _dealt(pieces.filter(F.pmod(F.xxhash64("item", "text", F.lit(turn)), F.lit(n)) == k), block_chars, turn + 1)
+    return blocks
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4_000_000, shard_words: int = 500_000, piece_words: int = 20_000) -> tuple[DataFrame, list[str]]:

@@ -361,3 +361,19 @@ def test_a_megabyte_of_nested_elements_takes_seconds(page):
     assert time.time() - began < 20 and isinstance(text, str)
     if page.startswith("<div>"):
         assert text.count("some words here") > 40_000
+
+
+def test_long_benchmark_words_and_shared_phrases(spark):
+    """Words of any length are found whole, in blocks of any size; a digest standing in a text is no word it stands for."""
+    import hashlib
+
+    long = ["x" * 30_000 + str(i) for i in range(40)]
+    item = " ".join(long)
+    same = " ".join(f"w{i}" for i in range(10))
+    benchmark = spark.createDataFrame([("a", item), *[(f"s{i}", same) for i in range(300)], ("n", None)], "item_id string, text string")
+    digests = " ".join(hashlib.sha256(x.encode()).hexdigest() for x in long)
+    texts = [item, f"before {' '.join(long[5:20]).upper()} after", digests, f"{same} and " * 200, " ".join(long[:9]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block_chars in (4_000_000, 500):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.decontaminate(docs, benchmark, block_chars=block_chars).collect()}
+        assert got == {0: (40, 40, 1), 1: (17, 15, 1), 2: (40, 0, 0), 3: (2200, 2000, 300), 4: (9, 0, 0), 5: (0, 0, 0)}
