@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import merged_set_hash
+from .ranks import ranked
 
 # Fixed values of the re-ranking.
 FIT_WEIGHTS = {"margin_potential": 0.40, "shipping_fit": 0.35, "channel_fit": 0.25}
@@ -104,7 +105,7 @@ def rerank(opportunities: DataFrame, group: str = "niche_id") -> DataFrame:
     """Add fit_score, passes, blend and rank (1 first) within each decision group."""
     j = opportunities.withColumn("fit_score", fit())
     j = j.withColumns({"passes": F.coalesce(F.col("fit_score") >= MIN_FIT, F.lit(False)), "blend": blend(F.col("score"), F.col("fit_score"))})
-    return j.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("blend"), F.desc("score"), "opportunity_id")))
+    return ranked(j, [group], [F.desc("blend"), F.desc("score"), "opportunity_id"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def band(score: Column) -> Column:

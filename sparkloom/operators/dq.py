@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.joins import hot_join
+from sparkloom.sources.shared import written
+
 REPORT = ("table_name", "rule", "severity", "row_key", "detail")
 
 
@@ -100,20 +104,50 @@ class TableRules:
 
 
 def validate(tables: Mapping[str, DataFrame], specs: Mapping[str, TableRules]) -> DataFrame:
-    """Every finding over several tables, in the columns of ``REPORT``."""
-    found = []
-    for name, spec in specs.items():
-        df = tables[name]
-        found += [missing_columns(df, name, spec.required), duplicate_keys(df, name, spec.key)]
-        if spec.rules:
-            found.append(run_rules(df, name, spec.key, spec.rules))
-        found += [foreign_key(df, column, tables[other], theirs, name, spec.key) for column, other, theirs in spec.references]
-        if spec.least_rows:
-            found.append(row_floor(df, name, spec.least_rows))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    """Every finding over several tables, in the columns of ``REPORT``.
+
+    Each table is scanned once, into rows of one shape: a broken rule, the key, a reference
+    or a value that others refer to. One aggregation over those finds repeated keys and small
+    tables, one join lost references of all tables, whatever the number of rules.
+    A null reference is lost; null keys count as equal.
+    """
+    wanted = {name: [] for name in tables}
+    for spec in specs.values():
+        for _, other, theirs in spec.references:
+            wanted[other] += [theirs] if theirs not in wanted[other] else []
+    scans = [_scan(name, df, specs.get(name), wanted[name], tables) for name, df in tables.items() if name in specs or wanted[name]]
+    every = written(reduce(DataFrame.unionByName, scans))
+    spark = every.sparkSession
+    keys = every.filter("kind = 'key'").groupBy("table_name", "row_key").agg(F.count("*").alias("n"))
+    twice = keys.filter("n > 1").select("table_name", F.lit("duplicate_keys").alias("rule"), F.lit("error").alias("severity"), "row_key", F.col("n").cast("string").alias("detail"))
+    refs = every.filter("kind = 'reference'")
+    held = every.filter("kind = 'value'").select("domain", "matched").distinct()
+    lost = refs.filter("matched IS NULL").unionByName(hot_join(refs.filter("matched IS NOT NULL"), held, ["domain", "matched"], "left_anti").select(*refs.columns))
+    found = every.filter("kind = 'rule'").select(*REPORT).unionByName(twice).unionByName(lost.select(*REPORT))
+    floors = [(name, spec.least_rows) for name, spec in specs.items() if spec.least_rows]
+    if floors:
+        counts = every.filter("kind = 'key'").groupBy("table_name").agg(F.count("*").alias("n"))
+        few = spark.createDataFrame(floors, "table_name string, least long").join(counts, "table_name", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < least")
+        found = found.unionByName(few.select("table_name", F.lit("row_floor").alias("rule"), F.lit("error").alias("severity"), F.col("table_name").alias("row_key"), F.col("n").cast("string").alias("detail")))
+    gone = [missing_columns(tables[name], name, spec.required) for name, spec in specs.items() if set(spec.required) - set(tables[name].columns)]
+    return reduce(DataFrame.unionByName, gone, found)
+
+
+def _scan(name: str, df: DataFrame, spec: TableRules | None, wanted: Sequence[str], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows (kind, table_name, rule, severity, row_key, detail, domain, matched) of one scan. References take the type of what they refer to."""
+    key = F.lit(None).cast("string") if spec is None else F.col(spec.key).cast("string")
+
+    def row(kind: str, rule: str, severity: str, detail: Column, domain: str, matched: Column) -> Column:
+        fields = {"kind": F.lit(kind), "table_name": F.lit(name), "rule": F.lit(rule), "severity": F.lit(severity), "row_key": key, "detail": detail.cast("string"), "domain": F.lit(domain), "matched": matched.cast("string")}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    none = F.lit(None).cast("string")
+    rows = [row("value", "", "", none, f"{name}.{c}", F.col(c)) for c in wanted]
+    if spec is not None:
+        rows.append(row("key", "", "", none, "", none))
+        rows += [row("reference", f"foreign_key:{c}", "error", F.col(c), f"{other}.{theirs}", F.col(c).try_cast(tables[other].schema[theirs].dataType)) for c, other, theirs in spec.references]
+        rows += [F.when(~F.coalesce(r.ok, F.lit(False)), row("rule", r.name, r.severity, F.lit("") if r.detail is None else F.coalesce(r.detail.cast("string"), F.lit("null")), "", none)) for r in spec.rules]
+    return df.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("e")).select("e.*")
 
 
 def provenance_rules(struct: str, keys: Sequence[str]) -> list[Rule]:

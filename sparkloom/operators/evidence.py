@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.sources.tables import KeyedTable
 
 from . import dq
+from .ranks import ranked
 
 
 def finalize(evidence: DataFrame, page_id: str = "page_id") -> DataFrame:
@@ -227,9 +228,9 @@ def routed(marked: DataFrame, key: str, lane: str) -> tuple[DataFrame, DataFrame
 
 def mmr(records: DataFrame, alpha: float = 0.6, beta: float = 0.2, gamma: float = 0.2) -> DataFrame:
     """Rank by relevance and recency, less a growing penalty for each further record of one domain."""
-    nth = F.row_number().over(Window.partitionBy("job_id", "domain").orderBy(F.desc("relevance"), "record_id"))
-    s = records.withColumn("mmr", alpha * F.col("relevance") + beta * F.col("recency") + gamma / nth)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc(F.round("mmr", 9)), "record_id")))
+    nth = ranked(records, ["job_id", "domain"], [F.desc("relevance"), "record_id"], "_nth")
+    s = nth.withColumn("mmr", alpha * F.col("relevance") + beta * F.col("recency") + gamma / F.col("_nth")).drop("_nth")
+    return ranked(s, ["job_id"], [F.desc(F.round("mmr", 9)), "record_id"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 # What each gate counts, and its least number.

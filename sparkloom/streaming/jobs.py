@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from sparkloom.operators.ranks import ranked
 from sparkloom.sources import io
 from sparkloom.sources.tables import KeyedTable
 
@@ -237,7 +238,7 @@ def backpressure(levels: DataFrame, high: int, low: int) -> DataFrame:
 
 def rate_gaps(requests: DataFrame, least_seconds: float, daily: int) -> DataFrame:
     """Add gap_seconds to the request before on the route, too_soon, nth of the day and over_cap."""
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(Window.partitionBy("route").orderBy("ts", "event_id")))) / 1e6
-    nth = F.row_number().over(Window.partitionBy("route", F.to_date("ts")).orderBy("ts", "event_id"))
-    r = requests.withColumns({"gap_seconds": gap, "nth": nth})
+    r = ranked(requests.withColumn("_day", F.to_date("ts")), ["route"], ["ts", "event_id"], "_at", {"_ts": "ts"})
+    r = r.withColumn("gap_seconds", (F.unix_micros("ts") - F.unix_micros("_ts")) / 1e6).drop("_at", "_ts")
+    r = ranked(r, ["route", "_day"], ["ts", "event_id"], "nth").drop("_day")
     return r.withColumns({"too_soon": F.coalesce(F.col("gap_seconds") < least_seconds, F.lit(False)), "over_cap": F.col("nth") > daily})
