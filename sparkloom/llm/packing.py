@@ -120,11 +120,16 @@ class WordIds(dict):
 _WORD_IDS: dict[str, WordIds] = {}
 
 
+def word_ids(path: str) -> WordIds:
+    """The vocabulary of this Python worker, which its tasks share."""
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
 def _tokenise(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _WORD_IDS:
-            _WORD_IDS[path] = WordIds(path)
-        of = _WORD_IDS[path].ids
+        of = word_ids(path).ids
         end = end_id.to_bytes(4, "little")
         full = 4 * capacity
         for batch in batches:

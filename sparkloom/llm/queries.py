@@ -62,7 +62,7 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"))
+    return sharding.shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

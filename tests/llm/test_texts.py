@@ -9,13 +9,15 @@ import numpy as np
 import pytest
 
 from sparkloom.llm import decontam, extract, pii, sharding
+from sparkloom.llm.packing import word_ids
+from sparkloom.llm.queries import vocabulary
 
 from .fixtures import docs, empty, prose
 
 
 def test_shards(spark):
     d = docs(spark)
-    got = sharding.shards(d, count=4).collect()
+    got = sharding.shards(d, vocabulary("word_bpe_49k.json"), count=4).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in d.collect())
     slots, sizes = defaultdict(list), Counter()
     for r in got:
@@ -23,18 +25,46 @@ def test_shards(spark):
         sizes[r.shard] += r.size
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
-    assert sharding.shards(empty(spark)).count() == 0
+    assert sharding.shards(empty(spark), vocabulary("word_bpe_49k.json")).count() == 0
 
 
 def test_hot_group_is_split_and_bytes_are_even(spark):
     rows = [(i, "hot copy " * 20) for i in range(3000)] + [(None, "hot copy " * 20) for _ in range(500)] + [(5000 + i, prose(5 + i % 90, i)) for i in range(3000)]
-    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), lane_rows=500).toPandas()
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("word_bpe_49k.json"), lane_rows=500).toPandas()
     size = got.groupby("shard")["size"].sum()
     assert len(size) == 16 and size.max() - size.min() < 0.005 * size.mean()
     assert got[got.doc_id >= 5000].groupby("text_crc32").shard.nunique().max() == 1  # small groups stay together
     assert got[got.doc_id < 3000].shard.nunique() > 4
 
 
+@pytest.mark.parametrize("lane_rows", [20_000, 2000])
+def test_bytes_tokens_and_rows_are_even_together(spark, lane_rows):
+    ids = word_ids(vocabulary("word_bpe_49k.json")).ids
+    rows = [(i, prose(3 + i * 7 % 110, i) + "!?" * (i % 9)) for i in range(6000)] + [(6000 + i, "9 8 7 6 5 " * 30) for i in range(700)] + [(6700 + i, prose(1500, i)) for i in range(40)]
+    tokens = {i: len(ids(t)) // 4 for i, t in rows}
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("word_bpe_49k.json"), lane_rows=lane_rows).toPandas()
+    sums = got.assign(tokens=got.doc_id.map(tokens), rows=1).groupby("shard")[["size", "tokens", "rows"]].sum()
+    assert len(got) == len(rows) and len(sums) == 16
+    spread = (sums.max() - sums.min()) / sums.mean()
+    assert spread["size"] < 0.005 and spread["tokens"] < 0.01 and spread["rows"] < 0.01 + 2 / sums["rows"].mean(), spread
+
+
+def test_swaps_never_make_it_worse():
+    for seed in range(10):
+        r = np.random.default_rng(seed)
+        v = r.lognormal(size=(300, 3)) * [1, 1, 0] + [0, 0, 1]
+        v /= v.sum(axis=0)
+        residual = np.full((6, 3), 1 / 6)
+        bins = sharding.place(v, residual)
+        before = ((residual * sharding.SWAP_WEIGHTS) ** 2).sum()
+        sharding.even_out(v, bins, residual)
+        assert ((residual * sharding.SWAP_WEIGHTS) ** 2).sum() <= before
+        assert np.allclose(residual, 1 / 6 - np.stack([v[bins == b].sum(axis=0) for b in range(6)]))
+    alone, residual = np.zeros(1, np.int64), np.array([[-0.5] * 3, [0.5] * 3])
+    sharding.even_out(np.ones((1, 3)), alone, residual)
+    assert alone.tolist() == [0]  # no better place for one item
+
+
 def plain_place(vectors, residual):
     """Brute force: try every shard for each group in turn."""
     out = []
@@ -46,7 +76,7 @@ def plain_place(vectors, residual):
                 if best is None or dot > best + 1e-15:
                     best, found = dot, b
         if found is None:
-            found = max(range(len(residual)), key=lambda b: (residual[b][0], -b))
+            found = max(range(len(residual)), key=lambda b: (sum(residual[b][d] * v[d] * sharding.WEIGHTS[d] for d in range(3)), -b))
         residual[found] = [residual[found][d] - v[d] for d in range(3)]
         out.append(found)
     return out
@@ -63,7 +93,7 @@ def test_placing_against_brute_force(seed):
 def test_placing_takes_the_highest_dot_product():
     residual = np.array([[0.5, 0.1, 0.5], [0.4, 0.4, 0.4], [0.9, 0.9, 0.0]])
     assert sharding.place(np.array([[0.2, 0.2, 0.2]]), residual.copy()).tolist() == [1]
-    assert sharding.place(np.array([[0.6, 0.6, 0.6]]), residual.copy()).tolist() == [2]  # none fits: most room in bytes
+    assert sharding.place(np.array([[0.6, 0.6, 0.6]]), residual.copy()).tolist() == [2]  # none fits: highest of all
 
 
 PAGES = [
