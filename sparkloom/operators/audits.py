@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the retry policy.
 TERMINAL_JOB, TERMINAL_TASK, LIVE = ("completed", "failed", "cancelled"), ("SUCCEEDED", "FAILED", "DEAD_LETTER", "BLOCKED"), ("PENDING", "READY", "RUNNING", "RETRY_WAIT")
-RETRYABLE_HTTP, TERMINAL_HTTP = (408, 429, 500, 502, 503, 504), (404, 410)
+RETRYABLE_HTTP = (408, 429, 500, 502, 503, 504)
 RETRYABLE = ("NETWORK_TIMEOUT", "DNS_TEMPORARY_FAILURE", "CONNECTION_RESET", "HTTP_408", "HTTP_429", "HTTP_500", "HTTP_502", "HTTP_503", "HTTP_504", "BROWSER_CRASH", "TEMPORARY_STORAGE_FAILURE", "DATABASE_CONNECTION_FAILURE")
 BLOCKED = ("HTTP_403", "ROBOTS_DISALLOWED", "POLICY_DISALLOWED")
 BASE_DELAY = {"http": 2.0, "browser": 5.0, "search": 2.0, "media": 2.0, "extract": 1.0, "enrich": 1.0, "index": 1.0}

@@ -36,22 +36,31 @@ def _buckets(bits: int, tables: int, dims: int, seed: int):
     return run
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n positions the smallest one that the links i-j reach, found for all at once."""
+    root = np.arange(n)
+    while (root[i] != root[j]).any():
+        low = np.minimum(root[i], root[j])
+        for ends in (root[i], root[j]):
+            np.minimum.at(root, ends, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def _forest(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
+        pdf = pdf.sort_values("id", ignore_index=True)
+        ids, own = pdf["id"].to_numpy(), pdf["own"].to_numpy()
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        # Two blocks that meet compare across only; each has met itself elsewhere.
+        left, right = (np.arange(len(ids)),) * 2 if (own == own[0]).all() else (np.flatnonzero(own == own[0]), np.flatnonzero(own != own[0]))
         root = np.arange(len(ids))
-        for at in range(0, len(ids), 512):  # a slice of rows against all of the block
-            i, j = np.nonzero(x[at : at + 512] @ x.T > cosine)
-            later = j > i + at
-            for a, b in zip((i + at)[later].tolist(), j[later].tolist(), strict=True):
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    b = root[b]
-                if a != b:
-                    root[max(a, b)] = min(a, b)
+        for at in range(0, len(left), 512):  # a slice of rows against all of the other side
+            i, j = np.nonzero(x[left[at : at + 512]] @ x[right].T > cosine)
+            known = np.arange(len(ids))
+            root = _roots(len(ids), np.r_[known, left[at + i]], np.r_[root, right[j]])
         moved = np.flatnonzero(root != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
@@ -79,7 +88,7 @@ def collapse(items: DataFrame, cosine: float = 0.95, block: int = 1024, recall:
     dealt = filed.join(hot, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     met = dealt.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "bucket", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "id", "embedding")
+    met = met.select("t", "bucket", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "id", "embedding")
     links = met.groupBy("t", "bucket", "lo", "hi").applyInPandas(_forest(cosine), "a long, b long").distinct()
     roots = components(links)
     return reps.join(roots, reps["id"] == roots["node"], "left").select("content_hash", "id", "copies", F.coalesce("root", "id").alias("cluster"))

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,17 @@ def test_near_vectors_collapse_as_all_pairs_would(spark):
     assert near.collapse(items.limit(0)).count() == 0
 
 
+def test_links_of_two_blocks_give_the_components_of_all_pairs():
+    r = np.random.default_rng(9)
+    x = np.concatenate([np.tile(r.normal(size=(1, 8)), (1500, 1)), r.normal(size=(30, 8))])
+    order = r.permutation(len(x))
+    pdf = pd.DataFrame({"id": order, "embedding": [x[i] for i in order]})
+    apart = near._forest(0.95)(pdf.assign(own=pdf["id"] % 2))
+    assert sorted(apart["a"]) == list(range(1, 1500)) and set(apart["b"]) == {0}
+    one = near._forest(0.95)(pdf.assign(own=0))
+    assert sorted(one["a"]) == list(range(1, 1500)) and set(one["b"]) == {0}
+
+
 @pytest.mark.parametrize("n", [10, 10**6, 10**10])
 def test_tables_meet_links_with_the_recall_asked_for(n):
     bits, tables = near._tables(n, 0.95, 1024, 0.999)
