@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +62,71 @@ def apply_expiry(stale: DataFrame) -> DataFrame:
     return stale.withColumn("status", F.when(F.col("stale"), "EXPIRED").otherwise(F.col("status")))
 
 
+def _tasks(keyed: DataFrame) -> DataFrame:
+    task = F.sha2(F.concat_ws("|", F.lit("recollect"), "job_id", "query_spec_id"), 256)
+    return keyed.select("niche_id", "query_spec_id", F.concat(F.lit("tsk_rec_"), F.substring(task, 1, 12)).alias("task_id"), F.concat(F.lit("idem_rec_"), F.col("_key")).alias("idempotency_key"), F.lit("search").alias("lane"))
+
+
 def recollection(evaluated: DataFrame, queries: DataFrame) -> DataFrame:
     """A task for each query (job_id, niche_id, query_spec_id) of each niche with expired signals; keys depend on the set of ids alone.
 
-    ``evaluated`` comes from ``evaluate`` or, for niches of few signals, from ``evaluate_listed``.
+    ``evaluated`` comes from ``evaluate``; ``recollection_listed`` hashes the sorted ids themselves.
     """
-    listed = "expired_ids" in evaluated.columns
     j = evaluated.filter("needs_recollection").join(queries, "niche_id")
-    part = lambda *xs: F.sha2(F.concat_ws("|", *xs), 256)
-    ids = F.array_join(F.array_sort("expired_ids"), "|") if listed else F.col("expired_set")
-    return j.select("niche_id", "query_spec_id", F.concat(F.lit("tsk_rec_"), F.substring(part(F.lit("recollect"), "job_id", "query_spec_id"), 1, 12)).alias("task_id"), F.concat(F.lit("idem_rec_"), part(F.lit("recollect"), ids, "query_spec_id")).alias("idempotency_key"), F.lit("search").alias("lane"), *(["expired_ids"] if listed else []))
+    return _tasks(j.withColumn("_key", F.sha2(F.concat_ws("|", F.lit("recollect"), "expired_set", "query_spec_id"), 256)))
+
+
+def recollection_listed(signals: DataFrame, as_of: Column, queries: DataFrame) -> DataFrame:
+    """Like ``recollection``, with keys over the sorted expired ids of the niche, joined by ``|``, and the query.
+
+    The ids of a niche stream, sorted, through one SHA-256; each query goes on from a copy of
+    its state. So no row holds a niche's ids, and they are read once, however many queries there are.
+    """
+    ids = partition(signals, as_of).filter(F.col("expired") & F.col("signal_id").isNotNull())
+    shape = lambda df, kind, job, id: df.filter(F.col("niche_id").isNotNull()).select("niche_id", F.lit(kind).alias("kind"), F.col(id).cast("string").alias("id"), job.cast("string").alias("job_id"))
+    rows = shape(ids, 0, F.lit(None), "signal_id").unionByName(shape(queries, 1, F.col("job_id"), "query_spec_id"))
+    rows = rows.repartition("niche_id").sortWithinPartitions("niche_id", "kind", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        niche, head, some = None, hashlib.sha256(), False
+        for b in batches:
+            for (here, kind), g in b.groupby(["niche_id", "kind"], sort=False):  # sorted: each comes in one run
+                if here != niche:
+                    niche, head, some = here, hashlib.sha256(b"recollect"), False
+                if kind == 0:
+                    head.update(("|" + "|".join(g["id"])).encode())
+                    some = True
+                elif some:
+                    keys = []
+                    for q in g["id"]:
+                        h = head.copy()
+                        h.update(b"" if q is None else f"|{q}".encode())
+                        keys.append(h.hexdigest())
+                    yield pd.DataFrame({"niche_id": here, "job_id": g["job_id"], "query_spec_id": g["id"], "_key": keys})
+
+    return _tasks(rows.mapInPandas(run, "niche_id string, job_id string, query_spec_id string, _key string"))
 
 
 def recollection_edges(tasks: DataFrame, expired: DataFrame) -> DataFrame:
-    """Edges of recollection tasks to their query and to the expired signals (``expired_ids``) of their niche, a row each."""
+    """Edges of recollection tasks to their query and to the expired signals (``expired_ids``) of their niche, a row each.
+
+    Their number is that of tasks times signals of each niche; ``recollection_edge_counts`` needs none of them.
+    """
     edge = lambda kind, parent: [F.lit("task").alias("child_kind"), F.col("task_id").alias("child_id"), F.lit(kind).alias("parent_kind"), F.col(parent).alias("parent_id"), F.lit("recollect_for").alias("relation")]
     return tasks.join(expired, "niche_id").select(*edge("signal", "signal_id")).unionByName(tasks.select(*edge("query_spec", "query_spec_id")))
 
 
+def recollection_edge_counts(tasks: DataFrame, expired: DataFrame) -> DataFrame:
+    """(task_id, parent_kind, n, first_id, last_id): the edges of ``recollection_edges`` per task and kind, all counted.
+
+    A niche's signals shrink to their number, first and last before they meet its tasks.
+    """
+    of = lambda parent: [F.count("*").alias("n"), F.min(parent).alias("first_id"), F.max(parent).alias("last_id")]
+    signals = tasks.join(expired.groupBy("niche_id").agg(*of("signal_id")), "niche_id").select("task_id", F.lit("signal").alias("parent_kind"), "n", "first_id", "last_id")
+    specs = tasks.select("task_id", F.lit("query_spec").alias("parent_kind"), F.lit(1).cast("long").alias("n"), F.col("query_spec_id").alias("first_id"), F.col("query_spec_id").alias("last_id"))
+    return signals.unionByName(specs).groupBy("task_id", "parent_kind").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+
+
 def profile(candidates: DataFrame, external: DataFrame | None = None) -> DataFrame:
     """margin_potential, shipping_fit and channel_fit: embedded values, overridden by external ones, filled by defaults."""
     j = candidates

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -200,3 +201,18 @@ def test_recollection_keys_and_edges_need_no_lists(spark):
     tasks = decide.recollection(decide.evaluate(signals, at), spark.createDataFrame([("j", "n1", "q1"), ("j", "n2", "q2")], "job_id string, niche_id string, query_spec_id string"))
     edges = decide.recollection_edges(tasks, decide.expired_ids(signals, at)).collect()
     assert sorted((r.parent_kind, r.parent_id) for r in edges) == [("query_spec", "q1"), ("signal", "s1"), ("signal", "s2")]
+
+
+def test_listed_recollection_keys_hash_the_sorted_ids_without_a_row_that_holds_them(spark):
+    t = lambda d: dt.datetime(2026, 1, d)
+    ids = [f"s{k}" for k in range(3000)]
+    rows = [("n1", s, t(1)) for s in ids] + [("n1", "later", t(9)), ("n2", "s", t(9)), ("n3", "x", t(1)), ("n3", "x", t(1)), (None, "y", t(1)), ("n4", None, t(1))]
+    signals = spark.createDataFrame(rows, "niche_id string, signal_id string, expires_at timestamp")
+    queries = spark.createDataFrame([("j", f"n{n}", f"q{n}_{k}") for n in range(1, 5) for k in range(3)] + [("j", None, "q")], "job_id string, niche_id string, query_spec_id string")
+    at = F.lit("2026-01-05").cast("timestamp")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {(n, f"q{n[1]}_{k}"): "idem_rec_" + sha("|".join(["recollect", *sorted(of), f"q{n[1]}_{k}"])) for n, of in (("n1", ids), ("n3", ["x", "x"])) for k in range(3)}
+    made = decide.recollection_listed(signals, at, queries)
+    assert {(r.niche_id, r.query_spec_id): r.idempotency_key for r in made.collect()} == want
+    assert {r.task_id for r in made.collect()} == {"tsk_rec_" + sha(f"recollect|j|{q}")[:12] for _, q in want}
+    assert "collect_list" not in made._jdf.queryExecution().toString()
