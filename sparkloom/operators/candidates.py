@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ranks import ranked, same
+from sparkloom.sources.shared import cut
 
 # Fixed values of the rubric.
 DIMENSIONS = {
@@ -81,14 +82,23 @@ def query_pack(rows: DataFrame, packs: DataFrame, region: str, year: int) -> Dat
     return j.withColumn("status", F.when(F.col("query").rlike(r"\{\w+\}"), "ERR_PLACEHOLDER").otherwise("unsearched"))
 
 
-def dedup_queries(pack: DataFrame, buckets: int = 64) -> DataFrame:
+def dedup_queries(pack: DataFrame, buckets: int = 64, few: int = 100_000) -> DataFrame:
     """The first by (r, t) of each normalised text, with dense ids ``query-0001`` on.
 
-    The first is a minimum per text, so partial sums do most of the work. Ids
-    come in two steps: totals of ranges of r, then numbers within a range.
+    The least (r, t) of a text is one number, so partial sums by hash do most of the work and
+    no task sorts its rows; only the rows of those numbers are looked at whole (up to ``few``
+    numbers are broadcast, more shuffle). Ids come in two steps: totals of ranges of r, then
+    numbers within a range.
     """
     norm = F.lower(F.trim(F.regexp_replace("query", r"\s+", " ")))
-    first = pack.groupBy(norm.alias("norm")).agg(F.min(F.struct("r", "t", "query", "activity_id", "template_id", "evidence_goal", "status")).alias("q")).select("q.*")
+    r = F.coalesce(F.col("r").cast("decimal(20,0)"), F.lit("-99999999999999999999").cast("decimal(20,0)"))  # null comes first
+    at = r * F.lit(10_000_000_000).cast("decimal(11,0)") + F.coalesce(F.col("t").cast("decimal(10,0)"), F.lit(-4_000_000_000).cast("decimal(10,0)"))
+    placed = pack.withColumns({"norm": norm, "_at": at.cast("decimal(38,0)")})
+    least = cut(placed.groupBy("norm").agg(F.min("_at").alias("_at")))
+    met = F.col("p.norm").eqNullSafe(F.col("l.norm")) & (F.col("p._at") == F.col("l._at"))
+    right = least.alias("l")
+    held = placed.alias("p").join(F.broadcast(right) if least.count() <= few else right, met, "left_semi")
+    first = held.groupBy("norm").agg(F.min(F.struct("r", "t", "query", "activity_id", "template_id", "evidence_goal", "status")).alias("q")).select("q.*")
     first = first.withColumn("part", F.floor(F.col("r") / buckets))
     held = first.groupBy("part").count()
     before = prefix_sums(held, "part", "count")

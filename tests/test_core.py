@@ -239,3 +239,12 @@ def test_fresh_evaluate_gives_the_expired_ids(spark):
     rows = QUERIES["fresh_evaluate"](spark, d).collect()
     listed = {(r.niche_id, i) for r in rows for i in r.expired_ids.split(";") if i}
     assert listed and listed == {(r.niche_id, r.signal_id) for r in QUERIES["fresh_expired_ids"](spark, d).collect()}
+
+
+def test_first_queries_are_found_by_one_number_each(spark):
+    rows = [(5, 1, "a  b"), (3, 2, "A b"), (3, 0, " a b "), (9, 0, "c"), (None, 4, "c"), (7, 1, None), (8, 0, None), (3, 0, "d"), (3, 0, "D")]
+    pack = spark.createDataFrame([(*r, "x", "i", "g", "s") for r in rows], "r long, t int, query string, activity_id string, template_id string, evidence_goal string, status string")
+    want = {" a b ": 3, "D": 3, None: 7}
+    for few in (0, 100):  # by a shuffle, by a broadcast
+        made = candidates.dedup_queries(pack.filter("r IS NOT NULL AND query IS NULL OR r < 9"), few=few).collect()
+        assert {r.query for r in made} == set(want) and sorted(r.query_id for r in made) == ["query-0001", "query-0002", "query-0003"]
