@@ -46,11 +46,15 @@ def points(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.substring(F.sha2("record_id", 256), 1, 32).alias("point"), "record_id", "version", F.col("embedding").cast("array<float>").alias("embedding"))
 
 
+#: Pairs that a task scores at once.
+CELLS = 1_000_000
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest by cosine; a zero vector has score 0; ties by id.
 
     Exact. Queries come in blocks of at most ``block``, so what is broadcast is
-    bounded; each task keeps the k best per query of a batch before anything shuffles.
+    bounded; a task scores ``CELLS`` pairs at once and keeps the k best per query before anything shuffles.
     """
     spark = vectors.sparkSession
     n = queries.count()
@@ -67,15 +71,20 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20
 
         def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            for v in batches:
-                if not len(v) or not len(ids):
-                    continue
-                x = np.stack(v["embedding"].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(x, axis=1)
-                s = np.where(size > 0, q @ (x / np.maximum(size, 1e-300)[:, None]).T, 0.0)
-                vid = v["vec_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(vid, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": vid[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+            best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            tile = max(k, CELLS // max(1, len(ids)))
+            for v in batches if len(ids) else ():
+                for at in range(0, len(v), tile):  # so many scores at once, however large a batch is
+                    some = v.iloc[at : at + tile]
+                    x = np.stack(some["embedding"].to_numpy()).astype(np.float64)
+                    size = np.linalg.norm(x, axis=1)
+                    s = np.where(size > 0, q @ (x / np.maximum(size, 1e-300)[:, None]).T, 0.0)
+                    vid = np.broadcast_to(some["vec_id"].to_numpy(np.int64), s.shape)
+                    best_id, best = np.concatenate([best_id, vid], axis=1), np.concatenate([best, s], axis=1)
+                    order = np.lexsort((best_id, -np.round(best, 9)), axis=1)[:, :k]
+                    best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+            if best.size:
+                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": best_id.ravel(), "score": best.ravel()})
 
         one = vectors.select("vec_id", "embedding").mapInPandas(near, "query_id long, vec_id long, score double")
         found = one if found is None else found.unionByName(one)
