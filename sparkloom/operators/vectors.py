@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.shared import cut
 
+#: Pairs of vectors that a task scores at once.
+CELLS = 1_000_000
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -65,10 +67,12 @@ def nearest_files(vectors: DataFrame, centroids: np.ndarray, probes: int) -> Dat
         for b in batches:
             if not len(b) or not len(shared.value):
                 continue
-            x = _matrix(b["embedding"])
             n = min(probes, len(shared.value))
-            near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :n]
-            yield pd.DataFrame({"vec_id": np.repeat(b["vec_id"].to_numpy(), n), "embedding": list(np.repeat(x, n, axis=0)), "file": near.ravel()})
+            rows = max(1, 50_000 // n)  # a row comes out n times
+            for at in range(0, len(b), rows):
+                x = _matrix(b["embedding"].iloc[at : at + rows])
+                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"vec_id": np.repeat(b["vec_id"].to_numpy()[at : at + rows], n), "embedding": list(np.repeat(x, n, axis=0)), "file": near.ravel()})
 
     return vectors.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "vec_id long, embedding array<double>, file int")
 
@@ -96,9 +100,13 @@ def search(index: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int,
         if not len(v) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         v = v.sort_values("vec_id")
-        ids, score = v["vec_id"].to_numpy(), np.round(np.stack(q["embedding"].to_numpy()) @ np.stack(v["embedding"].to_numpy()).T, 9)
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q["vec_id"].to_numpy(), top.shape[1]), "vec_id": ids[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()})
+        ids, x, asked = v["vec_id"].to_numpy(), np.stack(v["embedding"].to_numpy()).T, q["vec_id"].to_numpy()
+        found, tile = [], max(1, CELLS // len(ids))
+        for at in range(0, len(q), tile):  # so many scores at once, however large the slices are
+            score = np.round(np.stack(q["embedding"].iloc[at : at + tile].to_numpy()) @ x, 9)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({"query_id": np.repeat(asked[at : at + tile], top.shape[1]), "vec_id": ids[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()}))
+        return pd.concat(found, ignore_index=True)
 
     key = ["file", "part", "ask"]
     some = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "vec_id", "embedding").groupBy(*key)).applyInPandas(near, FOUND)

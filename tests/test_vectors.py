@@ -51,3 +51,19 @@ def test_nulls_zeros_ties_and_empty_tables(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got)[:2] == [(1, 1, 1.0), (2, 2, 1.0)] and len(got) == 3
     none = v.filter(F.lit(False))
     assert vectors.search(vectors.nearest_files(none, vectors.fit(none, 4), 1), none, vectors.fit(none, 4), 3, 2).count() == 0
+
+
+def test_both_searches_take_their_vectors_in_tiles(spark):
+    # 2100 queries against 2100 vectors: several tiles in a batch and in a slice; all files are looked into, so both are exact.
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2100, 4)).round(1)
+    x[7] = 0
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = np.round(u @ u.T, 9)
+    want = {(i, int(j), n + 1) for i in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(x)), -s[i]))[:3])}
+    exact = {(r.query_id, r.vec_id, r["rank"]) for r in evidence.cosine_top_k(v, v, 3).collect()}
+    centroids = vectors.fit(v, 4)
+    filed = {(r.query_id, r.vec_id, r["rank"]) for r in vectors.search(vectors.nearest_files(v, centroids, 1), v, centroids, 3, 4).collect()}
+    assert len(exact ^ want) < 20 and len(filed ^ want) < 20  # the ninth digit of a score may round either way
+    assert evidence.CELLS // 2048 < len(x) and vectors.CELLS // len(x) < len(x)
