@@ -36,8 +36,8 @@ def _walk(start: DataFrame, edges: DataFrame, step, merge: int = 8) -> DataFrame
     reach does not land in one task.
     """
     key = ["root", "kind", "id"]
-    e = cut(edges.withColumnsRenamed({"child_kind": "kind", "child_id": "id"}).repartition("kind", "id"))
     frontier = cut(start.withColumn("depth", F.lit(0)))
+    e = cut(_within(edges, frontier).withColumnsRenamed({"child_kind": "kind", "child_id": "id"}).repartition("kind", "id"))
     n = frontier.count()
     found, depth = [frontier], 0
     while n:
@@ -50,6 +50,20 @@ def _walk(start: DataFrame, edges: DataFrame, step, merge: int = 8) -> DataFrame
     return _union(found)
 
 
+def _within(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+    """The edges that a walk from ``start`` can meet: those of the kinds that its kinds lead to, by all edges' pairs of kinds.
+
+    With over ``most`` pairs or kinds all edges stay.
+    """
+    pairs = edges.select("child_kind", "parent_kind").distinct().limit(most + 1).collect()
+    kinds = {r[0] for r in start.select("kind").distinct().limit(most + 1).collect()}
+    if len(pairs) > most or len(kinds) > most:
+        return edges
+    while new := {p for c, p in pairs if c in kinds} - kinds:
+        kinds |= new
+    return edges.filter(F.col("child_kind").isin(*sorted(k for k in kinds if k is not None)))
+
+
 #: A frontier of so few rows has no hot node.
 FEW = 1000
 

@@ -248,3 +248,13 @@ def test_first_queries_are_found_by_one_number_each(spark):
     for few in (0, 100):  # by a shuffle, by a broadcast
         made = candidates.dedup_queries(pack.filter("r IS NOT NULL AND query IS NULL OR r < 9"), few=few).collect()
         assert {r.query for r in made} == set(want) and sorted(r.query_id for r in made) == ["query-0001", "query-0002", "query-0003"]
+
+
+def test_walks_move_the_edges_they_can_meet_only(spark):
+    e = [("line", "l1", "order", "o1"), ("order", "o1", "customer", "c1"), ("customer", "c1", "order", "o2"), ("order", "o2", "spec", "s"), ("part", "p", "spec", "s2"), (None, "x", "spec", "s")]
+    edges = spark.createDataFrame(e, "child_kind string, child_id string, parent_kind string, parent_id string")
+    start = spark.createDataFrame([("order", "o1"), (None, "x")], "kind string, id string")
+    assert sorted(r.child_id for r in lineage._within(edges, start).collect()) == ["c1", "o1", "o2"]
+    assert lineage._within(edges, start, most=2).count() == len(e)
+    found = lineage.trace(start.filter("kind IS NOT NULL"), edges).collect()
+    assert sorted((r.id, r.depth) for r in found) == [("c1", 1), ("o1", 0), ("o2", 2), ("s", 3)]
