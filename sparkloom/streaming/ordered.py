@@ -62,27 +62,26 @@ class Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000  # all before it has come
         self.due.clear()
-        ready: list[Event] = []
-        later = None
-        for (hour,) in sorted(tuple(k) for k in self.waiting.keys()):
+        state, later = self.kept.get()[0] if self.kept.exists() else None, None
+        for (hour,) in sorted(tuple(k) for k in self.waiting.keys()):  # an hour at a time is in memory
+            events = [tuple(e) for e in json.loads(self.waiting.getValue((hour,))[0])]
             if hour * HOUR > mark:
-                later = later or [tuple(e) for e in json.loads(self.waiting.getValue((hour,))[0])]
+                later = later or events
                 break
-            events = [tuple(e) for e in json.loads(self.waiting.getValue((hour,))[0])]
-            ready += [e for e in events if e[0] <= mark]
-            rest = [e for e in events if e[0] > mark]
+            ready, rest = sorted(e for e in events if e[0] <= mark), [e for e in events if e[0] > mark]
             if rest:
                 self.waiting.updateValue((hour,), (json.dumps(rest),))
                 later = rest
             else:
                 self.waiting.removeKey((hour,))
+            if ready:
+                out, state = self.replay(key[0], ready, state)
+                if len(out):
+                    yield out
         if later:
             self._call_at(min(e[0] for e in later))
-        if ready:
-            out, state = self.replay(key[0], sorted(ready), self.kept.get()[0] if self.kept.exists() else None)
+        if state is not None:
             self.kept.update((state,))
-            if len(out):
-                yield out
 
     def close(self) -> None:
         pass

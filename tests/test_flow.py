@@ -162,3 +162,34 @@ def test_backpressure_carries_over_days(spark):
     rows = [("p", T0, 1, 30.0), ("p", T0 + dt.timedelta(days=2), 2, 10.0), ("p", T0 + dt.timedelta(days=3), 3, 1.0), ("p", T0 + dt.timedelta(days=3, hours=1), 4, 10.0), ("q", T0, 5, 10.0)]
     got = {r.seq: r.paused for r in jobs.backpressure(spark.createDataFrame(rows, "phase string, ts timestamp, seq int, backlog double"), 20, 3).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_waiting_events_are_replayed_an_hour_at_a_time():
+    import json
+    from types import SimpleNamespace
+
+    class Cell:
+        def __init__(self):
+            self.v = None
+
+        exists, get, clear = (lambda self: self.v is not None), (lambda self: self.v), (lambda self: setattr(self, "v", None))
+
+        def update(self, v):
+            self.v = v
+
+    class Cells(dict):
+        getValue, containsKey, removeKey, updateValue = dict.__getitem__, dict.__contains__, dict.pop, dict.__setitem__
+
+    class Seen(ordered.Ordered):
+        def replay(self, key, events, state):
+            return [(key, events)], (state or "") + str(len(events))
+
+    p = Seen()
+    p.waiting, p.due, p.kept, p.handle = Cells(), Cell(), Cell(), SimpleNamespace(registerTimer=lambda at: None, deleteTimer=lambda at: None)
+    at = [(h * ordered.HOUR + k, k, 1.0) for h in (2, 0, 1) for k in (3, 1)]
+    for h in (2, 0, 1):
+        p.waiting[(h,)] = (json.dumps([e for e in at if e[0] // ordered.HOUR == h]),)
+    mark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 2 * ordered.HOUR // 1000)
+    out = [e for chunk in p.handleExpiredTimer(("r",), mark, None) for _, e in chunk]
+    assert out == [sorted(e for e in at if e[0] // ordered.HOUR == h) for h in (0, 1)] and p.kept.v == ("22",)
+    assert list(p.waiting) == [(2,)] and p.due.v == ((2 * ordered.HOUR + 1) // 1000,)
