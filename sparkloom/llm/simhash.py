@@ -12,18 +12,19 @@ task returns a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.graph import components as components
 from sparkloom.operators.joins import hot_join
 
-from .common import cut, free_names, new_folder, remove, text_key
+from .common import cut, free_names, new_folder, remove, written
 
 SEED = 42
 
@@ -254,7 +255,6 @@ def _named(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
 #: MinHash bands for texts whose fingerprints lie too far apart: similar texts (0.8) meet in one of them with probability 0.99.
 BANDS, ROWS = 12, 5
 _SPREAD = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-KEY = ["k_hash", "k_crc", "k_len"]
 
 
 #: A pair that agrees in fewer of its 60 minima is not compared further. At a similarity of 0.8 they agree in 48.8 with a
@@ -304,54 +304,128 @@ def agreeing(x: Column, y: Column) -> Column:
     return F.lit(BANDS * ROWS) - sum((differ(k) for k in range(1, 4)), differ(0))
 
 
+def _whole(x: float) -> int:
+    """The least whole number of at least ``x``, rounding noise aside: a bound that is never too high."""
+    return math.ceil(x - 1e-9)
+
+
+def prefix(h: np.ndarray, similar: float, heavy: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first of a text's different shingle hashes (sorted) in the order that all texts share: by number, then those in ``heavy`` (sorted) by ``place``.
+
+    As many as it takes for two texts of a Jaccard similarity of ``similar`` to share one.
+    """
+    if not len(h):
+        return h
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+        hot = heavy[at] == h
+        h = np.concatenate([h[~hot], h[hot][np.argsort(place[at[hot]])]])
+    return h[: len(h) - _whole(similar * len(h)) + 1]
+
+
 def _marks(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (doc_id, text key, fp, bands, sketch)."""
+    """Rows (doc_id, t, fp, some): t stands for the text by 64 bits of hash; ``some`` are a fifth of its shingles, others in each text, once a task for each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
             hashes = [shingle_hashes(t, shingle) for t in b["text"].tolist()]
             fp = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            least = [minima(h) for h in hashes]
-            yield b.drop(columns=["text"]).assign(doc_id=b["doc_id"].astype("Int64"), fp=fp, bands=[band_keys(x) for x in least], sketch=[sketch(x) for x in least])
+            some = []
+            for t, h in zip(b["t"].tolist(), hashes, strict=True):
+                u = np.unique(h).astype(np.uint64) if t not in seen else np.zeros(0, np.uint64)
+                some.append(u[(u * np.uint64(t % 2**64 | 1)) >> np.uint64(32) < np.uint64(2**32 // 5)].view(np.int64))
+                seen.add(t)
+            yield b.drop(columns=["text"]).assign(doc_id=b["doc_id"].astype("Int64"), fp=fp, some=some)
+
+    return _texts(docs).mapInPandas(run, "doc_id long, t long, fp long, some array<long>")
 
+
+def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), text.alias("text")).mapInPandas(run, "doc_id long, k_hash long, k_crc long, k_len int, fp long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
 
+#: Shingles that so many texts have among a fifth of their own are heavy, at most this number of them, the most frequent first. They
+#: only come last in the order of the shingles, so that rare ones make up the prefixes; whatever is taken for heavy, no pair is lost.
+HEAVY, MOST_HEAVY = 4, 250_000
 
-def similar_links(docs: DataFrame, marks: DataFrame, roots: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Links (a, b) between fingerprints of different components (``roots``) whose texts have a Jaccard similarity of ``similar``.
 
-    Of a band's key each component sends one text, so a large group of copies is one
-    row; each meets one other component's, another one in each band. Pairs whose
-    minima agree too rarely go; of the others the shingles are compared whole, and
-    only their texts travel, compressed and for as long as this takes.
+def prefix_rows(docs: DataFrame, marks: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Rows (key, t, n, at): the shingles of each text's prefix that another text has in its own, their places there, and how many different shingles the text has."""
+    often = marks.select(F.explode("some").alias("key")).groupBy("key").count().filter(F.col("count") >= HEAVY).orderBy(F.desc("count"), "key").limit(MOST_HEAVY)
+    heavy = np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64)
+    by_key = np.argsort(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast((heavy[by_key], -by_key))  # the most frequent comes last
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            keys, ts, ns, places = [np.zeros(0, np.uint64)], [], [], []
+            for t, text in zip(b["t"].tolist(), b["text"].tolist(), strict=True):
+                if t in seen:
+                    continue
+                seen.add(t)
+                h = np.unique(shingle_hashes(text, shingle)).astype(np.uint64)
+                k = prefix(h, similar, *shared.value)
+                keys.append(k)
+                ts.append(np.full(len(k), t, np.int64))
+                ns.append(np.full(len(k), len(h), np.int32))
+                places.append(np.arange(len(k), dtype=np.int32))
+            whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "t": whole(ts, np.int64), "n": whole(ns, np.int32), "at": whole(places, np.int32)})
+
+    rows = _texts(docs).drop("doc_id").mapInPandas(run, "key long, t long, n int, at int").repartition("key").dropDuplicates(["key", "t"])
+    w = Window.partitionBy("key").orderBy("t")
+    return rows.select("*", F.lag("t").over(w).alias("_p"), F.lead("t").over(w).alias("_q")).filter("_p IS NOT NULL OR _q IS NOT NULL").drop("_p", "_q")
+
+
+def candidates(rows: DataFrame, roots: DataFrame, similar: float, block: int = 2048) -> DataFrame:
+    """Pairs (a, b) of texts of different ``roots`` (t, root) whose prefixes (``rows``) share a shingle where a similarity of ``similar`` asks for one.
+
+    Two similar texts share o = s / (1 + s) * (p + q) of their p and q shingles. All that the prefix which
+    ends first shares with the other text lies in both prefixes; that is all of it but those that only its own
+    text has: at least m = o - s * max(p, q) + 1 shingles. The first of these has m - 1 more behind it in either
+    prefix, so a pair is met by it alone. A key of more than ``block`` texts meets in pairs of blocks.
+    """
+    placed = rows.join(roots, "t")
+    many = placed.groupBy("key").agg(F.count("*").alias("c"), (F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
+    dealt = placed.join(many.select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("rest", F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1 - F.col("at"))  # from this place of the prefix on
+    side = lambda o, lo, hi: dealt.withColumn("o", F.explode(o)).select("key", F.col(lo).alias("lo"), F.col(hi).alias("hi"), "t", "n", "rest", "root")
+    left = side(F.sequence("own", F.col("blocks") - 1), "own", "o")
+    right = side(F.sequence(F.lit(0), F.col("own")), "o", "own").withColumnsRenamed({c: f"{c}2" for c in ("t", "n", "rest", "root")})
+    once = (F.col("root") != F.col("root2")) & ((F.col("lo") < F.col("hi")) | (F.col("t") < F.col("t2")))
+    most = F.ceil(similar * F.greatest("n", "n2") - 1e-9)
+    asked = F.ceil(similar / (1 + similar) * (F.col("n") + F.col("n2")) - 1e-9) - most + 1
+    met = left.join(right, ["key", "lo", "hi"]).filter(once & (F.least("n", "n2") >= most) & (F.least("rest", "rest2") >= asked))
+    return met.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, roots: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links (a, b) between all texts of different components (``roots``: t, root) that have a Jaccard similarity of ``similar``.
+
+    ``rows`` are those of ``prefix_rows``. No such pair is left out; the shingles of the candidates are compared
+    whole, and only their texts travel, compressed and for as long as this takes.
     """
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
-    placed = hot_join(marks.drop("doc_id"), roots.withColumnRenamed("node", "fp"), ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
-    rows = placed.select("root", F.struct("fp", *KEY, "sketch").alias("own"), F.posexplode("bands").alias("band", "value"))
-    sent = _stored(rows.groupBy("band", "value", "root").agg(F.min("own").alias("own")), f"{folder}/sent")
-    order = F.struct(F.xxhash64("root", "band"), "root")
-    middle = sent.groupBy("band", "value").agg(F.min_by(F.struct("root", "own"), order).alias("mid"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = hot_join(sent, middle, ["band", "value"]).filter(F.col("root") != F.col("mid.root")).select("own", F.col("mid.own").alias("other"))
-    near = met.filter(agreeing(F.col("own.sketch"), F.col("other.sketch")) >= AGREE)
-    sides = [F.col(f"{side}.{k}").alias(f"{prefix}{k}") for side, prefix in (("own", ""), ("other", "o_")) for k in KEY]
-    pairs = _stored(near.select(F.col("own.fp").alias("a"), F.col("other.fp").alias("b"), *sides).distinct(), f"{folder}/pairs")
-    needed = pairs.select(*KEY).unionByName(pairs.select(*[F.col(f"o_{k}").alias(k) for k in KEY])).distinct()
-    texts = docs.select(*text_key(F.col("text")), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(needed, KEY, "left_semi")
-    texts = _stored(texts.groupBy(*KEY).agg(F.any_value("text").alias("text")), f"{folder}/texts")
-    half = hot_join(pairs, texts.withColumnRenamed("text", "t"), KEY).drop(*KEY).withColumnsRenamed({f"o_{k}": k for k in KEY})
-    both = hot_join(_stored(half, f"{folder}/half"), texts.withColumnRenamed("text", "u"), KEY)
+    pairs = _stored(candidates(rows, roots, similar), f"{folder}/pairs")
+    needed = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
+    texts = _texts(docs).select("t", "text").join(needed, "t", "left_semi")
+    texts = _stored(texts.groupBy("t").agg(F.any_value("text").alias("text")), f"{folder}/texts")
+    half = hot_join(pairs, texts.withColumnsRenamed({"t": "a", "text": "x"}), ["a"])
+    both = hot_join(_stored(half, f"{folder}/half"), texts.withColumnsRenamed({"t": "b", "text": "y"}), ["b"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             held = []
-            for x, y in zip(b["t"].tolist(), b["u"].tolist(), strict=True):
+            for x, y in zip(b["x"].tolist(), b["y"].tolist(), strict=True):
                 p, q = (np.unique(shingle_hashes(z, shingle)) for z in (x, y))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 held.append(both >= similar * (len(p) + len(q) - both))
             yield b.loc[held, ["a", "b"]]
 
-    found = cut(both.select("a", "b", "t", "u").mapInPandas(compare, "a long, b long").distinct())
+    found = written(both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
     remove(spark, folder)
     return found
 
@@ -362,23 +436,28 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def near_texts(docs: DataFrame, shingle: int = 5, radius: int = 7, similar: float = 0.8, rounds: int = 2, block: int = 2048) -> DataFrame:
-    """Like ``near_duplicates``, with links between texts of a Jaccard similarity of ``similar`` too, found by MinHash bands.
+def near_texts(docs: DataFrame, shingle: int = 5, radius: int = 7, similar: float = 0.8, block: int = 2048) -> DataFrame:
+    """Like ``near_duplicates``, with links between texts of a Jaccard similarity of ``similar`` too, exactly.
 
     Components of the fingerprints come first; only texts of different components are
-    looked at further, again after each of the ``rounds``.
+    looked at further. Texts and shingles are taken for equal if their 64-bit hashes are.
     """
-    marks = cut(_marks(docs, shingle))
-    distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    edges = cut(links(distinct.select("fp"), radius, block))
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
+    marks = _stored(_marks(docs, shingle), f"{folder}/marks")
+    distinct = _stored(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), f"{folder}/distinct")
+    edges = _stored(links(distinct.select("fp"), radius, block), f"{folder}/edges")
     roots = components(edges)
-    for _ in range(rounds):
-        more = similar_links(docs, marks, roots, shingle, similar)
-        if more.isEmpty():
-            break
-        edges = edges.unionByName(more)
-        roots = components(edges)
-    return _named(marks.select("doc_id", "fp"), distinct, roots)
+    of_text = marks.select("t", "fp").distinct()
+    placed = _stored(hot_join(of_text, roots.withColumnRenamed("node", "fp"), ["fp"], "left").select("t", "fp", F.coalesce("root", "fp").alias("root")), f"{folder}/placed")
+    rows = _stored(prefix_rows(docs, marks, shingle, similar), f"{folder}/rows")
+    more = similar_links(docs, rows, placed.select("t", "root"), shingle, similar)
+    if not more.isEmpty():
+        fp_of = lambda t: placed.select(F.col("t").alias(t), F.col("fp").alias(f"fp_{t}"))
+        named = more.join(fp_of("a"), "a").join(fp_of("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+        roots = components(edges.unionByName(named))
+    out = written(_named(marks.select("doc_id", "fp"), distinct, roots))
+    remove(spark, folder)
+    return out
 
 
 def first_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = 2048, similar: float | None = None) -> DataFrame:
@@ -390,7 +469,7 @@ def first_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int
     are. An empty table gives no rows.
     """
     plain = docs.select("doc_id", "text")
-    found = cut(near_duplicates(plain, shingle, radius, block) if similar is None else near_texts(plain, shingle, radius, similar, block=block))
+    found = cut(near_duplicates(plain, shingle, radius, block)) if similar is None else near_texts(plain, shingle, radius, similar, block)
     ids = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     wanted = found.filter(F.col("component_id").isNull() & (F.col("fingerprint") == F.col("root_fingerprint"))).select("fingerprint").distinct()

@@ -172,3 +172,50 @@ def test_no_similar_pair_is_lost_by_sketches():
         lost += agree(base, other) < simhash.AGREE
         far += agree(base, apart) >= simhash.AGREE
     assert lost == 0 and far < 4
+
+
+def test_no_pair_of_similar_texts_is_left_out(spark):
+    # Pairs of a similarity of just over 0.8, of which bands of minima miss some, over one passage that many texts share, and texts of unlike lengths.
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(400):
+        base = [f"w{r.random()}" for _ in range(r.randint(60, 200))]
+        other = list(base)
+        if g % 3:
+            for c in range(max(1, len(base) // 50)):  # apart from each other, so that each changed word changes five shingles
+                other[len(base) // 8 + 40 * c] = f"x{r.random()}"
+        else:
+            other = other[: -(len(other) // 6)]
+        head = passage if g % 4 == 0 else []
+        rows += [(2 * g, " ".join(head + base)), (2 * g + 1, " ".join(head + other))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    close = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {x.doc_id: x.component_id for x in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(close) > 300 and not [(a, b) for a, b in close if got[a] != got[b]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 60), st.integers(0, 12), st.integers(0, 12))
+def test_similar_sets_share_a_shingle_of_their_prefixes_where_it_is_asked_for(seed, n, more, fewer):
+    rng = np.random.default_rng(seed)
+    p = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    q = np.unique(np.r_[rng.permutation(p)[: max(1, len(p) - fewer)], rng.integers(0, 2**63, more, dtype=np.uint64)])
+    both = len(np.intersect1d(p, q))
+    heavy = np.unique(rng.choice(np.r_[p, q], rng.integers(0, n + 1)))
+    place = rng.permutation(len(heavy))
+    a, b = (simhash.prefix(x, 0.8, heavy, place).tolist() for x in (p, q))
+    if both >= 0.8 * (len(p) + len(q) - both):
+        asked = -(-4 * (len(p) + len(q)) // 9) + 1 - -(-4 * max(len(p), len(q)) // 5)
+        shared = [(i, b.index(x)) for i, x in enumerate(a) if x in b]
+        assert len(shared) >= asked >= 1 and any(len(a) - i >= asked and len(b) - j >= asked for i, j in shared)
+
+
+def test_components_of_many_edges(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(500, i) for i in range(501, 560)] + [(i, 520) for i in range(530, 560)] + [(900, 900)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    assert {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()} == low
