@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import expressions as X
 from sparkloom.sources.shared import cut
 
+from .ranks import ranked
+
 CODE_VERSION = "normalize-1"
 
 
@@ -115,13 +119,18 @@ COMPONENTS = {"listing_density": 0.6, "ad_intensity": 0.4}
 def competition_composite(components: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Per niche of (niche_id, metric_name, value): the parts' means, their weighted sum before ranking, its rank over all niches, and status.
 
-    A niche that lacks a part has no composite and the status ``ERR_MISSING_COMPONENT``.
+    Niches are numbered by composite, equal ones by niche_id; places are held to those at shares 0.05 and 0.95. A niche that
+    lacks a part has no composite and the status ``ERR_MISSING_COMPONENT``.
     """
     weights = weights or COMPONENTS
     g = components.groupBy("niche_id").agg(*[F.avg(F.when(F.col("metric_name") == m, F.col("value"))).alias(m) for m in weights])
     total = F.lit(0.0)
     for m, w in weights.items():
         total = total + w * F.col(m)
-    g = g.withColumn("composite", total).withColumn("status", F.when(F.col("composite").isNull(), "ERR_MISSING_COMPONENT").otherwise("OK"))
-    ranks = cohort_ranks(g.filter("status = 'OK'").select(F.lit("all").alias("cohort"), F.col("composite").alias("value"))).select(F.col("value").alias("composite"), F.col("pct").alias("percentile"))
-    return g.join(ranks, "composite", "left")
+    g = cut(g.withColumn("composite", total).withColumn("status", F.when(F.col("composite").isNull(), "ERR_MISSING_COMPONENT").otherwise("OK")))
+    whole = g.filter("status = 'OK'")
+    last = whole.count() - 1
+    place = ranked(whole.withColumn("_all", F.lit(1)), ["_all"], ["composite", "niche_id"], "_i").drop("_all")
+    held = F.least(F.greatest("_i", F.lit(math.floor(0.05 * last) + 1)), F.lit(math.floor(0.95 * last) + 1))
+    percentile = (held - 1) / last if last > 0 else F.lit(0.5)
+    return place.withColumn("percentile", percentile).drop("_i").unionByName(g.filter("status <> 'OK'").withColumn("percentile", F.lit(None).cast("double")))

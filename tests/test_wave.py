@@ -178,6 +178,12 @@ def test_composites_need_both_parts(spark):
     assert got == {"a": (0.8, 0.0, "OK"), "b": (None, None, "ERR_MISSING_COMPONENT"), "c": (2.0, 0.0, "OK")}
 
 
+def test_equal_composites_have_places_of_their_own(spark):
+    df = spark.createDataFrame([(f"n{i:02d}", m, 1.0 if i < 15 else float(i)) for i in range(21) for m in ("listing_density", "ad_intensity")], "niche_id string, metric_name string, value double")
+    got = [r.percentile for r in signals.competition_composite(df).orderBy("niche_id").collect()]
+    assert got == [min(max(i, 1), 19) / 20 for i in range(21)]
+
+
 def test_budgets_and_limits_come_from_tables(spark):
     tasks = spark.createDataFrame([("j", "http", s) for s in ("READY", "RUNNING", "PENDING", "FAILED")] + [("j", "index", "READY")], "job_id string, lane string, state string")
     budgets = spark.createDataFrame([("j", "http", 2), ("j", "media", 1), ("k", "http", 0)], "job_id string, lane string, budget int")
