@@ -248,3 +248,12 @@ def test_sql_functions_are_the_expressions(spark):
     for r in got:
         for a, b in zip(r[::2], r[1::2], strict=True):
             assert a == b or math.isclose(a, b, abs_tol=1e-12)
+
+
+def test_audits_deal_their_rows_over_a_stated_number_of_tasks(spark):
+    a = spark.createDataFrame([(1, ["x"]), (2, ["x"]), (2, ["x"]), (3, []), (None, ["x"])], "artifact_id long, derived_from array<string>")
+    e = spark.createDataFrame([(1, "x"), (1, "x"), (3, "y")], "child_id long, parent_id string")
+    lost = audits.orphans(a, e)
+    assert lost.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.subject or "", r.detail) for r in lost.collect()) == [("", "1"), ("2", "1"), ("2", "1")]
+    assert sorted((r.subject or "", r.detail) for r in audits.inline_reference_gaps(a, e).collect()) == [("", "x"), ("2", "x"), ("2", "x")]
