@@ -81,9 +81,12 @@ class KeyedTable:
         batch = written(first.select(*names).withColumn(BUCKET, self._bucket()))
         met = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
         now = self.manifest()
-        known = self.read(met).select(*self.keys).distinct().withColumn("_known", F.lit(True))
-        match = [F.col(f"b.{k}").eqNullSafe(F.col(f"k.{k}")) for k in self.keys]
-        flagged = written(batch.alias("b").join(known.alias("k"), match, "left").select(*[F.col(f"b.{c}").alias(c) for c in names], F.col("_known").isNull().alias("inserted")))
+        # Grouping moves each side once and takes nulls for equal; a join would move the known keys twice and sort both.
+        sides = batch.select(*self.keys, F.struct(*rest).alias("_r") if rest else F.lit(None).alias("_r"), F.lit(True).alias("_new"))
+        known = self.read(met).select(*self.keys, F.lit(None).cast(sides.schema["_r"].dataType).alias("_r"), F.lit(False).alias("_new"))
+        carried = [F.first("_r", ignorenulls=True).alias("_r")] if rest else []
+        grouped = sides.unionByName(known).groupBy(*self.keys).agg(F.max("_new").alias("_new"), F.min("_new").alias("inserted"), *carried).filter("_new")
+        flagged = written(grouped.select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in names], "inserted"))
         new = flagged.filter("inserted")
         if not new.isEmpty():
             self._add(new.select(*names), now)
