@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,7 +225,7 @@ def _hits(texts: list[list[bytes]], phrases: Phrases) -> tuple[dict[int, list[tu
     return spans, items
 
 
-def _search(blocks, window: int, shard_words: int, added: list[str]):
+def _search(blocks, window: int, shard_words: int, added: list[str], trim: bool):
     job = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +243,10 @@ def _search(blocks, window: int, shard_words: int, added: list[str]):
             for name, values in zip(added, made, strict=True):
                 at = t.schema.get_field_index(name)
                 t = t.set_column(at, t.schema.field(at), pa.array(values, t.schema.field(at).type))
+            if trim and spans:
+                at = t.schema.get_field_index("text")
+                left = [cut_words(x, spans[d]) if d in spans else x for d, x in enumerate(t.column(at).to_pylist())]
+                t = t.set_column(at, t.schema.field(at), pa.array(left, t.schema.field(at).type))
             yield from t.to_batches(max_chunksize=2048)
 
         frames: list[pa.RecordBatch] = []
@@ -304,20 +307,20 @@ def _dealt(pieces: DataFrame, block_chars: int, turn: int) -> list[list[tuple[st
     return blocks
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4_000_000, shard_words: int = 500_000, piece_words: int = 20_000) -> tuple[DataFrame, list[str]]:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4_000_000, shard_words: int = 500_000, piece_words: int = 20_000, trim: bool = False) -> tuple[DataFrame, list[str]]:
     """``docs`` with three columns added, and their names: words, spans (of words, end exclusive) and items (sorted names).
 
     The names are unlike all of ``docs``. Null and word-free texts have no words
     and no hits; an empty benchmark hits nothing; a null item_id is the item
     "null". Repeated items count once. What is broadcast is one block of benchmark
-    texts at a time, whatever the benchmark's size.
+    texts at a time, whatever the benchmark's size. With ``trim`` the texts come without the words of their spans.
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, block_chars, piece_words)]
     added = free_names(docs, "n_words", "spans", "items")
     kinds = ("bigint", "array<struct<a:bigint,b:bigint>>", "array<string>")
     out = docs.withColumns({k: c.cast(t) for k, c, t in zip(added, (F.lit(0), F.array(), F.array()), kinds, strict=True)})
-    return out.mapInArrow(_search(blocks, window, shard_words, added), out.schema), added
+    return out.mapInArrow(_search(blocks, window, shard_words, added, trim), out.schema), added
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **limits: int) -> DataFrame:
@@ -337,16 +340,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, **limits: in
     Documents without a hit stay as they are, null and word-free ones too, and so
     do repeated rows and all columns, whatever their names. An empty table gives no rows.
     """
-
-    @F.pandas_udf("string")
-    def trimmed(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, [(x["a"], x["b"]) for x in s]) if len(s) else t for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    found, (_, spans, _) = find(docs, benchmark, window, **limits)
-    text = F.when(F.size(spans) > 0, trimmed("text", spans)).otherwise(F.col("text"))
-    (new,) = free_names(found, "new_text")
-    out = found.withColumn(new, text).filter((F.size(spans) == 0) | (F.length(new) > 0))
-    return out.select(*[F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    found, (_, spans, _) = find(docs, benchmark, window, trim=True, **limits)  # one Python worker a task, as the search itself cuts
+    return found.filter((F.size(spans) == 0) | (F.length("text") > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -13,7 +13,7 @@ task returns a spanning forest of its links, never all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -69,12 +69,22 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
+#: So many (fingerprint, word) cells are compared at once, and so many of those that have a close pair are spread out at once.
+CELLS, SPREAD_CELLS = 1 << 17, 1 << 12
+
+
 def close_pairs(fp: np.ndarray, group: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the fingerprints of one group that differ in at most ``radius`` (under 8) bits.
 
     ``group`` is sorted. In groups marked ``cross`` only pairs of different
     ``side`` count. Each pair comes once.
     """
+    parts = [(np.zeros(0, np.int64),) * 2, *close_pair_parts(fp, group, side, cross, radius)]
+    return np.concatenate([i for i, _ in parts]), np.concatenate([j for _, j in parts])
+
+
+def close_pair_parts(fp: np.ndarray, group: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``close_pairs``, some hundred thousand at a time, so that memory is bounded however many there are."""
     n = len(fp)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     count = np.diff(np.r_[first, n])
@@ -92,12 +102,11 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, side: np.ndarray, cross: np.n
     start_of = np.full(total, 0, np.int64)
     start_of[word0] = first
     start_of = np.repeat(first, words) + 64 * (np.arange(total) - np.repeat(word0, words))
-    left, right = [], []
     cells_of = words[gid]
     at = 0
     cum = np.cumsum(cells_of)
     while at < n:  # a bounded number of (fingerprint, word) cells at once
-        upto = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + 2_000_000, "right")))
+        upto = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + CELLS, "right")))
         q = np.repeat(np.arange(at, upto), cells_of[at:upto])
         base = np.cumsum(cells_of[at:upto]) - cells_of[at:upto]
         w = word0[gid[q]] + (np.arange(len(q)) - np.repeat(base, cells_of[at:upto]))
@@ -124,16 +133,15 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, side: np.ndarray, cross: np.n
                     break
         if len(q):
             near = used[w] & ~_exceeds(one, two, four, over, radius)
-            bits = np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            c, k = np.nonzero(bits)
-            i, j = q[c], start_of[w[c]] + k
-            good = (j > i) & (~cross[i] | (side[i] != side[j]))
-            left.append(i[good])
-            right.append(j[good])
+            some = np.flatnonzero(near)
+            for part in (some[x : x + SPREAD_CELLS] for x in range(0, len(some), SPREAD_CELLS)):
+                bits = np.unpackbits(near[part].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                c, k = np.nonzero(bits)
+                i, j = q[part[c]], start_of[w[part[c]]] + k
+                good = (j > i) & (~cross[i] | (side[i] != side[j]))
+                if good.any():
+                    yield i[good], j[good]
         at = upto
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
 
 
 def _exceeds(one: np.ndarray, two: np.ndarray, four: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
@@ -148,13 +156,22 @@ def _exceeds(one: np.ndarray, two: np.ndarray, four: np.ndarray, over: np.ndarra
     return above
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest position that each of n positions is linked to."""
+def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest position that each of n positions is linked to by ``pairs``, which come some at a time."""
     root = np.arange(n)
+    for i, j in pairs:
+        _joined(root, i, j)
+    return root
+
+
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of each i and j; each position points at its root before and after."""
     while True:
         a, b = root[i], root[j]
-        if not (a != b).any():
-            return root
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
         low = np.minimum(a, b)
         np.minimum.at(root, a, low)
         np.minimum.at(root, b, low)
@@ -162,7 +179,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             up = root[root]
             if (up == root).all():
                 break
-            root = up
+            root[:] = up
 
 
 def _links(radius: int):
@@ -171,8 +188,7 @@ def _links(radius: int):
             key = pdf[["r", "k", "lo", "hi"]].to_numpy()
             group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
             fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            i, j = close_pairs(fp, group, pdf["own"].to_numpy(), (pdf["lo"] != pdf["hi"]).to_numpy(), radius)
-            root = forest(len(fp), i, j)
+            root = forest(len(fp), close_pair_parts(fp, group, pdf["own"].to_numpy(), (pdf["lo"] != pdf["hi"]).to_numpy(), radius))
             moved = np.flatnonzero(root != np.arange(len(fp)))
             s = fp.view(np.int64)
             return pd.DataFrame({"a": s[moved], "b": s[root[moved]]})
@@ -484,5 +500,6 @@ def _anonymous(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t or "", shingle) for t in text], dtype=np.uint64).astype(np.int64))
 
-    made = docs.filter(F.col("doc_id").isNull()).withColumn(key, F.lower(F.lpad(F.hex(fp("text")), 16, "0"))).dropDuplicates([key])
+    once = fp.asNondeterministic()  # else the join's filter computes it a second time, in a worker of its own
+    made = docs.filter(F.col("doc_id").isNull()).withColumn(key, F.lower(F.lpad(F.hex(once("text")), 16, "0"))).dropDuplicates([key])
     return made.join(wanted.withColumnRenamed("fingerprint", key), key, "left_semi").select(*docs.columns)

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,6 +117,22 @@ def test_bit_slices_find_all_close_pairs(seed, radius, n):
     assert got == want and len(i) == len(got)
 
 
+def test_links_of_near_groups_take_bounded_memory():
+    r = np.random.default_rng(3)
+    near = lambda n: np.uint64(12345) ^ (np.uint64(1) << r.integers(0, 64, n, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, n, dtype=np.uint64))
+    # A group of 3000 in which each pair is close (4.5 million pairs) and 250 groups of 100 that have hardly any.
+    pdf = pd.DataFrame({"r": 0, "k": np.r_[np.zeros(3000, int), np.repeat(np.arange(1, 251), 100)], "lo": 0, "hi": 0, "own": 0})
+    pdf["fp"] = np.r_[near(3000), r.integers(0, 2**63, 25_000, dtype=np.uint64)].view(np.int64)
+    tracemalloc.start()
+    found = pd.concat(simhash._links(7)(iter([pdf])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All of the group hang on its first row.
+    first = found[found["a"].isin(pdf["fp"][:3000])]
+    assert set(first["b"]) == {pdf["fp"][0]} and set(first["a"]) | {pdf["fp"][0]} == set(pdf["fp"][:3000])
+    assert peak < 100e6
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 

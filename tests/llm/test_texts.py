@@ -407,3 +407,13 @@ def test_long_benchmark_words_and_shared_phrases(spark):
     for block_chars in (4_000_000, 500):
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.decontaminate(docs, benchmark, block_chars=block_chars).collect()}
         assert got == {0: (40, 40, 1), 1: (17, 15, 1), 2: (40, 0, 0), 3: (2200, 2000, 300), 4: (9, 0, 0), 5: (0, 0, 0)}
+
+
+def test_a_row_meets_one_python_worker_where_passages_are_cut_and_rows_without_an_id_are_kept(spark):
+    from sparkloom.llm import simhash
+
+    cut = decontam.remove(docs(spark), spark.createDataFrame([(1, prose(30, 2))], "item_id long, text string"))
+    wanted = spark.createDataFrame([("0" * 16,)], "fingerprint string")
+    for df in (cut, simhash._anonymous(docs(spark), wanted, 5)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall("MapInArrow|MapInPandas|ArrowEvalPython", plan)) == 1
