@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
@@ -183,30 +184,50 @@ def degradations(transitions: DataFrame) -> DataFrame:
 
 
 class ExpiryProcessor(StatefulProcessor):
-    """Emits signals once the watermark passes their expiry: a timer per expiry, over groups of signals."""
+    """Emits signals once the watermark passes their expiry: a timer for the next expiry of a group of signals.
+
+    A batch's signals are appended to the state as one text, and a timer that fires hands out all that is due,
+    so calls to the state go by groups and batches, not by expiries.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getMapState("expiry", StructType([StructField("at", LongType())]), StructType([StructField("ids", StringType())]))
+        self.kept = handle.getListState("waiting", StructType([StructField("signals", StringType())]))
+        self.next = handle.getValueState("next", StructType([StructField("at", LongType())]))
+
+    def _wait(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.next.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [r for r in rows]
-        if frames:
-            pdf = pd.concat(frames)
+        low = None
+        for pdf in rows:
+            if not len(pdf):
+                continue
             ms = pdf["expires_at"].astype("datetime64[ms]").astype("int64")
-            for at, ids in pdf["signal_id"].groupby(ms):
-                old = self.kept.getValue((at,))[0].split("\n") if self.kept.containsKey((at,)) else []
-                if not old:
-                    self.handle.registerTimer(int(at))
-                self.kept.updateValue((at,), ("\n".join(sorted({*old, *ids})),))
+            self.kept.appendValue((json.dumps([ms.tolist(), pdf["signal_id"].tolist()]),))
+            low = int(ms.min()) if low is None else min(low, int(ms.min()))
+        if low is not None:
+            waiting = self.next.get() if self.next.exists() else None
+            if waiting is None or low < waiting[0]:
+                if waiting is not None:
+                    self.handle.deleteTimer(waiting[0])
+                self._wait(low)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.kept.containsKey((at,)):
-            ids = self.kept.getValue((at,))[0].split("\n")
-            self.kept.removeKey((at,))
-            yield pd.DataFrame({"signal_id": ids, "expired_at": [pd.Timestamp(at, unit="ms")] * len(ids)})
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        parts = [json.loads(text) for (text,) in self.kept.get()]
+        held = pd.DataFrame({"at": pd.Series([x for at, _ in parts for x in at], dtype="int64"), "signal_id": pd.Series([x for _, ids in parts for x in ids], dtype=object)}).drop_duplicates()
+        due = held["at"] <= now
+        rest = held[~due]
+        self.kept.clear()
+        self.next.clear()
+        if len(rest):
+            self.kept.appendValue((json.dumps([rest["at"].tolist(), rest["signal_id"].tolist()]),))
+            self._wait(int(rest["at"].min()))
+        if due.any():
+            yield pd.DataFrame({"signal_id": held.loc[due, "signal_id"], "expired_at": pd.to_datetime(held.loc[due, "at"], unit="ms")})
 
     def close(self) -> None:
         pass
@@ -217,8 +238,9 @@ def expiry_stream(signals: DataFrame, late: str = "1 minute") -> DataFrame:
 
     State is kept per hour of expiry, in a few thousand groups however many signals
     there are; a signal that comes again with the same expiry is one. Times have milliseconds.
+    Signals without an expiry never expire.
     """
-    s = signals.withWatermark("observed_at", late).select("signal_id", "observed_at", "expires_at", F.date_trunc("hour", "expires_at").cast("string").alias("hour"))
+    s = signals.withWatermark("observed_at", late).filter("expires_at IS NOT NULL").select("signal_id", "observed_at", "expires_at", F.date_trunc("hour", "expires_at").cast("string").alias("hour"))
     return s.groupBy("hour").transformWithStateInPandas(ExpiryProcessor(), outputStructType="signal_id string, expired_at timestamp", outputMode="Append", timeMode="EventTime")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,62 @@ def test_expiry_timer_fires_once_the_time_has_passed(spark, tmp_path):
     assert [r.signal_id for r in out.collect()] == ["s1"]
 
 
+class CountedState:
+    """A state handle of one key in memory, which counts the calls made to it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return None
+
+        return call
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def _state(self, name, *_):
+        handle, held = self, {}
+
+        class State:
+            def __getattr__(self, call):
+                handle.calls += 1
+                return {
+                    "exists": lambda: bool(held), "clear": held.clear, "containsKey": lambda k: k in held, "getValue": lambda k: held[k], "removeKey": held.pop,
+                    "updateValue": held.__setitem__, "update": lambda v: held.__setitem__(0, v), "appendValue": lambda v: held.__setitem__(len(held), v),
+                    "get": lambda: held.get(0) if name == "next" else iter(list(held.values())),
+                }[call]
+
+        return State()
+
+    getMapState = getListState = getValueState = _state
+
+
+def test_expiry_calls_the_state_by_batches_not_by_expiries():
+    handle, p, now = CountedState(), jobs.ExpiryProcessor(), dt.datetime(2026, 1, 1, 12)
+    p.init(handle)
+    ms = lambda t: int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    sent = [(f"s{i}\n{i}", now + dt.timedelta(seconds=i)) for i in range(500)]
+    for part in (sent[250:], sent[:300]):  # fifty come twice, and the earlier ones later
+        assert list(p.handleInputRows(None, iter([pd.DataFrame(part, columns=["signal_id", "expires_at"])]), None)) == []
+    got = []
+    for seconds in (99, 2000):
+        mark = ms(now + dt.timedelta(seconds=seconds))
+        while due := sorted(t for t in handle.timers if t <= mark):
+            times = SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: m)
+            got += [(r.signal_id, r.expired_at.to_pydatetime()) for out in p.handleExpiredTimer(None, times, SimpleNamespace(getExpiryTimeInMs=lambda d=due: d[0])) for r in out.itertuples()]
+            handle.timers.discard(due[0])
+        assert sorted(got) == sorted(sent[: min(seconds + 1, 500)])
+    assert handle.calls < 40
+
+
 def test_ingest_once_drops_later_copies(spark, tmp_path):
     rows = [(i % 5, T0 + dt.timedelta(seconds=i), i) for i in range(20)]
     out = run_stream(spark, tmp_path, rows, "k int, ts timestamp, v int", lambda s: jobs.ingest_once(s, ["k"], "ts"), key=lambda r: r[1])
