@@ -335,7 +335,7 @@ def prefix(h: np.ndarray, similar: float, heavy: np.ndarray, place: np.ndarray)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
         hot = heavy[at] == h
-        h = np.concatenate([h[~hot], h[hot][np.argsort(place[at[hot]])]])
+        h = np.concatenate([h[~hot], h[hot][np.argsort(place[at[hot]], kind="stable")]])
     return h[: len(h) - _whole(similar * len(h)) + 1]
 
 
@@ -362,17 +362,25 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-#: Shingles that so many texts have among a fifth of their own are heavy, at most this number of them, the most frequent first. They
-#: only come last in the order of the shingles, so that rare ones make up the prefixes; whatever is taken for heavy, no pair is lost.
-HEAVY, MOST_HEAVY = 4, 250_000
+#: Shingles that so many texts have among a fifth of their own are heavy. They come last in the order of the shingles, the most frequent at
+#: the end, so that rare ones make up the prefixes. All shingles of a slot (their last bits) count as its most frequent one, so that the
+#: table stays the same size whatever the input; that only changes the order, and no order loses a pair.
+HEAVY, SLOTS = 4, 1 << 22
 
 
-def prefix_rows(docs: DataFrame, marks: DataFrame, shingle: int, similar: float) -> DataFrame:
+def heavy_levels(marks: DataFrame) -> np.ndarray:
+    """For each slot eight times the logarithm to base 2 of how often its most frequent shingle stands in ``some``; 0 where none is heavy."""
+    often = marks.select(F.explode("some").alias("key")).groupBy("key").count().filter(F.col("count") >= HEAVY)
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+    top = often.groupBy(slot).agg(F.max(F.floor(8 * F.log2("count"))).cast("short").alias("level")).toArrow()
+    levels = np.zeros(SLOTS, np.uint8)
+    levels[top["slot"].to_numpy()] = top["level"].to_numpy()
+    return levels
+
+
+def prefix_rows(docs: DataFrame, levels: np.ndarray, shingle: int, similar: float) -> DataFrame:
     """Rows (key, t, n, at): the shingles of each text's prefix that another text has in its own, their places there, and how many different shingles the text has."""
-    often = marks.select(F.explode("some").alias("key")).groupBy("key").count().filter(F.col("count") >= HEAVY).orderBy(F.desc("count"), "key").limit(MOST_HEAVY)
-    heavy = np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64)
-    by_key = np.argsort(heavy)
-    shared = docs.sparkSession.sparkContext.broadcast((heavy[by_key], -by_key))  # the most frequent comes last
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -383,7 +391,8 @@ def prefix_rows(docs: DataFrame, marks: DataFrame, shingle: int, similar: float)
                     continue
                 seen.add(t)
                 h = np.unique(shingle_hashes(text, shingle)).astype(np.uint64)
-                k = prefix(h, similar, *shared.value)
+                level = shared.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+                k = prefix(h, similar, h[level > 0], level[level > 0])
                 keys.append(k)
                 ts.append(np.full(len(k), t, np.int64))
                 ns.append(np.full(len(k), len(h), np.int32))
@@ -396,41 +405,63 @@ def prefix_rows(docs: DataFrame, marks: DataFrame, shingle: int, similar: float)
     return rows.select("*", F.lag("t").over(w).alias("_p"), F.lead("t").over(w).alias("_q")).filter("_p IS NOT NULL OR _q IS NOT NULL").drop("_p", "_q")
 
 
-def candidates(rows: DataFrame, roots: DataFrame, similar: float, block: int = 2048) -> DataFrame:
-    """Pairs (a, b) of texts of different ``roots`` (t, root) whose prefixes (``rows``) share a shingle where a similarity of ``similar`` asks for one.
+def met_rows(rows: DataFrame, roots: DataFrame, similar: float, block: int = 2048) -> DataFrame:
+    """The ``rows`` of ``prefix_rows`` whose key has texts of different ``roots`` (t, root), as (key, t, n, rest, root, blocks, own).
 
-    Two similar texts share o = s / (1 + s) * (p + q) of their p and q shingles. All that the prefix which
-    ends first shares with the other text lies in both prefixes; that is all of it but those that only its own
-    text has: at least m = o - s * max(p, q) + 1 shingles. The first of these has m - 1 more behind it in either
-    prefix, so a pair is met by it alone. A key of more than ``block`` texts meets in pairs of blocks.
+    ``rest`` places of the prefix are left from this one on. A key of more than ``block`` texts is cut in ``blocks``, of which the text is in its ``own``.
     """
     placed = rows.join(roots, "t")
     many = placed.groupBy("key").agg(F.count("*").alias("c"), (F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
     dealt = placed.join(many.select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("rest", F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1 - F.col("at"))  # from this place of the prefix on
-    side = lambda o, lo, hi: dealt.withColumn("o", F.explode(o)).select("key", F.col(lo).alias("lo"), F.col(hi).alias("hi"), "t", "n", "rest", "root")
+    rest = (F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1 - F.col("at")).cast("int").alias("rest")
+    return dealt.select("key", "t", "n", rest, "root", "blocks", "own")
+
+
+#: Two texts must share so many shingles of their prefixes, or as many as the similarity asks for if those are fewer. Most pairs of unlike
+#: texts that share a shingle by chance share one or two.
+SHARED = 4
+
+
+def candidates(met: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of texts of different roots whose prefixes share as many shingles (``SHARED`` at most) as a similarity of ``similar`` asks for.
+
+    Two similar texts share o = s / (1 + s) * (p + q) of their p and q shingles. All that the prefix which
+    ends first shares with the other text lies in both prefixes; that is all of it but those that only its own
+    text has: at least m = o - s * max(p, q) + 1 shingles. The i-th of these has m - i more behind it in either
+    prefix, so the first k of them are met where m - k + 1 places are left, and a pair that has fewer than k there is not similar.
+    ``met`` is a stored ``met_rows``; its blocks meet in pairs.
+    """
+    side = lambda o, lo, hi: met.withColumn("o", F.explode(o)).select("key", F.col(lo).alias("lo"), F.col(hi).alias("hi"), "t", "n", "rest", "root")
     left = side(F.sequence("own", F.col("blocks") - 1), "own", "o")
     right = side(F.sequence(F.lit(0), F.col("own")), "o", "own").withColumnsRenamed({c: f"{c}2" for c in ("t", "n", "rest", "root")})
     once = (F.col("root") != F.col("root2")) & ((F.col("lo") < F.col("hi")) | (F.col("t") < F.col("t2")))
     most = F.ceil(similar * F.greatest("n", "n2") - 1e-9)
     asked = F.ceil(similar / (1 + similar) * (F.col("n") + F.col("n2")) - 1e-9) - most + 1
-    met = left.join(right, ["key", "lo", "hi"]).filter(once & (F.least("n", "n2") >= most) & (F.least("rest", "rest2") >= asked))
-    return met.select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).distinct()
+    k = F.least(asked, F.lit(SHARED))
+    both = left.join(right, ["key", "lo", "hi"]).filter(once & (F.least("n", "n2") >= most) & (F.least("rest", "rest2") >= asked - k + 1))
+    pairs = both.groupBy(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b")).agg(F.count("*").alias("c"), F.max(k).alias("k"))
+    return pairs.filter("c >= k").select("a", "b")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, roots: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Links (a, b) between all texts of different components (``roots``: t, root) that have a Jaccard similarity of ``similar``.
+#: Pairs are compared in rounds of a quarter of the documents' bytes, or so many if that is more.
+ROUND = 1 << 26
 
-    ``rows`` are those of ``prefix_rows``. No such pair is left out; the shingles of the candidates are compared
-    whole, and only their texts travel, compressed and for as long as this takes.
+
+def similar_links(docs: DataFrame, met: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links (a, b) between all texts of different components that have a Jaccard similarity of ``similar``.
+
+    ``met`` is a stored ``met_rows``. No such pair is left out; the shingles of the candidates are compared
+    whole, and only their texts travel, compressed and for as long as this takes. However many pairs a text is in,
+    those of a round hold a quarter of the documents' bytes.
     """
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
-    pairs = _stored(candidates(rows, roots, similar), f"{folder}/pairs")
+    spark, folder, found = docs.sparkSession, new_folder(docs.sparkSession), new_folder(docs.sparkSession)
+    pairs = _stored(candidates(met, similar), f"{folder}/pairs")
     needed = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
     texts = _texts(docs).select("t", "text").join(needed, "t", "left_semi")
-    texts = _stored(texts.groupBy("t").agg(F.any_value("text").alias("text")), f"{folder}/texts")
-    half = hot_join(pairs, texts.withColumnsRenamed({"t": "a", "text": "x"}), ["a"])
-    both = hot_join(_stored(half, f"{folder}/half"), texts.withColumnsRenamed({"t": "b", "text": "y"}), ["b"])
+    texts = _stored(texts.groupBy("t").agg(F.any_value("text").alias("text")).withColumn("size", F.octet_length("text")), f"{folder}/texts")
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sent = pairs.groupBy("a").count().join(texts.select(F.col("t").alias("a"), "size"), "a").agg(F.sum(F.col("count") * F.col("size"))).first()[0] or 0
+    rounds = max(1, math.ceil(sent / max(ROUND, whole / 4)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -441,9 +472,14 @@ def similar_links(docs: DataFrame, rows: DataFrame, roots: DataFrame, shingle: i
                 held.append(both >= similar * (len(p) + len(q) - both))
             yield b.loc[held, ["a", "b"]]
 
-    found = written(both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
+    for k in range(rounds):
+        part = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+        half = _stored(hot_join(part, texts.select(F.col("t").alias("a"), F.col("text").alias("x")), ["a"]), f"{folder}/half")
+        both = hot_join(half, texts.select(F.col("t").alias("b"), F.col("text").alias("y")), ["b"])
+        both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long").write.parquet(f"{found}/{k}")
+        remove(spark, f"{folder}/half")
     remove(spark, folder)
-    return found
+    return spark.read.schema("a long, b long").parquet(*[f"{found}/{k}" for k in range(rounds)])
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -459,14 +495,18 @@ def near_texts(docs: DataFrame, shingle: int = 5, radius: int = 7, similar: floa
     looked at further. Texts and shingles are taken for equal if their 64-bit hashes are.
     """
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
-    marks = _stored(_marks(docs, shingle), f"{folder}/marks")
+    made = _stored(_marks(docs, shingle), f"{folder}/made")
+    marks, levels = _stored(made.drop("some"), f"{folder}/marks"), heavy_levels(made)
+    remove(spark, f"{folder}/made")
     distinct = _stored(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), f"{folder}/distinct")
     edges = _stored(links(distinct.select("fp"), radius, block), f"{folder}/edges")
     roots = components(edges)
     of_text = marks.select("t", "fp").distinct()
     placed = _stored(hot_join(of_text, roots.withColumnRenamed("node", "fp"), ["fp"], "left").select("t", "fp", F.coalesce("root", "fp").alias("root")), f"{folder}/placed")
-    rows = _stored(prefix_rows(docs, marks, shingle, similar), f"{folder}/rows")
-    more = similar_links(docs, rows, placed.select("t", "root"), shingle, similar)
+    rows = _stored(prefix_rows(docs, levels, shingle, similar), f"{folder}/rows")
+    met = _stored(met_rows(rows, placed.select("t", "root"), similar, block), f"{folder}/met")
+    remove(spark, f"{folder}/rows")
+    more = similar_links(docs, met, shingle, similar)
     if not more.isEmpty():
         fp_of = lambda t: placed.select(F.col("t").alias(t), F.col("fp").alias(f"fp_{t}"))
         named = more.join(fp_of("a"), "a").join(fp_of("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))

@@ -237,3 +237,73 @@ def test_components_of_many_edges(spark):
         for a, b in edges:
             low[a] = low[b] = min(low[a], low[b])
     assert {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()} == low
+
+
+def watch(monkeypatch):
+    """How many rows each table that the search stores has, by name."""
+    stored, rows = simhash._stored, {}
+
+    def count(df, path):
+        out = stored(df, path)
+        rows.setdefault(path.rpartition("/")[2], []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_stored", count)
+    return rows
+
+
+def test_texts_that_share_a_shingle_by_chance_are_not_compared(spark, monkeypatch):
+    # Each two neighbours share five words, of the sort that similar texts meet by; the last two texts are similar.
+    r = random.Random(5)
+    new = lambda n: [f"w{r.random()}" for _ in range(n)]
+    texts, last = [], new(5)
+    for _ in range(60):
+        mine = new(5)
+        texts.append(last + new(40) + mine)
+        last = mine
+    texts += [x[:10] + new(1) + x[10:] for x in texts[-1:]] + [texts[0][:-2]]
+    rows = watch(monkeypatch)
+    got = {x.doc_id: x.component_id for x in simhash.near_texts(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(60)} | {60: 59, 61: 0}
+    assert sum(rows["pairs"]) <= 2  # those whose fingerprints lie apart
+
+
+def test_many_alike_texts_are_compared_in_rounds(spark, monkeypatch):
+    # All pairs of a group are 0.7 to 0.9 alike: pairs of whole texts are far more than the texts.
+    r = random.Random(8)
+    base = [f"w{r.random()}" for _ in range(400)]
+    texts = []
+    for _ in range(14):
+        text = list(base)
+        for at in r.sample(range(10, 390, 10), 4 + len(texts) % 3):
+            text[at] = f"x{r.random()}"
+        texts.append(text)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    close = {(a, b) for a in range(14) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    size = sum(len(" ".join(x)) for x in texts)
+    monkeypatch.setattr(simhash, "ROUND", size, raising=False)
+    rows = watch(monkeypatch)
+    near = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    docs = near.select("doc_id", "text").unionByName(near.limit(3))  # repeated rows change nothing
+    marks = simhash._marks(docs, 5).select("t", "doc_id").distinct().collect()
+    ids = {x.t: x.doc_id for x in marks}
+    seen = []
+    links = simhash.similar_links
+
+    def kept(*a):
+        out = links(*a)
+        seen.extend((ids[x.a], ids[x.b]) for x in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "similar_links", kept)
+    monkeypatch.setattr(simhash, "links", lambda fps, *a: fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("false"))  # no two are close by fingerprint
+    simhash.near_texts(docs).collect()
+    assert {(max(x), min(x)) for x in seen} == close and 10 < len(close) < 91
+    assert len(rows["half"]) > 2 and sum(rows["half"]) == sum(rows["pairs"]) and max(rows["half"]) <= 14 * 3
+
+
+def test_heavy_shingles_come_last_however_many_there_are(spark):
+    rows = [([k << 23 | k for k in range(2000)] + [5 << 40 | 7] * 60,)] * 4 + [([9 << 30 | 3000],)] * 3
+    levels = simhash.heavy_levels(spark.createDataFrame(rows, "some array<long>"))
+    assert levels.shape == (simhash.SLOTS,) and (np.flatnonzero(levels) == np.arange(2000)).all()
+    assert levels[7] == int(8 * np.log2(240)) and (levels[np.r_[0:7, 8:2000]] == 16).all()
